@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from rasterloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from rasterloom.llm.sharding import op5_ring_shards
+from rasterloom.llm.substring_dedup import op9_substring_dedup
 
 QUERIES = {
     "op5_ring_shards": op5_ring_shards,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 ORACLES = {"op6_exact_dedup": OP6_SQL}
