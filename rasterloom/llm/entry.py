@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from rasterloom.llm.bpe import op1_bpe
 from rasterloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from rasterloom.llm.packing import op4_best_fit_packing
 from rasterloom.llm.sharding import op5_ring_shards
 from rasterloom.llm.substring_dedup import op9_substring_dedup
 
 QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ring_shards": op5_ring_shards,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_substring_dedup": op9_substring_dedup,
