@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from rasterloom.llm.bpe import op1_bpe
+from rasterloom.llm.chat import OP7_SQL, op7_chat_format
 from rasterloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from rasterloom.llm.media import op10_ogg_media
 from rasterloom.llm.packing import op4_best_fit_packing
 from rasterloom.llm.sharding import op5_ring_shards
 from rasterloom.llm.substring_dedup import op9_substring_dedup
@@ -13,6 +15,8 @@ QUERIES = {
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ring_shards": op5_ring_shards,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_chat_format": op7_chat_format,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_ogg_media": op10_ogg_media,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL}

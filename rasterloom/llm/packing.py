@@ -29,6 +29,8 @@ TOKENS, END = 1024, 2
 GROUP = 8192
 #: The pre-tokenizer of the byte-level vocabulary (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str, special: tuple[tuple[str, int], ...]) -> tiktoken.Encoding:
     """The byte-level encoder of a file of ranks; strings of special tokens in a text become those tokens."""
