@@ -5,6 +5,7 @@ from __future__ import annotations
 from rasterloom.llm.bpe import op1_bpe
 from rasterloom.llm.chat import OP7_SQL, op7_chat_format
 from rasterloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
+from rasterloom.llm.jaccard_join import op3_jaccard_join
 from rasterloom.llm.media import op10_ogg_media
 from rasterloom.llm.packing import op4_best_fit_packing
 from rasterloom.llm.sharding import op5_ring_shards
@@ -12,6 +13,7 @@ from rasterloom.llm.substring_dedup import op9_substring_dedup
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ring_shards": op5_ring_shards,
     "op6_exact_dedup": op6_exact_dedup,
