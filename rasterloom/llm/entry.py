@@ -10,6 +10,7 @@ from rasterloom.llm.media import op10_ogg_media
 from rasterloom.llm.packing import op4_best_fit_packing
 from rasterloom.llm.sharding import op5_ring_shards
 from rasterloom.llm.substring_dedup import op9_substring_dedup
+from rasterloom.llm.suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_ring_shards": op5_ring_shards,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_chat_format": op7_chat_format,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ogg_media": op10_ogg_media,
 }
