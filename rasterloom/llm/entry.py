@@ -8,12 +8,14 @@ from rasterloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from rasterloom.llm.jaccard_join import op3_jaccard_join
 from rasterloom.llm.media import op10_ogg_media
 from rasterloom.llm.packing import op4_best_fit_packing
+from rasterloom.llm.quality import op2_quality
 from rasterloom.llm.sharding import op5_ring_shards
 from rasterloom.llm.substring_dedup import op9_substring_dedup
 from rasterloom.llm.suffix_dedup import op8_suffix_dedup
 
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_ring_shards": op5_ring_shards,
