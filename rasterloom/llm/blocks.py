@@ -191,13 +191,15 @@ class Ranged:
     keyed: int
 
 
-def key_ranges(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Ranged:
+def key_ranges(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> Ranged:
     """Blocks of about equal bytes that are ranges of the key; rows without a key go to blocks after those, by hash.
 
     The edges come from key quantiles and the bytes between them, both counted over all rows. Their
-    number follows the number of blocks, one for each 8 to 64 MB of text.
+    number follows the number of blocks, one for each 8 to 64 MB of text. Columns to ``carry`` go
+    along as one struct, ``rest``.
     """
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.encode(F.col(f"`{text}`"), "UTF-8"), F.lit(b"")).alias("t"))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.encode(F.col(f"`{text}`"), "UTF-8"), F.lit(b"")).alias("t"), *rest)
     sizes = rows.select("k", F.octet_length("t").cast("long").alias("n"))
     got = sizes.agg(F.sum("n").alias("b"), F.sum(F.when(F.col("k").isNull(), F.col("n"))).alias("without"), F.count(F.lit(1)).alias("rows")).first()
     n_bytes, without = int(got["b"] or 0), int(got["without"] or 0)

@@ -211,6 +211,21 @@ def score(docs: DataFrame, model: AttentionMil, text: str = "text", key: str = "
     return rows.mapInArrow(run, "k long, score double").withColumnRenamed("k", key)
 
 
+def keep_quality(docs: DataFrame, model: AttentionMil, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores the threshold or more, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.p))  # a fixed size
+    at_text = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = AttentionMil(*shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield part.filter(pa.array(own.score(*bags(*binary_parts(part.column(at_text)))) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")))

@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rasterloom.llm import blocks as B
 from rasterloom.llm.common import binary_parts, mix64, table
@@ -148,9 +149,9 @@ def _keys(docs: pa.Table, said: pa.Table, n: int, bits: int, slices: int, key_sl
     return pa.Table.from_pylist(out, B.PIECE)
 
 
-def _remove(docs: pa.Table, said: pa.Table, n: int, bits: int, slices: int, key_slices: int, keyed: int) -> pa.Table:
+def _remove(docs: pa.Table, said: pa.Table, n: int, bits: int, slices: int, key_slices: int, keyed: int, carry: bool) -> pa.Table:
     if not len(docs):
-        return OUT.empty_table()
+        return OUT.empty_table() if not carry else pa.table({"rest": docs.column("rest"), **{c: OUT.empty_table().column(c) for c in ("n_words", "n_removed", "kept")}})
     w = Windows(docs, n)
     exact = pc.equal(said.column("n"), pa.scalar(b"exact"))
     at = w.repeated(said.filter(pc.invert(exact)), bits, slices)
@@ -165,10 +166,14 @@ def _remove(docs: pa.Table, said: pa.Table, n: int, bits: int, slices: int, key_
         dup |= w.keys[w.text_of_word[w.first[at]]] > least[of]
     begin, many = w.first[at[dup]], len(w.start) + 1
     cover = np.bincount(begin, minlength=many) - np.bincount(begin + n, minlength=many)
-    return kept_words(w, np.cumsum(cover)[: len(w.start)] > 0, docs.column("k"))
+    out = kept_words(w, np.cumsum(cover)[: len(w.start)] > 0, docs.column("k"))
+    if not carry:
+        return out
+    whole = pc.if_else(pc.equal(out.column("n_removed"), 0), docs.column("t").cast(pa.string()), out.column("kept"))
+    return pa.table({"rest": docs.column("rest"), "n_words": out.column("n_words"), "n_removed": out.column("n_removed"), "kept": whole})
 
 
-def substring_dedup(docs: DataFrame, n: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
+def substring_dedup(docs: DataFrame, n: int = WINDOW, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """One row per row of ``docs``: key, n_words, n_removed, kept (the words that stay, joined by one space).
 
     A word goes if a window of ``n`` words of its document covers it whose words also stand, in the
@@ -176,20 +181,22 @@ def substring_dedup(docs: DataFrame, n: int = WINDOW, text: str = "text", key: s
     texts, and texts of fewer than ``n`` words, lose nothing. A document with a null key is not
     smaller than any; it loses what stands in documents with keys. Rows with one key do not make
     each other lose anything. An empty table gives no rows; other columns are ignored.
+
+    With ``carry`` the rows are rest (a struct of those columns), n_words, n_removed and kept, where
+    kept is the text as it was, white space too, if nothing was removed.
     """
-    ranged = B.key_ranges(docs, text, key)
+    ranged = B.key_ranges(docs, text, key, carry)
     bits, slices, key_slices = B.width_bits(ranged.n_bytes // 5), B.slice_count(ranged.n_bytes // 4), B.slice_count(ranged.n_bytes // 12)
     rows = ranged.rows
     said = B.answers(rows.groupBy("block").applyInArrow(partial_table(_sketch, n, bits, slices), B.PIECE_SQL))
     keys = rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(partial_tables(_keys, n, bits, slices, key_slices), B.PIECE_SQL)
     # Blocks from ``keyed`` on have rows without keys: they are earlier than none.
     told = keys.groupBy("slice").applyInArrow(first_keyed(ranged.keyed), B.PIECE_SQL)
-    out = (
-        rows.groupBy("block")
-        .cogroup(said.unionByName(told).groupBy("block"))
-        .applyInArrow(partial_tables(_remove, n, bits, slices, key_slices, ranged.keyed), "k long, n_words long, n_removed long, kept string")
-    )
-    return out.withColumnRenamed("k", key)
+    head = StructType([rows.schema["rest"]]) if carry else StructType([rows.schema["k"]])
+    schema = head.add("n_words", "long").add("n_removed", "long").add("kept", "string")
+    told = said.unionByName(told).groupBy("block")
+    out = rows.groupBy("block").cogroup(told).applyInArrow(partial_tables(_remove, n, bits, slices, key_slices, ranged.keyed, bool(carry)), schema)
+    return out if carry else out.withColumnRenamed("k", key)
 
 
 def partial_table(f: Callable[..., pa.Table], *args: int) -> Callable[[pa.Table], pa.Table]:
