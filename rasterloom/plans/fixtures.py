@@ -159,3 +159,16 @@ def sql(query: str, *views: str) -> str:
     head = ", ".join(f"{n} AS ({SQL[n]})" for n in names)
     query = query.strip()
     return f"WITH {head}, {query[5:]}" if query.startswith("WITH ") else f"WITH {head} {query}"
+
+
+def pairs8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before and after values of 8 by 8 scenes: even vectors before, odd ones after."""
+    p = pixels(spark, sf_dir)
+    at = [F.expr("vec_id div 2").alias("scene_id"), F.expr("cast(i div 8 as int)").alias("y"), (F.col("i") % 8).alias("x")]
+    both = p.groupBy(*at).agg(F.max(F.when(F.col("vec_id") % 2 == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("vec_id") % 2 == 1, F.col("v"))).alias("b"))
+    return both.where("a IS NOT NULL AND b IS NOT NULL").select("scene_id", "y", "x", (F.lit(0.5) + F.col("a")).alias("t1"), (F.lit(0.5) + F.col("b")).alias("t2"), (F.col("b") > 0.15).alias("label"))
+
+
+SQL["pairs8"] = """SELECT a.vec_id // 2 AS scene_id, CAST(a.i // 8 AS INT) AS y, a.i % 8 AS x, CAST(0.5 AS DOUBLE) + a.v AS t1, CAST(0.5 AS DOUBLE) + b.v AS t2, b.v > CAST(0.15 AS DOUBLE) AS label
+    FROM pixels a JOIN pixels b ON b.vec_id = a.vec_id + 1 AND a.i = b.i WHERE a.vec_id % 2 = 0"""
+_NEEDS["pairs8"] = ["pixels"]

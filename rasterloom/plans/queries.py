@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.plans import evaluation
+from rasterloom.plans import evaluation, tiling
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for family in (evaluation,):
+for family in (evaluation, tiling):
     QUERIES |= family.QUERIES
     ORACLES |= family.ORACLES
