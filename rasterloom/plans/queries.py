@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.plans import evaluation, tiling
+from rasterloom.plans import evaluation, spectral, tiling
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for family in (evaluation, tiling):
+for family in (evaluation, tiling, spectral):
     QUERIES |= family.QUERIES
     ORACLES |= family.ORACLES
