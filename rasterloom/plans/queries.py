@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.plans import evaluation, spectral, tiling
+from rasterloom.plans import evaluation, mapfeatures, spectral, tiling
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for family in (evaluation, tiling, spectral):
+for family in (evaluation, tiling, spectral, mapfeatures):
     QUERIES |= family.QUERIES
     ORACLES |= family.ORACLES
