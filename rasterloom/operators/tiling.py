@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rasterloom.functions.storage import before, in_ranges
+
 
 def tile_starts(length: Column, tile: int, stride: int) -> Column:
     """0, stride, ... with the last start moved to the border; one start where the tile isn't shorter."""
@@ -177,13 +179,10 @@ def weighted_draws(draws: DataFrame, items: DataFrame, key: str, share: str, u:
     Both sides are cut into ``buckets`` of the unit interval, which makes the range join an equi-join.
     Running sums over all items come from sums per range of keys, so no task has all of them.
     """
-    spark = items.sparkSession
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    d = items.select(key, F.col(share).alias("_s")).repartitionByRange(parts, key).withColumn("_p", F.spark_partition_id())
-    sums = d.groupBy("_p").agg(F.sum("_s").alias("_t"))  # a row for each partition
-    before = sums.select("_p", (F.sum("_t").over(Window.orderBy("_p")) - F.col("_t")).alias("_b"))
+    d = in_ranges(items.select(key, F.col(share).alias("_s")), [key])
+    start = before(d, F.sum("_s"), "_b")
     own = Window.partitionBy("_p").orderBy(key)
-    d = d.join(F.broadcast(before), "_p").withColumn("_hi", F.col("_b") + F.sum("_s").over(own)).withColumn("_lo", F.col("_hi") - F.col("_s"))
+    d = d.join(F.broadcast(start), "_p").withColumn("_hi", F.col("_b") + F.sum("_s").over(own)).withColumn("_lo", F.col("_hi") - F.col("_s"))
     cell = lambda c: F.least(F.floor(c * buckets), F.lit(buckets - 1)).cast("int")
     spread = d.withColumn("_c", F.explode(F.sequence(cell(F.col("_lo")), cell(F.col("_hi")))))
     at = draws.withColumn("_c", cell(F.col(u)))
