@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from rasterloom.plans import captions, evaluation, mapfeatures, spectral, tiling
+from rasterloom.plans import captions, evaluation, mapfeatures, retrieval, spectral, tiling
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for family in (evaluation, tiling, spectral, mapfeatures, captions):
+for family in (evaluation, tiling, spectral, mapfeatures, captions, retrieval):
     QUERIES |= family.QUERIES
     ORACLES |= family.ORACLES
