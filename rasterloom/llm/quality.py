@@ -29,7 +29,7 @@ MOST_TRAINED = 4000
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 32, 16, 14, 64, 3e-3, 1e-4
 
 #: Kinds of bytes: white space, lower and upper case, digits, each frequent mark, other marks, UTF-8 leads and tails.
-MARKS = b".,!?*#$%&|@_-/:;\"'()"
+MARKS = b".,!?#$%&*|"
 KINDS = 8 + len(MARKS)
 
 
@@ -108,7 +108,10 @@ class AttentionMil:
         p = {"w": size(FEATURES, HIDDEN), "wb": np.zeros(HIDDEN), "v": size(HIDDEN, GATE), "vb": np.zeros(GATE), "u": size(HIDDEN, GATE), "ub": np.zeros(GATE)}
         p |= {"a": size(GATE, 1)[:, 0], "c": size(HIDDEN, 1)[:, 0], "b": np.zeros(1)}
         # Rare features keep a scale, so that one odd byte doesn't swamp a passage.
-        return AttentionMil(x.mean(axis=0), 1 / (x.std(axis=0) + 0.01), p)
+        mean = x.mean(axis=0, dtype=np.float64)
+        square = sum((x[i : i + 4096].astype(np.float64) ** 2).sum(axis=0) for i in range(0, len(x), 4096)) / len(x)
+        spread = np.sqrt(np.maximum(square - mean**2, 0))
+        return AttentionMil(mean, 1 / (spread + 0.01), p)
 
     def forward(self, x: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
         p = self.p
@@ -180,12 +183,12 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
                 own = [x[c : c + n].tobytes() for c, n in zip(cut, sizes, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own, pa.binary())], names=["k", "y", "x"])
 
-    got = rows.select("k", "t", "y").mapInArrow(run, "k long, y int, x binary").toPandas().sort_values("k")
+    got = rows.select("k", "t", "y").mapInArrow(run, "k long, y int, x binary").toArrow().sort_by("k")
     if not len(got):
         x = np.zeros((1, FEATURES), np.float32)
         return AttentionMil.start(x)
-    each = [np.frombuffer(b, np.float16).reshape(-1, FEATURES) for b in got["x"]]
-    x, sizes, y = np.concatenate(each).astype(np.float32), np.array([len(e) for e in each]), got["y"].to_numpy(float)
+    raw, at = binary_parts(got.column("x"))
+    x, sizes, y = raw.view(np.float16).reshape(-1, FEATURES), np.diff(at) // (2 * FEATURES), got.column("y").to_numpy().astype(float)
     model = AttentionMil.start(x)
     model.fit(x, sizes, y)
     return model
