@@ -3,17 +3,26 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that spark.checkpoint.dir names; to one of our own only where that is unset (tests)."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-", dir="/tmp"))
-    return df.checkpoint()
+    """``df`` written as Parquet to the folder that spark.checkpoint.dir names, and read back; to one of our own only where that is unset (tests).
+
+    Unlike checkpoint(), this also drops the constraints that the optimizer has derived for the plan,
+    which grow from round to round in loops.
+    """
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        at = tempfile.mkdtemp(prefix="checkpoint-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", at)
+    path = f"{at.rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def in_ranges(df: DataFrame, order: list[str], part: str = "_p") -> DataFrame:

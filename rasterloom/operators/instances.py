@@ -16,8 +16,8 @@ def label_components(mask: DataFrame, scene: str = "scene_id") -> DataFrame:
     """(scene, y, x) of set pixels with their 8-neighbour component: label 1..n in scan order of the first pixel.
 
     Pixels become row runs (islands of consecutive x), runs of neighbouring rows that touch become
-    edges, and the least run number spreads over edges with pointer jumping. The rounds grow with the
-    logarithm of a component's extent, and each is checkpointed.
+    edges. In each round every tree of runs hooks onto the least tree beside it and jumps three times
+    further, so the rounds grow with the logarithm of a component's extent; each is checkpointed.
     """
     w = Window.partitionBy(scene, "y").orderBy("x")
     px = mask.select(scene, "y", "x").withColumn("_g", F.col("x") - F.row_number().over(w))
@@ -29,9 +29,14 @@ def label_components(mask: DataFrame, scene: str = "scene_id") -> DataFrame:
     labels = runs.select(scene, "run", F.col("run").alias("root"))
     while True:
         seen = edges.join(labels.select(scene, F.col("run").alias("other"), "root"), [scene, "other"]).groupBy(scene, "run").agg(F.min("root").alias("_m"))
-        met = labels.join(seen, [scene, "run"], "left").select(scene, "run", F.col("root").alias("_old"), F.least("root", F.coalesce("_m", "root")).alias("root"))
-        up = labels.select(scene, F.col("run").alias("root"), F.col("root").alias("_up"))
-        new = checkpointed(met.join(up, [scene, "root"]).select(scene, "run", "_old", F.least("root", "_up").alias("root")))
+        met = labels.join(seen, [scene, "run"], "left").select(scene, F.col("root").alias("_old"), F.least("root", F.coalesce("_m", "root")).alias("_m"))
+        hooks = met.groupBy(scene, "_old").agg(F.min("_m").alias("_h"))  # where each tree goes: the least tree beside it
+        hooks = checkpointed(hooks)
+        for _ in range(3):  # a chain of trees that hook onto each other shortens by eight
+            jump = hooks.select(scene, F.col("_old").alias("_h"), F.col("_h").alias("_j"))
+            hooks = hooks.join(jump, [scene, "_h"]).select(scene, "_old", F.col("_j").alias("_h"))
+        hooks = hooks.select(scene, F.col("_old").alias("root"), F.col("_h").alias("_j"))
+        new = checkpointed(labels.join(hooks, [scene, "root"]).select(scene, "run", F.col("root").alias("_old"), F.col("_j").alias("root")))
         labels = new.drop("_old")
         if new.where("root <> _old").isEmpty():
             break
