@@ -74,8 +74,7 @@ def f10(spark, d):
 
 
 def f11(spark, d):
-    f = fx.features(spark, d).where("feature_id % 50 = 0")
-    return mf.tile_summary(f, fx.map_tiles(spark), CELL).drop("vector")
+    return mf.tile_summary(fx.features(spark, d), fx.map_tiles(spark), CELL).drop("vector")
 
 
 def f12(spark, d):
