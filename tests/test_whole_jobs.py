@@ -35,3 +35,10 @@ def test_tile_summary_keeps_empty_tiles(spark):
     rows = {r.tile_id: r for r in mf.tile_summary(f, fx.map_tiles(spark), 0.125).collect()}
     assert len(rows) == 64 and rows[0].features == rows[0].building == 1
     assert all(r.features == 0 and r.sentence.endswith("no matching mapped features") for i, r in rows.items() if i)
+
+
+def test_natural_order_has_all_keys(spark, duck):
+    keys = [k for (k,) in duck.execute(fx.sql("SELECT key FROM date_records", "date_records")).fetchall()]
+    rank = lambda k: (["train", "val", "test"].index(k.split("_")[0]), int(k.split("_")[1]), k)
+    got = [r.key for r in QUERIES["b3_natural_order"](spark, DIR).collect()]
+    assert {k.split("_")[0] for k in got} == {"train", "val", "test"} and got == sorted(keys, key=rank)
