@@ -42,3 +42,9 @@ def test_natural_order_has_all_keys(spark, duck):
     rank = lambda k: (["train", "val", "test"].index(k.split("_")[0]), int(k.split("_")[1]), k)
     got = [r.key for r in QUERIES["b3_natural_order"](spark, DIR).collect()]
     assert {k.split("_")[0] for k in got} == {"train", "val", "test"} and got == sorted(keys, key=rank)
+
+
+def test_manifest_scan_has_all_splits(spark, duck):
+    want = duck.execute(fx.sql("SELECT key, key, split, status, round(valid_fraction, 6) FROM date_records", "date_records")).fetchall()
+    got = QUERIES["a7_manifest_scan"](spark, DIR).select("key", "source_pair_id", "split", "status", "valid_fraction").collect()
+    assert {r.split for r in got} == {"train", "val", "test"} and sorted(map(tuple, got)) == sorted(want)
