@@ -13,6 +13,9 @@ from rasterloom.functions.storage import before, in_ranges
 
 CLS, SEP, PAD, MASK, FIRST_WORD = 101, 102, 0, 103, 103
 TARGET_NONE = -100
+#: What Python's ``\s`` matches in a text, for a character class; Java's is ASCII only.
+SPACE = r"\t-\r\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+MARKS = ",.'!?\"()*#:;~"
 
 
 def clean_caption(caption: Column, most_words: int = 30) -> Column:
@@ -20,15 +23,16 @@ def clean_caption(caption: Column, most_words: int = 30) -> Column:
 
     Words are what single spaces part; a lone tab or newline inside stays.
     """
-    t = F.translate(F.lower(caption), ",.'!?\"()*#:;~", "")
+    t = F.translate(F.lower(caption), MARKS, "")
     t = F.replace(F.translate(t, "-/", "  "), F.lit("<person>"), F.lit("person"))
-    t = F.regexp_replace(t, r"[ \t\n\x0B\f\r]{2,}", " ")
+    t = F.regexp_replace(t, rf"[{SPACE}]{{2,}}", " ")
     t = F.trim(F.rtrim(t, F.lit("\n")), F.lit(" "))
     return F.array_join(F.slice(F.split(t, " "), 1, most_words), " ")
 
 
 def not_blank(caption: Column) -> Column:
-    return F.trim(F.regexp_replace(caption, r"[^\w\s]|_", "")) != ""
+    """Whether anything but spaces and the marks ``,.'!?"()*#:;~`` is there."""
+    return F.trim(F.translate(caption, MARKS, "")) != ""
 
 
 def pairs(corpus: DataFrame, image: str = "image_id", captions: str = "captions") -> DataFrame:
@@ -87,26 +91,29 @@ def first_entry(patches: DataFrame, entries: DataFrame, candidates: list[Column]
     return patches.join(found, key, "left")
 
 
-def token_rows(df: DataFrame, key: str, text: str, length: int, vocabulary: int = 30522) -> DataFrame:
+def token_rows(df: DataFrame, key: str | list[str], text: str, length: int, vocabulary: int = 30522) -> DataFrame:
     """(key, pos, token) of each text: CLS, hashed words, SEP if it fits, PAD up to the length, with the attention mask.
 
+    Words are runs of ASCII letters, digits and _; of the rest, all but letters, numbers and white space are words of their own.
+
     A word's id is 103 plus its 8-byte BLAKE2b digest modulo the rest of the vocabulary. Each distinct
     word is hashed once, in Arrow batches, and joined back.
     """
-    words = df.select(key, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"([A-Za-z0-9_]+|[^\w\s])"), 1).alias("_w"))
-    cut = words.select(key, F.slice("_w", 1, max(0, length - 2)).alias("_w"))
+    key = [key] if isinstance(key, str) else key
+    words = df.select(*key, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(rf"([A-Za-z0-9_]+|[^\p{{L}}\p{{N}}_{SPACE}])"), 1).alias("_w"))
+    cut = words.select(*key, F.slice("_w", 1, max(0, length - 2)).alias("_w"))
 
     @F.pandas_udf("int")
     def hashed(w: pd.Series) -> pd.Series:
         one = lambda s: FIRST_WORD + int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "big") % (vocabulary - FIRST_WORD)
         return w.map(one)
 
-    long = cut.select(key, F.posexplode("_w").alias("_p", "word"))
+    long = cut.select(*key, F.posexplode("_w").alias("_p", "word"))
     ids = long.select("word").distinct().withColumn("token", hashed("word"))
-    real = long.join(ids, "word").select(key, (F.col("_p") + 1).alias("pos"), "token")
+    real = long.join(ids, "word").select(*key, (F.col("_p") + 1).alias("pos"), "token")
     n = F.size("_w")
-    frame = cut.select(key, n.alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos")).where("pos = 0 OR pos > _n")
-    rest = frame.select(key, "pos", F.when(F.col("pos") == 0, CLS).when((F.col("pos") == F.col("_n") + 1), SEP).otherwise(PAD).alias("token"))
+    frame = cut.select(*key, n.alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos")).where("pos = 0 OR pos > _n")
+    rest = frame.select(*key, "pos", F.when(F.col("pos") == 0, CLS).when((F.col("pos") == F.col("_n") + 1), SEP).otherwise(PAD).alias("token"))
     return real.unionByName(rest).withColumn("attention", (F.col("token") != PAD).cast("int"))
 
 

@@ -143,11 +143,11 @@ def b20(spark, d):
 
 
 def c1(spark, d):
-    return cp.pairs(fx.captions(spark, d)).select("image_id", "pos", F.sha2(cp.clean_caption(F.regexp_replace("caption", r"[^\x00-\x7F]", "")), 256).alias("clean"))
+    return cp.pairs(fx.captions(spark, d)).select("image_id", "pos", F.sha2(cp.clean_caption(F.col("caption")), 256).alias("clean"))
 
 
 def c2(spark, d):
-    return cp.pairs(fx.captions(spark, d)).where(cp.not_blank(F.regexp_replace("caption", r"[^\x00-\x7F]", "a"))).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return cp.pairs(fx.captions(spark, d)).where(cp.not_blank(F.col("caption"))).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
 def c3(spark, d):
@@ -209,8 +209,8 @@ def c12(spark, d):
 
 
 def tokens(spark, d):
-    c = fx.captions(spark, d).select("image_id", F.col("captions")[0].alias("t"))
-    return cp.token_rows(c, "image_id", "t", 24)
+    c = cp.pairs(fx.captions(spark, d)).select("image_id", F.col("pos").alias("caption_pos"), F.col("caption").alias("t"))
+    return cp.token_rows(c, ["image_id", "caption_pos"], "t", 24)
 
 
 def c15(spark, d):

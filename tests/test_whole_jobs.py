@@ -1,8 +1,14 @@
 """Queries whose SQL covers a part of their job only, against all of their input."""
 
+import hashlib
+import re
+from collections import Counter, defaultdict
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from rasterloom.operators import captions as cp
 from rasterloom.operators import mapfeatures as mf
 from rasterloom.plans import fixtures as fx
 from rasterloom.plans.queries import ORACLES, QUERIES
@@ -48,3 +54,53 @@ def test_manifest_scan_has_all_splits(spark, duck):
     want = duck.execute(fx.sql("SELECT key, key, split, status, round(valid_fraction, 6) FROM date_records", "date_records")).fetchall()
     got = QUERIES["a7_manifest_scan"](spark, DIR).select("key", "source_pair_id", "split", "status", "valid_fraction").collect()
     assert {r.split for r in got} == {"train", "val", "test"} and sorted(map(tuple, got)) == sorted(want)
+
+
+ODD = ["", " ", "?!", "-", "\t", "_", "Élan vital, déjà-vu", "東京 は、夜。", "Привет  мир!", "a  b", "naïve/<person>.", "Straße № ½ ² x_1", "שלום", "👍🏽 ok", "été", "\n\n", "x\n", "ΟΔΟΣ", None]
+
+
+def cleaned(t):
+    """``pre_caption`` of the reference with 30 words."""
+    t = re.sub(r"([,.'!?\"()*#:;~])", "", t.lower()).replace("-", " ").replace("/", " ").replace("<person>", "person")
+    t = re.sub(r"\s{2,}", " ", t).rstrip("\n").strip(" ")
+    return " ".join(t.split(" ")[:30])
+
+
+def filled(t):
+    return re.sub(r"([,.'!?\"()*#:;~])", "", t).strip(" ") != ""
+
+
+def encoded(t, length=24):
+    """``DeterministicTextTokenizer`` of the reference."""
+    one = lambda w: 103 + int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") % (30522 - 103)
+    ids = [101, *map(one, re.findall(r"[A-Za-z0-9_]+|[^\w\s]", t.lower())[: length - 2])]
+    ids += [102] * (len(ids) < length)
+    return ids + [0] * (length - len(ids))
+
+
+def texts_of(duck):
+    docs = duck.execute("SELECT doc_id, coalesce(text, '') FROM documents").fetchall()
+    return {(i, p): c for i, t in docs for p, c in enumerate(t.split("\n"))}
+
+
+def test_caption_operators_on_many_scripts(spark):
+    d = spark.createDataFrame(list(enumerate(ODD)), "id long, t string").cache()
+    said = [t for t in ODD if t is not None]
+    got = d.where("t IS NOT NULL").orderBy("id").select(cp.clean_caption(F.col("t")).alias("c"), cp.not_blank(F.col("t")).alias("b")).collect()
+    assert [r.c for r in got] == [cleaned(t) for t in said] and [r.b for r in got] == [filled(t) for t in said]
+    tokens = defaultdict(list)
+    for r in cp.token_rows(d, "id", "t", 24).orderBy("id", "pos").collect():
+        tokens[r.id].append(r.token)
+    assert tokens == {i: encoded(t or "") for i, t in enumerate(ODD)}
+
+
+def test_caption_queries_take_whole_captions(spark, duck):
+    texts = texts_of(duck)
+    got = {(r.image_id, r.pos): r.clean for r in QUERIES["c1_clean_caption"](spark, DIR).collect()}
+    assert got == {k: hashlib.sha256(cleaned(t).encode()).hexdigest() for k, t in texts.items()}
+    split = lambda i: "train" if i % 10 < 6 else "val" if i % 10 < 8 else "test"
+    assert dict(map(tuple, QUERIES["c2_blank_filter"](spark, DIR).collect())) == Counter(split(i) for (i, _), t in texts.items() if filled(t))
+    tokens = defaultdict(dict)
+    for r in QUERIES["c15_hashed_tokens"](spark, DIR).collect():
+        tokens[r.image_id, r.caption_pos][r.pos] = r.token
+    assert {k: [v[i] for i in range(24)] for k, v in tokens.items()} == {k: encoded(t) for k, t in texts.items()}
