@@ -8,15 +8,16 @@ folder and reads it back for the next.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import stored, table
+from rasterloom.llm.common import fresh, stored, table
 from rasterloom.llm.exact_dedup import exact_dedup
 from rasterloom.llm.jaccard_join import jaccard_join
 from rasterloom.llm.packing import best_fit_packing
 from rasterloom.llm.quality import keep_quality, train
 from rasterloom.llm.substring_dedup import substring_dedup
+from rasterloom.operators.captions import numbered
 
 #: Near duplicates: five-word shingles, similarity 0.8 or more.
 SHINGLE, PERCENT = 5, 80
@@ -27,16 +28,46 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_quality(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def text_sha() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")), 256)
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the document with the largest doc_id."""
-    gone = exact_dedup(docs).where("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of equal texts, one row: that with the largest doc_id.
+
+    Decided for each row by doc_id and text: an id's other texts stay. Rows without an id go if a row
+    with one has their text. Of rows that repeat id (or its absence) and text one stays, the least by
+    its other columns.
+    """
+    decided = exact_dedup(docs).groupBy(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s")).agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
+    odd = stored(decided.where("NOT _kept OR _n > 1"), "exact-decided")
+    same = F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_s"))
+    marked = docs.withColumn("_h", text_sha())
+    kept = marked.join(odd, same, "left_anti").select(*docs.columns)
+    twice = odd.where("_kept")
+    if twice.isEmpty():
+        return kept
+    one = marked.join(twice, same, "left_semi").groupBy("doc_id", "_h").agg(F.min(F.struct(*docs.columns)).alias("_r"))
+    return kept.unionByName(one.select("_r.*"))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest doc_id."""
-    gone = jaccard_join(docs, SHINGLE, PERCENT).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near duplicates, the row with the smallest doc_id.
+
+    Decided for each row: where ids are missing or repeat, rows are numbered by id and digest of the
+    text, those without an id last, and the smallest number stays. Rows that repeat id and text are one.
+    """
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id IS NULL OR n > 1")
+    if odd.isEmpty():
+        gone = jaccard_join(docs, SHINGLE, PERCENT).where("component_id <> doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    pairs = docs.select(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_k"), text_sha().alias("_s")).distinct()
+    row = fresh("row", docs.columns)
+    numbers = numbered(stored(pairs, "near-pairs"), ["_none", "_k", "_s"], row).select(F.col(row).cast("long").alias(row), "_k", "_s")
+    same = F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_s"))
+    rows = stored(docs.withColumn("_h", text_sha()).join(numbers, same).select(*docs.columns, row), "near-rows")
+    gone = jaccard_join(rows, SHINGLE, PERCENT, key=row).where(F.col("component_id") != F.col(row)).select(row)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
