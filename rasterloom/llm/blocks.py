@@ -1,29 +1,34 @@
-"""Counting hashed items of a whole table without a row for each of them.
+"""Asking the whole table about hashed items without a row for each of them.
 
-Documents are dealt into blocks by a hash of their key. Each block sends its sorted cells (hashes
-cut to a width) to the slices of the cell range, packed as gaps; each slice adds up its blocks'
-counts; and each block gets back one bit for each cell it sent: whether it counts at least two over
-the table. What is shuffled is about two bytes an item, whatever the keys' skew: a block names a cell once, however
-often the item occurs in it.
+Documents are dealt into blocks by a hash of key and text. A block sends its distinct items (sorted
+keys and what belongs to each), packed, to the ranges of the key space; whoever holds a range sees
+all blocks' items in it, merges them and answers each. What is shuffled is a few bytes an item, and a
+block names an item once, however often it has it, so no hot key weighs more than others.
 
-Blocks grow with the square root of the table, up to a bound, so that the number of packed pieces
-(blocks times slices) stays in proportion to it.
+The exchange goes in levels, so that its packed pieces stay in proportion to the table: a sender
+addresses at most ``FAN`` ranges, and at most ``FAN`` senders meet in one node, which merges their
+items and sends them on to finer ranges. Answers come back down the same way. Tables of up to ``FAN``
+blocks need a single level.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MB = 1 << 20
 U = np.uint64
+#: Senders that meet in one node, and ranges a sender addresses on all levels but the last.
+FAN = 256
+#: Items that a range of the last level has about.
+RANGE_ITEMS = 2 << 20
 
 
 def block_count(n_bytes: int) -> int:
@@ -31,18 +36,19 @@ def block_count(n_bytes: int) -> int:
     return max(math.ceil(n_bytes / size), min(32, math.ceil(n_bytes / MB)), 1)
 
 
-def blocked(docs: DataFrame, n_bytes: int, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``k`` (key), ``t`` (UTF-8 bytes, empty for null) and ``block`` of every row.
+def blocked(docs: DataFrame, n_bytes: int, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
+    """``k`` (key), ``t`` (UTF-8 bytes, empty for null) and ``block`` of every row; columns to ``carry`` as a struct, ``rest``.
 
-    Keys spread evenly over blocks, and rows without one by their text.
+    Rows spread by key and text: many rows with one key, or with none, do not meet in one block
+    unless they have one text too.
     """
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.encode(F.col(f"`{text}`"), "UTF-8"), F.lit(b"")).alias("t"))
-    place = F.when(F.col("k").isNull(), F.xxhash64("t")).otherwise(F.xxhash64("k"))
-    return rows.withColumn("block", F.pmod(place, F.lit(block_count(n_bytes))).cast("int"))
+    rest = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.encode(F.col(f"`{text}`"), "UTF-8"), F.lit(b"")).alias("t"), *rest)
+    return rows.withColumn("block", F.pmod(F.xxhash64("k", "t"), F.lit(block_count(n_bytes))).cast("int"))
 
 
 def pack(sorted_values: np.ndarray) -> bytes:
-    """Strictly rising uint64 values as gaps in one, two, four or eight bytes; the top value adds to the next gap."""
+    """Rising uint64 values as gaps in one, two, four or eight bytes; the top value adds to the next gap."""
     if not len(sorted_values):
         return b""
     gaps = np.diff(sorted_values, prepend=U(0))
@@ -65,102 +71,19 @@ def unpack(blob: bytes) -> np.ndarray:
     return values if kind is np.uint64 else values[gaps != np.iinfo(kind).max]
 
 
-def counted(values: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct values, sorted, and how often each occurs (or the sum of its weights)."""
-    if weights is None:
-        values = np.sort(values)
-        first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-        return values[first], np.diff(np.append(first, len(values)))
-    order = np.argsort(values, kind="stable")
-    values, weights = values[order], weights[order]
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.add.reduceat(weights, first) if len(first) else np.zeros(0, np.int64)
-
-
-PIECE = pa.schema([("slice", pa.int32()), ("block", pa.int32()), ("cells", pa.binary()), ("n", pa.binary())])
-PIECE_SQL = "slice int, block int, cells binary, n binary"
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where a sorted run of rows differs from the row before, in any column."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new) > 1:
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
 
 
-def slice_edges(bits: int, slices: int) -> np.ndarray:
-    width = (1 << bits) // slices + 1
-    return np.array([s * width for s in range(slices + 1)], U)
-
-
-def sketch_pieces(cells: list[np.ndarray], bits: int, slices: int, block: int, counts: bool = False) -> list[dict]:
-    """What a block sends of its cells (one array for each row of the sketch): distinct ones by slice, with counts.
-
-    A count is held in one bit (once, or more) unless ``counts`` asks for the number, up to 65535.
-    """
-    edges, out = slice_edges(bits, slices), []
-    for row, own in enumerate(cells):
-        v, c = counted(own)
-        cut = np.searchsorted(v, edges)
-        for s in range(slices):
-            if cut[s] < cut[s + 1]:
-                part, n = v[cut[s] : cut[s + 1]] - edges[s], c[cut[s] : cut[s + 1]]
-                sent = np.minimum(n, 65535).astype(np.uint16).tobytes() if counts and (n > 1).any() else b"" if (n == 1).all() else np.packbits(n > 1).tobytes()
-                out.append({"slice": row * slices + s, "block": block, "cells": pack(part), "n": sent})
-    return out
-
-
-def merge_slice(counts: bool) -> Callable[[pa.Table], pa.Table]:
-    def merge(t: pa.Table) -> pa.Table:
-        """One slice: adds up all blocks' counts; answers each piece with a bit a cell: two or more over the table.
-
-        With ``counts`` the answer also has the totals of those cells, up to 65535.
-        """
-        rows = t.to_pylist()
-        cells = [unpack(r["cells"]) for r in rows]
-        sizes = np.array([len(c) for c in cells])
-        weights = []
-        for r, n in zip(rows, sizes, strict=True):
-            if not r["n"]:
-                weights.append(np.ones(n, np.int64))
-            elif counts:
-                weights.append(np.frombuffer(r["n"], np.uint16).astype(np.int64))
-            else:
-                weights.append(1 + np.unpackbits(np.frombuffer(r["n"], np.uint8), count=n).astype(np.int64))
-        v, w = np.concatenate(cells), np.concatenate(weights)
-        order = np.argsort(v, kind="stable")
-        s = v[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        total = np.empty(len(v), np.int64)
-        total[order] = np.repeat(np.add.reduceat(w[order], first), np.diff(np.append(first, len(v))))
-        out, at = [], np.concatenate([[0], np.cumsum(sizes)])
-        for i, r in enumerate(rows):
-            own = total[at[i] : at[i + 1]]
-            often = own >= 2
-            if often.any():
-                out.append(
-                    {"slice": r["slice"], "block": r["block"], "cells": np.packbits(often).tobytes(), "n": np.minimum(own[often], 65535).astype(np.uint16).tobytes() if counts else b""}
-                )
-        return pa.Table.from_pylist(out, PIECE)
-
-    return merge
-
-
-def answers(parts: DataFrame, counts: bool = False) -> DataFrame:
-    """From the pieces of all blocks (schema PIECE) the pieces that answer them."""
-    return parts.groupBy("slice").applyInArrow(merge_slice(counts), PIECE_SQL)
-
-
-def read_answers(t: pa.Table, cells: list[np.ndarray], bits: int, slices: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each row of the sketch: this block's distinct cells, which of them count two or more, and their totals or 1."""
-    got = {r["slice"]: r for r in t.to_pylist()}
-    edges, out = slice_edges(bits, slices), []
-    for row, own in enumerate(cells):
-        v, _ = counted(own)
-        often, total = np.zeros(len(v), bool), np.ones(len(v), np.int64)
-        cut = np.searchsorted(v, edges)
-        for s in range(slices):
-            r = got.get(row * slices + s)
-            if r is not None and cut[s] < cut[s + 1]:
-                bits_set = np.unpackbits(np.frombuffer(r["cells"], np.uint8), count=int(cut[s + 1] - cut[s])).astype(bool)
-                often[cut[s] : cut[s + 1]] = bits_set
-                if r["n"]:
-                    total[cut[s] + np.flatnonzero(bits_set)] = np.frombuffer(r["n"], np.uint16)
-        out.append((v, often, total))
-    return out
+def counted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, sorted, and how often each occurs."""
+    values = np.sort(values)
+    first = np.flatnonzero(firsts(values))
+    return values[first], np.diff(np.append(first, len(values)))
 
 
 def look_up(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -178,56 +101,188 @@ def width_bits(n_items: int) -> int:
     return min(60, max(16, math.ceil(math.log2(max(n_items, 1))) + 2))
 
 
-def slice_count(n_items: int) -> int:
-    return max(1, math.ceil(n_items / (2 << 20)), min(32, math.ceil(n_items / 65536)))
+@dataclass(frozen=True)
+class Ways:
+    """How ``blocks`` blocks' items, keys of ``bits`` bits, are led to ranges: into how many parts each level cuts a range."""
+
+    blocks: int
+    bits: int
+    fans: tuple[int, ...]
+
+    @staticmethod
+    def of(blocks: int, bits: int, n_items: int, fan: int = 0, range_items: int = RANGE_ITEMS) -> Ways:
+        fan, fans, left = fan or FAN, [], blocks
+        while left > fan:
+            fans.append(fan)
+            left = math.ceil(left / fan)
+        ranges = max(1, math.ceil(n_items / range_items), min(32, math.ceil(n_items / 65536)))
+        return Ways(blocks, bits, (*fans, max(1, math.ceil(ranges / math.prod(fans)))))
+
+    @property
+    def fan(self) -> int:
+        return self.fans[0] if len(self.fans) > 1 else self.blocks
+
+    def ranges(self, level: int) -> int:
+        return math.prod(self.fans[: level + 1])
+
+    def width(self, level: int) -> int:
+        least = -(-(1 << self.bits) // math.prod(self.fans))
+        return least * math.prod(self.fans[level + 1 :])
+
+    def nodes(self, level: int) -> int:
+        """Nodes that the pieces of a level go to."""
+        return math.ceil(self.blocks / self.fan ** (level + 1)) * self.ranges(level)
+
+    def pieces(self) -> int:
+        """Most pieces that all levels send."""
+        senders = [self.blocks, *[self.nodes(level) for level in range(len(self.fans) - 1)]]
+        return sum(n * f for n, f in zip(senders, self.fans, strict=True))
+
+    def send(self, level: int, sender: int, keys: np.ndarray, payload: Callable[[int, int], bytes]) -> pa.Table:
+        """The pieces of a sender: a block at level 0, above it a node of the level below."""
+        group, inside = (sender, 0) if level == 0 else divmod(sender, self.ranges(level - 1))
+        low, width = inside * (self.width(level - 1) if level else 0), self.width(level)
+        edges = np.array([min(low + i * width, 1 << 63) for i in range(self.fans[level] + 1)], U)
+        cut = np.searchsorted(keys, edges)
+        out = []
+        for s in np.flatnonzero(np.diff(cut)).tolist():
+            i, j = int(cut[s]), int(cut[s + 1])
+            node = group // self.fan * self.ranges(level) + inside * self.fans[level] + s
+            out.append({"node": node, "sender": sender, "cells": pack(keys[i:j] - edges[s]), "n": payload(i, j)})
+        return pa.Table.from_pylist(out, PIECE)
 
+    def low(self, level: int, node: int) -> np.uint64:
+        return U(node % self.ranges(level) * self.width(level))
 
-@dataclass
-class Ranged:
-    """Rows dealt into blocks by ranges of their key: ``rows`` has k, t and block; from block ``keyed`` on keys are null."""
 
-    rows: DataFrame
-    n_bytes: int
-    keyed: int
+PIECE = pa.schema([("node", pa.int64()), ("sender", pa.int64()), ("cells", pa.binary()), ("n", pa.binary())])
+PIECE_SQL = "node long, sender long, cells binary, n binary"
 
 
-def key_ranges(docs: DataFrame, text: str = "text", key: str = "doc_id", carry: list[str] | None = None) -> Ranged:
-    """Blocks of about equal bytes that are ranges of the key; rows without a key go to blocks after those, by hash.
+class Counts:
+    """Items with a number; the answer is the sum over the table, 0 where that is 1. Numbers stop at ``most``."""
 
-    The edges come from key quantiles and the bytes between them, both counted over all rows. Their
-    number follows the number of blocks, one for each 8 to 64 MB of text. Columns to ``carry`` go
-    along as one struct, ``rest``.
-    """
-    rest = [F.struct(*[F.col(f"`{c}`") for c in carry]).alias("rest")] if carry else []
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.encode(F.col(f"`{text}`"), "UTF-8"), F.lit(b"")).alias("t"), *rest)
-    sizes = rows.select("k", F.octet_length("t").cast("long").alias("n"))
-    got = sizes.agg(F.sum("n").alias("b"), F.sum(F.when(F.col("k").isNull(), F.col("n"))).alias("without"), F.count(F.lit(1)).alias("rows")).first()
-    n_bytes, without = int(got["b"] or 0), int(got["without"] or 0)
-    blocks = block_count(n_bytes)
-    fine = 4 * blocks
-    edges = sizes.agg(F.percentile_approx("k", [(i + 1) / fine for i in range(fine - 1)], 20 * fine).alias("q")).first()["q"] or []
-    edges = sorted(set(edges))
-    if len(edges) >= blocks:
-        by = {r["at"]: r["n"] for r in sizes.where("k IS NOT NULL").groupBy(width_index(edges, F.col("k")).alias("at")).agg(F.sum("n").alias("n")).collect()}  # a row an edge
-        target, room, kept = max(1, n_bytes // blocks), 0, []
-        for i, e in enumerate(edges):
-            room += by.get(i, 0)
-            if room >= target * 0.9:
-                kept.append(e)
-                room = 0
-        edges = kept
-    keyed = len(edges) + 1
-    spare = block_count(without) if without else 1
-    block = F.when(F.col("k").isNull(), F.lit(keyed) + F.pmod(F.xxhash64("t"), F.lit(spare))).otherwise(width_index(edges, F.col("k")))
-    return Ranged(rows.withColumn("block", block.cast("int")), n_bytes, keyed)
-
-
-def width_index(edges: list[int], value: Column) -> Column:
-    """How many of the sorted edges are below the value, 0 for null."""
-    at = np.array(edges, np.int64)
-
-    @F.pandas_udf("int")
-    def below(v: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(at, v.to_numpy(np.int64), "left").astype(np.int32))
-
-    return below(F.coalesce(value, F.lit(0).cast("long")))
+    answer = np.dtype(np.uint32)
+
+    def __init__(self, most: int = 2):
+        self.most = most
+        self.kind = np.uint8 if most < 256 else np.uint32
+
+    def pack(self, n: np.ndarray) -> bytes:
+        if (n == 1).all():
+            return b""
+        return np.packbits(n > 1).tobytes() if self.most == 2 else zlib.compress(np.minimum(n, self.most).astype(self.kind).tobytes(), 1)
+
+    def unpack(self, blob: bytes, n: int) -> np.ndarray:
+        if not blob:
+            return np.ones(n, np.int64)
+        if self.most == 2:
+            return 1 + np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(np.int64)
+        return np.frombuffer(zlib.decompress(blob), self.kind).astype(np.int64)
+
+    def merge(self, keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.argsort(keys, kind="stable")
+        s = keys[order]
+        new = firsts(s)
+        first = np.flatnonzero(new)
+        of = np.empty(len(keys), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return s[first], np.minimum(np.add.reduceat(n[order], first), self.most), of
+
+    def decide(self, keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return np.where(n > 1, n, 0).astype(np.uint32)
+
+    def spread(self, said: np.ndarray, of: np.ndarray, own: np.ndarray, merged: np.ndarray) -> np.ndarray:
+        return said[of]
+
+
+class Records:
+    """Items with a record each, a numpy structure; what merging, deciding and telling back means is the subclass's."""
+
+    answer = np.dtype(np.uint8)
+    dtype: np.dtype
+
+    def pack(self, records: np.ndarray) -> bytes:
+        return records.tobytes()
+
+    def unpack(self, blob: bytes, n: int) -> np.ndarray:
+        return np.frombuffer(blob, self.dtype)
+
+
+def opened(t: pa.Table, ways: Ways, level: int, kind: Counts | Records):
+    """The pieces of one node, in order of their senders, with keys and payloads of all joined."""
+    rows = sorted(t.to_pylist(), key=lambda r: r["sender"])
+    low = ways.low(level, rows[0]["node"])
+    keys = [unpack(r["cells"]) for r in rows]
+    sizes = [len(k) for k in keys]
+    payload = np.concatenate([kind.unpack(r["n"], n) for r, n in zip(rows, sizes, strict=True)])
+    return rows, sizes, np.concatenate(keys) + low, payload
+
+
+def _merged(t: pa.Table, ways: Ways, level: int, kind: Counts | Records) -> pa.Table:
+    rows, _, keys, payload = opened(t, ways, level, kind)
+    keys, payload, _ = kind.merge(keys, payload)
+    return ways.send(level + 1, rows[0]["node"], keys, lambda i, j: kind.pack(payload[i:j]))
+
+
+def _answered(t: pa.Table, said: pa.Table | None, ways: Ways, level: int, kind: Counts | Records) -> pa.Table:
+    if not len(t):
+        return PIECE.empty_table()
+    rows, sizes, keys, payload = opened(t, ways, level, kind)
+    mkeys, merged, of = kind.merge(keys, payload)
+    told = kind.decide(mkeys, merged) if said is None else read_answers(said, mkeys, ways, level + 1, rows[0]["node"], kind)
+    own = kind.spread(told, of, payload, merged)
+    out, at = [], 0
+    for r, n in zip(rows, sizes, strict=True):
+        part = own[at : at + n]
+        at += n
+        if part.any():
+            bits = kind.answer == np.uint32 and kind.most == 2
+            blob = np.packbits(part > 0).tobytes() if bits else part.tobytes()
+            out.append({"node": r["node"], "sender": r["sender"], "cells": zlib.compress(blob, 1), "n": b""})
+    return pa.Table.from_pylist(out, PIECE)
+
+
+def exchanged(pieces: DataFrame, ways: Ways, kind: Counts | Records) -> DataFrame:
+    """From the pieces of all blocks the answers to them, in rows of the same form."""
+    def merged(level: int) -> Callable[[pa.Table], pa.Table]:
+        return lambda t: _merged(t, ways, level, kind)
+
+    def answered(level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        return lambda t, said: _answered(t, said.rename_columns(["sender", "node", "cells", "n"]), ways, level, kind)
+
+    sent = [pieces]
+    for level in range(len(ways.fans) - 1):
+        sent.append(sent[-1].groupBy("node").applyInArrow(merged(level), PIECE_SQL))
+    top = len(sent) - 1
+    said = sent[top].groupBy("node").applyInArrow(lambda t: _answered(t, None, ways, top, kind), PIECE_SQL)
+    for level in reversed(range(top)):
+        # Who sent a piece to the level above is, here, the node that its answer goes to.
+        back = said.select(F.col("sender").alias("node"), F.col("node").alias("sender"), "cells", "n")
+        said = sent[level].groupBy("node").cogroup(back.groupBy("node")).applyInArrow(answered(level), PIECE_SQL)
+    return said
+
+
+def read_answers(said: pa.Table, keys: np.ndarray, ways: Ways, level: int, sender: int, kind: Counts | Records) -> np.ndarray:
+    """The answer to each key that this sender sent at this level."""
+    out = np.zeros(len(keys), kind.answer)
+    for r in said.to_pylist():
+        low, width = int(ways.low(level, r["node"])), ways.width(level)
+        i, j = np.searchsorted(keys, np.array([low, min(low + width, 1 << 63)], U)).tolist()
+        blob = zlib.decompress(r["cells"])
+        if kind.answer == np.uint32 and kind.most == 2:
+            out[i:j] = np.unpackbits(np.frombuffer(blob, np.uint8), count=j - i) * np.uint32(2)
+        else:
+            out[i:j] = np.frombuffer(blob, kind.answer)
+    return out
+
+
+NO_KEY = U(0xFFFFFFFFFFFFFFFF)
+
+
+def ordered_keys(keys: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Integer keys as uint64 in the same order; those without a key come last."""
+    keys = keys.combine_chunks() if isinstance(keys, pa.ChunkedArray) else keys
+    none = keys.is_null().to_numpy(zero_copy_only=False)
+    values = keys.fill_null(0).to_numpy().astype(np.int64).view(U) ^ U(1 << 63)
+    return np.where(none, NO_KEY, values)

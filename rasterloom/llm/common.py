@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -19,11 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a folder of our own only where the session names none (tests)."""
+    """The cluster's shared folder, which ``spark.checkpoint.dir`` names. There is no other: executors do not see the driver's folders."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = tempfile.mkdtemp(prefix="llm-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return at.rstrip("/")
 
 
@@ -48,6 +46,24 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], weight: str, spread: str, most: int = 1000) -> DataFrame:
+    """Left join with a table that has a row for each value of ``on``, where one value may hold any share of the left rows.
+
+    ``weight`` says how many left rows a value has. The ``most`` heaviest values are broadcast, a
+    fixed number whatever the input, and their left rows are dealt by ``spread`` instead; no other
+    value then has more than one part in ``most`` of the left rows.
+    """
+    taken = [*left.columns, *right.columns]
+    far, near, side = fresh("far", taken), fresh("near", taken), fresh("side", taken)
+    values = [c for c in right.columns if c not in on]
+    heavy = right.orderBy(F.desc(weight)).limit(most).select(*on, F.struct(*values).alias(far))
+    marked = left.join(F.broadcast(heavy), on, "left")
+    marked = marked.withColumn(side, F.when(F.col(far).isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20))))
+    rest = right.select(*on, F.struct(*values).alias(near), F.lit(0).cast("long").alias(side))
+    both = marked.join(rest, [*on, side], "left")
+    return both.select(*left.columns, *[F.coalesce(F.col(far)[v], F.col(near)[v]).alias(v) for v in values])
+
+
 def binary_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Joined bytes of a binary or string Arrow array and its offsets, from 0; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import stored
+from rasterloom.llm.common import join_hot, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -13,18 +13,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Each round takes the least label of a node and its neighbours, then follows labels one step
     further (pointer jumping), so the rounds grow with the logarithm of the longest path. Labels are
-    written to the shared folder after each round. Null ends are left out; loops and repeated edges
-    do no harm; no edges give no rows.
+    written to the shared folder after each round. A node with very many edges, and a label with very
+    many nodes, spread over all tasks. Null ends are left out; loops and repeated edges do no harm;
+    no edges give no rows.
     """
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     both = stored(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label")), "labels")
+    first = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label"), F.count(F.lit(1)).alias("degree"))
+    labels = stored(first, "labels")
     while True:
-        near = both.join(labels, both.v == labels.node).groupBy("u").agg(F.min("label").alias("near"))
-        met = labels.join(near, labels.node == near.u).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        of = labels.select(F.col("node").alias("v"), "label", "degree")
+        near = join_hot(both, of, ["v"], "degree", "u").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
+        met = stored(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"), "degree"), "met")
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stored(met.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        moved = new.where("old <> label").isEmpty()
-        labels = new.select("node", "label")
-        if moved:
-            return labels.withColumnRenamed("label", "component")
+        up = up.join(met.groupBy("label").agg(F.count(F.lit(1)).alias("many")), "label")
+        new = join_hot(met, up, ["label"], "many", "node").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"), "degree")
+        new = stored(new, "labels")
+        still = new.where("old <> label").isEmpty()
+        labels = new.select("node", "label", "degree")
+        if still:
+            return labels.select("node", F.col("label").alias("component"))

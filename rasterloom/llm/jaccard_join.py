@@ -1,17 +1,18 @@
 """Similarity join of word-shingle sets under Jaccard, size-aware: light sets by subsets, heavy ones by lists.
 
-Equal sets are first folded into one. A light set (below the boundary) gives out the hash of each of
+Equal sets are first folded into one. Of every other set the shingles are ordered from the rarest of
+the table; of the first few, linked sets share at least one, and those that another set has too are
+what the set is listed under. A light set (below the boundary) gives out, instead, the hash of each of
 its subsets of the size that a link to a set of a given light size needs; two light sets are linked
-exactly if such a subset is common. A heavy set is looked up in inverted lists: of its shingles,
-ordered from the rarest, it is listed under the first few, of which linked sets share at least one;
-shingles that only one set has make no list. Light sets near the boundary are listed too, for the
-heavy ones. The boundary is the size up to which subsets cost less than lists, from the histogram of
-sizes.
-
-Sets that meet in a subset or list are candidates. They go, with their neighbours' neighbours, to
-common groups, where overlaps are counted by scanning the group's lists: no pairs are shuffled.
-Groups are bounded: a larger family of candidates is cut into chunks, and each pair of chunks is
-a group of its own.
+exactly if such a subset is common. Light sets near the boundary are listed too, for the heavy ones.
+The boundary is the size up to which subsets cost less than lists: the number of subsets against the
+lengths of the lists that sets of that size are in, both counted over the table.
+
+Lists are cut by size, since sets link with sets of about their size only. Sets that meet in a subset
+or list are candidates. They go, with their neighbours' neighbours, to common groups, where overlaps
+are counted by scanning the group's lists: no pairs are shuffled. Groups are bounded: a larger family
+of candidates is cut into chunks of sets of about one size, and two chunks whose sizes can link are a
+group. Components are taken over verified links alone.
 """
 
 from __future__ import annotations
@@ -26,16 +27,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import blocks as B
-from rasterloom.llm.common import binary_parts, mix64, size_of, stored, table
+from rasterloom.llm.common import binary_parts, join_hot, mix64, size_of, stored, table
 from rasterloom.llm.components import components
 from rasterloom.llm.grams import prefix_hash, shingle_sets, span_hash
 
 U = np.uint64
 N, PERCENT = 4, 85
-#: Light sets have fewer shingles than this at any cost.
-LIGHT_MOST = 16
-#: Sets in a group that is verified at once.
-CHUNK = 2048
+#: Subsets of one set that are held at once: sets that need more are never light.
+MOST_SUBSETS = 100_000
+#: Shingles of a group that is verified at once.
+CHUNK = 1 << 19
 BYTES = 6  # of a shingle's hash in a verified set
 
 
@@ -57,17 +58,30 @@ def subset_cost(percent: int, s: int, light: int) -> int:
     return sum(math.comb(s, need(percent, s, t)) for t in partners(percent, s) if t < light and need(percent, s, t) <= min(s, t))
 
 
-def light_boundary(sizes: dict[int, int], percent: int) -> int:
-    """The boundary with the least cost over the histogram of small sizes: subsets below it, lists (each with its scan) from there on."""
-    best, at = None, 1
-    for light in range(1, LIGHT_MOST + 1):
+def size_classes(percent: int, most: int) -> list[int]:
+    """Least sizes of classes such that linked sets are in one class or in two that follow each other."""
+    out = [1]
+    while out[-1] <= most:
+        out.append(100 * out[-1] // percent + 1)
+    return out
+
+
+def largest_light(percent: int) -> int:
+    s = 1
+    while subset_cost(percent, s + 1, 2 * s + 2) <= MOST_SUBSETS and s < 4096:
+        s += 1
+    return s
+
+
+def light_boundary(sizes: dict[int, tuple[int, int]], percent: int) -> int:
+    """The boundary of least cost, from the number of sets of each size and the sum of the lengths of all lists that they are in."""
+    costs = {}
+    for light in range(1, max([*sizes, 0]) + 2):
         cost = 0
-        for s, n in sizes.items():
-            listed = s >= light or 100 * s // percent >= light
-            cost += n * ((subset_cost(percent, s, light) if s < light else 0) + (4 * prefix_size(percent, s) if listed else 0))
-        if best is None or cost < best:
-            best, at = cost, light
-    return at
+        for s, (n, lists) in sizes.items():
+            cost += (n * subset_cost(percent, s, light) if s < light else 0) + (lists if 100 * s // percent >= light else 0)
+        costs[light] = cost
+    return min(costs, key=lambda x: (costs[x], x))
 
 
 def set_keys(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,7 +97,7 @@ def _signed(t: pa.RecordBatch, n: int) -> pa.RecordBatch:
     raw, offsets = binary_parts(t.column(1))
     flat, at = shingle_sets(raw, offsets, n)
     h1, h2 = set_keys(flat, at)
-    return pa.RecordBatch.from_arrays([t.column(0), pa.array(np.diff(at)), pa.array(h1), pa.array(h2)], names=["k", "n", "h1", "h2"])
+    return pa.RecordBatch.from_arrays([t.column(0), t.column(2), pa.array(np.diff(at)), pa.array(h1), pa.array(h2)], names=["k", "block", "n", "h1", "h2"])
 
 
 def signatures(rows: DataFrame, n: int) -> DataFrame:
@@ -92,31 +106,32 @@ def signatures(rows: DataFrame, n: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1024):
                 yield _signed(batch.slice(at, 1024), n)
 
-    return rows.select("k", "t").mapInArrow(run, "k long, n long, h1 long, h2 long")
+    return rows.select("k", "t", "block").mapInArrow(run, "k long, block int, n long, h1 long, h2 long")
 
 
 def _own_sets(docs: pa.Table, copies: pa.Table, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys, shingles and offsets of the block's documents that stand for a set: neither a copy, nor without key or words."""
-    keys = docs.column("k").combine_chunks()
-    keep = np.flatnonzero(~np.isin(np.where(keys.is_null().to_numpy(zero_copy_only=False), -1, keys.fill_null(-1).to_numpy()), copies.column("k").drop_null().to_numpy()) & ~keys.is_null().to_numpy(zero_copy_only=False))
-    docs = docs.take(pa.array(keep))
-    flat, at = shingle_sets(*binary_parts(docs.column("t")), n)
-    return docs.column("k").to_numpy(), flat, at
-
-
-MORE = pa.schema([*B.PIECE, ("k", pa.int64())])
-MORE_SQL = B.PIECE_SQL + ", k long"
-
-
-def _sketch(docs: pa.Table, more: pa.Table, n: int, bits: int, slices: int) -> pa.Table:
+    """Keys, shingles and offsets of the block's rows that stand for a set: neither a copy, nor without key or words."""
+    own = docs.filter(pc.is_valid(docs.column("k")))
+    keys = own.column("k").to_numpy()
+    flat, at = shingle_sets(*binary_parts(own.column("t")), n)
+    name = lambda k, h: mix64(k.view(U), 12) ^ h.view(U)
+    gone = np.isin(name(keys, set_keys(flat, at)[0]), name(copies.column("k").to_numpy(), copies.column("h1").to_numpy()))
+    sizes = np.where(gone, 0, np.diff(at))
+    flat = flat[np.repeat(~gone, np.diff(at))]
+    return keys, flat, np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def _sketch(docs: pa.Table, copies: pa.Table, n: int, ways: B.Ways) -> pa.Table:
     if not len(docs):
-        return pa.Table.from_pylist([], B.PIECE)
-    _, flat, _ = _own_sets(docs, more, n)
-    return pa.Table.from_pylist(B.sketch_pieces([flat >> U(64 - bits)], bits, slices, docs.column("block")[0].as_py(), counts=True), B.PIECE)
+        return B.PIECE.empty_table()
+    _, flat, _ = _own_sets(docs, copies, n)
+    cells, many = B.counted(flat >> U(64 - ways.bits))
+    return ways.send(0, docs.column("block")[0].as_py(), cells, lambda i, j: COUNTS.pack(many[i:j]))
 
 
-FOUND = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("members", pa.binary())])
-FOUND_SQL = "k long, n long, tokens array<long>, members binary"
+COUNTS = B.Counts((1 << 32) - 1)
+FOUND = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.int64())), ("lists", pa.int64()), ("members", pa.binary())])
+FOUND_SQL = "k long, n long, tokens array<long>, lists long, members binary"
 
 
 def subset_hashes(members: np.ndarray, percent: int, light: int) -> list[int]:
@@ -133,37 +148,44 @@ def subset_hashes(members: np.ndarray, percent: int, light: int) -> list[int]:
     return out
 
 
-def _listed(docs: pa.Table, more: pa.Table, n: int, percent: int, light: int, bits: int, slices: int) -> pa.Table:
-    """Of each set that meets any other in a list or may meet one in a subset: what it is listed under, and its members."""
+def _listed(docs: pa.Table, more: pa.Table, n: int, percent: int, ways: B.Ways) -> pa.Table:
+    """Of each set that meets any other in a list: what it is listed under, how long these lists are together, and its members."""
     if not len(docs):
         return FOUND.empty_table()
-    own = more.filter(pc.is_valid(more.column("k")))
-    said = more.filter(pc.is_null(more.column("k")))
-    keys, flat, at = _own_sets(docs, own, n)
-    cells = flat >> U(64 - bits)
-    [(v, _, total)] = B.read_answers(said, [cells], bits, slices)
+    keys, flat, at = _own_sets(docs, more.filter(pc.is_valid(more.column("k"))), n)
+    cells = flat >> U(64 - ways.bits)
+    v, _ = B.counted(cells)
+    total = np.maximum(B.read_answers(more.filter(pc.is_null(more.column("k"))), v, ways, 0, 0, COUNTS).astype(np.int64), 1)
     count = total[np.searchsorted(v, cells)] if len(cells) else np.zeros(0, np.int64)
     text = np.repeat(np.arange(len(keys)), np.diff(at))
     order = np.lexsort((flat, count, text))  # in each text from the rarest shingle on
     rank = np.arange(len(flat)) - at[text]
     sizes = np.diff(at)
     most = sizes - -(-percent * sizes // 100) + 1
-    first = (rank < most[text]) & (count[order] > 1)
-    listed = 100 * sizes // percent >= light  # the others meet light sets only
-    chosen = order[first & listed[text]]
-    tokens = np.split(flat[chosen].view(np.int64), np.cumsum(np.bincount(text[chosen], minlength=len(keys)))[:-1]) if len(keys) else []
+    chosen = order[(rank < most[text]) & (count[order] > 1)]
+    many = np.bincount(text[chosen], minlength=len(keys))
+    lists = np.bincount(text[chosen], count[chosen], minlength=len(keys)).astype(np.int64)
+    some = np.flatnonzero(many)
     short = (flat >> U(64 - 8 * BYTES)).view(np.uint8).reshape(-1, 8)[:, :BYTES]
-    out_k, out_n, out_t, out_m = [], [], [], []
-    for i in range(len(keys)):
-        mine = tokens[i].tolist()
-        if 0 < sizes[i] < light:
-            mine += subset_hashes(flat[at[i] : at[i + 1]], percent, light)
-        if mine:
-            out_k.append(int(keys[i]))
-            out_n.append(int(sizes[i]))
-            out_t.append(mine)
-            out_m.append(short[at[i] : at[i + 1]].tobytes())
-    return pa.table({"k": out_k, "n": out_n, "tokens": out_t, "members": out_m}, schema=FOUND)
+    cut = np.concatenate([[0], np.cumsum(many)])
+    tokens = pa.ListArray.from_arrays(pa.array(np.append(cut[some], cut[-1]).astype(np.int32)), pa.array(flat[chosen].view(np.int64)))
+    members = [short[at[i] : at[i + 1]].tobytes() for i in some]
+    return pa.table({"k": keys[some], "n": sizes[some], "tokens": tokens, "lists": lists[some], "members": members}, schema=FOUND)
+
+
+def subsets(found: DataFrame, percent: int, light: int) -> DataFrame:
+    """Of the sets below the boundary, the hashes of their subsets."""
+
+    def run(batches):
+        for batch in batches:
+            raw, at = binary_parts(batch.column(1))
+            for i, k in enumerate(batch.column(0).to_pylist()):
+                wide = np.zeros(((at[i + 1] - at[i]) // BYTES, 8), np.uint8)
+                wide[:, :BYTES] = raw[at[i] : at[i + 1]].reshape(-1, BYTES)
+                own = subset_hashes(wide.view(U).ravel(), percent, light)
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int64()), pa.array(own, pa.int64())], names=["k", "token"])
+
+    return found.where(F.col("n") < light).select("k", "members").mapInArrow(run, "k long, token long")
 
 
 VERIFIED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
@@ -191,7 +213,6 @@ def _verify(t: pa.Table, percent: int) -> pa.Table:
     of = np.empty(len(items), np.int64)
     of[order] = np.cumsum(new) - 1
     label, links = np.arange(m), np.zeros(m, np.int64)
-    ea, eb = [], []
     for x in range(m):
         lists = of[at[x] : at[x + 1]]
         lists = lists[many[lists] > 1]
@@ -211,15 +232,16 @@ def _verify(t: pa.Table, percent: int) -> pa.Table:
         links[x] = weight[y].sum()
         for z in y:
             if label[z] != label[x]:
-                ea.append(x)
-                eb.append(int(z))
                 label[label == label[z]] = label[x]
     some = np.flatnonzero(links)
+    least = np.full(m, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, keys)
+    star = some[least[label[some]] < keys[some]]  # each linked set and the least key that it reaches here
     return pa.table(
         {
-            "a": np.concatenate([keys[ea], keys[some]]).astype(np.int64),
-            "b": pa.array([*keys[eb].tolist(), *[None] * len(some)], pa.int64()),
-            "links": np.concatenate([np.zeros(len(ea), np.int64), links[some]]),
+            "a": np.concatenate([keys[star], keys[some]]).astype(np.int64),
+            "b": pa.array([*least[label[star]].tolist(), *[None] * len(some)], pa.int64()),
+            "links": np.concatenate([np.zeros(len(star), np.int64), links[some]]),
         },
         schema=VERIFIED,
     )
@@ -240,43 +262,63 @@ def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str
     signed = stored(signatures(rows, n), "signatures")
     alike = signed.where("n > 0 AND k IS NOT NULL").groupBy("h1", "h2", "n").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     alike = stored(alike, "alike")
-    mapped = signed.join(alike, ["h1", "h2", "n"], "left").select("k", "n", F.when(F.col("k").isNotNull(), F.coalesce("rep", "k")).alias("rep"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
+    mapped = join_hot(signed, alike, ["h1", "h2", "n"], "copies", "k").select("block", "k", "h1", "n", F.when(F.col("k").isNotNull(), F.coalesce("rep", "k")).alias("rep"), F.coalesce("copies", F.lit(1)).cast("long").alias("copies"))
     mapped = stored(mapped, "mapped")
-    copies = mapped.where("rep <> k").select("k").withColumn("block", F.pmod(F.xxhash64("k"), F.lit(B.block_count(n_bytes))).cast("int"))
-    small = {r["n"]: r["c"] for r in signed.where(f"n BETWEEN 1 AND {2 * LIGHT_MOST}").groupBy("n").agg(F.count(F.lit(1)).alias("c")).collect()}
-    light = light_boundary(small, percent)
-    items = int(signed.agg(F.sum("n")).first()[0] or 0)
-    bits, slices = min(60, B.width_bits(items) + 4), B.slice_count(items)
+    copies = mapped.where("rep <> k").select("block", "k", "h1")
+    about = signed.agg(F.sum("n").alias("items"), F.max("n").alias("most")).first()
+    items, starts = int(about["items"] or 0), size_classes(percent, int(about["most"] or 1))
+    ways = B.Ways.of(B.block_count(n_bytes), min(60, B.width_bits(items) + 4), items)
 
     docs_by, copies_by = rows.groupBy("block"), copies.groupBy("block")
-    parts = docs_by.cogroup(copies_by).applyInArrow(lambda a, b: _sketch(a, b, n, bits, slices), B.PIECE_SQL)
-    said = B.answers(parts, counts=True).withColumn("k", F.lit(None).cast("long"))
-    more = said.unionByName(copies, allowMissingColumns=True)
-    found = docs_by.cogroup(more.groupBy("block")).applyInArrow(lambda a, b: _listed(a, b, n, percent, light, bits, slices), FOUND_SQL)
-    found = stored(found, "listed")
-
+    said = B.exchanged(docs_by.cogroup(copies_by).applyInArrow(lambda a, b: _sketch(a, b, n, ways), B.PIECE_SQL), ways, COUNTS)
+    more = said.withColumn("block", F.col("sender").cast("int")).unionByName(copies, allowMissingColumns=True)
+    found = stored(docs_by.cogroup(more.groupBy("block")).applyInArrow(lambda a, b: _listed(a, b, n, percent, ways), FOUND_SQL), "listed")
+
+    few = found.where(F.col("n") <= largest_light(percent)).groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.sum("lists").alias("lists"))
+    light = light_boundary({r["n"]: (r["c"], r["lists"]) for r in few.collect()}, percent)  # a row a small size
+    size_class = sum((F.when(F.col("n") >= s, 1).otherwise(0) for s in starts[1:]), F.lit(0))
+    # A set of class c is in the lists of c, for its own class and the one before, and of c + 1, for the next.
+    listed = found.where(F.floor(100 * F.col("n") / percent) >= light).select("k", size_class.alias("c"), F.explode("tokens").alias("token"))
+    listed = listed.select("k", F.explode(F.array("c", F.col("c") + 1)).alias("c"), "token").select("k", F.xxhash64("token", "c").alias("token"))
+    if light > 1:
+        listed = listed.unionByName(subsets(found, percent, light))
     # Each list is joined up through its least member: sets that meet are in one family.
-    listed = found.select("k", F.explode("tokens").alias("token"))
-    heads = listed.groupBy("token").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1").select("token", "head")
-    families = components(listed.join(heads, "token").where("k <> head").select(F.col("k").alias("a"), F.col("head").alias("b")))
+    heads = listed.groupBy("token").agg(F.min("k").alias("head"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    met = join_hot(listed, heads, ["token"], "c", "k").where("k <> head")
+    families = components(met.select(F.col("k").alias("a"), F.col("head").alias("b")).distinct())
     families = families.select(F.col("node").alias("k"), F.col("component").alias("family"))
-    sizes = families.groupBy("family").agg(F.count(F.lit(1)).alias("c"))
     weights = mapped.where("rep = k").select("k", "copies").distinct()
-    members = found.select("k", "n", "members").join(families, "k").join(sizes, "family").join(weights, "k")
-    groups = F.greatest(F.lit(1), F.ceil(F.col("c") / chunk)).cast("int")
-    members = members.withColumn("g", groups).withColumn("chunk", F.pmod(F.xxhash64("k", F.lit(7)), F.col("g")).cast("int"))
-    packs = max(1, math.ceil(members.count() / chunk))
-    # Small families share groups; a family of g chunks has a group for each pair of them.
-    dealt = members.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.withColumn("i", F.least("chunk", "o")).withColumn("j", F.greatest("chunk", "o"))
-    dealt = dealt.withColumn("at", F.when(F.col("g") > 1, F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(packs))))
-    dealt = dealt.select("at", (F.col("g") > 1).alias("cut"), "i", "j", "chunk", "family", "k", "n", "copies", "members")
+    members = stored(found.select("k", "n", size_class.alias("c"), "members").join(families, "k").join(weights, "k"), "members")
+    parts = members.groupBy("family", "c").agg(F.sum("n").alias("items"), F.count(F.lit(1)).alias("many"))
+    whole = parts.groupBy("family").agg(F.sum("items").alias("all"), F.sum("many").alias("many_all"))
+    chunks = lambda c: F.coalesce(F.ceil(c / chunk), F.lit(0)).cast("int")
+    near = lambda by: parts.select("family", (F.col("c") + by).alias("c"), chunks(F.col("items")).alias("above" if by < 0 else "below"))
+    geometry = parts.join(whole, "family").join(near(1), ["family", "c"], "left").join(near(-1), ["family", "c"], "left")
+    geometry = geometry.withColumn("g", chunks(F.col("items"))).na.fill(0, ["above", "below"])
+    members = join_hot(members, geometry.select("family", "c", "all", "g", "above", "below", "many"), ["family", "c"], "many", "k")
+    packs = max(1, math.ceil(int(members.agg(F.sum("n")).first()[0] or 0) / chunk))
+    # Small families share groups; a larger one has a group for each two chunks of one class or of two that follow.
+    code = lambda c, i: F.shiftleft(c.cast("long"), 32) + i
+    cut = F.col("all") > chunk
+    own = F.when(cut, F.pmod(F.xxhash64("k", F.lit(7)), F.col("g"))).otherwise(F.lit(0)).cast("int")
+    c, g = F.col("c"), lambda name: F.when(F.col(name) > 0, F.sequence(F.lit(0), F.col(name) - 1)).otherwise(F.array().cast("array<int>"))
+    mine = code(c, own)
+    pairs = F.concat(
+        F.transform(g("g"), lambda o: F.struct(F.least(mine, code(c, o)).alias("i"), F.greatest(mine, code(c, o)).alias("j"))),
+        F.transform(g("above"), lambda o: F.struct(mine.alias("i"), code(c + 1, o).alias("j"))),
+        F.transform(g("below"), lambda o: F.struct(code(c - 1, o).alias("i"), mine.alias("j"))),
+    )
+    alone = F.array(F.struct(F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j")))
+    dealt = members.select("*", mine.alias("chunk"), cut.alias("cut"), F.explode(F.when(cut, pairs).otherwise(alone)).alias("pair"))
+    dealt = dealt.withColumn("at", F.when(F.col("cut"), F.col("family")).otherwise(F.pmod(F.xxhash64("family"), F.lit(packs))))
+    dealt = dealt.select("at", "cut", "pair.i", "pair.j", "chunk", "family", "k", "n", "copies", "members")
     checked = stored(dealt.groupBy("at", "cut", "i", "j").applyInArrow(lambda t: _verify(t, percent), "a long, b long, links long"), "links")
 
     labels = components(checked.where("b IS NOT NULL"))
     counts = checked.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     about = counts.join(labels.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = mapped.join(about, "rep", "left")
+    about = about.join(mapped.groupBy("rep").agg(F.count(F.lit(1)).alias("many")), "rep")
+    out = join_hot(mapped, about, ["rep"], "many", "k")
     return out.select(
         F.col("k").alias(key),
         F.col("n").alias("n_shingles"),

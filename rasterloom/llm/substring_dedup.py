@@ -1,20 +1,17 @@
 """Repeated word windows, found by a count-min prefilter and an exact second pass.
 
-1. Every block of documents sketches its windows: two rows of cells, packed by slice of the range.
-2. The slices add the partition sketches up. Their counts can only be too high, so a window with a
+1. Every block of documents sketches its windows: two rows of cells, packed by range of the cells.
+2. The ranges add the partition sketches up. Their counts can only be too high, so a window with a
    cell that counts one in any row occurs once in the table and is left out; no repeat is lost.
-3. The windows that are left go to the exact pass: blocks send each distinct 80-bit window key once,
-   packed by slice of the key range; a slice tells each block which keys an earlier block has.
-4. Blocks are ranges of the key column, so a smaller document is one in an earlier block, or one
-   seen in the block itself. Words under such windows go.
+3. The windows that are left go to the exact pass: blocks send each distinct window once, as 128 bits
+   and the least document that has it; the ranges tell each block where the table has a lesser one.
+4. Words under windows that a lesser document of the table or of the block has go.
 
-No step has a row for a window, and no key, however frequent, is sent more than once by a block.
+No step has a row for a window, and no window, however frequent, is sent more than once by a block.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rasterloom.llm import blocks as B
-from rasterloom.llm.common import binary_parts, mix64, table
+from rasterloom.llm.common import binary_parts, mix64, size_of, table
 from rasterloom.llm.grams import gram_hashes, gram_starts, runs_of_texts, word_hashes, words
 
 U = np.uint64
@@ -37,7 +34,7 @@ class Windows:
     def __init__(self, t: pa.Table, n: int):
         raw, offsets = binary_parts(t.column("t"))
         self.raw, self.offsets, self.n = raw, offsets, n
-        self.keys = t.column("k").to_numpy(zero_copy_only=False) if t.column("k").null_count == 0 else np.zeros(len(t), np.int64)
+        self.keys = B.ordered_keys(t.column("k"))
         starts, ends, counts, a, b, first = [], [], [], [], [], []
         seen = 0
         for i, j in runs_of_texts(offsets):
@@ -46,7 +43,7 @@ class Windows:
             h = word_hashes(part, s, e, 0)
             g, _ = gram_starts(c, n)
             a.append(gram_hashes(h, g, n, 0))
-            b.append((gram_hashes(h, g, n, 1) >> U(32)).astype(np.uint32))
+            b.append(gram_hashes(h, g, n, 1))
             first.append(g + seen)
             starts.append(s + offsets[i])
             ends.append(e + offsets[i])
@@ -54,52 +51,58 @@ class Windows:
             seen += len(s)
         cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         self.start, self.end, self.counts = cat(starts, np.int64), cat(ends, np.int64), cat(counts, np.int64)
-        self.a, self.b, self.first = cat(a, U), cat(b, np.uint32), cat(first, np.int64)
+        self.a, self.b, self.first = cat(a, U), cat(b, U), cat(first, np.int64)
         self.text_of_word = np.repeat(np.arange(len(self.counts)), self.counts)
 
     def cells(self, bits: int) -> list[np.ndarray]:
-        return [self.a >> U(64 - bits), mix64(self.a, 5) >> U(64 - bits)]
+        """Cells of both rows of the sketch, the second row's after the first's."""
+        return [self.a >> U(64 - bits), (mix64(self.a, 5) >> U(64 - bits)) | U(1 << bits)]
 
-    def repeated(self, t: pa.Table, bits: int, slices: int) -> np.ndarray:
+    def repeated(self, said: pa.Table, ways: B.Ways) -> np.ndarray:
         """Indices of the windows whose every cell counts two or more."""
-        cells = self.cells(bits)
+        cells = self.cells(ways.bits - 1)
+        v = B.counted(np.concatenate(cells))[0]
+        v = v[B.read_answers(said, v, ways, 0, 0, SKETCH) > 1]
         keep = np.ones(len(self.a), bool)
-        for own, (v, often, _) in zip(cells, B.read_answers(t, cells, bits, slices), strict=True):
-            v = v[often]
+        for own in cells:
             keep[keep] = B.look_up(v, own[keep]) >= 0
         return np.flatnonzero(keep)
 
-    def exact(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct keys (two parts) of these windows in order, each window's key, and the least document of each key."""
-        k1, k2 = self.a[at] >> U(64 - KEY_BITS), self.b[at]
-        docs = self.keys[self.text_of_word[self.first[at]]] if len(at) else np.zeros(0, np.int64)
-        order = np.lexsort((k2, k1))
-        s1, s2 = k1[order], k2[order]
-        new = np.concatenate([[True], (s1[1:] != s1[:-1]) | (s2[1:] != s2[:-1])]) if len(at) else np.zeros(0, bool)
+    def exact(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows of these in order: key, record (rest of the 128 bits, least document), and each window's place among them."""
+        key, lo, b = self.a[at] >> U(64 - KEY_BITS), self.a[at].astype(np.uint16), self.b[at]
+        docs = self.keys[self.text_of_word[self.first[at]]] if len(at) else np.zeros(0, U)
+        order = np.lexsort((docs, b, lo, key))
+        key, lo, b = key[order], lo[order], b[order]
+        new = B.firsts(key, lo, b)
         of = np.empty(len(at), np.int64)
         of[order] = np.cumsum(new) - 1
-        lead = np.flatnonzero(new)
-        least = np.minimum.reduceat(docs[order], lead) if len(lead) else np.zeros(0, np.int64)
-        return s1[lead], s2[lead], of, least
-
-
-def first_blocks(t: pa.Table) -> pa.Table:
-    """One slice of keys: a bit for each key a block sent: whether an earlier block has it."""
-    rows = sorted(t.to_pylist(), key=lambda r: r["block"])
-    k1 = [B.unpack(r["cells"]) for r in rows]
-    sizes = np.array([len(x) for x in k1])
-    a, b = np.concatenate(k1), np.concatenate([np.frombuffer(r["n"], np.uint32) for r in rows])
-    order = np.lexsort((b, a))  # stable: equal keys stay in the order of their blocks
-    x, y = a[order], b[order]
-    later = np.zeros(len(a), bool)
-    later[order[1:]] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
-    at = np.concatenate([[0], np.cumsum(sizes)])
-    out = []
-    for i, r in enumerate(rows):
-        own = later[at[i] : at[i + 1]]
-        if own.any():
-            out.append({"slice": r["slice"], "block": r["block"], "cells": np.packbits(own).tobytes(), "n": b"exact"})
-    return pa.Table.from_pylist(out, B.PIECE)
+        out = np.zeros(int(new.sum()), Earliest.dtype)
+        out["lo"], out["b"], out["doc"] = lo[new], b[new], docs[order][new]
+        return key[new], out, of
+
+
+class Earliest(B.Records):
+    """Windows with the least document that has them; the answer is 1 where the table has a lesser one."""
+
+    dtype = np.dtype([("lo", np.uint16), ("b", np.uint64), ("doc", np.uint64)])
+
+    def merge(self, keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        order = np.lexsort((own["doc"], own["b"], own["lo"], keys))
+        k, r = keys[order], own[order]
+        new = B.firsts(k, r["lo"], r["b"])
+        of = np.empty(len(k), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return k[new], r[new], of
+
+    def decide(self, keys: np.ndarray, merged: np.ndarray) -> np.ndarray:
+        return np.zeros(len(keys), np.uint8)
+
+    def spread(self, said: np.ndarray, of: np.ndarray, own: np.ndarray, merged: np.ndarray) -> np.ndarray:
+        return said[of] | (own["doc"] > merged["doc"][of])
+
+
+SKETCH, EARLIEST = B.Counts(2), Earliest()
 
 
 OUT = pa.schema([("k", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
@@ -131,39 +134,30 @@ def w_space(raw: np.ndarray) -> np.ndarray:
     return (raw == 32) | ((raw >= 9) & (raw <= 13))
 
 
-def _sketch(t: pa.Table, n: int, bits: int, slices: int) -> pa.Table:
-    w = Windows(t, n)
-    return pa.Table.from_pylist(B.sketch_pieces(w.cells(bits), bits, slices, t.column("block")[0].as_py()), B.PIECE)
+def _sketch(t: pa.Table, n: int, ways: B.Ways) -> pa.Table:
+    cells, many = B.counted(np.concatenate(Windows(t, n).cells(ways.bits - 1)))
+    return ways.send(0, t.column("block")[0].as_py(), cells, lambda i, j: SKETCH.pack(many[i:j]))
 
 
-def _keys(docs: pa.Table, said: pa.Table, n: int, bits: int, slices: int, key_slices: int) -> pa.Table:
+def _keys(docs: pa.Table, said: pa.Table, n: int, ways: B.Ways, exact: B.Ways) -> pa.Table:
     if not len(docs):
-        return pa.Table.from_pylist([], B.PIECE)
+        return B.PIECE.empty_table()
     w = Windows(docs, n)
-    k1, k2, _, _ = w.exact(w.repeated(said, bits, slices))
-    edges, out = B.slice_edges(KEY_BITS, key_slices), []
-    cut = np.searchsorted(k1, edges)
-    for s in range(key_slices):
-        if cut[s] < cut[s + 1]:
-            out.append({"slice": s, "block": docs.column("block")[0].as_py(), "cells": B.pack(k1[cut[s] : cut[s + 1]] - edges[s]), "n": k2[cut[s] : cut[s + 1]].tobytes()})
-    return pa.Table.from_pylist(out, B.PIECE)
+    keys, records, _ = w.exact(w.repeated(said, ways))
+    return exact.send(0, docs.column("block")[0].as_py(), keys, lambda i, j: EARLIEST.pack(records[i:j]))
 
 
-def _remove(docs: pa.Table, said: pa.Table, n: int, bits: int, slices: int, key_slices: int, keyed: int, carry: bool) -> pa.Table:
+def _remove(docs: pa.Table, said: pa.Table, n: int, ways: B.Ways, exact: B.Ways, carry: bool) -> pa.Table:
     if not len(docs):
         return OUT.empty_table() if not carry else pa.table({"rest": docs.column("rest"), **{c: OUT.empty_table().column(c) for c in ("n_words", "n_removed", "kept")}})
     w = Windows(docs, n)
-    exact = pc.equal(said.column("n"), pa.scalar(b"exact"))
-    at = w.repeated(said.filter(pc.invert(exact)), bits, slices)
-    k1, _, of, least = w.exact(at)
-    earlier = np.zeros(len(k1), bool)
-    cut = np.searchsorted(k1, B.slice_edges(KEY_BITS, key_slices))
-    for r in said.filter(exact).to_pylist():
-        i, j = int(cut[r["slice"]]), int(cut[r["slice"] + 1])
-        earlier[i:j] = np.unpackbits(np.frombuffer(r["cells"], np.uint8), count=j - i).astype(bool)
-    dup = earlier[of] if len(at) else np.zeros(0, bool)
-    if docs.column("block")[0].as_py() < keyed and len(at):
-        dup |= w.keys[w.text_of_word[w.first[at]]] > least[of]
+    second = pc.equal(said.column("n"), pa.scalar(b"exact"))
+    at = w.repeated(said.filter(pc.invert(second)), ways)
+    keys, records, of = w.exact(at)
+    dup = np.zeros(0, bool)
+    if len(at):
+        earlier = B.read_answers(said.filter(second), keys, exact, 0, 0, EARLIEST) > 0
+        dup = earlier[of] | (w.keys[w.text_of_word[w.first[at]]] > records["doc"][of])
     begin, many = w.first[at[dup]], len(w.start) + 1
     cover = np.bincount(begin, minlength=many) - np.bincount(begin + n, minlength=many)
     out = kept_words(w, np.cumsum(cover)[: len(w.start)] > 0, docs.column("k"))
@@ -185,44 +179,21 @@ def substring_dedup(docs: DataFrame, n: int = WINDOW, text: str = "text", key: s
     With ``carry`` the rows are rest (a struct of those columns), n_words, n_removed and kept, where
     kept is the text as it was, white space too, if nothing was removed.
     """
-    ranged = B.key_ranges(docs, text, key, carry)
-    bits, slices, key_slices = B.width_bits(ranged.n_bytes // 5), B.slice_count(ranged.n_bytes // 4), B.slice_count(ranged.n_bytes // 12)
-    rows = ranged.rows
-    said = B.answers(rows.groupBy("block").applyInArrow(partial_table(_sketch, n, bits, slices), B.PIECE_SQL))
-    keys = rows.groupBy("block").cogroup(said.groupBy("block")).applyInArrow(partial_tables(_keys, n, bits, slices, key_slices), B.PIECE_SQL)
-    # Blocks from ``keyed`` on have rows without keys: they are earlier than none.
-    told = keys.groupBy("slice").applyInArrow(first_keyed(ranged.keyed), B.PIECE_SQL)
+    _, n_bytes = size_of(docs, text)
+    blocks = B.block_count(n_bytes)
+    ways = B.Ways.of(blocks, B.width_bits(n_bytes // 5) + 1, n_bytes // 2)
+    exact = B.Ways.of(blocks, KEY_BITS, n_bytes // 12)
+    rows = B.blocked(docs, n_bytes, text, key, carry)
+    by = rows.groupBy("block")
+    said = B.exchanged(by.applyInArrow(lambda t: _sketch(t, n, ways), B.PIECE_SQL), ways, SKETCH).withColumnRenamed("sender", "block")
+    keys = by.cogroup(said.groupBy("block")).applyInArrow(lambda a, b: _keys(a, b, n, ways, exact), B.PIECE_SQL)
+    told = B.exchanged(keys, exact, EARLIEST).withColumnRenamed("sender", "block").withColumn("n", F.lit(b"exact"))
     head = StructType([rows.schema["rest"]]) if carry else StructType([rows.schema["k"]])
     schema = head.add("n_words", "long").add("n_removed", "long").add("kept", "string")
-    told = said.unionByName(told).groupBy("block")
-    out = rows.groupBy("block").cogroup(told).applyInArrow(partial_tables(_remove, n, bits, slices, key_slices, ranged.keyed, bool(carry)), schema)
+    out = by.cogroup(said.unionByName(told).groupBy("block")).applyInArrow(lambda a, b: _remove(a, b, n, ways, exact, bool(carry)), schema)
     return out if carry else out.withColumnRenamed("k", key)
 
 
-def partial_table(f: Callable[..., pa.Table], *args: int) -> Callable[[pa.Table], pa.Table]:
-    return lambda t: f(t, *args)
-
-
-def partial_tables(f: Callable[..., pa.Table], *args: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    return lambda a, b: f(a, b, *args)
-
-
-def first_keyed(keyed: int) -> Callable[[pa.Table], pa.Table]:
-    def first(t: pa.Table) -> pa.Table:
-        # Among blocks without keys none is earlier: what only they have is told to nobody.
-        got = first_blocks(t).to_pylist()
-        if all(r["block"] < keyed for r in got):
-            return pa.Table.from_pylist(got, B.PIECE)
-        own = pc.less(t.column("block"), keyed)
-        out = first_blocks(t.filter(own)).to_pylist() if pc.any(own).as_py() else []
-        for r in t.filter(pc.invert(own)).to_pylist():
-            both = pa.Table.from_pylist([*t.filter(own).to_pylist(), r], B.PIECE)
-            out += [x for x in first_blocks(both).to_pylist() if x["block"] == r["block"]]
-        return pa.Table.from_pylist(out, B.PIECE)
-
-    return first
-
-
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -2,29 +2,29 @@
 
 A string of ``LENGTH`` bytes has one anchor: of its ``GRAM``-byte substrings the one of least hash.
 Equal strings have equal anchors at equal places, so only strings around equal anchors need be
-compared. An anchor stands for the strings around it that have it (its context); contexts are about
-130 bytes for every 31 of text.
-
-1. Blocks (ranges of the key) send the distinct (anchor, context) hashes of their anchors, packed by
-   slice. A slice answers for each: an earlier block has this very context; the anchor has several
-   contexts. Of equal contexts all but the first are repeats from end to end, and need no more.
-2. Of anchors with several contexts each distinct context is sent once, with its bytes. A slice
-   sorts the suffixes that begin at its anchors (a suffix array of the anchors), takes the common
-   prefixes of neighbours, and scans them with a stack: every interval is a group of suffixes with
-   one longest common prefix. In each interval the strings before the anchors are sorted from the
-   anchor leftwards and scanned the same way, which finds where left extensions begin to differ.
+compared. An anchor stands for the strings around it that have it (its context).
+
+1. Blocks of documents tell how many contexts each of their anchors has; the sum over the table comes
+   back. Anchors with one context in all are done with: nothing else in the table is like them.
+2. Every other context is sent once by each block, with its bytes, to the range that its anchor is in.
+   Equal contexts of one block are combined before, by their bytes.
+3. A range sorts the suffixes that begin at its anchors (a suffix array of the anchors), takes the
+   common prefixes of neighbours, and scans them with a stack: every interval is a group of suffixes
+   with one longest common prefix. In each interval the strings before the anchors are sorted from
+   the anchor leftwards and scanned the same way, which finds where left extensions begin to differ.
    An interval that differs on both sides is a maximal repeat, with all its occurrences.
-3. Anchors with very many contexts (a common line in many surroundings) would crowd one task. Their
-   strings are compared as keys instead: each block sends every distinct one once, by slice of the
-   key range, so that they spread, and learns which of them an earlier block has.
 
-All occurrences of a repeat but the first, by block and place, are removed.
+Anchors with many contexts (a common line in many surroundings) would crowd one range. They are split:
+the distances from a string's start to its anchor are cut into parts, the finer the more contexts
+there are, and the contexts are dealt for each part by all the bytes that the strings of that part
+have in common: a longer prefix of the suffix from the anchor, and some of the bytes before it. Each
+part goes through the same suffix array and intervals, over the bytes that its strings have.
+
+All occurrences of a repeat but the first, by document and place, are removed.
 """
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -32,18 +32,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import blocks as B
-from rasterloom.llm.common import binary_parts, mix64, table
+from rasterloom.llm.common import binary_parts, mix64, size_of, table
 from rasterloom.llm.grams import base, prefix_hash, runs_of_texts, span_hash
-from rasterloom.llm.substring_dedup import first_blocks
 
 U = np.uint64
 LENGTH, GRAM = 100, 40
 SPREAD = LENGTH - GRAM  # an anchor begins 0 to SPREAD bytes after its string
-H_BITS = KEY_BITS = 48
-#: Contexts of one anchor in a block, and in all, from which its strings are compared as keys.
-LOCAL_MOST, MOST = 16, 2048
+H_BITS = 48
+#: Contexts of one anchor (as the blocks count them) from which on its distances are cut into parts.
+CROWD = 4096
 RUN = 1 << 18
-EARLIER, DIVERSE, CROWDED = 1, 2, 4
+#: Bytes kept for what follows and what precedes an anchor: whole 8-byte words.
+RIGHT, LEFT = 104, 64
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -60,13 +60,9 @@ class Anchors:
     """Anchors of a block of texts in order: place, first and last string start, hash, context hash, and string keys."""
 
     def __init__(self, t: pa.Table):
-        keys = t.column("k").to_pylist()
-        if None in keys or len(set(keys)) < len(keys):  # ties are ordered by text, the same in every pass
-            texts = t.column("t").to_pylist()
-            order = sorted(range(len(keys)), key=lambda i: (keys[i] is None, keys[i] or 0, texts[i]))
-        else:
-            order = np.argsort(np.array(keys, np.int64), kind="stable")
-        t = t.take(pa.array(order))
+        doc, th = B.ordered_keys(t.column("k")), t.column("th").to_numpy().view(U)
+        order = np.lexsort((th, doc))
+        t, self.doc, self.th = t.take(pa.array(order)), doc[order], th[order]
         self.keys = t.column("k")
         self.raw, self.offsets = binary_parts(t.column("t"))
         got = [self._run(i, j) for i, j in runs_of_texts(self.offsets, RUN)]
@@ -106,152 +102,90 @@ class Anchors:
         f = np.where(f == 0, U(1), f)
         return at + lo, first + lo, last + lo, grams[at] >> U(64 - H_BITS), f
 
-    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct (anchor, context) pairs in order, each anchor's pair, each pair's first anchor, and which pairs crowd here."""
-        order = np.lexsort((self.f, self.h))
-        h, f = self.h[order], self.f[order]
-        new = np.ones(len(h), bool)
-        new[1:] = (h[1:] != h[:-1]) | (f[1:] != f[:-1])
-        lead = np.flatnonzero(new)
-        of = np.empty(len(h), np.int64)
-        of[order] = np.cumsum(new) - 1
-        ph, pf = h[lead], f[lead]
-        head = np.ones(len(ph), bool)
-        head[1:] = ph[1:] != ph[:-1]
-        many = np.diff(np.append(np.flatnonzero(head), len(ph)))
-        crowd = np.repeat(many > LOCAL_MOST, many)
-        return ph, pf, of, order[lead] if len(lead) else lead, crowd
-
-    def strings(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and two-part key of every string of these anchors, in order of starts."""
-        starts, k1, k2 = [], [], []
-        for i, j in runs_of_texts(self.offsets, RUN):
-            lo, hi = self.offsets[i], self.offsets[j]
-            own = which[(self.first[which] >= lo) & (self.first[which] < hi)]
-            if len(own):
-                many = self.last[own] - self.first[own] + 1
-                s = np.repeat(self.first[own] - (np.cumsum(many) - many), many) + np.arange(int(many.sum())) - lo
-                a, b = (mix64(span_hash(self._hash(i, j, seed), s, s + LENGTH, seed), 30 + seed) for seed in (0, 1))
-                starts.append(s + lo)
-                k1.append(a >> U(64 - KEY_BITS))
-                k2.append((b >> U(32)).astype(np.uint32))
-        cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return cat(starts, np.int64), cat(k1, U), cat(k2, np.uint32)
-
-
-ROW = pa.schema([("kind", pa.int32()), ("slice", pa.int32()), ("block", pa.int32()), ("x", pa.binary()), ("y", pa.binary()), ("z", pa.binary())])
-ROW_SQL = "kind int, slice int, block int, x binary, y binary, z binary"
-PAIRS, CONTEXTS, STRINGS = 0, 1, 2
-
-
-def sent_pairs(a: Anchors) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The pairs a block sends (a crowded anchor once, with context 0), and for each of its pairs which one speaks for it."""
-    h, f, _, _, crowd = a.pairs()
-    head = np.ones(len(h), bool)
-    head[1:] = h[1:] != h[:-1]
-    send = ~crowd | head
-    speaks = np.cumsum(send) - 1
-    return h[send], np.where(crowd, U(0), f)[send], speaks, crowd
-
-
-def _pairs(t: pa.Table, slices: int) -> pa.Table:
-    h, f, _, _ = sent_pairs(Anchors(t))
-    edges, out, block = B.slice_edges(H_BITS, slices), [], t.column("block")[0].as_py()
-    cut = np.searchsorted(h, edges)
-    for s in range(slices):
-        i, j = int(cut[s]), int(cut[s + 1])
-        if i < j:
-            out.append({"kind": PAIRS, "slice": s, "block": block, "x": B.pack(h[i:j] - edges[s]), "y": f[i:j].tobytes(), "z": b""})
-    return pa.Table.from_pylist(out, ROW)
-
-
-def _status(t: pa.Table) -> pa.Table:
-    """One slice of pairs: a byte for each pair sent, of EARLIER, DIVERSE and CROWDED."""
-    rows = sorted(t.to_pylist(), key=lambda r: r["block"])
-    hs = [B.unpack(r["x"]) for r in rows]
-    sizes = np.array([len(x) for x in hs])
-    h, f = np.concatenate(hs), np.concatenate([np.frombuffer(r["y"], U) for r in rows])
-    order = np.lexsort((f, h))  # stable: equal pairs stay in the order of their blocks
-    sh, sf = h[order], f[order]
-    same_h, same = np.zeros(len(h), bool), np.zeros(len(h), bool)
-    same_h[1:] = sh[1:] == sh[:-1]
-    same[1:] = same_h[1:] & (sf[1:] == sf[:-1])
-    head = np.flatnonzero(~same_h)
-    many = np.add.reduceat((~same).astype(np.int64), head)
-    crowded = (many > MOST) | np.logical_or.reduceat(sf == 0, head)
-    size = np.diff(np.append(head, len(h)))
-    state = np.where(same & (sf != 0), EARLIER, 0) | np.repeat(np.where(crowded, CROWDED, np.where(many > 1, DIVERSE, 0)), size)
-    told = np.empty(len(h), np.uint8)
-    told[order] = state
-    at, out = np.concatenate([[0], np.cumsum(sizes)]), []
-    for i, r in enumerate(rows):
-        own = told[at[i] : at[i + 1]]
-        if own.any():
-            out.append({"kind": PAIRS, "slice": r["slice"], "block": r["block"], "x": zlib.compress(own.tobytes(), 1), "y": b"", "z": b""})
-    return pa.Table.from_pylist(out, ROW)
-
-
-class Told:
-    """What a block knows after the first exchange: repeats from end to end, contexts to compare, crowded anchors."""
-
-    def __init__(self, a: Anchors, said: pa.Table, slices: int):
-        h, _, speaks, crowd = sent_pairs(a)
-        _, _, of, lead, _ = a.pairs()
-        state = np.zeros(len(h), np.uint8)
-        cut = np.searchsorted(h, B.slice_edges(H_BITS, slices))
-        for r in said.filter(pc.equal(said.column("kind"), PAIRS)).to_pylist():
-            state[cut[r["slice"]] : cut[r["slice"] + 1]] = np.frombuffer(zlib.decompress(r["x"]), np.uint8)
-        own = state[speaks] if len(speaks) else np.zeros(0, np.uint8)
-        first = np.zeros(len(a.h), bool)
-        first[lead] = True
-        own = own[of] if len(of) else own
-        self.whole = ~first | (own & EARLIER > 0)
-        self.compare = np.flatnonzero(~self.whole & (own & DIVERSE > 0))
-        self.crowded = np.flatnonzero(~self.whole & (own & CROWDED > 0))
-
-
-def distinct_strings(k1: np.ndarray, k2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order, each string's key, and whether it is the first of its key here."""
-    order = np.lexsort((k2, k1))  # stable: the first is the one that starts first
-    a, b = k1[order], k2[order]
-    new = np.ones(len(a), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    of = np.empty(len(a), np.int64)
-    of[order] = np.cumsum(new) - 1
-    first = np.zeros(len(a), bool)
-    first[order[new]] = True
-    return a[new], b[new], of, first
-
-
-def _contexts(docs: pa.Table, said: pa.Table, slices: int) -> pa.Table:
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The anchors that are first of their context, in order of anchor hash, and which of all anchors repeat a context before them."""
+        order = np.lexsort((self.f, self.h))  # stable: the first of equal ones comes first in the text
+        again = ~B.firsts(self.h[order], self.f[order])
+        again[again] = self._equal(order[1:][again[1:]], order[:-1][again[1:]])
+        whole = np.zeros(len(order), bool)
+        whole[order] = again
+        return order[~again], whole
+
+    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the contexts of these anchors have the same bytes as those of the others, which have the same lengths."""
+        out = np.ones(len(a), bool)
+        for i in range(0, len(a), 1 << 15):
+            x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
+            size = self.last[x] + LENGTH - self.first[x]
+            step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+            same = self.raw[np.repeat(self.first[x], size) + step] == self.raw[np.repeat(self.first[y], size) + step]
+            out[i : i + len(x)] = np.logical_and.reduceat(same, np.cumsum(size) - size) if len(x) else out[:0]
+        return out
+
+    def parts(self, which: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each part of each of these anchors' contexts: the anchor, the part's least and greatest distance here, and its key."""
+        many = np.where(total > CROWD, np.minimum(2 ** np.ceil(np.log2(np.maximum(total, 1) / CROWD)), SPREAD + 1), 1).astype(np.int64)
+        own = np.repeat(which, many)
+        parts = np.repeat(many, many)
+        part = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
+        lo, hi = part * (SPREAD + 1) // parts, (part + 1) * (SPREAD + 1) // parts - 1
+        a, b = np.maximum(lo, self.at[own] - self.last[own]), np.minimum(hi, self.at[own] - self.first[own])
+        key = self.h[own].copy()
+        cut = np.flatnonzero((parts > 1) & (a <= b))
+        if len(cut):
+            start, end = self.at[own[cut]] - lo[cut], self.at[own[cut]] + LENGTH - hi[cut]
+            for i, j in runs_of_texts(self.offsets, RUN):
+                at = np.flatnonzero((start >= self.offsets[i]) & (start < self.offsets[j]))
+                h = span_hash(self._hash(i, j, 0), start[at] - self.offsets[i], end[at] - self.offsets[i], 0)
+                key[cut[at]] = mix64(h ^ (parts[cut[at]] * 64 + part[cut[at]]).astype(U), 31) >> U(64 - H_BITS)
+        some = a <= b
+        return own[some], a[some], b[some], key[some]
+
+    def records(self, own: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """Records of parts: document, place, and the bytes after and before the anchor that strings at these distances have."""
+        out = np.zeros(len(own), Contexts.dtype)
+        text = np.searchsorted(self.offsets, self.at[own], "right") - 1
+        out["doc"], out["th"], out["at"] = self.doc[text], self.th[text], self.at[own] - self.offsets[text]
+        out["nr"], out["nl"] = LENGTH - lo, hi
+        padded = np.concatenate([np.zeros(LEFT, np.uint8), self.raw, np.zeros(RIGHT, np.uint8)])
+        for i in range(0, len(own), 1 << 15):
+            r, at = out[i : i + (1 << 15)], self.at[own[i : i + (1 << 15)], None]
+            # Bytes are raised by one (modulo 256, 255 does not occur in UTF-8), so that 0 is none.
+            r["right"] = np.where(np.arange(RIGHT) < r["nr"][:, None], padded[LEFT + at + np.arange(RIGHT)] + np.uint8(1), 0)
+            r["left"] = np.where(np.arange(LEFT) < r["nl"][:, None], padded[LEFT - 1 + at - np.arange(LEFT)] + np.uint8(1), 0)
+        return out
+
+
+def _tell(t: pa.Table, ways: B.Ways) -> pa.Table:
+    a = Anchors(t)
+    h, many = B.counted(a.h[a.contexts()[0]])
+    return ways.send(0, t.column("block")[0].as_py(), h, lambda i, j: TOTALS.pack(many[i:j]))
+
+
+class Sent:
+    """What a block knows after the first exchange: anchors that repeat a context before them, and the parts it sends, in order of keys."""
+
+    def __init__(self, a: Anchors, said: pa.Table, ways: B.Ways):
+        lead, self.whole = a.contexts()
+        h, _ = B.counted(a.h[lead])
+        total = B.read_answers(said, h, ways, 0, 0, TOTALS)[np.searchsorted(h, a.h[lead])] if len(lead) else np.zeros(0, np.uint32)
+        self.own, self.lo, self.hi, self.key = a.parts(lead[total > 1], total[total > 1].astype(np.int64))
+        order = np.argsort(self.key, kind="stable")
+        self.own, self.lo, self.hi, self.key = (x[order] for x in (self.own, self.lo, self.hi, self.key))
+
+
+def _contexts(docs: pa.Table, said: pa.Table, ways: B.Ways, to: B.Ways) -> pa.Table:
     if not len(docs):
-        return ROW.empty_table()
-    a, block, out = Anchors(docs), docs.column("block")[0].as_py(), []
-    told = Told(a, said, slices)
-    own = told.compare[np.argsort(a.h[told.compare], kind="stable")]
-    cut = np.searchsorted(a.h[own], B.slice_edges(H_BITS, slices))
-    for s in range(slices):
-        some = own[cut[s] : cut[s + 1]]
-        if len(some):
-            about = np.stack([some, a.h[some].astype(np.int64), a.at[some] - a.first[some], a.last[some] - a.first[some]], axis=1)
-            size = a.last[some] + LENGTH - a.first[some]
-            where = np.repeat(a.first[some] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
-            out.append({"kind": CONTEXTS, "slice": s, "block": block, "x": about.astype(np.int64).tobytes(), "y": a.raw[where].tobytes(), "z": b""})
-    _, k1, k2 = a.strings(told.crowded)
-    k1, k2, _, _ = distinct_strings(k1, k2)
-    edges = B.slice_edges(KEY_BITS, slices)
-    cut = np.searchsorted(k1, edges)
-    for s in range(slices):
-        i, j = int(cut[s]), int(cut[s + 1])
-        if i < j:
-            out.append({"kind": STRINGS, "slice": s, "block": block, "x": B.pack(k1[i:j] - edges[s]), "y": k2[i:j].tobytes(), "z": b""})
-    return pa.Table.from_pylist(out, ROW)
-
-
-def sort_rows(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Order of byte rows (their length a multiple of 8) within equal ``first``."""
-    words = rows.view(">u8").astype(U)
-    return np.lexsort((*(words[:, c] for c in reversed(range(words.shape[1]))), first))
+        return B.PIECE.empty_table()
+    a = Anchors(docs)
+    s = Sent(a, said, ways)
+    return to.send(0, docs.column("block")[0].as_py(), s.key, lambda i, j: a.records(s.own[i:j], s.lo[i:j], s.hi[i:j]).tobytes())
+
+
+def words_of(rows: np.ndarray) -> list[np.ndarray]:
+    """Byte rows (their length a multiple of 8) as numbers that sort like them, the last column first."""
+    words = np.ascontiguousarray(rows).view(">u8").astype(U)
+    return [words[:, c] for c in reversed(range(words.shape[1]))]
 
 
 def neighbours_common(rows: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -285,112 +219,91 @@ def range_mask(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return np.where(hi >= lo, ((U(1) << width) - U(1)) << np.clip(lo, 0, 63).astype(U), U(0))
 
 
-def maximal_repeats(h: np.ndarray, right: np.ndarray, right_size: np.ndarray, left: np.ndarray, left_size: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """For each anchor a bit for each distance (0 to SPREAD) of a string's start before it that an earlier anchor's string equals.
-
-    ``right`` holds the bytes from the anchor on, ``left`` those before it from right to left, both
-    raised by one and filled with zeros; ``rank`` orders the anchors by place.
-    """
-    n = len(h)
-    gone = np.zeros(n, U)
-    order = sort_rows(right, h)
-    h, right, right_size, left, left_size, rank = (x[order] for x in (h, right, right_size, left, left_size, rank))
-    same = h[1:] == h[:-1]
-    common = np.where(same, neighbours_common(right, right_size), -1)
-    beside = neighbours_common(left, left_size)  # how far neighbours agree to the left
+def maximal_repeats(keys: np.ndarray, c: np.ndarray):
+    """Maximal repeats among contexts that are sorted by key and suffix: (members, bytes before the anchor, bytes from it on)."""
+    right, nr, left, nl = c["right"], c["nr"].astype(np.int64), c["left"], c["nl"].astype(np.int64)
+    common = np.where(keys[1:] == keys[:-1], neighbours_common(right, nr), -1)
     first, last, length = (np.array(x, np.int64) for x in common_prefix_intervals(common, GRAM))
     # Pairs, the most frequent intervals, all at once.
+    beside = neighbours_common(left, nl)
     two = np.flatnonzero(last - first == 1)
-    i, size = first[two], length[two]
-    later = np.where(rank[i] > rank[i + 1], i, i + 1)
-    np.bitwise_or.at(gone, later, range_mask(LENGTH - size, beside[i]))
+    ok = two[beside[first[two]] >= LENGTH - length[two]]
+    pairs = np.stack([first[ok], first[ok] + 1], axis=1)
     wide = np.flatnonzero(last - first > 1)
+    groups = []
     if len(wide):
-        by_left = np.empty(n, np.int64)
-        by_left[sort_rows(left, np.zeros(n, np.int64))] = np.arange(n)
+        by_left = np.empty(len(c), np.int64)
+        by_left[np.lexsort(words_of(left))] = np.arange(len(c))
     for w in wide.tolist():
         i, j, size = int(first[w]), int(last[w]) + 1, int(length[w])
         own = i + np.argsort(by_left[i:j])
-        agree = neighbours_common(left[own], left_size[own])
+        agree = neighbours_common(left[own], nl[own])
         if not (agree >= LENGTH - size).any():
             continue
         # The child of the interval that each suffix is in: with all in one, the repeat goes on to the right.
         child = np.concatenate([[0], np.cumsum(common[i : j - 1] == size)])[own - i]
         for p, q, m in zip(*common_prefix_intervals(agree, max(0, LENGTH - size)), strict=True):
-            some = own[p : q + 1]
-            kids = child[p : q + 1]
-            if (kids == kids[0]).all():
-                continue
-            mask = range_mask(np.array(LENGTH - size), np.array(m))
-            gone[some[rank[some] != rank[some].min()]] |= mask
-    out = np.zeros(n, U)
-    out[order] = gone
-    return out
-
-
-def _compare(t: pa.Table) -> pa.Table:
-    """One slice of contexts (answers anchors with bits of repeated strings) or of string keys (a bit each: an earlier block has it)."""
-    if t.column("kind")[0].as_py() == STRINGS:
-        got = first_blocks(t.select(["slice", "block", "x", "y"]).rename_columns(["slice", "block", "cells", "n"]))
-        return pa.Table.from_pylist([{"kind": STRINGS, "slice": r["slice"], "block": r["block"], "x": r["cells"], "y": b"", "z": b""} for r in got.to_pylist()], ROW)
-    rows = sorted(t.to_pylist(), key=lambda r: r["block"])
-    about = np.concatenate([np.frombuffer(r["x"], np.int64).reshape(-1, 4) for r in rows])
-    many = [len(r["x"]) // 32 for r in rows]
-    block = np.repeat(np.arange(len(rows)), many)
-    raw = np.frombuffer(b"".join(r["y"] for r in rows), np.uint8)
-    before, size = about[:, 2], about[:, 3] + LENGTH
-    begin = np.cumsum(size) - size
-    at = begin + before
-    n = len(about)
-    right_size, left_size = size - before, before
-    right, left = np.zeros((n, 104), np.uint8), np.zeros((n, 64), np.uint8)
-    padded = np.concatenate([np.zeros(64, np.uint8), raw + np.uint8(1), np.zeros(104, np.uint8)])
-    right[:] = np.where(np.arange(104) < right_size[:, None], padded[64 + at[:, None] + np.arange(104)], 0)
-    left[:] = np.where(np.arange(64) < left_size[:, None], padded[63 + at[:, None] - np.arange(64)], 0)
-    rank = np.empty(n, np.int64)
-    rank[np.lexsort((about[:, 0], block))] = np.arange(n)
-    gone = maximal_repeats(about[:, 1], right, right_size, left, left_size, rank)
-    out = []
-    for b, r in enumerate(rows):
-        own = (block == b) & (gone > 0)
-        if own.any():
-            out.append({"kind": CONTEXTS, "slice": r["slice"], "block": r["block"], "x": about[own, 0].astype(np.int64).tobytes(), "y": gone[own].tobytes(), "z": b""})
-    return pa.Table.from_pylist(out, ROW)
+            if (child[p : q + 1] != child[p]).any():
+                groups.append((own[p : q + 1], m, size))
+    return pairs, beside[first[ok]], length[ok], groups
+
+
+class Contexts(B.Records):
+    """Contexts by the range of their keys; the answer has a bit for each distance of a string that the table has earlier."""
+
+    answer = np.dtype(np.uint64)
+    dtype = np.dtype([("doc", "u8"), ("th", "u8"), ("at", "u8"), ("right", "u1", RIGHT), ("left", "u1", LEFT), ("nr", "u1"), ("nl", "u1")])
+
+    def merge(self, keys: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        right, left = words_of(own["right"]), words_of(own["left"])
+        order = np.lexsort((own["at"], own["th"], own["doc"], *left, *right, keys))
+        new = B.firsts(keys[order], *(x[order] for x in (*right, *left)))
+        of = np.empty(len(keys), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return keys[order][new], own[order][new], of
+
+    def decide(self, keys: np.ndarray, c: np.ndarray) -> np.ndarray:
+        rank = np.empty(len(c), np.int64)
+        rank[np.lexsort((c["at"], c["th"], c["doc"]))] = np.arange(len(c))
+        gone = np.zeros(len(c), U)
+        pairs, before, after, groups = maximal_repeats(keys, c)
+        if len(pairs):
+            later = pairs[np.arange(len(pairs)), np.argmax(rank[pairs], axis=1)]
+            np.bitwise_or.at(gone, later, range_mask(LENGTH - after, before))
+        for some, m, size in groups:
+            gone[some[rank[some] != rank[some].min()]] |= range_mask(np.array(LENGTH - size), np.array(m))
+        return gone
+
+    def spread(self, said: np.ndarray, of: np.ndarray, own: np.ndarray, merged: np.ndarray) -> np.ndarray:
+        m = merged[of]
+        first = (own["doc"] == m["doc"]) & (own["th"] == m["th"]) & (own["at"] == m["at"])
+        return np.where(first, said[of], range_mask(LENGTH - own["nr"].astype(np.int64), own["nl"].astype(np.int64)))
+
+
+TOTALS, CONTEXTS = B.Counts(1 << 31), Contexts()
 
 
 OUT = pa.schema([("k", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.binary())])
 
 
-def _remove(docs: pa.Table, said: pa.Table, slices: int) -> pa.Table:
+def _remove(docs: pa.Table, said: pa.Table, ways: B.Ways, to: B.Ways) -> pa.Table:
     if not len(docs):
         return OUT.empty_table()
     a = Anchors(docs)
-    told = Told(a, said, slices)
+    second = pc.equal(said.column("n"), pa.scalar(b"contexts"))
+    s = Sent(a, said.filter(pc.invert(second)), ways)
+    bits = B.read_answers(said.filter(second), s.key, to, 0, 0, CONTEXTS)
     cover = np.zeros(len(a.raw) + 1, np.int32)
 
     def mark(starts: np.ndarray, ends: np.ndarray) -> None:
         np.add.at(cover, starts, 1)
         np.add.at(cover, ends, -1)
 
-    mark(a.first[told.whole], a.last[told.whole] + LENGTH)
-    kind = said.column("kind")
-    for r in said.filter(pc.equal(kind, CONTEXTS)).to_pylist():
-        which, bits = np.frombuffer(r["x"], np.int64), np.frombuffer(r["y"], U)
-        set_ = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        row, distance = np.nonzero(set_)
-        start = a.at[which[row]] - distance
-        ok = (start >= a.first[which[row]]) & (start <= a.last[which[row]])
-        mark(start[ok], start[ok] + LENGTH)
-    if len(told.crowded):
-        starts, k1, k2 = a.strings(told.crowded)
-        d1, _, of, first = distinct_strings(k1, k2)
-        earlier = np.zeros(len(d1), bool)
-        cut = np.searchsorted(d1, B.slice_edges(KEY_BITS, slices))
-        for r in said.filter(pc.equal(kind, STRINGS)).to_pylist():
-            i, j = int(cut[r["slice"]]), int(cut[r["slice"] + 1])
-            earlier[i:j] = np.unpackbits(np.frombuffer(r["x"], np.uint8), count=j - i).astype(bool)
-        s = starts[earlier[of] | ~first]
-        mark(s, s + LENGTH)
+    mark(a.first[s.whole], a.last[s.whole] + LENGTH)
+    some = np.flatnonzero(bits)
+    row, distance = np.nonzero(np.unpackbits(bits[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+    start = a.at[s.own[some[row]]] - distance
+    mark(start, start + LENGTH)
     gone = np.cumsum(cover[:-1]) > 0
     removed = np.concatenate([[0], np.cumsum(gone)])[a.offsets]
     begins = gone.copy()
@@ -412,16 +325,16 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     all others, by hash and text; rows with one key are ordered by text, equal ones arbitrarily. An
     empty table gives no rows; other columns are ignored.
     """
-    ranged = B.key_ranges(docs, text, key)
-    rows = ranged.rows
-    slices = max(1, ranged.n_bytes // (4 << 20), min(32, ranged.n_bytes >> 18))
-    by = rows.groupBy("block")
-    pairs = by.applyInArrow(lambda t: _pairs(t, slices), ROW_SQL)
-    status = pairs.groupBy("slice").applyInArrow(_status, ROW_SQL)
-    sent = by.cogroup(status.groupBy("block")).applyInArrow(lambda a, b: _contexts(a, b, slices), ROW_SQL)
-    compared = sent.groupBy("kind", "slice").applyInArrow(_compare, ROW_SQL)
-    out = by.cogroup(status.unionByName(compared).groupBy("block")).applyInArrow(
-        lambda a, b: _remove(a, b, slices), "k long, n_bytes long, n_removed long, n_spans long, kept binary"
+    _, n_bytes = size_of(docs, text)
+    blocks = B.block_count(n_bytes)
+    ways = B.Ways.of(blocks, H_BITS, n_bytes // 31)
+    to = B.Ways.of(blocks, H_BITS, n_bytes // 60, range_items=1 << 17)
+    by = B.blocked(docs, n_bytes, text, key).withColumn("th", F.xxhash64("t")).groupBy("block")
+    said = B.exchanged(by.applyInArrow(lambda t: _tell(t, ways), B.PIECE_SQL), ways, TOTALS).withColumnRenamed("sender", "block")
+    sent = by.cogroup(said.groupBy("block")).applyInArrow(lambda a, b: _contexts(a, b, ways, to), B.PIECE_SQL)
+    told = B.exchanged(sent, to, CONTEXTS).withColumnRenamed("sender", "block").withColumn("n", F.lit(b"contexts"))
+    out = by.cogroup(said.unionByName(told).groupBy("block")).applyInArrow(
+        lambda a, b: _remove(a, b, ways, to), "k long, n_bytes long, n_removed long, n_spans long, kept binary"
     )
     return out.withColumnRenamed("k", key)
 

@@ -11,11 +11,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import blocks
+from rasterloom.llm import jaccard_join as jj
+from rasterloom.llm import suffix_dedup as sd
 from rasterloom.llm.bpe import bpe_encode
 from rasterloom.llm.chat import chat_examples, read_back, read_turns
 from rasterloom.llm.components import components
 from rasterloom.llm.exact_dedup import exact_dedup
-from rasterloom.llm.jaccard_join import jaccard_join, light_boundary, need
+from rasterloom.llm.jaccard_join import jaccard_join, light_boundary, need, size_classes
 from rasterloom.llm.media import BadOgg, lacing_of, page_checksum, read_media, read_ogg, read_samples, ogg_column, stream_pages, write_ogg
 from rasterloom.llm.packing import best_fit, best_fit_packing
 from rasterloom.llm.quality import AttentionMil, bags, keep_quality, score, train
@@ -182,6 +184,37 @@ def test_suffix_dedup_with_one_crowded_block(docs):
     assert got == brute_bytes(list(enumerate(texts)))
 
 
+@pytest.fixture
+def levels(monkeypatch):
+    """Thirteen blocks, three of which meet in a node: answers go through three levels."""
+    monkeypatch.setattr(blocks, "block_count", lambda n: 13)
+    of = blocks.Ways.of
+    monkeypatch.setattr(blocks.Ways, "of", staticmethod(lambda *a, **k: of(*a, **k | {"fan": 3})))
+
+
+def test_levels_give_the_same(docs, levels):
+    rows = list(enumerate(TEXTS))
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup(docs).collect()} == brute_windows(rows)
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(docs).collect()} == brute_bytes(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join(docs).collect()} == brute_links(rows, 4, 85)
+
+
+def test_pieces_stay_in_proportion():
+    """Packed pieces for each block are bounded at any size, in all three exchanges."""
+    for n in (10**9, 10**12, 10**13, 10**14, 10**15):
+        for bits, items, each in ((48, n // 12, blocks.RANGE_ITEMS), (50, n // 2, blocks.RANGE_ITEMS), (48, n // 60, 1 << 17)):
+            w = blocks.Ways.of(blocks.block_count(n), bits, items, range_items=each)
+            assert w.pieces() <= 8000 * w.blocks and w.nodes(len(w.fans) - 1) <= 100 * w.blocks + 256
+
+
+@pytest.mark.parametrize("crowd", [1, 4, 30])
+def test_crowded_anchors_are_split(docs, many_blocks, monkeypatch, crowd):
+    """However finely the distances of crowded anchors are cut, the same bytes go."""
+    monkeypatch.setattr(sd, "CROWD", crowd)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(docs).collect()}
+    assert got == brute_bytes(list(enumerate(TEXTS)))
+
+
 def brute_links(rows, n, percent):
     sets = {}
     for i, t in rows:
@@ -218,7 +251,29 @@ def test_jaccard_join_edges(empty, odd):
 
 def test_light_boundary_follows_cost():
     assert need(85, 13, 13) == 12 and need(85, 12, 13) == 12
-    assert 1 <= light_boundary({s: 100 for s in range(1, 33)}, 85) <= 16
+    short = {s: (100, 200) for s in range(1, 33)}  # lists of two: scanning them is cheap
+    long = {s: (100, 100 * 50_000) for s in range(1, 33)}  # lists of very common shingles
+    assert light_boundary(short, 85) < light_boundary(long, 85) and light_boundary(long, 85) > 16
+    assert light_boundary({}, 85) == 1
+
+
+def test_size_classes_hold_all_partners():
+    for percent in (60, 80, 85, 100):
+        starts = size_classes(percent, 500)
+        of = lambda n: sum(n >= s for s in starts[1:])
+        assert all(of(m) - of(n) in (0, 1) for n in range(1, 400) for m in range(n, 100 * n // percent + 1))
+
+
+def test_jaccard_join_by_subsets(spark, monkeypatch):
+    """Sets of few common words: all their links come from subsets, none from lists."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.permutation(list("abcdefghij"))[: rng.integers(3, 8)]) for _ in range(60)]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(jj, "light_boundary", lambda sizes, percent: seen.append(max(sizes) + 1) or seen[-1])
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in jaccard_join(d, 1, 70).collect()}
+    want = brute_links(list(enumerate(texts)), 1, 70)
+    assert got == want and seen and sum(w[2] for w in want.values()) > 60
 
 
 def test_components(spark):
