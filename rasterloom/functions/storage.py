@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Rows of a range of a numbering, about.
+RANGE_ROWS = 1_000_000
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, which driver and executors share.
+
+    Where it is unset, a local session (tests) gets one of its own; a cluster's executors would not
+    see the driver's folders, so there it must be set.
+    """
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = tempfile.mkdtemp(prefix="shared-", dir="/tmp")
+        spark.conf.set("spark.checkpoint.dir", at)
+    return at.rstrip("/")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the folder that spark.checkpoint.dir names, and read back; to one of our own only where that is unset (tests).
+    """``df`` written as Parquet to the shared folder, and read back.
 
     Unlike checkpoint(), this also drops the constraints that the optimizer has derived for the plan,
     which grow from round to round in loops.
     """
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="checkpoint-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
-    path = f"{at.rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -31,8 +47,9 @@ def in_ranges(df: DataFrame, order: list[str], part: str = "_p") -> DataFrame:
     The result is checkpointed: the borders of ranges come from a sample, which another run of the
     same plan may draw differently, and everything that uses the numbers must see one deal.
     """
-    n = max(1, df.sparkSession.sparkContext.defaultParallelism)
-    return checkpointed(df.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
+    rows = checkpointed(df)
+    n = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / RANGE_ROWS))
+    return checkpointed(rows.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
 
 
 def before(df: DataFrame, total: Column, name: str, part: str = "_p") -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from rasterloom.functions.storage import shared_folder
 from rasterloom.operators.evaluation import evaluate_split
 from rasterloom.plans import fixtures as fx
 from rasterloom.plans.evaluation import METRICS, rounded
@@ -15,11 +15,7 @@ from rasterloom.streaming import series as st
 
 
 def folder(spark) -> str:
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="sources-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return f"{at.rstrip('/')}/files-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def corpus_files(spark, d):
