@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.functions.storage import shared_folder
+
 #: Words everywhere in this subpackage: runs of bytes other than space and 0x09 to 0x0D.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -17,18 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, which ``spark.checkpoint.dir`` names. There is no other: executors do not see the driver's folders."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return at.rstrip("/")
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read back, which cuts its lineage."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,7 +6,9 @@ Equal texts meet in three steps, none of which needs all rows of a group in one
 2. the salted digest groups are merged, so that one hot text is spread over ``salts`` tasks;
 3. the winners of the salts, at most ``salts`` rows a text, are combined for good.
 
-Every step groups by the text beside its digest, so two texts with one digest stay apart.
+Every step groups by the text beside its digest, so two texts with one digest stay apart. The winners
+go back to the rows by a join that broadcasts the heaviest digests, a fixed number, so that a hot
+text's rows stay spread there too.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.common import stored, table
+from rasterloom.llm.common import join_hot, stored, table
 
 SALTS = 16
 
@@ -44,7 +46,7 @@ def exact_dedup(
     groups = salted.select("h", "t", "k", "n").repartition("h").groupBy("h", "t").agg(F.max("k").alias("keep"), F.sum("n").alias("n"))
     digests = groups.groupBy("h").agg(F.count(F.lit(1)).alias("texts"), F.max("keep").alias("keep"), F.sum("n").alias("n"))
     shared = stored(digests.where("n > 1"), "exact-groups")
-    found = rows.select("k", "h").join(shared.where("texts = 1").drop("texts"), "h", "left")
+    found = join_hot(rows.select("k", "h"), shared.where("texts = 1").drop("texts"), ["h"], "n", "k")
     clashed = shared.where("texts > 1").select("h")
     if not clashed.isEmpty():  # different texts under one digest: these rows are matched by text too
         some = rows.join(clashed, "h", "left_semi")

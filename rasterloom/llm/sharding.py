@@ -8,7 +8,9 @@ where plain consistent hashing puts them.
 
 Which rows of a cell go where depends only on how many rows each cell has. So the plan is made from
 a histogram of ``CELLS`` counts, a fixed size whatever the input, and the rows are placed by their
-rank in their cell. No Python runs on rows.
+rank in their cell. Ranks are counted in two steps, within the rows of a cell that one task read and
+over the tasks, so no task ranks more rows than it read, even if one key has most of them. No Python
+runs on rows.
 """
 
 from __future__ import annotations
@@ -85,12 +87,17 @@ def ring_shards(docs: DataFrame, shards: int = SHARDS, text: str = "text", key:
         F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
     )
     place = F.xxhash64(F.coalesce(F.col("k").cast("string"), F.concat(F.lit("crc:"), F.col("text_crc32").cast("string"))))
-    rows = stored(rows.withColumn("place", place).withColumn("cell", F.shiftrightunsigned("place", 64 - CELL_BITS).cast("int")), "ring-rows")
-    counts = {r["cell"]: r["n"] for r in rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}  # CELLS rows at most
+    rows = rows.withColumn("cell", F.shiftrightunsigned(place, 64 - CELL_BITS).cast("int")).withColumn("part", F.spark_partition_id())
+    rows = stored(rows, "ring-rows")  # which also settles each row's part
+    sizes = stored(rows.groupBy("cell", "part").agg(F.count(F.lit(1)).alias("n")), "ring-sizes")
+    counts = {r["cell"]: r["n"] for r in sizes.groupBy("cell").agg(F.sum("n").alias("n")).collect()}  # CELLS rows at most
     plan = spark.range(1).select(
         F.inline(F.from_json(F.lit(json.dumps(ring_plan(counts, shards, vnodes))), "array<struct<cell:int,lo:long,hi:long,shard:int,slot0:long>>"))
     )
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("cell").orderBy("place", "k", "text_crc32")).cast("long") - 1)
+    before = F.sum("n").over(Window.partitionBy("cell").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("cell", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("cell", "part").orderBy("k", "text_crc32", "size"))
+    ranked = rows.withColumn("within", within).join(starts, ["cell", "part"]).withColumn("rank", F.col("before") + F.col("within") - 1)
     # The plan has a row a cell and at most one more for each shard and round: its size is bounded by CELLS.
     placed = ranked.join(F.broadcast(plan), ["cell"]).where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     return placed.select(
