@@ -32,7 +32,7 @@ RANGE_ITEMS = 2 << 20
 
 
 def block_count(n_bytes: int) -> int:
-    size = min(64 * MB, max(8 * MB, int(8 * MB * math.sqrt(n_bytes / (4 << 30)))))
+    size = min(64 * MB, max(4 * MB, int(4 * MB * math.sqrt(n_bytes / (1 << 30)))))
     return max(math.ceil(n_bytes / size), min(32, math.ceil(n_bytes / MB)), 1)
 
 

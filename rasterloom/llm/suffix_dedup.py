@@ -114,8 +114,8 @@ class Anchors:
     def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the contexts of these anchors have the same bytes as those of the others, which have the same lengths."""
         out = np.ones(len(a), bool)
-        for i in range(0, len(a), 1 << 15):
-            x, y = a[i : i + (1 << 15)], b[i : i + (1 << 15)]
+        for i in range(0, len(a), 1 << 13):
+            x, y = a[i : i + (1 << 13)], b[i : i + (1 << 13)]
             size = self.last[x] + LENGTH - self.first[x]
             step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
             same = self.raw[np.repeat(self.first[x], size) + step] == self.raw[np.repeat(self.first[y], size) + step]
@@ -148,8 +148,8 @@ class Anchors:
         out["doc"], out["th"], out["at"] = self.doc[text], self.th[text], self.at[own] - self.offsets[text]
         out["nr"], out["nl"] = LENGTH - lo, hi
         padded = np.concatenate([np.zeros(LEFT, np.uint8), self.raw, np.zeros(RIGHT, np.uint8)])
-        for i in range(0, len(own), 1 << 15):
-            r, at = out[i : i + (1 << 15)], self.at[own[i : i + (1 << 15)], None]
+        for i in range(0, len(own), 1 << 13):
+            r, at = out[i : i + (1 << 13)], self.at[own[i : i + (1 << 13)], None]
             # Bytes are raised by one (modulo 256, 255 does not occur in UTF-8), so that 0 is none.
             r["right"] = np.where(np.arange(RIGHT) < r["nr"][:, None], padded[LEFT + at + np.arange(RIGHT)] + np.uint8(1), 0)
             r["left"] = np.where(np.arange(LEFT) < r["nl"][:, None], padded[LEFT - 1 + at - np.arange(LEFT)] + np.uint8(1), 0)
@@ -328,7 +328,7 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     _, n_bytes = size_of(docs, text)
     blocks = B.block_count(n_bytes)
     ways = B.Ways.of(blocks, H_BITS, n_bytes // 31)
-    to = B.Ways.of(blocks, H_BITS, n_bytes // 60, range_items=1 << 17)
+    to = B.Ways.of(blocks, H_BITS, n_bytes // 60, range_items=1 << 16)
     by = B.blocked(docs, n_bytes, text, key).withColumn("th", F.xxhash64("t")).groupBy("block")
     said = B.exchanged(by.applyInArrow(lambda t: _tell(t, ways), B.PIECE_SQL), ways, TOTALS).withColumnRenamed("sender", "block")
     sent = by.cogroup(said.groupBy("block")).applyInArrow(lambda a, b: _contexts(a, b, ways, to), B.PIECE_SQL)
