@@ -1,18 +1,22 @@
 """Quality classifier: attention-based multiple-instance learning over passages.
 
-A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded from the mix of kinds
-of bytes in it, of their neighbours, and of word repeats; gated attention (a tanh branch times a
-sigmoid branch) weighs the passages; the weighted sum is the document's representation, which a
-logistic output scores. Only document labels are used to learn all of it, so attention finds by
-itself which passages decide.
-
-The model is fitted on a bounded sample of labelled documents on the driver; scoring is a map over
-whole texts. Neither language, source, key nor label is an input of a score.
+A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded from its words and its
+byte trigrams, hashed to rows of a learned embedding, and from the mix of kinds of bytes in it, of
+their neighbours, and of word repeats; gated attention (a tanh branch times a sigmoid branch) weighs
+the passages; the weighted sum is the document's representation, which a logistic output scores. Only
+document labels are used to learn all of it, so attention finds by itself which passages decide.
+
+The model is fitted on the driver, on a sample that is bounded in bytes: ``MOST_TRAINED`` labelled
+documents (those with the least hash of their key), of each ``TRAIN_PASSAGES`` passages, of each
+``TRAIN_GRAMS`` trigrams at most, drawn at random. Scoring is a map over whole texts. Neither language,
+source, key nor label is an input of a score.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,16 +24,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm.common import binary_parts, table
-from rasterloom.llm.grams import runs_of_texts, word_hashes, words
+from rasterloom.llm.grams import lower_ascii, runs_of_texts, word_hashes, words
 
 PASSAGE = 64
 THRESHOLD = 0.3
 #: Labelled documents that the model is fitted on at most: those with the least hash of their key.
 MOST_TRAINED = 4000
+#: Passages of a document, and trigrams of a passage, that the model is fitted on at most.
+TRAIN_PASSAGES, TRAIN_GRAMS = 8, 128
+#: Rows of the embedding for words, and as many for trigrams; its width.
+BUCKETS, EMBED = 4096, 16
+#: Trigrams that are looked up at once in scoring.
+AT_ONCE = 1 << 16
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 32, 16, 14, 64, 3e-3, 1e-4
 
 #: Kinds of bytes: white space, lower and upper case, digits, each frequent mark, other marks, UTF-8 leads and tails.
-MARKS = b".,!?#$%&*|"
+MARKS = b".,!?*#$%&|@_-/:;\"'()"
 KINDS = 8 + len(MARKS)
 
 
@@ -47,48 +57,96 @@ _KIND = kind_table()
 FEATURES = KINDS + KINDS * KINDS + 5
 
 
-def bags(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of every passage, and the number of passages of each text (one without words: one, of zeros)."""
-    rows, sizes = [], []
-    for i, j in runs_of_texts(offsets):
-        part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        start, end, counts = words(part, at)
-        many = np.maximum(-(-counts // PASSAGE), 1)
-        first = np.cumsum(many) - many
-        total = int(many.sum())
-        text = np.repeat(np.arange(j - i), counts)
-        place = np.arange(len(start)) - np.repeat(np.cumsum(counts) - counts, counts)
-        of_word = first[text] + place // PASSAGE
-        begin = np.repeat(at[:-1], many)  # a passage begins with its first word, a text's first one with the text
-        lead = (place % PASSAGE == 0) & (place > 0)
-        begin[of_word[lead]] = start[lead]
-        size = np.diff(np.append(begin, len(part)))
-        of_byte = np.repeat(np.arange(total), size)
-        kind = _KIND[part].astype(np.int64)
-        x = np.zeros((total, FEATURES), np.float32)
-        n = np.maximum(size, 1)[:, None].astype(np.float32)
-        x[:, :KINDS] = np.bincount(of_byte * KINDS + kind, minlength=total * KINDS).reshape(total, KINDS) / n
-        if len(kind) > 1:
-            inside = of_byte[1:] == of_byte[:-1]
-            pair = (of_byte[1:] * KINDS + kind[:-1]) * KINDS + kind[1:]
-            x[:, KINDS : KINDS + KINDS * KINDS] = np.bincount(pair[inside], minlength=total * KINDS * KINDS).reshape(total, -1) / n
-        w = np.bincount(of_word, minlength=total)
-        per = np.maximum(w, 1)
-        h = word_hashes(part, start, end, 0)
-        again = np.zeros(len(h), bool)
-        again[1:] = (h[1:] == h[:-1]) & (of_word[1:] == of_word[:-1])
-        order = np.lexsort((h, of_word))
-        new = np.ones(len(h), bool)
-        new[1:] = (h[order][1:] != h[order][:-1]) | (of_word[order][1:] != of_word[order][:-1])
-        length = (end - start).astype(np.float64)
-        x[:, -5] = np.bincount(of_word, again, total) / per
-        x[:, -4] = np.bincount(of_word[order], new, total) / per
-        x[:, -3] = np.bincount(of_word, length, total) / per / 16
-        x[:, -2] = np.bincount(of_word, length * length, total) / per / 256
-        x[:, -1] = w / PASSAGE
-        rows.append(x)
-        sizes.append(many)
-    return (np.concatenate(rows), np.concatenate(sizes)) if rows else (np.zeros((0, FEATURES), np.float32), np.zeros(0, np.int64))
+@dataclass
+class Bags:
+    """Passages of some texts: features, rows of the embedding for words and trigrams and how many each passage has, passages of each text."""
+
+    x: np.ndarray
+    words: np.ndarray
+    n_words: np.ndarray
+    grams: np.ndarray
+    n_grams: np.ndarray
+    sizes: np.ndarray
+
+    def taken(self, texts: np.ndarray) -> Bags:
+        """The bags of these texts alone, in this order."""
+        first = np.cumsum(self.sizes) - self.sizes
+        at = ragged(first[texts], self.sizes[texts])
+        wf, gf = np.cumsum(self.n_words) - self.n_words, np.cumsum(self.n_grams) - self.n_grams
+        words, grams = ragged(wf[at], self.n_words[at]), ragged(gf[at], self.n_grams[at])
+        return Bags(self.x[at], self.words[words], self.n_words[at], self.grams[grams], self.n_grams[at], self.sizes[texts])
+
+
+def ragged(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... for each run."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+
+
+def joined(parts: list[Bags]) -> Bags:
+    if not parts:
+        none = np.zeros(0, np.int64)
+        return Bags(np.zeros((0, FEATURES), np.float32), none.astype(np.uint16), none, none.astype(np.uint16), none, none)
+    return Bags(*[np.concatenate([getattr(p, f) for p in parts]) for f in ("x", "words", "n_words", "grams", "n_grams", "sizes")])
+
+
+def bags(raw: np.ndarray, offsets: np.ndarray) -> Bags:
+    """The passages of some texts; a text without words has one, of zeros."""
+    return joined([_bags(raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]) for i, j in runs_of_texts(offsets)])
+
+
+def _bags(part: np.ndarray, at: np.ndarray) -> Bags:
+    start, end, counts = words(part, at)
+    many = np.maximum(-(-counts // PASSAGE), 1)
+    first = np.cumsum(many) - many
+    total = int(many.sum())
+    text = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(start)) - np.repeat(np.cumsum(counts) - counts, counts)
+    of_word = first[text] + place // PASSAGE
+    begin = np.repeat(at[:-1], many)  # a passage begins with its first word, a text's first one with the text
+    lead = (place % PASSAGE == 0) & (place > 0)
+    begin[of_word[lead]] = start[lead]
+    size = np.diff(np.append(begin, len(part)))
+    of_byte = np.repeat(np.arange(total), size)
+    kind = _KIND[part].astype(np.int64)
+    x = np.zeros((total, FEATURES), np.float32)
+    n = np.maximum(size, 1)[:, None].astype(np.float32)
+    x[:, :KINDS] = np.bincount(of_byte * KINDS + kind, minlength=total * KINDS).reshape(total, KINDS) / n
+    if len(kind) > 1:
+        inside = of_byte[1:] == of_byte[:-1]
+        pair = (of_byte[1:] * KINDS + kind[:-1]) * KINDS + kind[1:]
+        x[:, KINDS : KINDS + KINDS * KINDS] = np.bincount(pair[inside], minlength=total * KINDS * KINDS).reshape(total, -1) / n
+    w = np.bincount(of_word, minlength=total)
+    per = np.maximum(w, 1)
+    low = lower_ascii(part)
+    h = word_hashes(low, start, end, 0)
+    again = np.zeros(len(h), bool)
+    again[1:] = (h[1:] == h[:-1]) & (of_word[1:] == of_word[:-1])
+    order = np.lexsort((h, of_word))
+    new = np.ones(len(h), bool)
+    new[1:] = (h[order][1:] != h[order][:-1]) | (of_word[order][1:] != of_word[order][:-1])
+    length = (end - start).astype(np.float64)
+    x[:, -5] = np.bincount(of_word, again, total) / per
+    x[:, -4] = np.bincount(of_word[order], new, total) / per
+    x[:, -3] = np.bincount(of_word, length, total) / per / 16
+    x[:, -2] = np.bincount(of_word, length * length, total) / per / 256
+    x[:, -1] = w / PASSAGE
+    wide = low.astype(np.uint32)
+    gram = (wide[:-2] * np.uint32(0x9E3779B1) ^ wide[1:-1] * np.uint32(0x85EBCA77) ^ wide[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F) >> np.uint32(20) if len(low) > 2 else wide[:0]
+    whole = of_byte[: len(gram)] == of_byte[len(of_byte) - len(gram) :]
+    n_grams = np.bincount(of_byte[: len(gram)][whole], minlength=total)
+    return Bags(x, (h >> np.uint64(52)).astype(np.uint16), w, gram[whole].astype(np.uint16), n_grams, many)
+
+
+def drawn(b: Bags, seed: int) -> Bags:
+    """What the model is fitted on of one text: some of its passages, and of these all words and some trigrams, at random."""
+    rng = np.random.default_rng(seed)
+    at = np.sort(rng.permutation(len(b.x))[:TRAIN_PASSAGES])
+    grams, first = [], np.cumsum(b.n_grams) - b.n_grams
+    for i in at:
+        own = b.grams[first[i] : first[i] + b.n_grams[i]]
+        grams.append(own if len(own) <= TRAIN_GRAMS else own[rng.integers(0, len(own), TRAIN_GRAMS)])
+    words = b.words[ragged((np.cumsum(b.n_words) - b.n_words)[at], b.n_words[at])]
+    return Bags(b.x[at], words, b.n_words[at], np.concatenate(grams), np.array([len(g) for g in grams]), np.array([len(at)]))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -107,28 +165,49 @@ class AttentionMil:
         size = lambda a, b: rng.normal(0, 1 / np.sqrt(a), (a, b))
         p = {"w": size(FEATURES, HIDDEN), "wb": np.zeros(HIDDEN), "v": size(HIDDEN, GATE), "vb": np.zeros(GATE), "u": size(HIDDEN, GATE), "ub": np.zeros(GATE)}
         p |= {"a": size(GATE, 1)[:, 0], "c": size(HIDDEN, 1)[:, 0], "b": np.zeros(1)}
+        p |= {"e": rng.normal(0, 0.1, (2 * BUCKETS, EMBED)), "lw": size(EMBED, HIDDEN), "lg": size(EMBED, HIDDEN)}
         # Rare features keep a scale, so that one odd byte doesn't swamp a passage.
         mean = x.mean(axis=0, dtype=np.float64)
         square = sum((x[i : i + 4096].astype(np.float64) ** 2).sum(axis=0) for i in range(0, len(x), 4096)) / len(x)
         spread = np.sqrt(np.maximum(square - mean**2, 0))
         return AttentionMil(mean, 1 / (spread + 0.01), p)
 
-    def forward(self, x: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
-        p = self.p
+    def single(self) -> AttentionMil:
+        """The same with numbers of four bytes."""
+        return AttentionMil(self.mean.astype(np.float32), self.scale.astype(np.float32), {k: v.astype(np.float32) for k, v in self.p.items()})
+
+    def looked_up(self, ids: np.ndarray, many: np.ndarray, base: int) -> np.ndarray:
+        """The mean embedding of each passage's words or trigrams, zero without any."""
+        out = np.zeros((len(many), EMBED), self.p["e"].dtype)
+        end = np.cumsum(many)
+        i = 0
+        while i < len(many):  # whole passages, so many together that the rows looked up are few
+            j = max(i + 1, int(np.searchsorted(end, end[i] - many[i] + AT_ONCE, "right")))
+            lo, own = end[i] - many[i], many[i:j]
+            some = np.flatnonzero(own)
+            if len(some):
+                rows = self.p["e"][base + ids[lo : end[j - 1]].astype(np.int64)]
+                out[i + some] = np.add.reduceat(rows, (np.cumsum(own) - own)[some], axis=0) / own[some, None].astype(out.dtype)
+            i = j
+        return out
+
+    def forward(self, b: Bags) -> dict[str, np.ndarray]:
+        p, sizes = self.p, b.sizes
         first = np.cumsum(sizes) - sizes
         of = np.repeat(np.arange(len(sizes)), sizes)
-        x = np.clip((x - self.mean) * self.scale, -8, 8)
-        h = np.tanh(x @ p["w"] + p["wb"])
+        x = np.clip((b.x.astype(p["w"].dtype) - self.mean) * self.scale, -8, 8)
+        ew, eg = self.looked_up(b.words, b.n_words, 0), self.looked_up(b.grams, b.n_grams, BUCKETS)
+        h = np.tanh(x @ p["w"] + ew @ p["lw"] + eg @ p["lg"] + p["wb"])
         t, g = np.tanh(h @ p["v"] + p["vb"]), sigmoid(h @ p["u"] + p["ub"])
         s = (t * g) @ p["a"]
         e = np.exp(s - np.maximum.reduceat(s, first)[of])
         weight = e / np.add.reduceat(e, first)[of]
         z = np.add.reduceat(weight[:, None] * h, first, axis=0)
-        return {"x": x, "h": h, "t": t, "g": g, "weight": weight, "z": z, "of": of, "first": first, "score": sigmoid(z @ p["c"] + p["b"])}
+        return {"x": x, "ew": ew, "eg": eg, "h": h, "t": t, "g": g, "weight": weight, "z": z, "of": of, "first": first, "score": sigmoid(z @ p["c"] + p["b"])}
 
-    def gradient(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, f = self.p, self.forward(x, sizes)
-        out = (f["score"] - y) / len(y)
+    def gradient(self, b: Bags, y: np.ndarray) -> dict[str, np.ndarray]:
+        p, f = self.p, self.forward(b)
+        out = ((f["score"] - y) / len(y)).astype(p["c"].dtype)
         dz = out[:, None] * p["c"]
         per = dz[f["of"]]
         inner = (per * f["h"]).sum(axis=1)
@@ -139,58 +218,77 @@ class AttentionMil:
         dh = (f["weight"][:, None] * per + dt @ p["v"].T + dg @ p["u"].T) * (1 - f["h"] ** 2)
         d = {"w": f["x"].T @ dh, "wb": dh.sum(0), "v": f["h"].T @ dt, "vb": dt.sum(0), "u": f["h"].T @ dg, "ub": dg.sum(0)}
         d |= {"a": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ out, "b": np.array([out.sum()])}
+        d |= {"lw": f["ew"].T @ dh, "lg": f["eg"].T @ dh}
+        ids = np.concatenate([b.words.astype(np.int64), b.grams.astype(np.int64) + BUCKETS])
+        each = [np.repeat((dh @ p[k].T) / np.maximum(n, 1)[:, None].astype(dh.dtype), n, axis=0) for k, n in (("lw", b.n_words), ("lg", b.n_grams))]
+        order = np.argsort(ids, kind="stable")
+        d["e"] = np.zeros_like(p["e"])
+        if len(ids):
+            new = np.flatnonzero(np.diff(ids[order], prepend=-1))
+            d["e"][ids[order][new]] = np.add.reduceat(np.concatenate(each)[order], new, axis=0)
         return {k: v + DECAY * p[k] for k, v in d.items()}
 
-    def fit(self, x: np.ndarray, sizes: np.ndarray, y: np.ndarray, epochs: int = EPOCHS) -> None:
-        first = np.cumsum(sizes) - sizes
+    def fit(self, b: Bags, y: np.ndarray, epochs: int = EPOCHS, attention: bool = True) -> None:
+        """Adam over batches of texts. Without attention its weights are held at zero, so that passages are averaged."""
         rng = np.random.default_rng(11)
+        if not attention:
+            self.p["a"][:] = 0
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        step, steps = 0, epochs * -(-len(sizes) // BATCH)
+        step, steps = 0, epochs * -(-len(y) // BATCH)
         for _ in range(epochs):
-            order = rng.permutation(len(sizes))
-            for b in range(0, len(order), BATCH):
-                own = order[b : b + BATCH]
-                rows = np.concatenate([np.arange(first[i], first[i] + sizes[i]) for i in own])
+            order = rng.permutation(len(y))
+            for at in range(0, len(order), BATCH):
+                own = order[at : at + BATCH]
                 step += 1
                 rate = RATE * (1 - 0.9 * step / steps)
-                for k, d in self.gradient(x[rows], sizes[own], y[own]).items():
+                for k, d in self.gradient(b.taken(own), y[own]).items():
+                    if k == "a" and not attention:
+                        continue
                     m[k] += 0.1 * (d - m[k])
                     v[k] += 0.001 * (d * d - v[k])
                     self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
-    def score(self, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        return self.forward(x, sizes)["score"] if len(sizes) else np.zeros(0)
+    def score(self, b: Bags) -> np.ndarray:
+        return self.forward(b)["score"].astype(np.float64) if len(b.sizes) else np.zeros(0)
 
 
 def held_out(key: str = "doc_id") -> F.Column:
     return F.crc32(F.encode(F.col(f"`{key}`").cast("string"), "UTF-8")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", most: int = MOST_TRAINED) -> AttentionMil:
-    """A model fitted on at most ``most`` labelled documents that aren't held out. Without any, it scores all alike."""
-    known = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").where(~held_out("k"))
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", most: int = MOST_TRAINED, attention: bool = True) -> AttentionMil:
+    """A model fitted on at most ``most`` labelled documents that aren't held out. Without any, it scores all alike.
+
+    A key that several rows have counts once, with the text that is least by its features. Without
+    ``attention`` passages are averaged, for comparison.
+    """
+    known = labels.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").where(~held_out("k"))
     known = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most)
     body = F.coalesce(F.encode(F.col(f"`{text}`"), "UTF-8"), F.lit(b"")).alias("t")
-    rows = docs.select(F.col(f"`{key}`").alias("k"), body).join(F.broadcast(known), "k")  # ``most`` rows at most
+    rows = docs.select(F.col(f"`{key}`").cast("string").alias("k"), body).join(F.broadcast(known), "k")  # ``most`` rows at most
+
+    columns = ("x", "words", "n_words", "grams", "n_grams")
+    kinds = (np.float16, np.uint16, np.int32, np.uint16, np.int32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                x, sizes = bags(*binary_parts(part.column(1)))
-                cut = np.cumsum(sizes) - sizes
-                x = x.astype(np.float16)
-                own = [x[c : c + n].tobytes() for c, n in zip(cut, sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(own, pa.binary())], names=["k", "y", "x"])
-
-    got = rows.select("k", "t", "y").mapInArrow(run, "k long, y int, x binary").toArrow().sort_by("k")
+            for at in range(0, batch.num_rows, 16):
+                part = batch.slice(at, 16)
+                raw, cut = binary_parts(part.column(1))
+                own = [drawn(bags(raw[i:j], np.array([0, j - i])), int(zlib.crc32(raw[i:j]))) for i, j in zip(cut, cut[1:], strict=False)]
+                held = [pa.array([getattr(b, c).astype(t).tobytes() for b in own], pa.binary()) for c, t in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *held], names=["k", "y", *columns])
+
+    found = rows.select("k", "t", "y").mapInArrow(run, "k string, y int, " + ", ".join(f"{c} binary" for c in columns))
+    # One row for each key, however many the table has, so that the sample keeps its bound.
+    got = found.groupBy("k").agg(F.min(F.struct("y", *columns)).alias("r")).select("k", "r.*").toArrow().sort_by("k")
     if not len(got):
-        x = np.zeros((1, FEATURES), np.float32)
-        return AttentionMil.start(x)
-    raw, at = binary_parts(got.column("x"))
-    x, sizes, y = raw.view(np.float16).reshape(-1, FEATURES), np.diff(at) // (2 * FEATURES), got.column("y").to_numpy().astype(float)
-    model = AttentionMil.start(x)
-    model.fit(x, sizes, y)
+        return AttentionMil.start(np.zeros((1, FEATURES), np.float32)).single()
+    parts = {c: binary_parts(got.column(c))[0].view(t) for c, t in zip(columns, kinds, strict=True)}
+    sizes = np.diff(binary_parts(got.column("n_words"))[1]) // 4
+    b = Bags(parts["x"].reshape(-1, FEATURES), parts["words"], parts["n_words"].astype(np.int64), parts["grams"], parts["n_grams"].astype(np.int64), sizes)
+    model = AttentionMil.start(b.x).single()
+    model.fit(b, got.column("y").to_numpy().astype(float), attention=attention)
     return model
 
 
@@ -208,7 +306,7 @@ def score(docs: DataFrame, model: AttentionMil, text: str = "text", key: str = "
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                got = own.score(*bags(*binary_parts(part.column(1))))
+                got = own.score(bags(*binary_parts(part.column(1))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.float64())], names=["k", "score"])
 
     return rows.mapInArrow(run, "k long, score double").withColumnRenamed("k", key)
@@ -224,7 +322,7 @@ def keep_quality(docs: DataFrame, model: AttentionMil, text: str = "text", thres
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                yield part.filter(pa.array(own.score(*bags(*binary_parts(part.column(at_text)))) >= threshold))
+                yield part.filter(pa.array(own.score(bags(*binary_parts(part.column(at_text)))) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 

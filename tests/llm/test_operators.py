@@ -396,20 +396,51 @@ def test_chat(spark):
     assert chat_examples(d.limit(0)).count() == 0
 
 
+def made_bags(texts):
+    raw = b"".join(t.encode() for t in texts)
+    return bags(np.frombuffer(raw, np.uint8), np.cumsum([0, *[len(t.encode()) for t in texts]]))
+
+
 def test_quality_gradient():
     """The written-out gradient against finite differences."""
     rng = np.random.default_rng(3)
-    x, sizes, y = rng.normal(size=(9, bags(np.zeros(0, np.uint8), np.zeros(1, np.int64))[0].shape[1])), np.array([2, 4, 3]), np.array([1.0, 0.0, 1.0])
-    m = AttentionMil.start(x)
-    loss = lambda: -np.mean(y * np.log(m.forward(x, sizes)["score"]) + (1 - y) * np.log(1 - m.forward(x, sizes)["score"])) + sum((a**2).sum() for a in m.p.values()) * 1e-4 / 2
-    g = m.gradient(x, sizes, y)
+    b, y = made_bags([words(rng, 150), words(rng, 30) + " !", ""]), np.array([1.0, 0.0, 1.0])
+    assert b.sizes.tolist() == [3, 1, 1] and b.n_words.tolist() == [64, 64, 22, 31, 0] and b.n_grams[-1] == 0
+    m = AttentionMil.start(b.x)
+    loss = lambda: -np.mean(y * np.log(m.forward(b)["score"]) + (1 - y) * np.log(1 - m.forward(b)["score"])) + sum((a**2).sum() for a in m.p.values()) * 1e-4 / 2
+    g = m.gradient(b, y)
     for k in m.p:
-        i = np.unravel_index(rng.integers(m.p[k].size), m.p[k].shape)
+        i = np.unravel_index(np.abs(g[k]).argmax(), m.p[k].shape)
         m.p[k][i] += 1e-5
         up = loss()
         m.p[k][i] -= 2e-5
         assert abs((up - loss()) / 2e-5 - g[k][i]) < 1e-5
         m.p[k][i] += 1e-5
+    some = b.taken(np.array([2, 0]))
+    assert np.allclose(m.score(some), m.score(b)[[2, 0]])
+
+
+def test_attention_finds_the_passage_that_decides():
+    """One passage of ten has the words that make a document bad: averaging all of them finds fewer."""
+    rng = np.random.default_rng(6)
+    vocabulary = words(rng, 400).split(" ")
+    bad = words(rng, 6).split(" ")
+    texts, y = [], []
+    for i in range(480):
+        w = rng.choice(vocabulary, 10 * 64).tolist()
+        if i % 2:
+            at = int(rng.integers(0, 10)) * 64
+            for j in rng.integers(0, 64, 20):
+                w[at + j] = str(rng.choice(bad))
+        texts.append(" ".join(w))
+        y.append(float(i % 2 == 0))
+    y, right = np.array(y), {}
+    for attention in (True, False):
+        train_, test_ = made_bags(texts[:360]), made_bags(texts[360:])
+        m = AttentionMil.start(train_.x)
+        m.fit(train_, y[:360], epochs=25, attention=attention)
+        right[attention] = float(np.mean((m.score(test_) >= 0.5) == (y[360:] > 0)))
+    assert right[True] > 0.8 and right[True] >= right[False]
 
 
 def test_quality(spark, docs, empty):
