@@ -244,7 +244,7 @@ def _answered(t: pa.Table, said: pa.Table | None, ways: Ways, level: int, kind:
 
 
 def exchanged(pieces: DataFrame, ways: Ways, kind: Counts | Records) -> DataFrame:
-    """From the pieces of all blocks the answers to them, in rows of the same form."""
+    """From the pieces of all blocks the answers to them: node, block (an int, as blocks have it), cells, n."""
     def merged(level: int) -> Callable[[pa.Table], pa.Table]:
         return lambda t: _merged(t, ways, level, kind)
 
@@ -260,7 +260,7 @@ def exchanged(pieces: DataFrame, ways: Ways, kind: Counts | Records) -> DataFram
         # Who sent a piece to the level above is, here, the node that its answer goes to.
         back = said.select(F.col("sender").alias("node"), F.col("node").alias("sender"), "cells", "n")
         said = sent[level].groupBy("node").cogroup(back.groupBy("node")).applyInArrow(answered(level), PIECE_SQL)
-    return said
+    return said.select("node", F.col("sender").cast("int").alias("block"), "cells", "n")
 
 
 def read_answers(said: pa.Table, keys: np.ndarray, ways: Ways, level: int, sender: int, kind: Counts | Records) -> np.ndarray:

@@ -185,9 +185,9 @@ def substring_dedup(docs: DataFrame, n: int = WINDOW, text: str = "text", key: s
     exact = B.Ways.of(blocks, KEY_BITS, n_bytes // 12)
     rows = B.blocked(docs, n_bytes, text, key, carry)
     by = rows.groupBy("block")
-    said = B.exchanged(by.applyInArrow(lambda t: _sketch(t, n, ways), B.PIECE_SQL), ways, SKETCH).withColumnRenamed("sender", "block")
+    said = B.exchanged(by.applyInArrow(lambda t: _sketch(t, n, ways), B.PIECE_SQL), ways, SKETCH)
     keys = by.cogroup(said.groupBy("block")).applyInArrow(lambda a, b: _keys(a, b, n, ways, exact), B.PIECE_SQL)
-    told = B.exchanged(keys, exact, EARLIEST).withColumnRenamed("sender", "block").withColumn("n", F.lit(b"exact"))
+    told = B.exchanged(keys, exact, EARLIEST).withColumn("n", F.lit(b"exact"))
     head = StructType([rows.schema["rest"]]) if carry else StructType([rows.schema["k"]])
     schema = head.add("n_words", "long").add("n_removed", "long").add("kept", "string")
     out = by.cogroup(said.unionByName(told).groupBy("block")).applyInArrow(lambda a, b: _remove(a, b, n, ways, exact, bool(carry)), schema)

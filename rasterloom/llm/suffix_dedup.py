@@ -100,26 +100,28 @@ class Anchors:
         second = self._hash(i, j, 1)
         f = mix64(span_hash(second, first, last + LENGTH, 1) ^ mix64(((at - first) << 8 | (last - first)).astype(U), 23), 24)
         f = np.where(f == 0, U(1), f)
-        return at + lo, first + lo, last + lo, grams[at] >> U(64 - H_BITS), f
+        # Anchors have small hashes, being the least of many: mixed again, they spread over all ranges.
+        return at + lo, first + lo, last + lo, mix64(grams[at], 22) >> U(64 - H_BITS), f
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray]:
         """The anchors that are first of their context, in order of anchor hash, and which of all anchors repeat a context before them."""
         order = np.lexsort((self.f, self.h))  # stable: the first of equal ones comes first in the text
         again = ~B.firsts(self.h[order], self.f[order])
-        again[again] = self._equal(order[1:][again[1:]], order[:-1][again[1:]])
+        at = np.flatnonzero(again)
+        again[at] = self._equal(self.first, self.last + LENGTH, order[at], order[at - 1])
         whole = np.zeros(len(order), bool)
         whole[order] = again
         return order[~again], whole
 
-    def _equal(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether the contexts of these anchors have the same bytes as those of the others, which have the same lengths."""
-        out = np.ones(len(a), bool)
+    def _equal(self, start: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether spans a have the same bytes as spans b."""
+        out = end[a] - start[a] == end[b] - start[b]
         for i in range(0, len(a), 1 << 13):
             x, y = a[i : i + (1 << 13)], b[i : i + (1 << 13)]
-            size = self.last[x] + LENGTH - self.first[x]
+            size = np.minimum(end[x] - start[x], end[y] - start[y])
             step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-            same = self.raw[np.repeat(self.first[x], size) + step] == self.raw[np.repeat(self.first[y], size) + step]
-            out[i : i + len(x)] = np.logical_and.reduceat(same, np.cumsum(size) - size) if len(x) else out[:0]
+            same = self.raw[np.repeat(start[x], size) + step] == self.raw[np.repeat(start[y], size) + step]
+            out[i : i + len(x)] &= np.logical_and.reduceat(same, np.cumsum(size) - size)
         return out
 
     def parts(self, which: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -169,9 +171,15 @@ class Sent:
         lead, self.whole = a.contexts()
         h, _ = B.counted(a.h[lead])
         total = B.read_answers(said, h, ways, 0, 0, TOTALS)[np.searchsorted(h, a.h[lead])] if len(lead) else np.zeros(0, np.uint32)
-        self.own, self.lo, self.hi, self.key = a.parts(lead[total > 1], total[total > 1].astype(np.int64))
-        order = np.argsort(self.key, kind="stable")
-        self.own, self.lo, self.hi, self.key = (x[order] for x in (self.own, self.lo, self.hi, self.key))
+        own, lo, hi, key = a.parts(lead[total > 1], total[total > 1].astype(np.int64))
+        # Parts of several contexts can have the same bytes: the first is sent, the others repeat it.
+        start, end = a.at[own] - hi, a.at[own] + LENGTH - lo
+        order = np.lexsort((start, lo, hi, key))
+        again = ~B.firsts(key[order], lo[order], hi[order])
+        at = np.flatnonzero(again)
+        again[at] = a._equal(start, end, order[at], order[at - 1])
+        self.again = start[order[again]], end[order[again]]
+        self.own, self.lo, self.hi, self.key = (x[order[~again]] for x in (own, lo, hi, key))
 
 
 def _contexts(docs: pa.Table, said: pa.Table, ways: B.Ways, to: B.Ways) -> pa.Table:
@@ -300,6 +308,7 @@ def _remove(docs: pa.Table, said: pa.Table, ways: B.Ways, to: B.Ways) -> pa.Tabl
         np.add.at(cover, ends, -1)
 
     mark(a.first[s.whole], a.last[s.whole] + LENGTH)
+    mark(*s.again)
     some = np.flatnonzero(bits)
     row, distance = np.nonzero(np.unpackbits(bits[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
     start = a.at[s.own[some[row]]] - distance
@@ -330,9 +339,9 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     ways = B.Ways.of(blocks, H_BITS, n_bytes // 31)
     to = B.Ways.of(blocks, H_BITS, n_bytes // 60, range_items=1 << 16)
     by = B.blocked(docs, n_bytes, text, key).withColumn("th", F.xxhash64("t")).groupBy("block")
-    said = B.exchanged(by.applyInArrow(lambda t: _tell(t, ways), B.PIECE_SQL), ways, TOTALS).withColumnRenamed("sender", "block")
+    said = B.exchanged(by.applyInArrow(lambda t: _tell(t, ways), B.PIECE_SQL), ways, TOTALS)
     sent = by.cogroup(said.groupBy("block")).applyInArrow(lambda a, b: _contexts(a, b, ways, to), B.PIECE_SQL)
-    told = B.exchanged(sent, to, CONTEXTS).withColumnRenamed("sender", "block").withColumn("n", F.lit(b"contexts"))
+    told = B.exchanged(sent, to, CONTEXTS).withColumn("n", F.lit(b"contexts"))
     out = by.cogroup(said.unionByName(told).groupBy("block")).applyInArrow(
         lambda a, b: _remove(a, b, ways, to), "k long, n_bytes long, n_removed long, n_spans long, kept binary"
     )

@@ -185,7 +185,18 @@ def test_suffix_dedup_with_one_crowded_block(docs):
 
 
 @pytest.fixture
-def levels(monkeypatch):
+def apart(spark):
+    """Every group in a partition of its own, as on a cluster: nothing meets by being in one task anyhow."""
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+@pytest.fixture
+def levels(monkeypatch, apart):
     """Thirteen blocks, three of which meet in a node: answers go through three levels."""
     monkeypatch.setattr(blocks, "block_count", lambda n: 13)
     of = blocks.Ways.of
