@@ -30,6 +30,25 @@ def clean_caption(caption: Column, most_words: int = 30) -> Column:
     return F.array_join(F.slice(F.split(t, " "), 1, most_words), " ")
 
 
+def stripped(text: Column) -> Column:
+    """Text without white space at its ends; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
+def entry_text(text: Column, parts: Column, phrases: Column, summary: Column, fallback: str = "") -> tuple[Column, Column]:
+    """An entry's text and its distinct phrases in order.
+
+    The text is ``text``, or ``parts`` (an array) joined by " ; " where that is given instead; without
+    either the summary, then the joined phrases, then the fallback. Phrases are the parts and the
+    phrases that are not blank.
+    """
+    clean = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<string>")), stripped), lambda x: x != "")
+    given = F.when(parts.isNotNull(), F.array_join(clean(parts), " ; ")).otherwise(stripped(text))
+    all_ = F.concat(clean(parts), clean(phrases))
+    found = F.when(given != "", given).when(stripped(summary) != "", stripped(summary)).when(F.size(all_) > 0, F.array_join(all_, " ; ")).otherwise(F.lit(fallback))
+    return found, F.array_distinct(all_)
+
+
 def not_blank(caption: Column) -> Column:
     """Whether anything but spaces and the marks ``,.'!?"()*#:;~`` is there."""
     return F.trim(F.translate(caption, MARKS, "")) != ""

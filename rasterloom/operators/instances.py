@@ -46,14 +46,21 @@ def label_components(mask: DataFrame, scene: str = "scene_id") -> DataFrame:
 
 
 def peak_candidates(px: DataFrame, score: str, threshold: float, d: int, scene: str = "scene_id") -> DataFrame:
-    """Pixels at the threshold or above that are the greatest of their component in the (2d+1) square around; of equal ones the first."""
+    """Pixels at the threshold or above that reach, but for 1e-7, the greatest of their component in the (2d+1) square around.
+
+    Such pixels that touch are one plateau and give one candidate, their best pixel, the first of
+    equal ones; equal peaks apart from each other stay apart.
+    """
     span = F.sequence(F.lit(-d), F.lit(d))
     around = px.select(scene, "label", F.col("y").alias("ny"), F.col("x").alias("nx"), F.col(score).alias("_s"))
     reach = around.withColumn("_dy", F.explode(span)).withColumn("_dx", F.explode(span))
     top = reach.groupBy(scene, "label", (F.col("ny") + F.col("_dy")).alias("y"), (F.col("nx") + F.col("_dx")).alias("x")).agg(F.max("_s").alias("_top"))
-    best = px.join(top, [scene, "label", "y", "x"]).where((F.col(score) >= threshold) & (F.col(score) == F.col("_top")))
-    one = best.groupBy(scene, "label", F.col(score).alias("score")).agg(F.min(F.struct("y", "x")).alias("_p"))
-    return one.select(scene, "label", "score", F.col("_p.y").alias("y"), F.col("_p.x").alias("x"))
+    best = px.join(top, [scene, "label", "y", "x"]).where((F.col(score) >= threshold) & (F.col(score) >= F.col("_top") - 1e-7))
+    best = checkpointed(best.select(scene, "label", "y", "x", F.col(score).alias("score")))
+    plateaus = label_components(best, scene).withColumnRenamed("label", "_plateau")
+    first = F.max_by(F.struct("score", "y", "x"), F.struct("score", -F.col("y"), -F.col("x"))).alias("_p")
+    one = best.join(plateaus, [scene, "y", "x"]).groupBy(scene, "label", "_plateau").agg(first)
+    return one.select(scene, "label", "_p.score", "_p.y", "_p.x")
 
 
 def separated_peaks(peaks: DataFrame, d: int, scene: str = "scene_id") -> DataFrame:

@@ -106,16 +106,37 @@ def category_counts(df: DataFrame, by: list[str], tags: str = "tags") -> DataFra
     return df.groupBy(*by).agg(*[F.count_if(c).alias(n) for n, c in categories(F.col(tags)).items()], F.count(F.col(tags)).alias("features"))
 
 
-def structure_vector(c: dict[str, Column]) -> list[Column]:
-    """The 16 numbers of a summary: nine presences, four capped counts, three blends."""
+def feature_blends(here: dict[str, Column], c: dict[str, Column]) -> list[Column]:
+    """Four capped counts and three blends of presences and counts; caps and weights are fixed values."""
     one = lambda x: F.least(F.lit(1.0), x)
-    here = {n: (c[n] > 0).cast("double") for n in LABELS}
     buildings, water, green = (one(c[n] / F.lit(float(cap))) for n, cap in (("building", 120), ("water", 30), ("vegetation", 60)))
     transport = one((c["road"] + c["railway"]) / F.lit(180.0))
     built = one(0.55 * here["building"] + 0.25 * here["residential"] + 0.20 * here["industrial_commercial"] + 0.35 * buildings)
     network = one(0.55 * here["road"] + 0.20 * here["railway"] + 0.25 * transport)
-    urban = one(F.greatest(F.lit(0.0), 0.50 * built + 0.30 * network - 0.20 * here["water"] - 0.10 * here["vegetation"] + 0.25 * here["construction"]))
-    return [*here.values(), buildings, transport, water, green, built, network, urban]
+    urban = one(0.50 * built + 0.30 * network - 0.20 * here["water"] - 0.10 * here["vegetation"] + 0.25 * here["construction"])
+    return [buildings, transport, water, green, built, network, urban]
+
+
+def structure_vector(c: dict[str, Column]) -> list[Column]:
+    """The 16 numbers of a summary: nine presences, four capped counts, three blends, the last not below 0."""
+    here = {n: (c[n] > 0).cast("double") for n in LABELS}
+    *first, urban = feature_blends(here, c)
+    return [*here.values(), *first, F.greatest(F.lit(0.0), urban)]
+
+
+# Words that tell of a kind of feature.
+KEYWORDS = {
+    "building": ["building", "built-up", "built up", "residential", "industrial"], "road": ["road", "transport", "highway", "street"], "railway": ["railway", "rail"], "water": ["water", "river", "wetland"],
+    "vegetation": ["vegetation", "forest", "wood", "park", "green"], "residential": ["residential", "neighborhood", "neighbourhood"], "industrial_commercial": ["industrial", "commercial"], "construction": ["construction"], "amenity": ["amenity", "parking"],
+}
+
+
+def keyword_vector(text: Column, counts: dict[str, Column]) -> list[Column]:
+    """The same 16 numbers from a text and, where there are any, counts: a kind is present if a word of it is in the text or it is counted."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    c = {n: F.greatest(F.coalesce(counts[n].cast("double"), F.lit(0.0)), F.lit(0.0)) if n in counts else F.lit(0.0) for n in LABELS}
+    here = {n: (low.rlike("|".join(KEYWORDS[n])) | (c[n] > 0)).cast("double") for n in LABELS}
+    return [*here.values(), *feature_blends(here, c)]
 
 
 def summary_sentence(c: dict[str, Column]) -> Column:

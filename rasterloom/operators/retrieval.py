@@ -5,6 +5,8 @@ Rankings are by descending score, then ascending id.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -85,14 +87,45 @@ def soft_targets(rows: DataFrame, batch: str, group: str, key: str) -> DataFrame
     return rows.select(batch, group, key).join(b, [batch, group]).select(batch, key, "other", (F.lit(1.0) / n).alias("target"))
 
 
-def sampled_negative(candidates: DataFrame, positives: DataFrame, u: Column, hard: bool = True) -> DataFrame:
-    """One draw for each query from softmax(score) (hard) or softmax(-score) over what isn't positive.
+def pair_uniform(query: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """A number in (0, 1) for each pair, the same in every run: two rounds of a congruential generator."""
+    m = 2147483647
+    one = (query.astype(np.int64)[:, None] * 1103515245 + found.astype(np.int64)[None, :] * 12345 + 7) % m
+    return (one * 48271 % m + 0.5) / m
+
 
-    Drawn by the Gumbel maximum: the greatest of score - ln(-ln u), with u a seeded uniform of the pair.
+def negative_draws(images: DataFrame, texts: DataFrame, block: int = 4096) -> DataFrame:
+    """For every image and every text one hard negative, from softmax(score) over the other side's rows of another group, and one typical one, from softmax(-score).
+
+    Drawn by the Gumbel maximum: the greatest of score - ln(-ln u), with u a uniform of the pair. Both
+    sides (id, vec, group) are dealt into blocks; each pair of blocks gives the greatest of each row
+    and column, so what is shuffled is a row a query and block. A query without negatives has no row.
     """
-    c = candidates.join(positives, ["query", "found"], "left_anti")
-    noisy = (F.col("score") if hard else -F.col("score")) - F.log(-F.log(F.greatest(u, F.lit(1e-12))))
-    return c.groupBy("query").agg(F.max_by("found", noisy).alias("negative"))
+    n_i, n_t = (max(1, -(-d.count() // block)) for d in (images, texts))
+    spread = lambda d, own, n_own, other, n_other: d.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+    a, b = spread(images, "bi", n_i, "bt", n_t), spread(texts, "bt", n_t, "bi", n_i)
+
+    def draw(a: pa.Table, b: pa.Table) -> pa.Table:
+        out = []
+        if len(a) and len(b):
+            x, y = (np.stack(t.column("vec").to_numpy()).astype(np.float64) for t in (a, b))
+            i, j = a.column("id").to_numpy(), b.column("id").to_numpy()
+            other = a.column("group").to_numpy()[:, None] != b.column("group").to_numpy()
+            s = x @ y.T
+            for side, m, ok, q, f in (("text", s, other, i, j), ("image", s.T, other.T, j, i)):
+                noise = -np.log(-np.log(pair_uniform(q, f)))
+                for hard, z in ((True, m + noise), (False, noise - m)):
+                    z = np.where(ok, z, -np.inf)
+                    at = z.argmax(axis=1)
+                    top = z[np.arange(len(q)), at]
+                    own = np.isfinite(top)
+                    out.append(pa.table({"side": [side] * int(own.sum()), "query": q[own], "hard": [hard] * int(own.sum()), "found": f[at[own]], "z": top[own]}))
+        schema = pa.schema([("side", pa.string()), ("query", pa.int64()), ("hard", pa.bool_()), ("found", pa.int64()), ("z", pa.float64())])
+        return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
+
+    got = a.groupBy("bi", "bt").cogroup(b.groupBy("bi", "bt")).applyInArrow(draw, "side string, query long, hard boolean, found long, z double")
+    best = lambda hard: F.max_by(F.when(F.col("hard") == hard, F.col("found")), F.when(F.col("hard") == hard, F.col("z")))
+    return got.groupBy("side", "query").agg(best(True).alias("negative"), best(False).alias("typical"))
 
 
 def last_n(df: DataFrame, order: str, n: int) -> DataFrame:
@@ -159,8 +192,18 @@ def nearest_code(vectors: DataFrame, codebook: DataFrame, limit: int) -> DataFra
     """The code of least squared distance (first on ties) of every vector. The codebook has at most ``limit`` rows, which is checked."""
     if codebook.limit(limit + 1).count() > limit:
         raise ValueError(f"the codebook has more than {limit} codes")
-    d = vectors.join(F.broadcast(codebook)).withColumn("_d", dot(F.col("vec"), F.col("vec")) + dot(F.col("cvec"), F.col("cvec")) - 2 * dot(F.col("vec"), F.col("cvec")))
-    return d.groupBy("id").agg(F.min_by("code", F.struct(F.round("_d", 9), "code")).alias("code"))
+    book = codebook.select("code", "cvec").orderBy("code").toArrow()  # ``limit`` rows at most
+    codes, c = book.column("code").to_numpy(), np.stack(book.column("cvec").to_numpy()).astype(np.float64)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
+                d = (x * x).sum(axis=1)[:, None] + (c * c).sum(axis=1) - 2 * x @ c.T
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes[np.round(d, 9).argmin(axis=1)])], names=["id", "code"])
+
+    kind = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *codebook.schema]}
+    return vectors.select("id", "vec").mapInArrow(near, f"id {kind['id']}, code {kind['code']}")
 
 
 def code_perplexity(assigned: DataFrame, codebook: DataFrame) -> DataFrame:

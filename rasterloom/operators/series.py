@@ -2,29 +2,40 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def exponential_average(df: DataFrame, by: list[str], order: str, value: str, beta: float = 0.99, block: int = 1024) -> DataFrame:
-    """a0 = x0, then a = beta * a + (1 - beta) * x, along the order of each series; ``order`` runs from 1 without gaps.
+def decayed_sum(df: DataFrame, by: list[str], order: str, value: str, decay: float, name: str, block: int = 1024) -> DataFrame:
+    """``name``: the sum of all values up to a row, each weighed by ``decay`` to the number of steps since; ``order`` runs from 1 without gaps.
 
-    A blocked scan: in each block of steps the sum of values times powers of beta has a closed form;
-    the carry of the blocks before is a second, far shorter scan over one row a block.
+    Within a block of steps the sum has a closed form. What the blocks before add is the same sum over
+    blocks, with a row a block and the decay of a whole block, and is found the same way, until a
+    block's decay is below what a double can tell from nothing. Powers stay below 1e200 throughout.
     """
-    d = df.withColumn("_b", F.floor((F.col(order) - 1) / block)).withColumn("_i", (F.col(order) - 1) % block)
-    w = Window.partitionBy(*by, "_b").orderBy(order)
-    x = F.when(F.col(order) == 1, F.col(value)).otherwise((1 - beta) * F.col(value))
-    # Sum of x_j * beta^(i - j), with beta^-j kept small by counting j inside the block.
-    d = d.withColumn("_own", F.pow(F.lit(beta), F.col("_i")) * F.sum(x * F.pow(F.lit(beta), -F.col("_i"))).over(w))
-    last = d.groupBy(*by, "_b").agg(F.max_by("_own", order).alias("_e"), F.count(F.lit(1)).alias("_n"))
-    ends = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    # All blocks before the last are full, so a block's end weighs beta^block for each block that follows.
-    full = F.lit(beta**block)
-    carry = last.withColumn("_c", F.pow(full, F.col("_b") - 1) * F.sum(F.col("_e") * F.pow(full, -F.col("_b"))).over(ends)) if beta**block > 1e-12 else last.withColumn("_c", F.lag("_e").over(Window.partitionBy(*by).orderBy("_b")))
-    out = d.join(carry.select(*by, "_b", F.coalesce("_c", F.lit(0.0)).alias("_c")), [*by, "_b"])
-    return out.withColumn("average", F.col("_own") + F.pow(F.lit(beta), F.col("_i") + 1) * F.col("_c")).drop("_b", "_i", "_own", "_c")
+    block = max(1, min(block, int(460 / -math.log(decay))))
+    b, i, carry = f"_b_{name}", f"_i_{name}", f"_c_{name}"
+    d = df.withColumn(b, F.floor((F.col(order) - 1) / block)).withColumn(i, (F.col(order) - 1) % block)
+    inside = Window.partitionBy(*by, b).orderBy(order)
+    d = d.withColumn(name, F.pow(F.lit(decay), F.col(i)) * F.sum(F.col(value) * F.pow(F.lit(decay), -F.col(i))).over(inside))
+    ends = d.groupBy(*by, b).agg(F.max_by(name, order).alias("_e"))
+    whole, sum_ = decay**block, f"{name}_"
+    if whole > 1e-18:
+        ends = decayed_sum(ends.withColumn("_o", F.col(b) + 1), by, "_o", "_e", whole, sum_, block)
+    else:
+        ends = ends.withColumn(sum_, F.col("_e"))
+    ends = ends.select(*by, b, F.coalesce(F.lag(sum_).over(Window.partitionBy(*by).orderBy(b)), F.lit(0.0)).alias(carry))
+    out = d.join(ends, [*by, b])
+    return out.withColumn(name, F.col(name) + F.pow(F.lit(decay), F.col(i) + 1) * F.col(carry)).drop(b, i, carry)
+
+
+def exponential_average(df: DataFrame, by: list[str], order: str, value: str, beta: float = 0.99, block: int = 1024) -> DataFrame:
+    """a0 = x0, then a = beta * a + (1 - beta) * x, along the order of each series; ``order`` runs from 1 without gaps."""
+    weighed = df.withColumn("_x", F.when(F.col(order) == 1, F.col(value)).otherwise((1 - beta) * F.col(value)))
+    return decayed_sum(weighed, by, order, "_x", beta, "average", block).drop("_x")
 
 
 def window_statistics(df: DataFrame, by: list[str], order: str, value: str, size: int = 20) -> DataFrame:

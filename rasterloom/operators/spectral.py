@@ -213,3 +213,55 @@ def resize_valid(df: DataFrame, values: list[str], valid: str, source: tuple[int
     ok = (F.col("_n") > 0.5) & (F.col("_s") > 1e-6)
     out = s.join(near, [scene, "ty", "tx"])
     return out.select(scene, "ty", "tx", *[F.when(ok, F.col(f"_{v}") / F.greatest("_s", F.lit(1e-6))).otherwise(F.lit(0.0)).alias(v) for v in values], ok.alias("valid"))
+
+
+def _grid(spark: SparkSession, source: tuple[float, float, float, float, int, int], bbox: tuple[float, float, float, float], shape: tuple[int, int]) -> DataFrame:
+    """What each target pixel takes from the source: ty, tx, y, x, weight (bilinear, between pixel centres), and whether (y, x) is the nearest.
+
+    The source is west, north, pixel width, pixel height, rows and columns; the target a box (west,
+    south, east, north) and a shape. A fixed table, whatever the scenes: at most four rows a target pixel.
+    """
+    west, north, dx, dy, h, w = source
+    left, south, right, top = bbox
+
+    def axis(n: int, m: int, name: str, place: Column) -> DataFrame:
+        lo = F.floor(place - 0.5)
+        part = place - 0.5 - lo
+        ends = F.array(F.struct(lo.alias("s"), (F.lit(1.0) - part).alias("f")), F.struct((lo + 1).alias("s"), part.alias("f")))
+        d = spark.range(m).select(F.col("id").cast("int").alias(f"t{name}"), F.floor(place).alias("near"), F.explode(ends).alias("e"))
+        return d.select(f"t{name}", F.col("e.s").cast("int").alias(name), F.col("e.f").alias(f"f{name}"), (F.col("e.s") == F.col("near")).alias(f"n{name}")).where(F.col(name).between(0, n - 1))
+
+    ys = axis(h, shape[0], "y", (north - (top - (F.col("id") + 0.5) * ((top - south) / shape[0]))) / dy)
+    xs = axis(w, shape[1], "x", (left + (F.col("id") + 0.5) * ((right - left) / shape[1]) - west) / dx)
+    columns = F.broadcast(xs.agg(F.collect_list(F.struct(*xs.columns)).alias("xs")).withColumn("_k", F.lit(0)))  # as long as the target is wide
+    both = ys.withColumn("_k", F.lit(0)).join(columns, "_k").select("ty", "y", "fy", "ny", F.inline("xs"))
+    return both.select("ty", "tx", "y", "x", (F.col("fy") * F.col("fx")).alias("weight"), (F.col("ny") & F.col("nx")).alias("nearest"))
+
+
+def _whole(df: DataFrame, got: DataFrame, scene: str, shape: tuple[int, int]) -> DataFrame:
+    all_ = df.select(scene).distinct().withColumn("ty", F.explode(F.sequence(F.lit(0), F.lit(shape[0] - 1)))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.lit(shape[1] - 1))))
+    return all_.join(got, [scene, "ty", "tx"], "left")
+
+
+def align_valid(
+    df: DataFrame, values: list[str], valid: str, source: tuple[float, float, float, float, int, int], bbox: tuple[float, float, float, float], shape: tuple[int, int], scene: str = "scene_id"
+) -> DataFrame:
+    """Values on the target's grid, of the same reference system: bilinear over the valid source pixels; valid where the nearest source pixel is.
+
+    Invalid target pixels, those outside the source too, are 0, as are values under 1e-7.
+    """
+    m = F.col(valid).cast("double")
+    j = df.join(F.broadcast(_grid(df.sparkSession, source, bbox, shape)), ["y", "x"])
+    w = F.col("weight")
+    s = j.groupBy(scene, "ty", "tx").agg(*[F.sum(w * m * F.col(v)).alias(f"_{v}") for v in values], F.sum(w * m).alias("_s"), F.sum(w).alias("_w"), F.max(F.when(F.col("nearest"), F.col(valid))).alias("_n"))
+    out = _whole(df, s, scene, shape)
+    ok = F.coalesce("_n", F.lit(False))
+    cell = lambda v: F.when(ok & (F.col("_s") > 1e-6 * F.col("_w")), F.col(f"_{v}") / F.col("_s")).otherwise(F.lit(0.0))
+    return out.select(scene, "ty", "tx", *[F.when(F.abs(cell(v)) < 1e-7, F.lit(0.0)).otherwise(cell(v)).alias(v) for v in values], ok.alias("valid"))
+
+
+def align_mask(df: DataFrame, mask: str, source: tuple[float, float, float, float, int, int], bbox: tuple[float, float, float, float], shape: tuple[int, int], scene: str = "scene_id") -> DataFrame:
+    """A mask on the target's grid: that of the nearest source pixel, false outside."""
+    near = _grid(df.sparkSession, source, bbox, shape).where("nearest").select("ty", "tx", "y", "x")
+    got = df.join(F.broadcast(near), ["y", "x"]).select(scene, "ty", "tx", F.col(mask).alias("_m"))
+    return _whole(df, got, scene, shape).select(scene, "ty", "tx", F.coalesce("_m", F.lit(False)).alias(mask))

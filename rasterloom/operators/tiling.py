@@ -71,10 +71,12 @@ def tile_audit(tiles: DataFrame, expected: DataFrame, scene: str = "scene_id") -
     return both.select(scene, "ty", "tx", F.explode(rules).alias("rule"))
 
 
-def tile_metadata(pixels: DataFrame, windows: DataFrame, label: Column, scene: str = "scene_id") -> DataFrame:
-    """Per whole tile: id, box in pixels and share of positive pixels. Pixels meet their tiles by an equi-join on scene."""
-    own = windows.select(scene, "ty", "tx", "th", "tw")
-    p = pixels.select(scene, "y", "x", label.cast("double").alias("_l")).join(own, scene).where("y >= ty AND y < ty + th AND x >= tx AND x < tx + tw")
+def tile_metadata(pixels: DataFrame, windows: DataFrame, label: Column, scene: str = "scene_id", cell: int = 64) -> DataFrame:
+    """Per whole tile: id, box in pixels and share of positive pixels. Pixels meet their tiles by an equi-join on scene and cells of ``cell`` pixels."""
+    cells = lambda at, size: F.explode(F.sequence(F.floor(F.col(at) / cell), F.floor((F.col(at) + F.col(size) - 1) / cell)))
+    own = windows.select(scene, "ty", "tx", "th", "tw").withColumn("_cy", cells("ty", "th")).withColumn("_cx", cells("tx", "tw"))
+    p = pixels.select(scene, "y", "x", label.cast("double").alias("_l"), F.floor(F.col("y") / cell).alias("_cy"), F.floor(F.col("x") / cell).alias("_cx"))
+    p = p.join(own, [scene, "_cy", "_cx"]).where("y >= ty AND y < ty + th AND x >= tx AND x < tx + tw")
     t = p.groupBy(scene, "ty", "tx", "th", "tw").agg(F.avg("_l").alias("positive_ratio"), F.count(F.lit(1)).alias("n")).where("n = th * tw")
     name = F.concat(F.col(scene).cast("string"), F.lit("_y"), F.col("ty").cast("string"), F.lit("_x"), F.col("tx").cast("string"))
     return t.select(scene, name.alias("patch_id"), "ty", "tx", "positive_ratio")

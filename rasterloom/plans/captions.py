@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.functions import scalars as sc
 from rasterloom.operators import captions as cp
+from rasterloom.operators import mapfeatures as mf
 from rasterloom.operators.spectral import expansion_steps
 from rasterloom.operators.tiling import uniform
 from rasterloom.plans import fixtures as fx
@@ -208,6 +209,20 @@ def c12(spark, d):
     return cp.first_entry(p, e, [F.col("patch"), F.col("source")], "id", "name", "entry").select("id", F.coalesce("entry", F.lit("none")).alias("entry"))
 
 
+def c13(spark, d):
+    c = fx.captions(spark, d).withColumn("r", F.col("image_id") % 5)
+    first, second = F.col("captions")[0], F.try_element_at("captions", F.lit(2))
+    text, phrases = cp.entry_text(F.when(F.col("r") == 0, first), F.when(F.col("r") == 1, F.slice("captions", 1, 3)), F.when(F.col("r") != 2, F.slice("captions", 2, 3)), F.when(F.col("r").isin(0, 2), second), "none")
+    return c.select("image_id", F.sha2(text, 256).alias("text"), F.size(phrases).alias("n"), F.sha2(F.array_join(phrases, "|"), 256).alias("phrases"))
+
+
+def c14(spark, d):
+    docs = fx.table(spark, d, "documents")
+    counts = {"building": F.when(F.col("doc_id") % 2 == 0, F.col("n_chars") % 150), "road": F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") % 7), "water": F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") % 40), "vegetation": F.col("doc_id") % 4 - 1}
+    v = docs.select("doc_id", F.posexplode(F.array(*mf.keyword_vector(F.col("text"), counts))).alias("slot", "value"))
+    return v.select("doc_id", "slot", F.round("value", 6).alias("value"))
+
+
 def tokens(spark, d):
     c = cp.pairs(fx.captions(spark, d)).select("image_id", F.col("pos").alias("caption_pos"), F.col("caption").alias("t"))
     return cp.token_rows(c, ["image_id", "caption_pos"], "t", 24)
@@ -254,7 +269,7 @@ QUERIES = {
     "b1_sample_key": b1, "b2_split_and_index": b2, "b3_natural_order": b3, "b4_row_selection": b4, "b5_month_bounds": b5, "b6_month_timestamp": b6, "b7_utc_parse": b7, "b8_before_history": b8, "b9_month_window": b9,
     "b10_paired_windows": b10, "b11_expansion_steps": b11, "b12_box_validation": b12, "b13_tile_box": b13, "b14_sensor_family": b14, "b15_sensor_policy": b15, "b16_slc_mode": b16, "b17_failure_status": b17, "b18_alias_fallback": b18,
     "b19_image_number": b19, "b20_binarise_smooth": b20, "c1_clean_caption": c1, "c2_blank_filter": c2, "c3_caption_dedupe": c3, "c4_caption_index": c4, "c5_replica_flag": c5, "c6_distinct_texts": c6, "c7_dense_text_id": c7, "c8_dense_image_id": c8,
-    "c9_relevance": c9, "c9_relevance_train": c9_train, "c10_pair_flattening": c10, "c11_context_text": c11, "c12_patch_lookup": c12, "c15_hashed_tokens": c15, "c16_masked_tokens": c16, "c17_exact_mask": c17, "c18_answer_vocabulary": c18,
+    "c9_relevance": c9, "c9_relevance_train": c9_train, "c10_pair_flattening": c10, "c11_context_text": c11, "c12_patch_lookup": c12, "c13_entry_text": c13, "c14_keyword_vector": c14, "c15_hashed_tokens": c15, "c16_masked_tokens": c16, "c17_exact_mask": c17, "c18_answer_vocabulary": c18,
     "c19_question_rows": c19, "c20_negative_draws": c20,
 }
 
@@ -265,10 +280,31 @@ _U = lambda *k: "CAST(('0x' || substr(md5(" + " || '|' || ".join(f"CAST({x} AS V
 _CLEAN = r"""regexp_replace(replace(replace(replace(translate(lower(t), ',.''!?"()*#:;~', ''), '-', ' '), '/', ' '), '<person>', 'person'), '[ \t\n\x0B\f\r]{2,}', ' ', 'g')"""
 _WORDS = "array_to_string(list_filter(string_split_regex(coalesce(nullif({0}, ''), 'no context'), '\\s+'), lambda w: w <> '')[1:24], ' ')"
 _REST = "coalesce(nullif(t, ''), nullif(s, ''), nullif(j, ''))"
+_KINDS = {
+    "building": "building|built-up|built up|residential|industrial", "road": "road|transport|highway|street", "railway": "rail", "water": "water|river|wetland", "vegetation": "vegetation|forest|wood|park|green",
+    "residential": "residential|neighborhood|neighbourhood", "industrial_commercial": "industrial|commercial", "construction": "construction", "amenity": "amenity|parking",
+}
+_HINT = {"building": "CASE WHEN doc_id % 2 = 0 THEN n_chars % 150 ELSE 0 END", "road": "CASE WHEN doc_id % 3 = 0 THEN n_chars % 7 ELSE 0 END", "water": "CASE WHEN doc_id % 5 = 0 THEN doc_id % 40 ELSE 0 END", "vegetation": "greatest(doc_id % 4 - 1, 0)"}
+_KEYWORD_SQL = (
+    "WITH a AS (SELECT doc_id, " + ", ".join(f"{_HINT.get(n, '0')} AS n_{n}, CASE WHEN regexp_matches(lower(coalesce(text, '')), '{w}') OR {_HINT.get(n, '0')} > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS h_{n}" for n, w in _KINDS.items()) + " FROM documents),"
+    " b AS (SELECT *, least(n_building / CAST(120 AS DOUBLE), 1) AS c0, least((n_road + n_railway) / CAST(180 AS DOUBLE), 1) AS c1, least(n_water / CAST(30 AS DOUBLE), 1) AS c2, least(n_vegetation / CAST(60 AS DOUBLE), 1) AS c3 FROM a),"
+    " c AS (SELECT *, least(0.55 * h_building + 0.25 * h_residential + 0.20 * h_industrial_commercial + 0.35 * c0, 1) AS d0, least(0.55 * h_road + 0.20 * h_railway + 0.25 * c1, 1) AS d1 FROM b),"
+    " e AS (SELECT doc_id, [" + ", ".join(f"h_{n}" for n in _KINDS) + ", c0, c1, c2, c3, d0, d1, least(0.50 * d0 + 0.30 * d1 - 0.20 * h_water - 0.10 * h_vegetation + 0.25 * h_construction, 1)] AS v FROM c)"
+    " SELECT doc_id, CAST(unnest(range(16)) AS INT) AS slot, round(unnest(v), 6) AS value FROM e"
+)
 ORACLES = {
+    "c13_entry_text": fx.sql(
+        r"""WITH e AS (SELECT image_id, image_id % 5 AS r, captions AS c FROM captions), f AS (SELECT image_id, CASE WHEN r = 0 THEN c[1] END AS t, CASE WHEN r = 1 THEN c[1:3] END AS l, CASE WHEN r <> 2 THEN c[2:4] ELSE [] END AS p, CASE WHEN r IN (0, 2) THEN c[2] END AS s FROM e),
+        g AS (SELECT image_id, trim(coalesce(t, ''), @) AS t, trim(coalesce(s, ''), @) AS s, l IS NOT NULL AS has, list_filter(list_transform(coalesce(l, []), lambda x: trim(x, @)), lambda x: x <> '') AS l, list_filter(list_transform(p, lambda x: trim(x, @)), lambda x: x <> '') AS p FROM f),
+        h AS (SELECT *, list_concat(l, p) AS q, CASE WHEN has THEN array_to_string(l, ' ; ') ELSE t END AS given FROM g),
+        k AS (SELECT image_id, CASE WHEN given <> '' THEN given WHEN s <> '' THEN s WHEN len(q) > 0 THEN array_to_string(q, ' ; ') ELSE 'none' END AS text, [x.v FOR x IN list_transform(q, lambda v, i: {'v': v, 'i': i}) IF list_position(q, x.v) = x.i] AS u FROM h)
+        SELECT image_id, sha256(text) AS text, CAST(len(u) AS INT) AS n, sha256(coalesce(array_to_string(u, '|'), '')) AS phrases FROM k""".replace("@", "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"),
+        "captions",
+    ),
+    "c14_keyword_vector": _KEYWORD_SQL,
     "b1_sample_key": f"WITH o AS (SELECT o_orderkey AS id FROM orders), k AS (SELECT id, CASE WHEN id % 7 <> 2 THEN {_NAME} || '_' || id END AS key FROM o) SELECT id, key, key || '.png' AS file FROM k",
     "b2_split_and_index": f"WITH o AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 7 <> 2) SELECT id, {_NAME} AS split, CAST(id AS INT) AS idx FROM o",
-    "b3_natural_order": fx.sql("SELECT key FROM date_records ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, id LIMIT 200", "date_records"),
+    "b3_natural_order": fx.sql("SELECT key FROM date_records ORDER BY CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END, id", "date_records"),
     "b4_row_selection": fx.sql("SELECT key, region_id FROM date_records WHERE split = 'val' AND region_id IN (1, 2, 3) ORDER BY id LIMIT 50", "date_records"),
     "b5_month_bounds": fx.sql(f"SELECT id, strftime({_M1}, '%Y-%m-%d') AS first, strftime(last_day({_M1}), '%Y-%m-%d') AS last FROM date_records", "date_records"),
     "b6_month_timestamp": fx.sql(f"SELECT id, strftime(last_day({_M1}), '%Y-%m-%d') || 'T23:59:59Z' AS ends, month || '-01T00:00:00Z' AS starts FROM date_records", "date_records"),
@@ -294,7 +330,7 @@ ORACLES = {
     "b18_alias_fallback": "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment ELSE c_name END AS value FROM customer",
     "b19_image_number": "SELECT doc_id, CAST(doc_id AS INT) AS number FROM documents",
     "b20_binarise_smooth": fx.sql("SELECT split, round(sum(CASE WHEN CAST(prob AS DOUBLE) * 255 > 127 THEN CAST(0.95 AS DOUBLE) ELSE CAST(0.05 AS DOUBLE) END), 6) AS total FROM px8 GROUP BY 1", "px8"),
-    "c1_clean_caption": fx.sql(f"WITH {_PAIRS}, q AS (SELECT image_id, pos, regexp_replace(caption, '[^\\x00-\\x7F]', '', 'g') AS t FROM p) SELECT image_id, pos, sha256(array_to_string(string_split(trim(rtrim({_CLEAN}, chr(10)), ' '), ' ')[1:30], ' ')) AS clean FROM q", "captions"),
+    "c1_clean_caption": fx.sql(f"WITH {_PAIRS}, q AS (SELECT image_id, pos, caption AS t FROM p) SELECT image_id, pos, sha256(array_to_string(string_split(trim(rtrim({_CLEAN}, chr(10)), ' '), ' ')[1:30], ' ')) AS clean FROM q", "captions"),
     "c2_blank_filter": fx.sql(f"WITH {_PAIRS} SELECT split, count(*) AS n FROM p WHERE regexp_matches(caption, '[A-Za-z0-9]|[^\\x00-\\x7F]') GROUP BY 1", "captions"),
     "c3_caption_dedupe": fx.sql("SELECT image_id, CAST(len(list_distinct(captions)) AS INT) AS n FROM captions", "captions"),
     "c4_caption_index": fx.sql(f"WITH {_PAIRS} SELECT image_id, pos, row_number() OVER (ORDER BY image_id, pos) - 1 AS index FROM p", "captions"),

@@ -213,7 +213,9 @@ _D = f"{_SM}, {_DT}"
 _EL = f"""el AS (SELECT id, date, CASE WHEN id % 43 = 0 THEN 'missing' ELSE status END AS status, CASE WHEN id % 43 = 0 THEN 'missing_record' WHEN status NOT IN {_SUC} THEN 'status_' || status WHEN id % 3 = 0 AND status <> 'ok_empty' THEN 'missing_file' WHEN status <> 'ok_empty' AND valid_fraction < 0.3 THEN 'insufficient_valid_fraction' END AS reason FROM dt)"""
 _CC = """m AS (SELECT scene_id, y, x, v FROM px64 WHERE v > CAST(0.15 AS DOUBLE)), reach AS (SELECT scene_id, y, x, y * 64 + x AS root FROM m UNION SELECT m.scene_id, m.y, m.x, r.root FROM reach r JOIN m ON m.scene_id = r.scene_id AND abs(m.y - r.y) <= 1 AND abs(m.x - r.x) <= 1),
  rt AS (SELECT scene_id, y, x, min(root) AS root FROM reach GROUP BY 1, 2, 3), lb AS (SELECT rt.scene_id, rt.y, rt.x, CAST(dense_rank() OVER (PARTITION BY rt.scene_id ORDER BY root) AS INT) AS label, v FROM rt JOIN m ON m.scene_id = rt.scene_id AND m.y = rt.y AND m.x = rt.x)"""
-_PK = ", pk AS (SELECT a.scene_id, a.label, a.v AS score, min((a.y, a.x)) AS p FROM lb a WHERE a.v >= 0.2 AND a.v = (SELECT max(b.v) FROM lb b WHERE b.scene_id = a.scene_id AND b.label = a.label AND abs(b.y - a.y) <= 2 AND abs(b.x - a.x) <= 2) GROUP BY 1, 2, 3)"
+_PK = """, cand AS (SELECT a.* FROM lb a WHERE a.v >= 0.2 AND a.v >= (SELECT max(b.v) FROM lb b WHERE b.scene_id = a.scene_id AND b.label = a.label AND abs(b.y - a.y) <= 2 AND abs(b.x - a.x) <= 2) - CAST(1e-7 AS DOUBLE)),
+ touch AS (SELECT scene_id, y, x, y * 64 + x AS root FROM cand UNION SELECT c.scene_id, c.y, c.x, t.root FROM touch t JOIN cand c ON c.scene_id = t.scene_id AND abs(c.y - t.y) <= 1 AND abs(c.x - t.x) <= 1),
+ plateau AS (SELECT scene_id, y, x, min(root) AS root FROM touch GROUP BY 1, 2, 3), pk AS (SELECT c.scene_id, c.label, max(c.v) AS score, min((-c.v, c.y, c.x)) AS p FROM cand c JOIN plateau USING (scene_id, y, x) GROUP BY 1, 2, root)"""
 _CE = ", ce AS (SELECT scene_id, label AS instance, avg(y) AS cy, avg(x) AS cx, count(*) AS area FROM lb GROUP BY 1, 2), cn AS (SELECT ce.scene_id, ce.instance, area, min((round(pow(y - cy, 2) + pow(x - cx, 2), 9), y, x)) AS p FROM lb JOIN ce ON ce.scene_id = lb.scene_id AND ce.instance = lb.label GROUP BY 1, 2, 3), cp AS (SELECT scene_id, instance, area, p[2] AS y, p[3] AS x FROM cn)"
 
 
@@ -259,7 +261,7 @@ ORACLES = {
     "d13_concatenated": fx.sql("WITH u AS (SELECT split, len(captions) AS n FROM captions UNION ALL SELECT NULL, count(text) FROM conversations GROUP BY conv_id) SELECT split, count(*) AS images, CAST(sum(n) AS BIGINT) AS captions FROM u GROUP BY 1", "captions"),
     "d14_initial_status": fx.sql(f"WITH {_D} SELECT date, CASE WHEN date = 't1' THEN 'not_requested' WHEN timestamp < '1997-06-01T00:00:00Z' THEN 'unavailable_before_history' ELSE 'pending' END AS status, count(*) AS n FROM dt GROUP BY 1, 2", "date_records"),
     "i1_components": recursive(f"{_CC} SELECT scene_id, y, x, label FROM lb"),
-    "i2_peak_candidates": recursive(f"{_CC}{_PK} SELECT scene_id, label, round(score, 6) AS score, p[1] AS y, p[2] AS x FROM pk"),
+    "i2_peak_candidates": recursive(f"{_CC}{_PK} SELECT scene_id, label, round(score, 6) AS score, p[2] AS y, p[3] AS x FROM pk"),
     "i8_instance_centres": recursive(f"{_CC}{_CE} SELECT * FROM cp"),
     "i9_centre_targets": recursive(f"{_CC}{_CE} SELECT scene_id, CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x, round(max(exp(-(dy * dy + dx * dx) / CAST(2 AS DOUBLE))), 6) AS heat FROM cp, (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx) WHERE y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 63 GROUP BY 1, 2, 3"),
     "i9_offset_targets": recursive(f"{_CC}{_CE} SELECT lb.scene_id, lb.y, lb.x, cp.y - lb.y AS offset_y, cp.x - lb.x AS offset_x FROM lb JOIN cp ON cp.scene_id = lb.scene_id AND cp.instance = lb.label"),

@@ -164,7 +164,7 @@ ORACLES = {
         "features", "map_tiles",
     ),
     "f10_summary_sentence": fx.sql(f"WITH {_J}, {_ALLC} SELECT tile_id, {_SENT} AS sentence FROM a", "features", "map_tiles"),
-    "f11_tile_summary": fx.sql(f"WITH j AS (SELECT * FROM features JOIN map_tiles ON {_MEET} WHERE feature_id % 50 = 0), c AS (SELECT tile_id, {_COUNTS}, count(*) AS features FROM j GROUP BY 1), {_ALLC} SELECT *, {_SENT} AS sentence FROM a", "features", "map_tiles"),
+    "f11_tile_summary": fx.sql(f"WITH j AS (SELECT * FROM features JOIN map_tiles ON {_MEET}), c AS (SELECT tile_id, {_COUNTS}, count(*) AS features FROM j GROUP BY 1), {_ALLC} SELECT *, {_SENT} AS sentence FROM a", "features", "map_tiles"),
     "f12_channel_categories": fx.sql(f"SELECT feature_id, CAST(unnest({_CH}) AS INT) AS channel FROM features", "features"),
     "f13_geometry_parts": fx.sql(
         "SELECT feature_id, 0 AS member, 'polygon' AS kind, 0 AS part, 5 AS n_points FROM features UNION ALL SELECT feature_id, 1, 'line', 0, 3 FROM features WHERE feature_id % 3 = 0 UNION ALL SELECT feature_id, 2, 'point', unnest([0, 1]), 1 FROM features WHERE feature_id % 3 = 0",

@@ -90,11 +90,8 @@ def j9(spark, d):
 
 
 def j10(spark, d):
-    t = top(spark, d).where("side = 'text'").select("query", "found", "score")
-    u = uniform(F.col("query"), F.col("found"))
-    pos = grouped(spark, d).where("side = 'text'").select("query", "found")
-    hard, typical = rt.sampled_negative(t, pos, u), rt.sampled_negative(t, pos, u, hard=False).withColumnRenamed("negative", "typical")
-    return hard.join(typical, "query")
+    v = vectors(spark, d).select("id", "vec", F.expr("(id div 2) % 40").alias("group"))
+    return rt.negative_draws(v.where("id % 2 = 0"), v.where("id % 2 = 1"), block=128)
 
 
 def j11(spark, d):
@@ -216,7 +213,7 @@ ORACLES = {
     "j7_rerank": f"WITH {_RR} SELECT side, query, found, round(score, 6) AS score, rank FROM rr",
     "j8_best_positive_rank": f"WITH {_RR}, {_REC('rr', _GRP)} SELECT side, " + ", ".join(f"round(r{k} * 100, 6) AS r{k}" for k in KS) + ", round((r1 + r5 + r10) / 3 * 100, 6) AS mean FROM q",
     "j9_soft_targets": "WITH e AS (SELECT vec_id, vec_id // 32 AS batch, label FROM embeddings) SELECT a.batch, a.vec_id, b.vec_id AS other, round(1 / CAST(count(*) OVER (PARTITION BY a.batch, a.vec_id) AS DOUBLE), 6) AS target FROM e a JOIN e b ON a.batch = b.batch AND a.label = b.label",
-    "j10_negative_sampling": f"WITH {_T}, {_GRP}, c AS (SELECT query, found, score, -ln(-ln({_U})) AS g FROM top t WHERE side = 'text' AND NOT EXISTS (SELECT 1 FROM rel WHERE rel.side = 'text' AND rel.query = t.query AND rel.found = t.found)) SELECT query, max_by(found, score + g) AS negative, max_by(found, g - score) AS typical FROM c GROUP BY 1",
+    "j10_negative_sampling": f"WITH {_S}, {_GRP}, c AS (SELECT side, query, found, score, -ln(-ln(((query * 1103515245 + found * 12345 + 7) % 2147483647 * 48271 % 2147483647 + 0.5) / CAST(2147483647 AS DOUBLE))) AS g FROM a WHERE NOT EXISTS (SELECT 1 FROM rel WHERE rel.side = a.side AND rel.query = a.query AND rel.found = a.found)) SELECT side, query, max_by(found, score + g) AS negative, max_by(found, g - score) AS typical FROM c GROUP BY 1, 2",
     "j11_fifo_memory": "SELECT vec_id, label FROM embeddings ORDER BY vec_id DESC LIMIT 128",
     "j12_memory_sample": "SELECT vec_id, label FROM embeddings ORDER BY CAST(('0x' || substr(md5(vec_id || '|9'), 1, 12)) AS BIGINT), vec_id LIMIT 50",
     "j13_priority_merge": "WITH o AS (SELECT user_id AS key, max(event_id) AS arrival, max_by(value, event_id) AS priority FROM events GROUP BY 1) SELECT * FROM o ORDER BY priority DESC, key LIMIT 40",

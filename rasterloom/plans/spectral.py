@@ -84,6 +84,18 @@ def e11(spark, d):
     return rounded(sp.resize_valid(mask8(spark, d), ["v"], "valid", (8, 8), (12, 20)), "v")
 
 
+#: A source of 8 x 8 pixels of 0.01 degrees, and a target that leaves it on two sides: west, north, width, height, rows, columns; box; shape.
+SOURCE, BOX, SHAPE = (10.0, 50.0, 0.01, 0.01, 8, 8), (10.013, 49.913, 10.093, 49.988), (10, 12)
+
+
+def e12(spark, d):
+    return rounded(sp.align_valid(mask8(spark, d), ["v"], "valid", SOURCE, BOX, SHAPE), "v")
+
+
+def e13(spark, d):
+    return sp.align_mask(mask8(spark, d).drop("v"), "valid", SOURCE, BOX, SHAPE)
+
+
 def e14(spark, d):
     return rounded(sp.training_stats(channels(spark, d), ["sensor"], ["ndvi", "ndwi"]), "mean", "std")
 
@@ -121,7 +133,7 @@ def e20(spark, d):
 
 QUERIES = {
     "e1_scale_offset": e1, "e2_qa_mask": e2, "e3_normalised_difference": e3, "e4_ndvi_ndwi": e4, "e5_five_channels": e5, "e6_scene_preparation": e6, "e7_median_composite": e7, "e8_window_diagnostics": e8, "e9_window_choice": e9,
-    "e10_channel_audit": e10, "e11_valid_resize": e11, "e14_sensor_stats": e14, "e15_global_stats": e15, "e16_normalisation": e16, "e17_stats_guard": e17, "e18_coverage_report": e18, "e19_one_per_group": e19, "e20_paired_change": e20,
+    "e10_channel_audit": e10, "e11_valid_resize": e11, "e12_align_valid": e12, "e13_align_mask": e13, "e14_sensor_stats": e14, "e15_global_stats": e15, "e16_normalisation": e16, "e17_stats_guard": e17, "e18_coverage_report": e18, "e19_one_per_group": e19, "e20_paired_change": e20,
 }
 
 _B = lambda b: f"CAST(CAST(raw_{b} AS FLOAT) * CAST(2.75e-5 AS FLOAT) AS FLOAT) + CAST(-0.2 AS FLOAT)"
@@ -152,6 +164,11 @@ _N3, _K3 = nd("a", "b", "qa_pixel = 0", "100")
 _LAST = lambda c: f"(SELECT px, max_by(ndvi, (acquired, raw_green, raw_red, raw_nir, valid)) AS v, max_by(ndwi, (acquired, raw_green, raw_red, raw_nir, valid)) AS w, max_by(valid, (acquired, raw_green, raw_red, raw_nir, valid)) AS ok FROM ch WHERE {c} GROUP BY px)"
 _BEFORE, _AFTER = _LAST("acquired < DATE '1998-01-01'"), _LAST("acquired >= DATE '1998-01-01'")
 _F = "count(*) AS n, count(f) AS acceptable, round(avg(f), 6) AS mean_fraction, round(min(f), 6) AS min_fraction, round(max(f), 6) AS max_fraction"
+_ALIGN = (
+    "m AS (SELECT scene_id, y, x, CAST(prob AS DOUBLE) AS v, CASE WHEN (y + x + scene_id) % 3 <> 0 THEN CAST(1 AS DOUBLE) ELSE 0 END AS m FROM px8),"
+    " t AS (SELECT DISTINCT scene_id, CAST(r.range AS INT) AS ty, CAST(c.range AS INT) AS tx, (CAST(50 AS DOUBLE) - (49.988 - (r.range + 0.5) * (CAST(0.075 AS DOUBLE) / 10))) / 0.01 AS py, (10.013 + (c.range + 0.5) * (CAST(0.08 AS DOUBLE) / 12) - CAST(10 AS DOUBLE)) / 0.01 AS px FROM m, range(10) r, range(12) c),"
+    " n AS (SELECT DISTINCT ty, tx, CAST(floor(py - 0.5) AS INT) + dy AS y, CAST(floor(px - 0.5) AS INT) + dx AS x, (CASE WHEN dy = 1 THEN py - 0.5 - floor(py - 0.5) ELSE 1 - (py - 0.5 - floor(py - 0.5)) END) * (CASE WHEN dx = 1 THEN px - 0.5 - floor(px - 0.5) ELSE 1 - (px - 0.5 - floor(px - 0.5)) END) AS f FROM (SELECT DISTINCT ty, tx, py, px FROM t), (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dx))"
+)
 ORACLES = {
     "e1_scale_offset": fx.sql(f"SELECT sensor, round(sum(CAST({_B('nir')} AS DOUBLE)), 4) AS total, max(round(CAST({_B('green')} AS DOUBLE), 6)) AS top FROM obs GROUP BY 1", "obs"),
     "e2_qa_mask": fx.sql(f"SELECT sensor, count(*) AS n, count(*) FILTER ({QA}) AS n_valid FROM obs GROUP BY 1", "obs"),
@@ -178,6 +195,12 @@ ORACLES = {
         " SELECT s.scene_id, ty, tx, round(CASE WHEN n.m > 0.5 AND s > 1e-6 THEN a / greatest(s, 1e-6) ELSE 0 END, 6) AS v, n.m > 0.5 AND s > 1e-6 AS valid FROM s JOIN m n ON n.scene_id = s.scene_id AND n.y = ny AND n.x = nx",
         "px8",
     ),
+    "e12_align_valid": fx.sql(
+        f"WITH {_ALIGN}, j AS (SELECT t.scene_id, t.ty, t.tx, sum(f * m * v) AS a, sum(f * m) AS s, sum(f) AS w FROM t JOIN n USING (ty, tx) JOIN m ON m.scene_id = t.scene_id AND m.y = n.y AND m.x = n.x GROUP BY 1, 2, 3)"
+        " SELECT t.scene_id, t.ty, t.tx, round(CASE WHEN coalesce(k.m, 0) > 0 AND s > 1e-6 * w AND abs(a / s) >= 1e-7 THEN a / s ELSE 0 END, 6) AS v, coalesce(k.m, 0) > 0 AS valid FROM t LEFT JOIN j USING (scene_id, ty, tx) LEFT JOIN m k ON k.scene_id = t.scene_id AND k.y = floor(t.py) AND k.x = floor(t.px)",
+        "px8",
+    ),
+    "e13_align_mask": fx.sql(f"WITH {_ALIGN} SELECT t.scene_id, ty, tx, coalesce(k.m, 0) > 0 AS valid FROM t LEFT JOIN m k ON k.scene_id = t.scene_id AND k.y = floor(py) AND k.x = floor(px)", "px8"),
     "e14_sensor_stats": fx.sql(f"WITH {CH}, {_ST('sensor,', ['ndvi', 'ndwi'], '1e-12')} SELECT sensor, band, n, round(mean, 6) AS mean, round(std, 6) AS std FROM st", "obs"),
     "e15_global_stats": fx.sql(f"WITH {CH}, {_ST('', SUMS, '0')} SELECT band, n, round(mean, 6) AS mean, round(std, 6) AS std FROM st", "obs"),
     "e16_normalisation": fx.sql(

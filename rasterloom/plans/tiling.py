@@ -44,7 +44,7 @@ def g6(spark, d):
 
 
 def tiles(spark, d):
-    return tl.tile_metadata(fx.px64(spark, d), tl.scene_windows(scenes64(spark, d), 16, 8), F.col("v") > 0.15)
+    return tl.tile_metadata(fx.px64(spark, d), tl.scene_windows(scenes64(spark, d), 16, 8), F.col("v") > 0.15, cell=16)
 
 
 def g7(spark, d):

@@ -46,8 +46,10 @@ def listed_with_annotations(files: DataFrame, annotations: DataFrame, name: str
 
 
 def write_image_table(spark: SparkSession, images: str, annotations: DataFrame, out: str) -> None:
-    """Image bytes with captions, one folder a split."""
-    b = with_names(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(images).select("path", "content"))
+    """Image bytes with captions, one folder a split. A file is named by its own name, or by its folder's where that is ``filename=...``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(images).select("path", "content")
+    folder = F.regexp_extract("path", "/filename=([^/]+)/[^/]+$", 1)
+    b = with_names(files).withColumn("name", F.when(folder != "", folder).otherwise(F.col("name")))
     b.join(annotations, b.name == annotations.filename).select("content", "captions", "image_id", "split").write.partitionBy("split").mode("overwrite").parquet(out)
 
 
