@@ -11,6 +11,7 @@ from rasterloom.operators import captions as cp
 from rasterloom.operators import evaluation as ev
 from rasterloom.operators import instances as ins
 from rasterloom.operators import retrieval as rt
+from rasterloom.operators import series as se
 from rasterloom.operators import spectral as sp
 from rasterloom.operators import tiling as tl
 
@@ -209,3 +210,25 @@ def test_dense_numbers_follow_the_order(spark):
     d = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v"))
     got = cp.numbered(d, ["v"], "n").collect()
     assert all(r.v == r.n for r in got)
+
+
+def test_long_series_average(spark):
+    """Beyond the length at which powers of the inverse overflow, in large blocks and small ones."""
+    df = spark.range(1, 120_001).select(F.lit(1).alias("run"), F.col("id").alias("step"), F.when(F.col("id") == 1, 5.0).otherwise((F.col("id") % 7).cast("double")).alias("value"))
+    want, a = [], None
+    for i in range(1, 120_001):
+        x = 5.0 if i == 1 else float(i % 7)
+        a = x if a is None else 0.99 * a + 0.01 * x
+        want.append(a)
+    for block in (64, 1024):
+        got = [r.average for r in se.exponential_average(df, ["run"], "step", "value", block=block).orderBy("step").collect()]
+        assert max(abs(g - w) for g, w in zip(got, want, strict=True)) < 1e-9
+
+
+def test_equal_peaks_stay_apart(spark):
+    """Two discs' peaks of one height give two candidates; a plateau gives one, its first best pixel."""
+    px = [(0, 3, x, 1, 1.0 if x in (5, 30, 31) else 0.3) for x in range(40)]
+    df = spark.createDataFrame(px, "scene_id long, y int, x int, label int, v double")
+    got = {(r.label, r.score, r.y, r.x) for r in ins.peak_candidates(df, "v", 0.5, 2).collect()}
+    assert got == {(1, 1.0, 3, 5), (1, 1.0, 3, 30)}
+    assert len(ins.separated_peaks(ins.peak_candidates(df, "v", 0.5, 2), 3).collect()) == 2
