@@ -5,12 +5,14 @@ Rankings are by descending score, then ascending id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 
@@ -24,6 +26,42 @@ def l2_normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
+def block_pairs(images: DataFrame, texts: DataFrame, block: int, pairs: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+    """``pairs`` of every block of one side with every block of the other; both (with id) are dealt by a hash into blocks of about ``block`` rows.
+
+    Rows travel as structures, so that sides of one origin have no column in common.
+    """
+    n_i, n_t = (max(1, -(-d.count() // block)) for d in (images, texts))
+
+    def spread(d: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        rows = d.select(F.struct(*d.columns).alias(f"row_{own}"), F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    def unpacked(t: pa.Table, own: str) -> pa.Table:
+        rows = t.column(f"row_{own}").combine_chunks()
+        return pa.Table.from_arrays(rows.flatten(), names=[f.name for f in rows.type])
+
+    def each(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not len(a) or not len(b):
+            return arrow.empty_table()
+        return pairs(unpacked(a, "bi"), unpacked(b, "bt")).cast(arrow)
+
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    a, b = spread(images, "bi", n_i, "bt", n_t), spread(texts, "bt", n_t, "bi", n_i)
+    return a.groupBy("bi", "bt").cogroup(b.groupBy("bi", "bt")).applyInArrow(each, schema)
+
+
+def all_scores(queries: DataFrame, rows: DataFrame, block: int = 4096, scale: float = 1.0) -> DataFrame:
+    """The scaled dot product of every query with every row: query, found, score. The queries should be few, as all pairs come out."""
+
+    def scores(a: pa.Table, b: pa.Table) -> pa.Table:
+        i, j = a.column("id").to_numpy(), b.column("id").to_numpy()
+        x, y = (np.stack(t.column("vec").to_numpy()).astype(np.float64) for t in (a, b))
+        return pa.table({"query": np.repeat(i, len(j)), "found": np.tile(j, len(i)), "score": (x @ y.T * scale).ravel()})
+
+    return block_pairs(queries, rows, block, scores, "query long, found long, score double")
+
+
 def top_k_both(images: DataFrame, texts: DataFrame, k: int, block: int = 4096, scale: float = 1.0) -> DataFrame:
     """The k best texts of every image and the k best images of every text: side, query, found, score, rank.
 
@@ -31,23 +69,16 @@ def top_k_both(images: DataFrame, texts: DataFrame, k: int, block: int = 4096, s
     product that keeps k of each row and column. So what is shuffled after it is k rows a query and
     block, never all pairs; the last ranking merges those.
     """
-    n_i, n_t = (max(1, -(-d.count() // block)) for d in (images, texts))
-    spread = lambda d, own, n_own, other, n_other: d.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-    a, b = spread(images, "bi", n_i, "bt", n_t), spread(texts, "bt", n_t, "bi", n_i)
-
     def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = []
-        if len(a) and len(b):
-            x, y = (np.stack(t.column("vec").to_numpy()).astype(np.float64) for t in (a, b))
-            i, j = a.column("id").to_numpy(), b.column("id").to_numpy()
-            s = x @ y.T * scale
-            for side, m, q, f in (("text", s, i, j), ("image", s.T, j, i)):
-                order = np.lexsort((np.broadcast_to(f, m.shape), -m), axis=1)[:, :k]
-                out.append(pa.table({"side": [side] * order.size, "query": np.repeat(q, order.shape[1]), "found": f[order].ravel(), "score": np.take_along_axis(m, order, 1).ravel()}))
-        schema = pa.schema([("side", pa.string()), ("query", pa.int64()), ("found", pa.int64()), ("score", pa.float64())])
-        return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
-
-    got = a.groupBy("bi", "bt").cogroup(b.groupBy("bi", "bt")).applyInArrow(best, "side string, query long, found long, score double")
+        x, y = (np.stack(t.column("vec").to_numpy()).astype(np.float64) for t in (a, b))
+        i, j = a.column("id").to_numpy(), b.column("id").to_numpy()
+        s, out = x @ y.T * scale, []
+        for side, m, q, f in (("text", s, i, j), ("image", s.T, j, i)):
+            order = np.lexsort((np.broadcast_to(f, m.shape), -m), axis=1)[:, :k]
+            out.append(pa.table({"side": [side] * order.size, "query": np.repeat(q, order.shape[1]), "found": f[order].ravel(), "score": np.take_along_axis(m, order, 1).ravel()}))
+        return pa.concat_tables(out)
+
+    got = block_pairs(images, texts, block, best, "side string, query long, found long, score double")
     rank = F.row_number().over(Window.partitionBy("side", "query").orderBy(F.desc("score"), "found"))
     return got.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -94,6 +125,9 @@ def pair_uniform(query: np.ndarray, found: np.ndarray) -> np.ndarray:
     return (one * 48271 % m + 0.5) / m
 
 
+DRAWN = pa.schema([("side", pa.string()), ("query", pa.int64()), ("hard", pa.bool_()), ("found", pa.int64()), ("z", pa.float64())])
+
+
 def negative_draws(images: DataFrame, texts: DataFrame, block: int = 4096) -> DataFrame:
     """For every image and every text one hard negative, from softmax(score) over the other side's rows of another group, and one typical one, from softmax(-score).
 
@@ -101,29 +135,22 @@ def negative_draws(images: DataFrame, texts: DataFrame, block: int = 4096) -> Da
     sides (id, vec, group) are dealt into blocks; each pair of blocks gives the greatest of each row
     and column, so what is shuffled is a row a query and block. A query without negatives has no row.
     """
-    n_i, n_t = (max(1, -(-d.count() // block)) for d in (images, texts))
-    spread = lambda d, own, n_own, other, n_other: d.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
-    a, b = spread(images, "bi", n_i, "bt", n_t), spread(texts, "bt", n_t, "bi", n_i)
-
     def draw(a: pa.Table, b: pa.Table) -> pa.Table:
-        out = []
-        if len(a) and len(b):
-            x, y = (np.stack(t.column("vec").to_numpy()).astype(np.float64) for t in (a, b))
-            i, j = a.column("id").to_numpy(), b.column("id").to_numpy()
-            other = a.column("group").to_numpy()[:, None] != b.column("group").to_numpy()
-            s = x @ y.T
-            for side, m, ok, q, f in (("text", s, other, i, j), ("image", s.T, other.T, j, i)):
-                noise = -np.log(-np.log(pair_uniform(q, f)))
-                for hard, z in ((True, m + noise), (False, noise - m)):
-                    z = np.where(ok, z, -np.inf)
-                    at = z.argmax(axis=1)
-                    top = z[np.arange(len(q)), at]
-                    own = np.isfinite(top)
-                    out.append(pa.table({"side": [side] * int(own.sum()), "query": q[own], "hard": [hard] * int(own.sum()), "found": f[at[own]], "z": top[own]}))
-        schema = pa.schema([("side", pa.string()), ("query", pa.int64()), ("hard", pa.bool_()), ("found", pa.int64()), ("z", pa.float64())])
-        return pa.concat_tables([t.cast(schema) for t in out]) if out else schema.empty_table()
-
-    got = a.groupBy("bi", "bt").cogroup(b.groupBy("bi", "bt")).applyInArrow(draw, "side string, query long, hard boolean, found long, z double")
+        x, y = (np.stack(t.column("vec").to_numpy()).astype(np.float64) for t in (a, b))
+        i, j = a.column("id").to_numpy(), b.column("id").to_numpy()
+        other = a.column("group").to_numpy()[:, None] != b.column("group").to_numpy()
+        s, out = x @ y.T, []
+        for side, m, ok, q, f in (("text", s, other, i, j), ("image", s.T, other.T, j, i)):
+            noise = -np.log(-np.log(pair_uniform(q, f)))
+            for hard, z in ((True, m + noise), (False, noise - m)):
+                z = np.where(ok, z, -np.inf)
+                at = z.argmax(axis=1)
+                top = z[np.arange(len(q)), at]
+                own = np.isfinite(top)
+                out.append(pa.table({"side": [side] * int(own.sum()), "query": q[own], "hard": pa.array([hard] * int(own.sum()), pa.bool_()), "found": f[at[own]], "z": top[own]}).cast(DRAWN))
+        return pa.concat_tables(out)
+
+    got = block_pairs(images, texts, block, draw, "side string, query long, hard boolean, found long, z double")
     best = lambda hard: F.max_by(F.when(F.col("hard") == hard, F.col("found")), F.when(F.col("hard") == hard, F.col("z")))
     return got.groupBy("side", "query").agg(best(True).alias("negative"), best(False).alias("typical"))
 

@@ -133,15 +133,15 @@ def channel_audit(df: DataFrame, by: list[str], tolerance: float = 1e-4) -> Data
 def training_stats(df: DataFrame, by: list[str], bands: list[str], floor: float = 1e-12, split: str = "train") -> DataFrame:
     """Count, mean and population standard deviation of the valid values of one split, a row per group and band.
 
-    Variance comes from sums in double and has a floor. Groups with one value or none are an error.
+    Variance is merged from partial means in double and has a floor. Groups with one value or none are an error.
     """
     own = df.where((F.col("split") == split) & F.col("valid"))
-    long = own.select(*by, F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.col(b).cast("double").alias("v")) for b in bands])).alias("s")).select(*by, "s.band", "s.v").where(finite(F.col("v")))
-    s = long.groupBy(*by, "band").agg(F.count("v").alias("n"), F.sum("v").alias("s1"), F.sum(F.col("v") * F.col("v")).alias("s2"))
-    mean = F.col("s1") / F.col("n")
-    std = F.sqrt(F.greatest(F.col("s2") / F.col("n") - mean * mean, F.lit(floor)))
+    value = lambda b: F.when(finite(F.col(b).cast("double")), F.col(b).cast("double"))
+    wide = own.groupBy(*by).agg(*[f(value(b)).alias(f"_{s}_{b}") for b in bands for s, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))])
+    s = wide.select(*by, F.inline(F.array(*[F.struct(F.lit(b).alias("band"), *[F.col(f"_{s}_{b}").alias(s) for s in ("n", "mean", "var")]) for b in bands])))
+    std = F.sqrt(F.greatest(F.col("var"), F.lit(floor)))
     checked = F.when(F.col("n") > 1, F.col("n")).otherwise(F.raise_error("a group has one valid value or none").cast("long"))
-    return s.select(*by, "band", checked.alias("n"), mean.alias("mean"), std.alias("std"))
+    return s.select(*by, "band", checked.alias("n"), "mean", std.alias("std"))
 
 
 def normalise(df: DataFrame, stats: DataFrame, by: list[str], bands: list[str], valid: str = "valid") -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rasterloom.functions.storage import before, in_ranges
+from rasterloom.operators.captions import numbered
 
 
 def tile_starts(length: Column, tile: int, stride: int) -> Column:
@@ -162,8 +163,14 @@ def negative_weights(df: DataFrame, weight: str, gamma: float, least: float) ->
 
 
 def extreme_negatives(df: DataFrame, score: str, share: str, quantile: float, least: float) -> DataFrame:
-    """Rows whose score is above 0 and at the quantile or more, with shares renormalised among them."""
-    q = df.agg(F.percentile(score, F.lit(quantile)).alias("_q"))
+    """Rows whose score is above 0 and at the quantile or more, with shares renormalised among them.
+
+    The quantile is exact, between the two values beside its place in the order of all, which ranges number.
+    """
+    d = numbered(df.where(F.col(score).isNotNull()).select(F.col(score).cast("double").alias("_v")), ["_v"], "_n")
+    place = d.agg(((F.count(F.lit(1)) - 1) * F.lit(quantile)).alias("_at"))
+    beside = d.join(F.broadcast(place)).where(F.col("_n").between(F.floor("_at"), F.ceil("_at")))
+    q = beside.agg((F.min("_v") + (F.max("_v") - F.min("_v")) * (F.max("_at") - F.floor(F.max("_at")))).alias("_q"))
     own = df.join(F.broadcast(q)).where((F.col(score) >= F.col("_q")) & (F.col(score) > 0)).withColumn("_w", F.greatest(F.col(share), F.lit(least)))
     total = own.agg(F.greatest(F.sum("_w"), F.lit(1e-12)).alias("_sum"))
     return own.join(F.broadcast(total)).withColumn("extreme_share", F.col("_w") / F.col("_sum")).drop("_q", "_w", "_sum")

@@ -34,10 +34,12 @@ def px8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def px64(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pixels(spark, sf_dir)
-    whole = table(spark, sf_dir, "embeddings").agg(F.floor(F.count(F.lit(1)) / 64).alias("groups"))
-    p = p.join(F.broadcast(whole), F.col("vec_id") < F.col("groups") * 64)
-    return p.select(
+    """Mosaics of 64 vectors, 8 by 8; those that the last one lacks, 63 at most, are the table's first again."""
+    p = pixels(spark, sf_dir).select("vec_id", "i", "v")
+    n = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n"))
+    rest = n.where("n % 64 > 0").select("n", F.explode(F.expr("sequence(n, n - n % 64 + 63)")).alias("new")).withColumn("vec_id", F.col("new") % F.col("n"))
+    again = p.join(F.broadcast(rest), "vec_id").select(F.col("new").alias("vec_id"), "i", "v")
+    return p.unionByName(again).select(
         F.expr("cast(vec_id div 64 as bigint)").alias("scene_id"),
         F.expr("cast(((vec_id % 64) div 8) * 8 + i div 8 as int)").alias("y"),
         F.expr("cast((vec_id % 8) * 8 + i % 8 as int)").alias("x"),
@@ -125,7 +127,7 @@ SQL = {
     "px8": f"""SELECT vec_id AS scene_id, CAST(i // 8 AS INT) AS y, i % 8 AS x, CAST(least(greatest(CAST(0.5 AS DOUBLE) + v, 0), 1) AS FLOAT) AS prob,
         v + CAST((vec_id * 31 + i * 17) % 7 - 3 AS DOUBLE) * CAST(0.03 AS DOUBLE) > CAST(0.05 AS DOUBLE) AS truth, {_SPLIT.format('vec_id')} AS split FROM pixels""",
     "px64": """SELECT vec_id // 64 AS scene_id, CAST(((vec_id % 64) // 8) * 8 + i // 8 AS INT) AS y, CAST((vec_id % 8) * 8 + i % 8 AS INT) AS x, v
-        FROM pixels WHERE vec_id < (SELECT (count(*) // 64) * 64 FROM embeddings)""",
+        FROM (SELECT vec_id, i, v FROM pixels UNION ALL SELECT id, i, v FROM (SELECT n, unnest(range(n, (n + 63) // 64 * 64)) AS id FROM (SELECT max(vec_id) + 1 AS n FROM embeddings)) JOIN pixels ON vec_id = id % n)""",
     "tiles16": """SELECT scene_id, ty, tx, y - ty AS dy, x - tx AS dx,
         least(greatest(CAST(0.5 AS DOUBLE) + v + CAST((ty * 7 + tx * 3) % 5 AS DOUBLE) * CAST(0.01 AS DOUBLE), 0), 1) AS prob
         FROM px64, (SELECT CAST(unnest([0,8,16,24,32,40,48]) AS INT) AS ty), (SELECT CAST(unnest([0,8,16,24,32,40,48]) AS INT) AS tx)

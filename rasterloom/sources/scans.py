@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scalars import sample_key
-from rasterloom.operators.captions import not_blank
+from rasterloom.functions.storage import checkpointed
+from rasterloom.operators.captions import not_blank, numbered
 
 CORPUS = "images array<struct<filename:string,imgid:bigint,split:string,sentences:array<struct<raw:string>>>>"
 #: Which shard serves which split of a caption data set: those that differ from "<name>_<split>" (fixed values).
@@ -160,8 +161,8 @@ def write_report(metrics: DataFrame, scenes: DataFrame, out: str) -> None:
 
 
 def merge_submissions(spark: SparkSession, pattern: str, schema: str, out: str, order: str = "image_id") -> None:
-    """Per-worker JSON parts as one ordered file; the result is a submission, small by nature."""
-    spark.read.schema(schema).json(pattern).dropDuplicates().orderBy(order).coalesce(1).write.mode("overwrite").json(out)
+    """Per-worker JSON parts as one ordered submission: rows rise within each file, and files from name to name."""
+    spark.read.schema(schema).json(pattern).dropDuplicates().orderBy(order).write.mode("overwrite").json(out)
 
 
 def log_lines(spark: SparkSession, path: str, metrics: list[str], stream: bool = False) -> DataFrame:
@@ -185,6 +186,22 @@ def checksum_mismatches(found: DataFrame, declared: DataFrame, key: str) -> Data
     return d.join(found, key, "left").where(~F.col("sha256").eqNullSafe(F.col("declared"))).select(key, "declared", F.col("sha256").alias("found"))
 
 
-def provenance(tiles: DataFrame, by: str, tile: str, source: str) -> DataFrame:
-    """Per split: sources, tiles, and a digest of the ordered tile names."""
-    return tiles.groupBy(by).agg(F.countDistinct(source).alias("sources"), F.count(F.lit(1)).alias("tiles"), F.sha2(F.array_join(F.array_sort(F.collect_list(tile)), "\n"), 256).alias("digest"))
+def provenance(tiles: DataFrame, by: str, tile: str, source: str, each: int = 4096) -> DataFrame:
+    """Per split: sources, tiles, and a digest of the ordered tile names.
+
+    The digest is a tree's: the SHA-256 of ``each`` names in order, joined by newlines, then of ``each``
+    such digests, twice at least and until a split has one. So no row or task has all names of a split.
+    """
+    at = numbered(tiles.select(F.col(by).alias("_by"), F.col(tile).alias("_h")), ["_by", "_h"], "_n")
+    first = at.groupBy(F.col("_by").alias("_own")).agg(F.min("_n").alias("_first"))
+    level = at.join(first, F.col("_by").eqNullSafe(F.col("_own"))).select("_by", (F.col("_n") - F.col("_first")).alias("_n"), "_h")
+    done = 0
+    while done < 2 or level.where("_n > 0").limit(1).count():
+        names = F.transform(F.array_sort(F.collect_list(F.struct("_n", "_h"))), lambda x: x["_h"])
+        # A first group of one row is all that its split has.
+        alone = F.lit(done >= 2) & (F.col("_m") == 0) & (F.size("_names") == 1)
+        level = level.groupBy("_by", F.floor(F.col("_n") / each).alias("_m")).agg(names.alias("_names"))
+        level = checkpointed(level.select("_by", F.col("_m").alias("_n"), F.when(alone, F.col("_names")[0]).otherwise(F.sha2(F.array_join("_names", "\n"), 256)).alias("_h")))
+        done += 1
+    counts = tiles.groupBy(by).agg(F.countDistinct(source).alias("sources"), F.count(F.lit(1)).alias("tiles"))
+    return counts.join(level, F.col(by).eqNullSafe(F.col("_by"))).select(by, "sources", "tiles", F.col("_h").alias("digest"))

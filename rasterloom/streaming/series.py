@@ -1,12 +1,12 @@
-"""Series as streams: windowed statistics of events, and the exponential average as a stateful operator."""
+"""Series as streams: windowed statistics of events, and the exponential average with a state for each series."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from rasterloom.operators.series import decayed_sum
 
 
 def windowed_statistics(events: DataFrame, at: str = "ts", by: str = "event_type", value: str = "value", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -15,23 +15,26 @@ def windowed_statistics(events: DataFrame, at: str = "ts", by: str = "event_type
     return w.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("top")).select(F.col("w.start").alias("start"), by, "n", "mean", "top")
 
 
-def streaming_average(rows: DataFrame, by: list[str], order: str, value: str, beta: float = 0.99) -> DataFrame:
-    """The exponential average of each series as rows arrive, with one number of state per series.
+def streaming_average(rows: DataFrame, by: list[str], order: str, value: str, out: str, beta: float = 0.99) -> StreamingQuery:
+    """The exponential average of each series as its rows arrive, in the table ``out``/rows; takes what there is, then ends.
 
-    Rows of one trigger are taken in the order of ``order``; a later trigger's rows come after them.
+    ``order`` runs from 1 without gaps, within a trigger's rows and from one trigger to the next. A
+    trigger's averages come from the blocked sums of the batch form, so no task has a whole series,
+    and what the series had before decays with the steps since. The state, a row a series with its
+    last step and average, is a table for each trigger beside the checkpoint, so that a trigger that
+    is run again reads what it read before.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        a = state.get[0] if state.exists else None
-        d = pd.concat(list(batches)).sort_values(order)
-        out = []
-        for x in d[value]:
-            a = x if a is None else beta * a + (1 - beta) * x
-            out.append(a)
-        if a is not None:
-            state.update((a,))
-        yield pd.DataFrame({**{c: d[c] for c in [*by, order]}, "average": out})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in [*by, order]) + ", average double"
-    return rows.groupBy(*by).applyInPandasWithState(step, schema, "a double", "append", "NoTimeout")
+    def step(batch: DataFrame, i: int) -> None:
+        spark = batch.sparkSession
+        empty = batch.limit(0).select(*by, F.lit(0).cast("long").alias("_last"), F.lit(0.0).alias("_a"))
+        known = spark.read.schema(empty.schema).parquet(f"{out}/state/{i - 1}") if i else empty
+        d = batch.join(known, by, "left").withColumn("_o", F.col(order) - F.coalesce("_last", F.lit(0)))
+        d = d.withColumn("_x", F.when(F.col(order) == 1, F.col(value)).otherwise((1 - beta) * F.col(value)))
+        average = F.col("_sum") + F.pow(F.lit(beta), F.col("_o")) * F.coalesce("_a", F.lit(0.0))
+        found = decayed_sum(d, by, "_o", "_x", beta, "_sum").select(*by, order, average.alias("average"))
+        found.write.mode("overwrite").parquet(f"{out}/rows/trigger={i}")
+        now = spark.read.schema(found.schema).parquet(f"{out}/rows/trigger={i}").groupBy(*by).agg(F.max(order).alias("_last"), F.max_by("average", order).alias("_a"))
+        known.join(now, by, "left_anti").unionByName(now).write.mode("overwrite").parquet(f"{out}/state/{i}")
+
+    return rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()

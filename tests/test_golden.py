@@ -1,5 +1,6 @@
 """Cases with known results: counts, sweeps, windows, stitching, discs, captions and spectral values."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -14,6 +15,8 @@ from rasterloom.operators import retrieval as rt
 from rasterloom.operators import series as se
 from rasterloom.operators import spectral as sp
 from rasterloom.operators import tiling as tl
+from rasterloom.plans import fixtures
+from rasterloom.sources import scans
 
 
 def pixels(spark, rows):
@@ -232,3 +235,27 @@ def test_equal_peaks_stay_apart(spark):
     got = {(r.label, r.score, r.y, r.x) for r in ins.peak_candidates(df, "v", 0.5, 2).collect()}
     assert got == {(1, 1.0, 3, 5), (1, 1.0, 3, 30)}
     assert len(ins.separated_peaks(ins.peak_candidates(df, "v", 0.5, 2), 3).collect()) == 2
+
+
+def test_provenance_digest_is_a_tree(spark):
+    """Names in order, four at a time, then digests of four, until each split has one; the deal of rows has no say."""
+    names = [("train" if i % 5 else None, f"t{i * 37 % 100:03}", i % 7) for i in range(100)]
+    sha = lambda xs: hashlib.sha256("\n".join(xs).encode()).hexdigest()
+    want = {}
+    for split in ("train", None):
+        level, done = sorted(n for s, n, _ in names if s == split), 0
+        while done < 2 or len(level) > 1:
+            level, done = [sha(level[i : i + 4]) for i in range(0, len(level), 4)], done + 1
+        want[split] = (7, sum(s == split for s, _, _ in names), level[0])
+    for parts in (1, 9):
+        d = spark.createDataFrame(names, "split string, tile string, source int").repartition(parts)
+        assert {r.split: (r.sources, r.tiles, r.digest) for r in scans.provenance(d, "split", "tile", "source", each=4).collect()} == want
+
+
+def test_mosaics_have_all_vectors(spark, tmp_path):
+    """66 vectors make two mosaics; what the second lacks are the first vectors again."""
+    d = spark.range(66).select(F.col("id").alias("vec_id"), F.lit(0).alias("label"), F.array_repeat(F.col("id").cast("float"), 64).alias("embedding"))
+    for n in (66, 64, 0):
+        d.where(f"vec_id < {n}").write.parquet(str(tmp_path / str(n) / "embeddings.parquet"))
+        got = fixtures.px64(spark, str(tmp_path / str(n))).groupBy("scene_id").agg(F.countDistinct("y", "x").alias("n"), F.sum("v").alias("v")).orderBy("scene_id").collect()
+        assert [(r.n, r.v) for r in got] == {66: [(4096, 64.0 * 2016), (4096, 64.0 * 2020)], 64: [(4096, 64.0 * 2016)], 0: []}[n]

@@ -60,7 +60,7 @@ ODD = ["", " ", "?!", "-", "\t", "_", "Élan vital, déjà-vu", "東京 は、
 
 
 def cleaned(t):
-    """``pre_caption`` of the reference with 30 words."""
+    """A caption cleaned step by step and cut to 30 words."""
     t = re.sub(r"([,.'!?\"()*#:;~])", "", t.lower()).replace("-", " ").replace("/", " ").replace("<person>", "person")
     t = re.sub(r"\s{2,}", " ", t).rstrip("\n").strip(" ")
     return " ".join(t.split(" ")[:30])
@@ -71,7 +71,7 @@ def filled(t):
 
 
 def encoded(t, length=24):
-    """``DeterministicTextTokenizer`` of the reference."""
+    """Hashed tokens, one word after the other."""
     one = lambda w: 103 + int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") % (30522 - 103)
     ids = [101, *map(one, re.findall(r"[A-Za-z0-9_]+|[^\w\s]", t.lower())[: length - 2])]
     ids += [102] * (len(ids) < length)
