@@ -243,17 +243,23 @@ def _answered(t: pa.Table, said: pa.Table | None, ways: Ways, level: int, kind:
     return pa.Table.from_pylist(out, PIECE)
 
 
-def exchanged(pieces: DataFrame, ways: Ways, kind: Counts | Records) -> DataFrame:
-    """From the pieces of all blocks the answers to them: node, block (an int, as blocks have it), cells, n."""
+def raised(pieces: DataFrame, ways: Ways, kind: Counts | Records) -> list[DataFrame]:
+    """The pieces that are sent to each level, those of the blocks first."""
     def merged(level: int) -> Callable[[pa.Table], pa.Table]:
         return lambda t: _merged(t, ways, level, kind)
 
-    def answered(level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-        return lambda t, said: _answered(t, said.rename_columns(["sender", "node", "cells", "n"]), ways, level, kind)
-
     sent = [pieces]
     for level in range(len(ways.fans) - 1):
         sent.append(sent[-1].groupBy("node").applyInArrow(merged(level), PIECE_SQL))
+    return sent
+
+
+def exchanged(pieces: DataFrame, ways: Ways, kind: Counts | Records) -> DataFrame:
+    """From the pieces of all blocks the answers to them: node, block (an int, as blocks have it), cells, n."""
+    def answered(level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+        return lambda t, said: _answered(t, said.rename_columns(["sender", "node", "cells", "n"]), ways, level, kind)
+
+    sent = raised(pieces, ways, kind)
     top = len(sent) - 1
     said = sent[top].groupBy("node").applyInArrow(lambda t: _answered(t, None, ways, top, kind), PIECE_SQL)
     for level in reversed(range(top)):

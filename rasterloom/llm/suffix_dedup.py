@@ -20,7 +20,8 @@ there are, and the contexts are dealt for each part by all the bytes that the st
 have in common: a longer prefix of the suffix from the anchor, and some of the bytes before it. Each
 part goes through the same suffix array and intervals, over the bytes that its strings have.
 
-All occurrences of a repeat but the first, by document and place, are removed.
+All occurrences of a repeat but the first, by document and place, are removed (``suffix_dedup``), or
+the repeats are given out with all occurrences (``repeat_groups``).
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import blocks as B
-from rasterloom.llm.common import binary_parts, mix64, size_of, table
+from rasterloom.llm.common import binary_parts, mix64, size_of, stored, table
 from rasterloom.llm.grams import base, prefix_hash, runs_of_texts, span_hash
 
 U = np.uint64
@@ -348,6 +349,92 @@ def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return out.withColumnRenamed("k", key)
 
 
+def identities(keys: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits for the key and the bytes around the anchor of each record."""
+    out = []
+    for seed in (41, 42):
+        h = mix64(mix64(keys, seed) ^ (c["nr"].astype(U) << U(8) | c["nl"].astype(U)), seed)
+        for w in [*words_of(c["right"]), *words_of(c["left"])]:
+            h = mix64(h ^ w, seed)
+        out.append(h.view(np.int64))
+    return out[0], out[1]
+
+
+MEMBERS = pa.schema([("g1", pa.int64()), ("g2", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("before", pa.int32()), ("length", pa.int32())])
+PLACES = pa.schema([("c1", pa.int64()), ("c2", pa.int64()), ("k", pa.int64()), ("at", pa.int64()), ("nl", pa.int32()), ("nr", pa.int32())])
+
+
+def _members(t: pa.Table, ways: B.Ways, level: int) -> pa.Table:
+    """The maximal repeats of a range, a row for each context that has one. A repeat's number is that of a context cut down to it."""
+    _, _, keys, payload = B.opened(t, ways, level, CONTEXTS)
+    keys, c, _ = CONTEXTS.merge(keys, payload)
+    pairs, before, after, groups = maximal_repeats(keys, c)
+    own = np.concatenate([pairs.ravel(), *[g[0] for g in groups]]).astype(np.int64)
+    count = np.array([2] * len(pairs) + [len(g[0]) for g in groups], np.int64)
+    left = np.concatenate([before, [g[1] for g in groups]]).astype(np.int64)
+    right = np.concatenate([after, [g[2] for g in groups]]).astype(np.int64)
+    lead = own[np.cumsum(count) - count]
+    numbers = np.zeros((2, len(lead)), np.int64)
+    for i in range(0, len(lead), 1 << 14):
+        at = slice(i, i + (1 << 14))
+        part = c[lead[at]]
+        part["nl"], part["nr"] = left[at], right[at]
+        part["left"][np.arange(LEFT) >= left[at, None]] = 0
+        part["right"][np.arange(RIGHT) >= right[at, None]] = 0
+        numbers[:, at] = identities(keys[lead[at]], part)
+    c1, c2 = identities(keys, c)
+    each = lambda x: np.repeat(x, count)
+    columns = [each(numbers[0]), each(numbers[1]), c1[own], c2[own], each(left).astype(np.int32), each(left + right).astype(np.int32)]
+    return pa.Table.from_arrays([pa.array(x) for x in columns], schema=MEMBERS)
+
+
+def _places(docs: pa.Table, said: pa.Table, ways: B.Ways) -> pa.Table:
+    """All anchors that may be in a repeat, with their context's number and how far it goes before and after them."""
+    if not len(docs):
+        return PLACES.empty_table()
+    a = Anchors(docs)
+    h, _ = B.counted(a.h)
+    n = B.counted(a.h)[1]
+    at = np.searchsorted(h, a.h)
+    total = B.read_answers(said, h, ways, 0, 0, TOTALS)[at].astype(np.int64)
+    own, lo, hi, key = a.parts(np.flatnonzero((total > 1) | (n[at] > 1)), total[(total > 1) | (n[at] > 1)])
+    text = np.searchsorted(a.offsets, a.at[own], "right") - 1
+    numbers = np.zeros((2, len(own)), np.int64)
+    for i in range(0, len(own), 1 << 14):
+        at = slice(i, i + (1 << 14))
+        numbers[:, at] = identities(key[at], a.records(own[at], lo[at], hi[at]))
+    columns = [numbers[0], numbers[1], a.keys.take(pa.array(text)).cast(pa.int64()), a.at[own] - a.offsets[text], hi.astype(np.int32), (LENGTH - lo).astype(np.int32)]
+    return pa.Table.from_arrays([x if isinstance(x, pa.ChunkedArray) else pa.array(x) for x in columns], schema=PLACES)
+
+
+def repeat_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The maximal repeats of 100 bytes or more, with all occurrences: group, length, key, start (a byte of the UTF-8 text).
+
+    A repeat is seen around each anchor that it has, in up to 160 bytes: a longer one is several groups,
+    which overlap. Every group has all places at which its bytes stand, in any row; what
+    ``suffix_dedup`` removes is all of them but the first. Ranges give the repeats as rows of (group,
+    context); blocks give the places of each context; a join on the contexts' numbers (128 bits) brings
+    them together, so that no task has all occurrences of anything. Null, empty and short texts have
+    no groups, an empty table neither. Repeated rows occur once each; other columns are ignored.
+    """
+    _, n_bytes = size_of(docs, text)
+    blocks = B.block_count(n_bytes)
+    ways = B.Ways.of(blocks, H_BITS, n_bytes // 31)
+    to = B.Ways.of(blocks, H_BITS, n_bytes // 60, range_items=1 << 16)
+    by = B.blocked(docs, n_bytes, text, key).withColumn("th", F.xxhash64("t")).groupBy("block")
+    said = stored(B.exchanged(by.applyInArrow(lambda t: _tell(t, ways), B.PIECE_SQL), ways, TOTALS), "totals").groupBy("block")
+    places = stored(by.cogroup(said).applyInArrow(lambda a, b: _places(a, b, ways), "c1 long, c2 long, k long, at long, nl int, nr int"), "places")
+    sent = B.raised(by.cogroup(said).applyInArrow(lambda a, b: _contexts(a, b, ways, to), B.PIECE_SQL), to, CONTEXTS)
+    top = len(sent) - 1
+    members = sent[top].groupBy("node").applyInArrow(lambda t: _members(t, to, top), "g1 long, g2 long, c1 long, c2 long, before int, length int")
+    # A context that occurs twice is a repeat itself.
+    whole = places.groupBy("c1", "c2", "nl", "nr").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    whole = whole.select(F.col("c1").alias("g1"), F.col("c2").alias("g2"), "c1", "c2", F.col("nl").alias("before"), (F.col("nl") + F.col("nr")).alias("length"))
+    found = places.join(members.unionByName(whole).distinct(), ["c1", "c2"])
+    number = F.format_string("%016x%016x", "g1", "g2")
+    return found.select(number.alias("group"), "length", F.col("k").alias(key), (F.col("at") - F.col("before")).alias("start"))
+
+
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

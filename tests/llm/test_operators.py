@@ -226,6 +226,40 @@ def test_crowded_anchors_are_split(docs, many_blocks, monkeypatch, crowd):
     assert got == brute_bytes(list(enumerate(TEXTS)))
 
 
+def repeats_of(df, texts):
+    """Groups with their places; each place has the group's bytes, and no other place in any text has."""
+    raw = [(t or "").encode() for t in texts]
+    groups = defaultdict(list)
+    for r in df.collect():
+        groups[r.group].append((r.doc_id, r.start, r.length))
+    for places in groups.values():
+        d, s, n = places[0]
+        want = [(i, m.start(), n) for i, b in enumerate(raw) for m in re.finditer(b"(?=" + re.escape(b[:0] + raw[d][s : s + n]) + b")", b, re.S)]
+        assert sorted(places) == want and len(want) > 1 and n >= 100
+    return groups, raw
+
+
+@pytest.mark.parametrize("crowd", [4096, 4])
+def test_repeat_groups_have_all_occurrences(docs, empty, odd, many_blocks, monkeypatch, crowd):
+    """Every group is whole, and what suffix dedup removes is all occurrences of the groups but the first of each."""
+    monkeypatch.setattr(sd, "CROWD", crowd)
+    groups, raw = repeats_of(sd.repeat_groups(docs), TEXTS)
+    gone = [bytearray(len(b)) for b in raw]
+    for places in groups.values():
+        for d, s, n in sorted(places)[1:]:
+            gone[d][s : s + n] = b"\1" * n
+    want = brute_bytes(list(enumerate(TEXTS)))
+    assert {i: bytes(x for x, g in zip(b, gone[i]) if not g) for i, b in enumerate(raw)} == {i: w[3] for i, w in want.items()}
+    assert max(len(p) for p in groups.values()) >= 14
+    assert sd.repeat_groups(empty).count() == 0
+    per_group = Counter(r.group for r in sd.repeat_groups(odd).collect())
+    assert per_group and set(per_group.values()) == {4}
+
+
+def test_repeat_groups_through_levels(docs, levels):
+    assert repeats_of(sd.repeat_groups(docs), TEXTS)[0]
+
+
 def brute_links(rows, n, percent):
     sets = {}
     for i, t in rows:
