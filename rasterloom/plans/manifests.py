@@ -126,6 +126,10 @@ def d13(spark, d):
     return docs.unionByName(conv, allowMissingColumns=True).groupBy("split").agg(F.count(F.lit(1)).alias("images"), F.sum(F.size("captions")).alias("captions"))
 
 
+#: Pixels between peaks: more than the window of a candidate, so that the choice among them counts.
+APART = 6
+
+
 def mask64(spark, d):
     return fx.px64(spark, d).where("v > 0.15")
 
@@ -139,7 +143,7 @@ def i1(spark, d):
 
 
 def peaks(spark, d, px):
-    return ins.with_fallback(ins.separated_peaks(ins.peak_candidates(px, "v", 0.2, 2), 3), px, "v")
+    return ins.with_fallback(ins.separated_peaks(ins.peak_candidates(px, "v", 0.2, 2), APART), px, "v")
 
 
 def i2(spark, d):
@@ -148,7 +152,7 @@ def i2(spark, d):
 
 def i3(spark, d):
     px = labelled(spark, d)
-    return rounded(ins.separated_peaks(ins.peak_candidates(px, "v", 0.2, 2), 3), "score")
+    return rounded(ins.separated_peaks(ins.peak_candidates(px, "v", 0.2, 2), APART), "score")
 
 
 def i4(spark, d):
@@ -216,6 +220,20 @@ _CC = """m AS (SELECT scene_id, y, x, v FROM px64 WHERE v > CAST(0.15 AS DOUBLE)
 _PK = """, cand AS (SELECT a.* FROM lb a WHERE a.v >= 0.2 AND a.v >= (SELECT max(b.v) FROM lb b WHERE b.scene_id = a.scene_id AND b.label = a.label AND abs(b.y - a.y) <= 2 AND abs(b.x - a.x) <= 2) - CAST(1e-7 AS DOUBLE)),
  touch AS (SELECT scene_id, y, x, y * 64 + x AS root FROM cand UNION SELECT c.scene_id, c.y, c.x, t.root FROM touch t JOIN cand c ON c.scene_id = t.scene_id AND abs(c.y - t.y) <= 1 AND abs(c.x - t.x) <= 1),
  plateau AS (SELECT scene_id, y, x, min(root) AS root FROM touch GROUP BY 1, 2, 3), pk AS (SELECT c.scene_id, c.label, max(c.v) AS score, min((-c.v, c.y, c.x)) AS p FROM cand c JOIN plateau USING (scene_id, y, x) GROUP BY 1, 2, root)"""
+_SEP = """, o AS (SELECT scene_id, label, score, p[2] AS y, p[3] AS x, row_number() OVER (PARTITION BY scene_id, label ORDER BY score DESC, p[2], p[3]) AS n FROM pk),
+ walk AS (SELECT scene_id, label, n, [{'score': score, 'y': y, 'x': x}] AS kept FROM o WHERE n = 1 UNION ALL SELECT o.scene_id, o.label, o.n, CASE WHEN (SELECT min(pow(k.y - o.y, 2) + pow(k.x - o.x, 2)) FROM (SELECT unnest(w.kept) AS k)) < 36 THEN w.kept ELSE list_append(w.kept, {'score': o.score, 'y': o.y, 'x': o.x}) END
+  FROM walk w JOIN o ON o.scene_id = w.scene_id AND o.label = w.label AND o.n = w.n + 1),
+ sep0 AS (SELECT scene_id, label, unnest(max_by(kept, n)) AS k FROM walk GROUP BY 1, 2), sep AS (SELECT scene_id, label, k.score AS score, k.y AS y, k.x AS x FROM sep0)"""
+_FB = """, fb AS (SELECT scene_id, label, min((-v, y, x)) AS p FROM lb WHERE NOT EXISTS (SELECT 1 FROM sep WHERE sep.scene_id = lb.scene_id AND sep.label = lb.label) GROUP BY 1, 2),
+ pks AS (SELECT * FROM sep UNION ALL SELECT scene_id, label, -p[1], p[2], p[3] FROM fb)"""
+_DEC = """, num AS (SELECT *, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY label, score DESC, y, x) AS INT) AS instance FROM pks),
+ vote AS (SELECT scene_id, label, y, x, least(greatest(y + (v * 4 - 1), 0), 63) AS vy, least(greatest(x + (CAST(0.5 AS DOUBLE) - v), 0), 63) AS vx FROM lb),
+ dec AS (SELECT vote.scene_id, vote.y, vote.x, min_by(instance, (round(pow(vy - num.y, 2) + pow(vx - num.x, 2), 9), instance)) AS instance FROM vote JOIN num ON num.scene_id = vote.scene_id AND num.label = vote.label GROUP BY 1, 2, 3)"""
+_SUP = """, held AS (SELECT scene_id, y, x, CASE WHEN x = 3 THEN 0 ELSE instance END AS instance FROM dec WHERE y <> 10), want AS (SELECT scene_id, y, x FROM m WHERE x <> 5)"""
+_NEAR = """, mk AS (SELECT scene_id, label, y * 64 + x AS marker, y AS my, x AS mx FROM lb WHERE (x + 2 * y) % 3 = 0),
+ far AS (SELECT lb.scene_id, lb.label, y, x, marker, pow(y - my, 2) + pow(x - mx, 2) AS d FROM lb JOIN mk ON mk.scene_id = lb.scene_id AND mk.label = lb.label),
+ one AS (SELECT scene_id, label, y, x, min_by(marker, (d, marker)) AS marker FROM far GROUP BY 1, 2, 3, 4), area AS (SELECT scene_id, label, marker, count(*) AS area FROM one GROUP BY 1, 2, 3),
+ stay AS (SELECT scene_id, label, marker FROM area QUALIFY area >= 2 OR row_number() OVER (PARTITION BY scene_id, label ORDER BY area DESC, marker) = 1)"""
 _CE = ", ce AS (SELECT scene_id, label AS instance, avg(y) AS cy, avg(x) AS cx, count(*) AS area FROM lb GROUP BY 1, 2), cn AS (SELECT ce.scene_id, ce.instance, area, min((round(pow(y - cy, 2) + pow(x - cx, 2), 9), y, x)) AS p FROM lb JOIN ce ON ce.scene_id = lb.scene_id AND ce.instance = lb.label GROUP BY 1, 2, 3), cp AS (SELECT scene_id, instance, area, p[2] AS y, p[3] AS x FROM cn)"
 
 
@@ -262,6 +280,15 @@ ORACLES = {
     "d14_initial_status": fx.sql(f"WITH {_D} SELECT date, CASE WHEN date = 't1' THEN 'not_requested' WHEN timestamp < '1997-06-01T00:00:00Z' THEN 'unavailable_before_history' ELSE 'pending' END AS status, count(*) AS n FROM dt GROUP BY 1, 2", "date_records"),
     "i1_components": recursive(f"{_CC} SELECT scene_id, y, x, label FROM lb"),
     "i2_peak_candidates": recursive(f"{_CC}{_PK} SELECT scene_id, label, round(score, 6) AS score, p[2] AS y, p[3] AS x FROM pk"),
+    "i3_separated_peaks": recursive(f"{_CC}{_PK}{_SEP} SELECT scene_id, label, round(score, 6) AS score, y, x FROM sep"),
+    "i4_fallback_peaks": recursive(f"{_CC}{_PK}{_SEP}{_FB} SELECT scene_id, label, round(score, 6) AS score, y, x FROM pks"),
+    "i5_offset_voting": recursive(f"{_CC}{_PK}{_SEP}{_FB}{_DEC} SELECT * FROM dec"),
+    "i6_support_audit": recursive(
+        f"{_CC}{_PK}{_SEP}{_FB}{_DEC}{_SUP} SELECT scene_id, 'outside' AS problem, count(*) AS n FROM held WHERE x = 5 GROUP BY 1 UNION ALL SELECT scene_id, 'bad_id', count(*) FROM held WHERE x <> 5 AND instance < 1 GROUP BY 1"
+        " UNION ALL SELECT scene_id, 'unassigned', count(*) FROM want WHERE NOT EXISTS (SELECT 1 FROM held WHERE held.scene_id = want.scene_id AND held.y = want.y AND held.x = want.x) GROUP BY 1"
+        " UNION ALL SELECT scene_id, 'gap', max(instance) - count(DISTINCT instance) FROM held WHERE instance >= 1 GROUP BY 1 HAVING max(instance) > count(DISTINCT instance)"
+    ),
+    "i7_nearest_markers": recursive(f"{_CC}{_NEAR} SELECT scene_id, y, x, min_by(marker, (d, marker)) AS marker FROM far JOIN stay USING (scene_id, label, marker) GROUP BY 1, 2, 3"),
     "i8_instance_centres": recursive(f"{_CC}{_CE} SELECT * FROM cp"),
     "i9_centre_targets": recursive(f"{_CC}{_CE} SELECT scene_id, CAST(y + dy AS INT) AS y, CAST(x + dx AS INT) AS x, round(max(exp(-(dy * dy + dx * dx) / CAST(2 AS DOUBLE))), 6) AS heat FROM cp, (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx) WHERE y + dy BETWEEN 0 AND 63 AND x + dx BETWEEN 0 AND 63 GROUP BY 1, 2, 3"),
     "i9_offset_targets": recursive(f"{_CC}{_CE} SELECT lb.scene_id, lb.y, lb.x, cp.y - lb.y AS offset_y, cp.x - lb.x AS offset_x FROM lb JOIN cp ON cp.scene_id = lb.scene_id AND cp.instance = lb.label"),
