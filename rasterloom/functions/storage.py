@@ -58,3 +58,11 @@ def before(df: DataFrame, total: Column, name: str, part: str = "_p") -> DataFra
 
     sums = df.groupBy(part).agg(total.alias("_t"))
     return sums.select(part, (F.sum("_t").over(Window.orderBy(part)) - F.col("_t")).alias(name))
+
+
+def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
+    """``df`` for a broadcast join: its rows, ``most`` at most, are computed once; more are an error."""
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"a table of at most {most} rows is expected here")
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))

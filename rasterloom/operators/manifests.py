@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions.storage import bounded
+
 SUCCESS = ["ok", "ok_empty", "ok_partial"]
 ACCEPTABLE = ["ok", "ok_partial"]
 TRANSIENT = ["authentication_required", "failed_retryable"]
@@ -13,8 +15,8 @@ ALLOWED = [*SUCCESS, *FAILED, "pending", "not_requested", "unavailable_before_hi
 
 
 def assign_regions(samples: DataFrame, ranges: DataFrame) -> DataFrame:
-    """(split, idx) samples with the region whose inclusive range holds them, null without one. ``ranges`` is a row per region and split, a few dozen."""
-    r = F.broadcast(ranges.select(F.col("split").alias("_s"), "lo", "hi", "region_id"))
+    """(split, idx) samples with the region whose inclusive range holds them, null without one. ``ranges`` is a row per region and split, a few dozen; its size is checked."""
+    r = bounded(ranges.select(F.col("split").alias("_s"), "lo", "hi", "region_id"))
     return samples.join(r, (F.col("split") == F.col("_s")) & F.col("idx").between(F.col("lo"), F.col("hi")), "left").drop("_s", "lo", "hi")
 
 

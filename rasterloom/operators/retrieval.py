@@ -62,6 +62,16 @@ def all_scores(queries: DataFrame, rows: DataFrame, block: int = 4096, scale: fl
     return block_pairs(queries, rows, block, scores, "query long, found long, score double")
 
 
+def first_columns(m: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the columns of its k greatest scores, best first, ties by id. Only what reaches a row's k-th score is sorted."""
+    n, wide = m.shape
+    least = np.partition(m, wide - k, axis=1)[:, wide - k] if k < wide else np.full(n, -np.inf)
+    r, c = np.nonzero(m >= least[:, None])
+    order = np.lexsort((ids[c], -m[r, c], r))
+    r, c = r[order], c[order]
+    return c[np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r] < k].reshape(n, min(k, wide))
+
+
 def top_k_both(images: DataFrame, texts: DataFrame, k: int, block: int = 4096, scale: float = 1.0) -> DataFrame:
     """The k best texts of every image and the k best images of every text: side, query, found, score, rank.
 
@@ -74,7 +84,7 @@ def top_k_both(images: DataFrame, texts: DataFrame, k: int, block: int = 4096, s
         i, j = a.column("id").to_numpy(), b.column("id").to_numpy()
         s, out = x @ y.T * scale, []
         for side, m, q, f in (("text", s, i, j), ("image", s.T, j, i)):
-            order = np.lexsort((np.broadcast_to(f, m.shape), -m), axis=1)[:, :k]
+            order = first_columns(m, f, k)
             out.append(pa.table({"side": [side] * order.size, "query": np.repeat(q, order.shape[1]), "found": f[order].ravel(), "score": np.take_along_axis(m, order, 1).ravel()}))
         return pa.concat_tables(out)
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rasterloom.functions.storage import bounded
+
 BANDS = ["green", "red", "nir", "ndvi", "ndwi"]
 #: Bits of the pixel-quality and saturation words that make a pixel invalid, by spacecraft (fixed values).
 QA_PIXEL_BITS = {"LANDSAT_5": [0, 1, 3, 4, 5], "LANDSAT_7": [0, 1, 3, 4, 5], "LANDSAT_8": [0, 1, 2, 3, 4, 5]}
@@ -96,9 +98,9 @@ def expansion_steps(step: Column, most: Column) -> Column:
 def window_diagnostics(df: DataFrame, windows: DataFrame) -> DataFrame:
     """Per window (name, start, end): scenes, pixels, share of pixels with a valid observation, mean share of valid observations.
 
-    Two levels: first each window's pixels, which combines before the exchange, then the windows.
+    Two levels: first each window's pixels, which combines before the exchange, then the windows. The number of windows is checked.
     """
-    w = df.join(F.broadcast(windows), F.col("acquired").between(F.col("start"), F.col("end")))
+    w = df.join(bounded(windows), F.col("acquired").between(F.col("start"), F.col("end")))
     px = w.groupBy("name", "px").agg(F.max("valid").alias("any"), F.count_if("valid").alias("n"), F.count(F.lit(1)).alias("of"))
     days = w.groupBy("name").agg(F.countDistinct("acquired", "sensor").alias("scenes"))
     out = px.groupBy("name").agg(F.count(F.lit(1)).alias("pixels"), F.avg(F.col("any").cast("double")).alias("valid_fraction"), (F.sum("n") / F.sum("of")).alias("observation_fraction"))
@@ -147,10 +149,10 @@ def training_stats(df: DataFrame, by: list[str], bands: list[str], floor: float
 def normalise(df: DataFrame, stats: DataFrame, by: list[str], bands: list[str], valid: str = "valid") -> DataFrame:
     """(value - mean) / std of the row's group, 0 where invalid. Valid rows of a group without statistics are an error.
 
-    ``stats`` has a row per group and band, a handful; without ``by`` one set of statistics serves all rows.
+    ``stats`` has a row per group and band, a handful, which is checked; without ``by`` one set of statistics serves all rows.
     """
     wide = stats.groupBy(*by).pivot("band", bands).agg(F.first("mean").alias("mean"), F.first("std").alias("std"))
-    d = df.join(F.broadcast(wide), by, "left") if by else df.join(F.broadcast(wide))
+    d = df.join(bounded(wide), by, "left") if by else df.join(F.broadcast(wide))
     one = lambda b: F.when(~F.col(valid), F.lit(0.0)).when(F.col(f"{b}_mean").isNull(), F.raise_error("no statistics for a group with valid pixels").cast("double")).otherwise((F.col(b).cast("double") - F.col(f"{b}_mean")) / F.col(f"{b}_std"))
     return d.withColumns({b: one(b) for b in bands}).drop(*[f"{b}_{s}" for b in bands for s in ("mean", "std")])
 

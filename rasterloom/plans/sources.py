@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import functions as F
 
 from rasterloom.functions.storage import shared_folder
-from rasterloom.operators.evaluation import evaluate_split
+from rasterloom.operators.evaluation import COUNTS, at_least, evaluate_split
 from rasterloom.plans import fixtures as fx
-from rasterloom.plans.evaluation import METRICS, rounded
+from rasterloom.plans.evaluation import METRICS, T, rounded
 from rasterloom.sources import scans as sc
 from rasterloom.streaming import series as st
 
@@ -196,6 +196,17 @@ def stream_windows(spark, d):
     return got.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("mean", 6).alias("mean"), F.round("top", 6).alias("top"))
 
 
+def stream_counts(spark, d):
+    """Pixels of even scenes arrive first; the stream stops, and goes on with the others from its counts."""
+    px, out = folder(spark), folder(spark)
+    rows = fx.px8(spark, d).select("scene_id", "split", "prob", "truth")
+    for part in (0, 1):
+        rows.where(F.col("scene_id") % 2 == part).write.mode("append").parquet(px)
+        s = spark.readStream.schema(rows.schema).parquet(px)
+        st.running_counts(s, at_least("prob", T), out).awaitTermination()
+    return spark.read.schema("split string, " + ", ".join(f"{c} bigint" for c in COUNTS)).parquet(f"{out}/counts")
+
+
 def stream_average(spark, d):
     """The stream takes the first steps of all series, stops, and goes on with the later ones from its state."""
     logs, out = folder(spark), folder(spark)
@@ -210,7 +221,7 @@ def stream_average(spark, d):
 QUERIES = {
     "a1_caption_corpus": a1, "a2_annotated_listing": a2, "a3_image_table": a3, "a4_caption_exports": a4, "a5_shards": a5, "a6_shard_catalogue": a6, "a7_manifest_scan": a7, "a8_coordinate_scan": a8, "a8_completeness": a8_complete, "a9_feature_scan": a9,
     "a10_aligned_triples": a10, "a11_scene_archive": a11, "a12_report_sinks": a12, "a13_merged_submission": a13, "a14_log_lines": a14, "a15_date_view": a15, "a16_checksums": a16, "a17_provenance": a17,
-    "stream_window_statistics": stream_windows, "stream_exponential_average": stream_average,
+    "stream_window_statistics": stream_windows, "stream_confusion_counts": stream_counts, "stream_exponential_average": stream_average,
 }
 
 from rasterloom.plans import evaluation as _ev  # noqa: E402
@@ -247,5 +258,6 @@ ORACLES = {
     ),
     "stream_window_statistics": """WITH w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS s, event_type, count(*) AS n, avg(value) AS mean, max(value) AS top FROM events GROUP BY 1, 2)
         SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, event_type, n, round(mean, 6) AS mean, round(top, 6) AS top FROM w WHERE s + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events)""",
+    "stream_confusion_counts": _ev.ORACLES["h1_confusion_counts"],
     "stream_exponential_average": _rt.ORACLES["k1_exponential_average"],
 }

@@ -1,11 +1,12 @@
-"""Series as streams: windowed statistics of events, and the exponential average with a state for each series."""
+"""Series as streams: windowed statistics of events, running confusion counts, and the exponential average with a state for each series."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from rasterloom.operators.evaluation import confusion_counts
 from rasterloom.operators.series import decayed_sum
 
 
@@ -15,6 +16,19 @@ def windowed_statistics(events: DataFrame, at: str = "ts", by: str = "event_type
     return w.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("top")).select(F.col("w.start").alias("start"), by, "n", "mean", "top")
 
 
+def running_counts(px: DataFrame, pred: Column, out: str, truth: str = "truth", by: str = "split") -> StreamingQuery:
+    """Confusion counts of all pixels that have arrived, a row a key, in the table ``out``/counts; takes what there is, then ends.
+
+    The state is four counts a key. A trigger replaces the whole small table, so one that is run again leaves the same.
+    """
+
+    def step(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/counts")
+
+    counts = confusion_counts(px, pred, truth, [by])
+    return counts.writeStream.outputMode("complete").foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+
+
 def streaming_average(rows: DataFrame, by: list[str], order: str, value: str, out: str, beta: float = 0.99) -> StreamingQuery:
     """The exponential average of each series as its rows arrive, in the table ``out``/rows; takes what there is, then ends.
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions import scalars as sc
+from rasterloom.functions import storage
 from rasterloom.operators import captions as cp
 from rasterloom.operators import evaluation as ev
 from rasterloom.operators import instances as ins
@@ -259,3 +260,19 @@ def test_mosaics_have_all_vectors(spark, tmp_path):
         d.where(f"vec_id < {n}").write.parquet(str(tmp_path / str(n) / "embeddings.parquet"))
         got = fixtures.px64(spark, str(tmp_path / str(n))).groupBy("scene_id").agg(F.countDistinct("y", "x").alias("n"), F.sum("v").alias("v")).orderBy("scene_id").collect()
         assert [(r.n, r.v) for r in got] == {66: [(4096, 64.0 * 2016), (4096, 64.0 * 2020)], 64: [(4096, 64.0 * 2016)], 0: []}[n]
+
+
+def test_first_columns_with_ties():
+    rng = np.random.default_rng(3)
+    ids = rng.permutation(40) * 7
+    for k in (1, 5, 39, 40, 60):
+        m = np.round(rng.random((25, 40)), 1)
+        want = np.lexsort((np.broadcast_to(ids, m.shape), -m), axis=1)[:, :k]
+        assert (rt.first_columns(m, ids, k) == want).all()
+
+
+def test_broadcast_tables_are_bounded(spark):
+    assert sorted(r.id for r in storage.bounded(spark.range(5), 5).collect()) == [0, 1, 2, 3, 4]
+    assert storage.bounded(spark.range(0), 5).count() == 0
+    with pytest.raises(ValueError):
+        storage.bounded(spark.range(6), 5)
