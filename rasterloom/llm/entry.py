@@ -5,13 +5,13 @@ from __future__ import annotations
 from rasterloom.llm.bpe import op1_bpe
 from rasterloom.llm.chat import OP7_SQL, op7_chat_format
 from rasterloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
-from rasterloom.llm.jaccard_join import op3_jaccard_join
+from rasterloom.llm.jaccard_join import OP3_SQL, op3_jaccard_join
 from rasterloom.llm.media import op10_ogg_media
 from rasterloom.llm.packing import op4_best_fit_packing
 from rasterloom.llm.quality import op2_quality
 from rasterloom.llm.sharding import op5_ring_shards
-from rasterloom.llm.substring_dedup import op9_substring_dedup
-from rasterloom.llm.suffix_dedup import op8_suffix_dedup
+from rasterloom.llm.substring_dedup import OP9_SQL, op9_substring_dedup
+from rasterloom.llm.suffix_dedup import OP8_SQL, op8_suffix_dedup
 
 QUERIES = {
     "op1_bpe": op1_bpe,
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_ogg_media": op10_ogg_media,
 }
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL}
+ORACLES = {"op3_jaccard_join": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL}

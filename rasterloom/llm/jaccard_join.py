@@ -329,3 +329,20 @@ def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
+
+
+#: All pairs that share a shingle: for small tables.
+OP3_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+t AS (SELECT doc_id, len(words) AS many, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w),
+g AS (SELECT doc_id, many, i, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o, lead(word, 3) OVER o) AS s FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+sh AS (SELECT DISTINCT doc_id, s FROM g WHERE i <= greatest(many - 3, 1)),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+sized AS (SELECT sh.doc_id, s, n FROM sh JOIN n ON n.doc_id = sh.doc_id),
+meet AS (SELECT a.doc_id AS i, b.doc_id AS j, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb FROM sized a JOIN sized b ON a.s = b.s WHERE a.doc_id <> b.doc_id AND 100 * a.n >= 85 * b.n AND 100 * b.n >= 85 * a.n GROUP BY 1, 2),
+link AS (SELECT i, j FROM meet WHERE 100 * c >= 85 * (na + nb - c)),
+reach AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT link.j, reach.root FROM reach JOIN link ON link.i = reach.doc_id WHERE reach.root < link.j),
+root AS (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id),
+links AS (SELECT i AS doc_id, count(*) AS n_links FROM link GROUP BY i)
+SELECT root.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(n_links, 0) AS n_links FROM root LEFT JOIN n ON n.doc_id = root.doc_id LEFT JOIN links ON links.doc_id = root.doc_id
+"""

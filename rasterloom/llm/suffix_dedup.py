@@ -438,3 +438,20 @@ def repeat_groups(docs: DataFrame, text: str = "text", key: str = "doc_id") -> D
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffix_dedup(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every 100-byte string by its MD5: for small tables.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+g AS (SELECT doc_id, n, h, unnest(range((n - 100) // 1000 + 1)) AS part FROM d WHERE n >= 100),
+q AS (SELECT doc_id, part, substr(h, 2000 * part + 1, 2198) AS h, least(1000, n - 99 - 1000 * part) AS many FROM g),
+p AS (SELECT doc_id, part, h, unnest(range(many)) AS step FROM q),
+k AS (SELECT doc_id, 1000 * part + step AS pos, md5_number(substr(h, 2 * step + 1, 200)) AS s FROM p),
+o AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY s ORDER BY doc_id, pos) > 1 AS again FROM k),
+a AS (SELECT doc_id, pos, pos - lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS since FROM o WHERE again),
+b AS (SELECT doc_id, pos, sum(CASE WHEN since <= 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos) AS span FROM a),
+c AS (SELECT doc_id, span, min(pos) AS x, max(pos) + 100 AS y FROM b GROUP BY 1, 2),
+e AS (SELECT doc_id, x, y, lag(y, 1, 0) OVER (PARTITION BY doc_id ORDER BY x) AS past FROM c),
+kept AS (SELECT d.doc_id, string_agg(substr(h, 2 * past + 1, 2 * (x - past)), '' ORDER BY x) || substr(any_value(h), 2 * max(y) + 1) AS h, CAST(sum(y - x) AS BIGINT) AS gone, count(*) AS spans FROM e JOIN d ON d.doc_id = e.doc_id GROUP BY d.doc_id)
+SELECT d.doc_id, n AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

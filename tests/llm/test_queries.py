@@ -118,12 +118,16 @@ def test_op6(spark, texts):
     assert {r.doc_id: (r.keep_id, r.group_size, r.kept, r.text_sha256) for r in rows(spark, "op6_exact_dedup")} == want
 
 
-def test_op7(spark):
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_sql(spark, name):
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW conversations AS SELECT * FROM '{DIR}/conversations.parquet'")
-    r = c.execute(ORACLES["op7_chat_format"])
+    for t in ("conversations", "documents"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
+    r = c.execute(ORACLES[name])
     names = [x[0] for x in r.description]
-    assert sorted(map(str, (tuple(x[n] for n in names) for x in rows(spark, "op7_chat_format")))) == sorted(map(str, r.fetchall()))
+    got = rows(spark, name)
+    assert sorted(names) == sorted(got[0].asDict())
+    assert sorted(map(str, (tuple(x[n] for n in names) for x in got))) == sorted(map(str, r.fetchall()))
 
 
 def test_op8(spark, texts):
