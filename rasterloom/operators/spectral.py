@@ -135,11 +135,14 @@ def channel_audit(df: DataFrame, by: list[str], tolerance: float = 1e-4) -> Data
 def training_stats(df: DataFrame, by: list[str], bands: list[str], floor: float = 1e-12, split: str = "train") -> DataFrame:
     """Count, mean and population standard deviation of the valid values of one split, a row per group and band.
 
-    Variance is merged from partial means in double and has a floor. Groups with one value or none are an error.
+    Variance is merged from partial means in double and has a floor. Groups of valid rows with one value
+    or none are an error. The validity stays out of the filter, which would repeat what it is computed from.
     """
-    own = df.where((F.col("split") == split) & F.col("valid"))
-    value = lambda b: F.when(finite(F.col(b).cast("double")), F.col(b).cast("double"))
-    wide = own.groupBy(*by).agg(*[f(value(b)).alias(f"_{s}_{b}") for b in bands for s, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))])
+    own = df.where(F.col("split") == split)
+    value = lambda b: F.when(F.col("valid") & finite(F.col(b).cast("double")), F.col(b).cast("double"))
+    wide = own.groupBy(*by).agg(F.count_if("valid").alias("_rows"), *[f(value(b)).alias(f"_{s}_{b}") for b in bands for s, f in (("n", F.count), ("mean", F.avg), ("var", F.var_pop))])
+    if by:
+        wide = wide.where("_rows > 0")
     s = wide.select(*by, F.inline(F.array(*[F.struct(F.lit(b).alias("band"), *[F.col(f"_{s}_{b}").alias(s) for s in ("n", "mean", "var")]) for b in bands])))
     std = F.sqrt(F.greatest(F.col("var"), F.lit(floor)))
     checked = F.when(F.col("n") > 1, F.col("n")).otherwise(F.raise_error("a group has one valid value or none").cast("long"))
