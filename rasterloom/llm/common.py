@@ -86,3 +86,10 @@ def size_of(df: DataFrame, text: str = "text") -> tuple[int, int]:
     """Rows and UTF-8 bytes of a table, both counted over all of it."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length(F.col(text)).cast("long")).alias("b")).first()
     return int(row["n"] or 0), int(row["b"] or 0)
+
+
+def sql_crc32(value: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a value's ASCII text: each byte comes in, then eight steps of one bit."""
+    steps = f"flatten(list_transform(str_split(CAST({value} AS VARCHAR), ''), lambda c: [ord(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END"
+    return f"xor(list_reduce(list_prepend(4294967295, list_transform({steps}, lambda x: CAST(x AS BIGINT))), lambda a, x: {step}), 4294967295)"

@@ -1,7 +1,9 @@
-"""Words, word n-grams and byte k-grams of many texts at once, as hashes computed with numpy.
+"""Words and word n-grams of many texts at once, as hashes computed with numpy.
 
-A hash of a byte string is a polynomial over random 64-bit values of its bytes modulo 2**64, mixed
-at the end. Two such hashes with independent bases and byte values make a 128-bit key.
+A word's hash is a chain over its eight-byte parts, each mixed into what came before; a run's hash is
+made of its halves' in the same way. Neither is linear in what it hashes, so there are no texts that
+collide by their form; with two seeds, words are hashed twice from their bytes on. Prefix sums (a
+polynomial modulo 2**64) are for values that are hashes already, as those of whole sets.
 """
 
 from __future__ import annotations
@@ -10,6 +12,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 from rasterloom.llm.common import SPACE_BYTES, mix64
 
@@ -17,6 +20,7 @@ U = np.uint64
 MASK = (1 << 64) - 1
 #: Texts are worked on in runs of about so many bytes, which bounds the arrays beside them.
 RUN_BYTES = 1 << 20
+LONG_WORD = 64
 
 
 @lru_cache(maxsize=8)
@@ -89,9 +93,41 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
-    _, _, byte_values = base(seed)
-    h = span_hash(prefix_hash(byte_values[raw], seed), start, end, seed)
-    return mix64(h ^ (end - start).astype(U) * U(0x9E3779B97F4A7C15), seed)
+    """A hash of each word's bytes; words of more than ``LONG_WORD`` bytes are hashed one by one."""
+    size = end - start
+    h = mix64(size.astype(U), seed)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    at_byte = np.ndarray(len(raw) + 1, U, padded.data, strides=(1,))  # the eight bytes from each place on
+    for part in range(0, LONG_WORD, 8):
+        some = np.flatnonzero((size > part) & (size <= LONG_WORD))
+        if not len(some):
+            break
+        left = np.minimum(size[some] - part, 8).astype(U)
+        value = at_byte[start[some] + part] & (U(MASK) >> (U(64) - U(8) * left))
+        h[some] = mix64(h[some] ^ value, seed + part + 1)
+    for i in np.flatnonzero(size > LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(raw[start[i] : end[i]].tobytes(), seed)
+    return h
+
+
+def joined(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of pairs of hashes."""
+    return mix64(mix64(a, seed) + b, seed + 1)
+
+
+def run_hashes(hashes: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """The hash of the ``n`` values from each place on, as far as there are so many; runs are doubled, then put together."""
+    out, have, part, size, left = None, 0, hashes, 1, n
+    while left:
+        if left & 1:
+            many = max(len(hashes) - have - size + 1, 0)
+            out = part[:many] if out is None else joined(out[:many], part[have : have + many], seed + 5)
+            have += size
+        left >>= 1
+        if left:
+            part = joined(part[: max(len(part) - size, 0)], part[size:], seed)
+            size *= 2
+    return mix64(out, seed + n)
 
 
 def gram_starts(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,7 +140,7 @@ def gram_starts(counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def gram_hashes(hashes: np.ndarray, at: np.ndarray, n: int, seed: int) -> np.ndarray:
-    return mix64(span_hash(prefix_hash(hashes, seed), at, at + n, seed), seed + n)
+    return run_hashes(hashes, n, seed)[at]
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +158,10 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarr
         g = gram_hashes(h, first, n, 0)
         short = np.flatnonzero((counts > 0) & (counts < n))
         if len(short):
-            begin = (np.cumsum(counts) - counts)[short]
-            own = mix64(span_hash(prefix_hash(h, 0), begin, begin + counts[short], 0), 77) ^ mix64(counts[short].astype(U), 78)
+            begin, own = (np.cumsum(counts) - counts)[short], np.zeros(len(short), U)
+            for c in range(1, n):
+                some = counts[short] == c
+                own[some] = mix64(gram_hashes(h, begin[some], c, 0), 77)
             g, text = np.concatenate([g, own]), np.concatenate([text, short])
         order = np.lexsort((g, text))
         g, text = g[order], text[order]

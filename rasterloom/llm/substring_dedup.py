@@ -40,10 +40,9 @@ class Windows:
         for i, j in runs_of_texts(offsets):
             part, at = raw[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             s, e, c = words(part, at)
-            h = word_hashes(part, s, e, 0)
             g, _ = gram_starts(c, n)
-            a.append(gram_hashes(h, g, n, 0))
-            b.append(gram_hashes(h, g, n, 1))
+            a.append(gram_hashes(word_hashes(part, s, e, 0), g, n, 0))
+            b.append(gram_hashes(word_hashes(part, s, e, 100), g, n, 100))
             first.append(g + seen)
             starts.append(s + offsets[i])
             ends.append(e + offsets[i])
