@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 import tempfile
 import uuid
 
@@ -10,10 +9,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-#: Rows of a range of a numbering, about.
-RANGE_ROWS = 1_000_000
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which driver and executors share.
 
@@ -45,11 +40,10 @@ def in_ranges(df: DataFrame, order: list[str], part: str = "_p") -> DataFrame:
     """``df`` dealt by ranges of the order, with each row's range number.
 
     The result is checkpointed: the borders of ranges come from a sample, which another run of the
-    same plan may draw differently, and everything that uses the numbers must see one deal.
+    same plan may draw differently, and everything that uses the numbers must see one deal. There are
+    as many ranges as the session has shuffle partitions; small neighbours become one.
     """
-    rows = checkpointed(df)
-    n = max(df.sparkSession.sparkContext.defaultParallelism, math.ceil(rows.count() / RANGE_ROWS))
-    return checkpointed(rows.repartitionByRange(n, *order).withColumn(part, F.spark_partition_id()))
+    return checkpointed(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
 
 
 def before(df: DataFrame, total: Column, name: str, part: str = "_p") -> DataFrame:
@@ -61,8 +55,6 @@ def before(df: DataFrame, total: Column, name: str, part: str = "_p") -> DataFra
 
 
 def bounded(df: DataFrame, most: int = 10_000) -> DataFrame:
-    """``df`` for a broadcast join: its rows, ``most`` at most, are computed once; more are an error."""
+    """``df`` for a join: computed once and broadcast if it has ``most`` rows at most; else as it is, for a join without broadcast."""
     rows = df.limit(most + 1).toArrow()
-    if rows.num_rows > most:
-        raise ValueError(f"a table of at most {most} rows is expected here")
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= most else df

@@ -107,7 +107,8 @@ def category_counts(df: DataFrame, by: list[str], tags: str = "tags") -> DataFra
 
 
 def feature_blends(here: dict[str, Column], c: dict[str, Column]) -> list[Column]:
-    """Four capped counts and three blends of presences and counts; caps and weights are fixed values."""
+    """Four capped counts and three blends of presences and counts."""
+    # The caps and weights below.
     one = lambda x: F.least(F.lit(1.0), x)
     buildings, water, green = (one(c[n] / F.lit(float(cap))) for n, cap in (("building", 120), ("water", 30), ("vegetation", 60)))
     transport = one((c["road"] + c["railway"]) / F.lit(180.0))
@@ -198,36 +199,71 @@ def geometry_parts(df: DataFrame, geometry: str, keep: list[str]) -> DataFrame:
     return d.select(*keep, "member", shape.alias("kind"), F.posexplode(lists).alias("part", "points"))
 
 
+#: A pixel centre lies on a border that is nearer than this.
+ON = 1e-9
+
+
+def _reach(p: Column, q: Column, y: Column, r: float) -> list[Column]:
+    """Intervals of x, of which the hull is where row y is within r of the segment p to q: about both ends, and beside the segment. Null ones don't count."""
+    dx, dy = q[0] - p[0], q[1] - p[1]
+    size = dx * dx + dy * dy
+    v, limit = y - p[1], F.lit(r) * F.sqrt(size)
+
+    def disc(c: Column) -> Column:
+        half = F.sqrt(F.lit(r * r) - (y - c[1]) ** 2)
+        return F.when(F.abs(y - c[1]) <= r, F.struct((c[0] - half).alias("a"), (c[0] + half).alias("b")))
+
+    def span(over: Column, a: Column, b: Column, holds: Column) -> tuple[Column, Column]:
+        """Where a linear condition on x holds: between a and b if it depends on x, else everywhere or nowhere (null)."""
+        none = F.when(holds, F.lit(float("inf")))
+        return F.when(over, F.least(a, b)).otherwise(-none), F.when(over, F.greatest(a, b)).otherwise(none)
+
+    across = F.nullif(dy, F.lit(0.0))
+    along = F.nullif(dx, F.lit(0.0))
+    a0, b0 = span(dy != 0, (v * dx - limit) / across, (v * dx + limit) / across, F.abs(v * dx) <= limit)
+    a1, b1 = span(dx != 0, -v * dy / along, (size - v * dy) / along, (v * dy >= 0) & (v * dy <= size))
+    a, b = F.when(a0.isNotNull() & a1.isNotNull(), F.greatest(a0, a1)), F.least(b0, b1)
+    return [disc(p), disc(q), F.when((size > 0) & (a <= b), F.struct((p[0] + a).alias("a"), (p[0] + b).alias("b")))]
+
+
 def burn_in(parts: DataFrame, height: int, width: int, keys: list[str]) -> DataFrame:
     """Pixels that parts cover, in pixel coordinates: ``points`` of (x, y) from 0 to width - 1 and height - 1.
 
     Polygons are filled by the even-odd rule at pixel centres, borders included; lines have width
-    max(1, round(min(height, width) / 128)); points are discs. Pixels come only from each part's box.
+    max(1, round(min(height, width) / 128)); points are discs.
+
+    By scan lines: each edge is met by the pixel rows that it spans and by no other. There it gives a
+    crossing (of a polygon's inside) or a run of pixels (of a border, a line, a disc); a row's crossings,
+    in order, are runs by pairs. Only runs become pixels. Parts that repeat are drawn once.
     """
     line = max(1, round(min(height, width) / 128))
-    xs, ys = F.transform("points", lambda p: p[0]), F.transform("points", lambda p: p[1])
-    lo = lambda v, m: F.least(F.greatest(F.ceil(F.array_min(v) - line), F.lit(0)), F.lit(m)).cast("int")
-    hi = lambda v, m: F.least(F.greatest(F.floor(F.array_max(v) + line), F.lit(-1)), F.lit(m)).cast("int")
-    d = parts.withColumns({"_y0": lo(ys, height - 1), "_y1": hi(ys, height - 1), "_x0": lo(xs, width - 1), "_x1": hi(xs, width - 1)}).where("_y0 <= _y1 AND _x0 <= _x1")
-    d = d.withColumn("y", F.explode(F.sequence("_y0", "_y1"))).withColumn("x", F.explode(F.sequence("_x0", "_x1")))
-    a, b = F.slice("points", 1, F.size("points") - 1), F.slice("points", 2, F.size("points") - 1)
-    y, x = F.col("y").cast("double"), F.col("x").cast("double")
-
-    def crosses(p: Column, q: Column) -> Column:
-        over = (p[1] > y) != (q[1] > y)
-        return (over & (x < (q[0] - p[0]) * (y - p[1]) / F.when(over, q[1] - p[1]) + p[0])).cast("int")
-
-    def distance2(p: Column, q: Column) -> Column:
-        dx, dy = q[0] - p[0], q[1] - p[1]
-        size = dx * dx + dy * dy
-        t = F.when(size > 0, F.least(F.greatest(((x - p[0]) * dx + (y - p[1]) * dy) / size, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-        return (x - p[0] - t * dx) ** 2 + (y - p[1] - t * dy) ** 2
-
-    inside = F.aggregate(F.zip_with(a, b, crosses), F.lit(0), lambda s, v: s + F.coalesce(v, F.lit(0))) % 2 == 1
-    near = F.array_min(F.zip_with(a, b, distance2))
-    dot = (x - F.col("points")[0][0]) ** 2 + (y - F.col("points")[0][1]) ** 2
-    on = F.when(F.size("points") < 2, dot <= line * line).when(F.col("kind") == "polygon", inside | (near <= 1e-18)).otherwise(near <= line * line / 4.0)
-    return d.where(on).select(*keys, "y", "x").distinct()
+    d = parts.select(*keys, "kind", F.transform("points", lambda p: F.array(p[0].cast("double"), p[1].cast("double"))).alias("points")).where(F.size("points") > 0).distinct()
+    d = d.withColumn("_id", F.sha2(F.to_json(F.struct("kind", "points")), 256))
+    polygon = (F.col("kind") == "polygon") & (F.size("points") >= 2)
+    alone = F.size("points") < 2
+    reach = F.when(polygon, F.lit(ON)).when(alone, F.lit(float(line))).otherwise(F.lit(line / 2.0))
+    ends = F.zip_with(F.slice("points", 1, F.greatest(F.size("points") - 1, F.lit(1))), F.when(alone, F.col("points")).otherwise(F.slice("points", 2, F.size("points"))), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    edges = d.select(*keys, "_id", polygon.alias("_polygon"), reach.alias("_r"), F.inline(ends))
+    low, high = F.least(F.col("p")[1], F.col("q")[1]) - F.col("_r"), F.greatest(F.col("p")[1], F.col("q")[1]) + F.col("_r")
+    y0, y1 = F.greatest(F.ceil(low), F.lit(0)).cast("int"), F.least(F.floor(high), F.lit(height - 1)).cast("int")
+    rows = edges.withColumns({"_y0": y0, "_y1": y1}).where("_y0 <= _y1").withColumn("y", F.explode(F.sequence("_y0", "_y1")))
+    p, q, y = F.col("p"), F.col("q"), F.col("y").cast("double")
+
+    run = lambda a, b: (F.greatest(F.ceil(a), F.lit(0)).cast("int"), F.least(F.floor(b), F.lit(width - 1)).cast("int"))
+    hull = lambda r: F.array_compact(F.array(*_reach(p, q, y, r)))
+    near = F.when(F.col("_polygon"), hull(ON)).when(F.col("_r") == line, hull(float(line))).otherwise(hull(line / 2.0))
+    touched = rows.withColumn("_h", near).where(F.size("_h") > 0)
+    a, b = F.array_min(F.transform("_h", lambda h: h["a"])), F.array_max(F.transform("_h", lambda h: h["b"]))
+    x0, x1 = run(a - ON, b + ON)
+    borders = touched.select(*keys, "y", x0.alias("x0"), x1.alias("x1"))
+
+    crossing = (q[0] - p[0]) * (y - p[1]) / F.nullif(q[1] - p[1], F.lit(0.0)) + p[0]
+    cut = rows.where(F.col("_polygon") & ((p[1] > y) != (q[1] > y))).groupBy(*keys, "_id", "y").agg(F.sort_array(F.collect_list(crossing)).alias("_c"))
+    pairs = F.transform(F.sequence(F.lit(1), F.size("_c") - 1, F.lit(2)), lambda i: F.struct(F.element_at("_c", i).alias("a"), F.element_at("_c", i + 1).alias("b")))
+    filled = cut.where(F.size("_c") >= 2).select(*keys, "y", F.inline(pairs))
+    x0, x1 = run(F.col("a"), F.ceil("b") - 1)  # from a on, before b
+    runs = borders.unionByName(filled.select(*keys, "y", x0.alias("x0"), x1.alias("x1"))).where("x0 <= x1").distinct()
+    return runs.select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x")).distinct()
 
 
 def apply_gates(vector: Column, gates: Column) -> Column:

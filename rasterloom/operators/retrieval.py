@@ -128,11 +128,34 @@ def soft_targets(rows: DataFrame, batch: str, group: str, key: str) -> DataFrame
     return rows.select(batch, group, key).join(b, [batch, group]).select(batch, key, "other", (F.lit(1.0) / n).alias("target"))
 
 
+#: Multipliers of the 32-bit mixer and the first words of the two lanes of ``pair_uniform``.
+MIX, LANES = (0x7FEB352D, 0x846CA68B), (0x243F6A88, 0x85A308D3)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijective mixer of 32-bit words: each bit of a word touches all of them."""
+    x = (x ^ (x >> np.uint32(16))) * np.uint32(MIX[0])
+    x = (x ^ (x >> np.uint32(15))) * np.uint32(MIX[1])
+    return x ^ (x >> np.uint32(16))
+
+
 def pair_uniform(query: np.ndarray, found: np.ndarray) -> np.ndarray:
-    """A number in (0, 1) for each pair, the same in every run: two rounds of a congruential generator."""
-    m = 2147483647
-    one = (query.astype(np.int64)[:, None] * 1103515245 + found.astype(np.int64)[None, :] * 12345 + 7) % m
-    return (one * 48271 % m + 0.5) / m
+    """A number in (0, 1) for each pair, the same in every run.
+
+    Two lanes of 32 bits take the words of query and found one after the other and mix after each,
+    twice after the last; together they give 53 bits.
+    """
+    words = lambda v: [(v.astype(np.int64).view(np.uint64) >> np.uint64(s)).astype(np.uint32) for s in (32, 0)]
+    lanes = []
+    for first in LANES:
+        lane = np.full((len(query), 1), first, np.uint32)
+        for w in words(query):
+            lane = _mixed(lane ^ w[:, None])
+        for w in words(found):
+            lane = _mixed(lane ^ w[None, :])
+        lanes.append(_mixed(lane + np.uint32(first)))
+    high, low = (x.astype(np.uint64) for x in lanes)
+    return ((high << np.uint64(21) | low >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
 DRAWN = pa.schema([("side", pa.string()), ("query", pa.int64()), ("hard", pa.bool_()), ("found", pa.int64()), ("z", pa.float64())])
@@ -192,12 +215,35 @@ def memory_weights(pairs: DataFrame, query: str, threshold: float, value: Column
 
 
 def cosine_pairs(queries: DataFrame, memory: DataFrame, limit: int) -> DataFrame:
-    """(query, memory, cos) of every query with every memory row. The memory has at most ``limit`` rows by contract, which is checked."""
-    if memory.limit(limit + 1).count() > limit:
+    """(query, memory, cos) of every query with every memory row, with their other columns. The memory has at most ``limit`` rows by contract, which is checked.
+
+    Each batch of queries is one matrix product. A vector without length has no cosine (null).
+    """
+    held = memory.limit(limit + 1).toArrow()
+    if held.num_rows > limit:
         raise ValueError(f"the memory has more than {limit} rows")
-    q = queries.withColumn("_q", l2_normalised(F.col("vec")))
-    m = memory.withColumn("_m", l2_normalised(F.col("mvec"))).drop("mvec")
-    return q.drop("vec").join(F.broadcast(m)).withColumn("cos", dot(F.col("_q"), F.col("_m"))).drop("_q", "_m")
+    rest = held.drop_columns(["mvec"])
+    own = [c for c in queries.columns if c != "vec"]
+    schema = StructType([*[queries.schema[c] for c in own], *[memory.schema[c] for c in rest.column_names]]).add("cos", "double")
+    arrow = to_arrow_schema(schema)
+
+    def unit(column: pa.Array) -> np.ndarray:
+        v = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+        n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return np.divide(v, n, out=np.full_like(v, np.nan), where=n > 0)
+
+    m = unit(held.column("mvec").combine_chunks()) if held.num_rows else None
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows if m is not None else 0, 1024):
+                part = batch.slice(at, 1024)
+                cos = (unit(part.column("vec")) @ m.T).ravel()
+                i, j = np.repeat(np.arange(part.num_rows), len(m)), np.tile(np.arange(len(m)), part.num_rows)
+                columns = [part.column(c).take(pa.array(i)) for c in own] + [rest.column(c).combine_chunks().take(pa.array(j)) for c in rest.column_names]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(cos, mask=np.isnan(cos))], schema=arrow)
+
+    return queries.select(*own, "vec").mapInArrow(each, schema)
 
 
 def memory_score(pairs: DataFrame, threshold: float) -> DataFrame:

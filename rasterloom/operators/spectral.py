@@ -190,41 +190,50 @@ def one_per_group(samples: DataFrame, by: list[str], order: list[Column]) -> Dat
     return samples.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("_r = 1").drop("_r")
 
 
+def _along(df: DataFrame, axis: DataFrame, name: str, keep: list[str], sums: dict[str, Column], nearest: str) -> DataFrame:
+    """``df`` carried to the target places of one axis: weighted sums, the weight, and what the nearest source place has.
+
+    ``axis`` has a few rows for each target row or column (t, name, f, near), whatever the scenes, and is broadcast.
+    """
+    f = F.col(f"f{name}")
+    weighed = [F.sum(f * c).alias(n) for n, c in sums.items()]
+    return df.join(F.broadcast(axis), name).groupBy(*keep, f"t{name}").agg(*weighed, F.max(F.when(F.col(f"n{name}"), F.col(nearest))).alias("_n"))
+
+
+def _carried(df: DataFrame, values: list[str], valid: str, ys: DataFrame, xs: DataFrame, scene: str) -> DataFrame:
+    """(scene, ty, tx) with the weighted sums of valid values (``_`` before the name), of validity (_s), of weights (_w), and the nearest pixel's validity (_n): rows first, then columns."""
+    m = F.col(valid).cast("double")
+    first = {**{f"_{v}": m * F.col(v) for v in values}, "_s": m, "_w": F.lit(1.0)}
+    d = _along(df.select(scene, "y", "x", valid, *values), ys, "y", [scene, "x"], first, valid)
+    return _along(d, xs, "x", [scene, "ty"], {n: F.col(n) for n in first}, "_n")
+
+
 def resize_valid(df: DataFrame, values: list[str], valid: str, source: tuple[int, int], target: tuple[int, int], scene: str = "scene_id") -> DataFrame:
     """Bilinear resize (half-pixel centres) of values times validity over resized validity; valid where the nearest pixel is and there is support.
 
-    Every source pixel is sent to the target pixels it weighs on, by exploding the few source rows and
-    columns of each target place; targets meet sources by an equi-join on (y, x).
+    The weights are products of one for the row and one for the column, so rows are resized first, then columns.
     """
     spark = df.sparkSession
-    (h, w), (th, tw) = source, target
 
     def axis(n: int, m: int, name: str) -> DataFrame:
         at = F.greatest((F.col("id") + 0.5) * (n / m) - 0.5, F.lit(0.0))
         lo = F.least(F.floor(at), F.lit(n - 1)).cast("int")
-        hi = F.least(lo + 1, F.lit(n - 1))
         part = at - lo
         near = F.least(F.floor(F.col("id") * (n / m)), F.lit(n - 1)).cast("int")
-        ends = F.array(F.struct(lo.alias("s"), (F.lit(1.0) - part).alias("f")), F.struct(hi.alias("s"), part.alias("f")))
-        d = spark.range(m).select(F.col("id").cast("int").alias(f"t{name}"), near.alias(f"n{name}"), F.explode(ends).alias("e"))
-        return d.groupBy(f"t{name}", f"n{name}", F.col("e.s").alias(name)).agg(F.sum("e.f").alias(f"f{name}"))
+        ends = F.array(F.struct(lo.alias("s"), (F.lit(1.0) - part).alias("f")), F.struct(F.least(lo + 1, F.lit(n - 1)).alias("s"), part.alias("f")), F.struct(near.alias("s"), F.lit(0.0).alias("f")))
+        d = spark.range(m).select(F.col("id").cast("int").alias(f"t{name}"), near.alias("near"), F.explode(ends).alias("e"))
+        return d.groupBy(f"t{name}", F.col("e.s").alias(name), (F.col("e.s") == F.col("near")).alias(f"n{name}")).agg(F.sum("e.f").alias(f"f{name}"))
 
-    grid = axis(h, th, "y").crossJoin(axis(w, tw, "x"))  # target rows by columns: fixed by the target's shape
-    m = F.col(valid).cast("double")
-    j = df.join(F.broadcast(grid), ["y", "x"])
-    weight = F.col("fy") * F.col("fx")
-    s = j.groupBy(scene, "ty", "tx").agg(*[F.sum(weight * m * F.col(v)).alias(f"_{v}") for v in values], F.sum(weight * m).alias("_s"))
-    near = df.join(F.broadcast(grid.select("ty", "tx", F.col("ny").alias("y"), F.col("nx").alias("x")).distinct()), ["y", "x"]).select(scene, "ty", "tx", m.alias("_n"))
-    ok = (F.col("_n") > 0.5) & (F.col("_s") > 1e-6)
-    out = s.join(near, [scene, "ty", "tx"])
+    out = _carried(df, values, valid, axis(source[0], target[0], "y"), axis(source[1], target[1], "x"), scene)
+    ok = F.coalesce("_n", F.lit(False)) & (F.col("_s") > 1e-6)
     return out.select(scene, "ty", "tx", *[F.when(ok, F.col(f"_{v}") / F.greatest("_s", F.lit(1e-6))).otherwise(F.lit(0.0)).alias(v) for v in values], ok.alias("valid"))
 
 
-def _grid(spark: SparkSession, source: tuple[float, float, float, float, int, int], bbox: tuple[float, float, float, float], shape: tuple[int, int]) -> DataFrame:
-    """What each target pixel takes from the source: ty, tx, y, x, weight (bilinear, between pixel centres), and whether (y, x) is the nearest.
+def _axes(spark: SparkSession, source: tuple[float, float, float, float, int, int], bbox: tuple[float, float, float, float], shape: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """For each target row (and column) the source rows it takes from: t, place, bilinear weight between pixel centres, whether it is the nearest.
 
     The source is west, north, pixel width, pixel height, rows and columns; the target a box (west,
-    south, east, north) and a shape. A fixed table, whatever the scenes: at most four rows a target pixel.
+    south, east, north) and a shape. At most two rows a target row or column.
     """
     west, north, dx, dy, h, w = source
     left, south, right, top = bbox
@@ -237,10 +246,7 @@ def _grid(spark: SparkSession, source: tuple[float, float, float, float, int, in
         return d.select(f"t{name}", F.col("e.s").cast("int").alias(name), F.col("e.f").alias(f"f{name}"), (F.col("e.s") == F.col("near")).alias(f"n{name}")).where(F.col(name).between(0, n - 1))
 
     ys = axis(h, shape[0], "y", (north - (top - (F.col("id") + 0.5) * ((top - south) / shape[0]))) / dy)
-    xs = axis(w, shape[1], "x", (left + (F.col("id") + 0.5) * ((right - left) / shape[1]) - west) / dx)
-    columns = F.broadcast(xs.agg(F.collect_list(F.struct(*xs.columns)).alias("xs")).withColumn("_k", F.lit(0)))  # as long as the target is wide
-    both = ys.withColumn("_k", F.lit(0)).join(columns, "_k").select("ty", "y", "fy", "ny", F.inline("xs"))
-    return both.select("ty", "tx", "y", "x", (F.col("fy") * F.col("fx")).alias("weight"), (F.col("ny") & F.col("nx")).alias("nearest"))
+    return ys, axis(w, shape[1], "x", (left + (F.col("id") + 0.5) * ((right - left) / shape[1]) - west) / dx)
 
 
 def _whole(df: DataFrame, got: DataFrame, scene: str, shape: tuple[int, int]) -> DataFrame:
@@ -255,10 +261,7 @@ def align_valid(
 
     Invalid target pixels, those outside the source too, are 0, as are values under 1e-7.
     """
-    m = F.col(valid).cast("double")
-    j = df.join(F.broadcast(_grid(df.sparkSession, source, bbox, shape)), ["y", "x"])
-    w = F.col("weight")
-    s = j.groupBy(scene, "ty", "tx").agg(*[F.sum(w * m * F.col(v)).alias(f"_{v}") for v in values], F.sum(w * m).alias("_s"), F.sum(w).alias("_w"), F.max(F.when(F.col("nearest"), F.col(valid))).alias("_n"))
+    s = _carried(df, values, valid, *_axes(df.sparkSession, source, bbox, shape), scene)
     out = _whole(df, s, scene, shape)
     ok = F.coalesce("_n", F.lit(False))
     cell = lambda v: F.when(ok & (F.col("_s") > 1e-6 * F.col("_w")), F.col(f"_{v}") / F.col("_s")).otherwise(F.lit(0.0))
@@ -267,6 +270,6 @@ def align_valid(
 
 def align_mask(df: DataFrame, mask: str, source: tuple[float, float, float, float, int, int], bbox: tuple[float, float, float, float], shape: tuple[int, int], scene: str = "scene_id") -> DataFrame:
     """A mask on the target's grid: that of the nearest source pixel, false outside."""
-    near = _grid(df.sparkSession, source, bbox, shape).where("nearest").select("ty", "tx", "y", "x")
-    got = df.join(F.broadcast(near), ["y", "x"]).select(scene, "ty", "tx", F.col(mask).alias("_m"))
+    ys, xs = (F.broadcast(a.where(f"n{n}").select(f"t{n}", n)) for a, n in zip(_axes(df.sparkSession, source, bbox, shape), "yx", strict=True))
+    got = df.join(ys, "y").join(xs, "x").select(scene, "ty", "tx", F.col(mask).alias("_m"))
     return _whole(df, got, scene, shape).select(scene, "ty", "tx", F.coalesce("_m", F.lit(False)).alias(mask))

@@ -226,9 +226,9 @@ _SEP = """, o AS (SELECT scene_id, label, score, p[2] AS y, p[3] AS x, row_numbe
  sep0 AS (SELECT scene_id, label, unnest(max_by(kept, n)) AS k FROM walk GROUP BY 1, 2), sep AS (SELECT scene_id, label, k.score AS score, k.y AS y, k.x AS x FROM sep0)"""
 _FB = """, fb AS (SELECT scene_id, label, min((-v, y, x)) AS p FROM lb WHERE NOT EXISTS (SELECT 1 FROM sep WHERE sep.scene_id = lb.scene_id AND sep.label = lb.label) GROUP BY 1, 2),
  pks AS (SELECT * FROM sep UNION ALL SELECT scene_id, label, -p[1], p[2], p[3] FROM fb)"""
-_DEC = """, num AS (SELECT *, CAST(row_number() OVER (PARTITION BY scene_id ORDER BY label, score DESC, y, x) AS INT) AS instance FROM pks),
- vote AS (SELECT scene_id, label, y, x, least(greatest(y + (v * 4 - 1), 0), 63) AS vy, least(greatest(x + (CAST(0.5 AS DOUBLE) - v), 0), 63) AS vx FROM lb),
- dec AS (SELECT vote.scene_id, vote.y, vote.x, min_by(instance, (round(pow(vy - num.y, 2) + pow(vx - num.x, 2), 9), instance)) AS instance FROM vote JOIN num ON num.scene_id = vote.scene_id AND num.label = vote.label GROUP BY 1, 2, 3)"""
+_DEC = """, vote AS (SELECT scene_id, label, y, x, least(greatest(y + (v * 4 - 1), 0), 63) AS vy, least(greatest(x + (CAST(0.5 AS DOUBLE) - v), 0), 63) AS vx FROM lb),
+ won AS (SELECT vote.scene_id, vote.label, vote.y, vote.x, min((round(pow(vy - pks.y, 2) + pow(vx - pks.x, 2), 9), -score, pks.y, pks.x)) AS p FROM vote JOIN pks ON pks.scene_id = vote.scene_id AND pks.label = vote.label GROUP BY 1, 2, 3, 4),
+ dec AS (SELECT scene_id, y, x, CAST(dense_rank() OVER (PARTITION BY scene_id ORDER BY label, p[2], p[3], p[4]) AS INT) AS instance FROM won)"""
 _SUP = """, held AS (SELECT scene_id, y, x, CASE WHEN x = 3 THEN 0 ELSE instance END AS instance FROM dec WHERE y <> 10), want AS (SELECT scene_id, y, x FROM m WHERE x <> 5)"""
 _NEAR = """, mk AS (SELECT scene_id, label, y * 64 + x AS marker, y AS my, x AS mx FROM lb WHERE (x + 2 * y) % 3 = 0),
  far AS (SELECT lb.scene_id, lb.label, y, x, marker, pow(y - my, 2) + pow(x - mx, 2) AS d FROM lb JOIN mk ON mk.scene_id = lb.scene_id AND mk.label = lb.label),
@@ -282,7 +282,7 @@ ORACLES = {
     "i2_peak_candidates": recursive(f"{_CC}{_PK} SELECT scene_id, label, round(score, 6) AS score, p[2] AS y, p[3] AS x FROM pk"),
     "i3_separated_peaks": recursive(f"{_CC}{_PK}{_SEP} SELECT scene_id, label, round(score, 6) AS score, y, x FROM sep"),
     "i4_fallback_peaks": recursive(f"{_CC}{_PK}{_SEP}{_FB} SELECT scene_id, label, round(score, 6) AS score, y, x FROM pks"),
-    "i5_offset_voting": recursive(f"{_CC}{_PK}{_SEP}{_FB}{_DEC} SELECT * FROM dec"),
+    "i5_offset_voting": recursive(f"{_CC}{_PK}{_SEP}{_FB}{_DEC} SELECT scene_id, y, x, instance FROM dec"),
     "i6_support_audit": recursive(
         f"{_CC}{_PK}{_SEP}{_FB}{_DEC}{_SUP} SELECT scene_id, 'outside' AS problem, count(*) AS n FROM held WHERE x = 5 GROUP BY 1 UNION ALL SELECT scene_id, 'bad_id', count(*) FROM held WHERE x <> 5 AND instance < 1 GROUP BY 1"
         " UNION ALL SELECT scene_id, 'unassigned', count(*) FROM want WHERE NOT EXISTS (SELECT 1 FROM held WHERE held.scene_id = want.scene_id AND held.y = want.y AND held.x = want.x) GROUP BY 1"

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import retrieval as rt
 from rasterloom.operators import series as se
+from rasterloom.operators.retrieval import LANES, MIX
 from rasterloom.operators.tiling import uniform
 from rasterloom.plans import fixtures as fx
 from rasterloom.plans.evaluation import rounded
@@ -198,6 +199,9 @@ _REC = lambda t, rel: f"{rel}, h AS (SELECT {t}.side, {t}.query, min(CASE WHEN r
 _RR = _T + ", two AS (SELECT side, query, found, score * (1 + label % 3) AS score FROM top JOIN embeddings ON vec_id = found), rr AS (SELECT *, CAST(row_number() OVER (PARTITION BY side, query ORDER BY score DESC, found) AS INT) AS rank FROM two)"
 _RND = ", ".join(f"round(r{k}, 6) AS r{k}" for k in KS)
 _U = "greatest(CAST(('0x' || substr(md5(query || '|' || found), 1, 12)) AS BIGINT) / CAST(281474976710656 AS DOUBLE), 1e-12)"
+#: Numbers for each pair: words come in (marked by 2**40), are shifted onto themselves (below 64) and multiplied, as the list says.
+_M = f"16, {MIX[0]}, 15, {MIX[1]}, 16"
+_LANE = lambda first: f"list_reduce(CAST([{first}, 1099511627776 + (query >> 32), {_M}, 1099511627776 + (query & 4294967295), {_M}, 1099511627776 + (found >> 32), {_M}, 1099511627776 + (found & 4294967295), {_M}, 2199023255552 + {first}, {_M}] AS UBIGINT[]), lambda a, c: CASE WHEN c >= 2199023255552 THEN (a + c - 2199023255552) % 4294967296 WHEN c >= 1099511627776 THEN xor(a, c - 1099511627776) WHEN c < 64 THEN xor(a, a >> c) ELSE a * c % 4294967296 END)"
 _MP = _V + """, m AS (SELECT id AS memory, vec AS mv, e[1] AS mscore, CASE WHEN label % 2 = 0 THEN 1.0 ELSE -1.0 END AS mlabel FROM v WHERE id < 128), mp AS (SELECT id AS query, e[2] AS qscore, memory, mscore, mlabel, list_dot_product(vec, mv) AS cos FROM v, m WHERE id >= 128)"""
 _SH = lambda x: f"sm AS (SELECT *, CASE WHEN cos < 0.2 THEN -1 ELSE {x} END AS sim FROM mp), lh AS (SELECT *, (sim - min(sim) OVER w) / (max(sim) OVER w - min(sim) OVER w + 1e-8) AS d FROM sm WINDOW w AS (PARTITION BY query)), sh AS (SELECT *, d / (sum(d) OVER (PARTITION BY query) + 1e-8) AS share FROM lh)"
 _CLOSE = "cos * (1 - pow(mscore - qscore, 2))"
@@ -214,7 +218,7 @@ ORACLES = {
     "j7_rerank": f"WITH {_RR} SELECT side, query, found, round(score, 6) AS score, rank FROM rr",
     "j8_best_positive_rank": f"WITH {_RR}, {_REC('rr', _GRP)} SELECT side, " + ", ".join(f"round(r{k} * 100, 6) AS r{k}" for k in KS) + ", round((r1 + r5 + r10) / 3 * 100, 6) AS mean FROM q",
     "j9_soft_targets": "WITH e AS (SELECT vec_id, vec_id // 32 AS batch, label FROM embeddings) SELECT a.batch, a.vec_id, b.vec_id AS other, round(1 / CAST(count(*) OVER (PARTITION BY a.batch, a.vec_id) AS DOUBLE), 6) AS target FROM e a JOIN e b ON a.batch = b.batch AND a.label = b.label",
-    "j10_negative_sampling": f"WITH {_S}, {_GRP}, c AS (SELECT side, query, found, score, -ln(-ln(((query * 1103515245 + found * 12345 + 7) % 2147483647 * 48271 % 2147483647 + 0.5) / CAST(2147483647 AS DOUBLE))) AS g FROM a WHERE NOT EXISTS (SELECT 1 FROM rel WHERE rel.side = a.side AND rel.query = a.query AND rel.found = a.found)) SELECT side, query, max_by(found, score + g) AS negative, max_by(found, g - score) AS typical FROM c GROUP BY 1, 2",
+    "j10_negative_sampling": f"WITH {_S}, {_GRP}, u AS (SELECT side, query, found, score, {_LANE(LANES[0])} AS hi, {_LANE(LANES[1])} AS lo FROM a WHERE NOT EXISTS (SELECT 1 FROM rel WHERE rel.side = a.side AND rel.query = a.query AND rel.found = a.found)), c AS (SELECT side, query, found, score, -ln(-ln((hi * 2097152 + (lo >> 11) + CAST(0.5 AS DOUBLE)) / CAST(9007199254740992 AS DOUBLE))) AS g FROM u) SELECT side, query, max_by(found, score + g) AS negative, max_by(found, g - score) AS typical FROM c GROUP BY 1, 2",
     "j11_fifo_memory": "SELECT vec_id, label FROM embeddings ORDER BY vec_id DESC LIMIT 128",
     "j12_memory_sample": "SELECT vec_id, label FROM embeddings ORDER BY CAST(('0x' || substr(md5(vec_id || '|9'), 1, 12)) AS BIGINT), vec_id LIMIT 50",
     "j13_priority_merge": "WITH o AS (SELECT user_id AS key, max(event_id) AS arrival, max_by(value, event_id) AS priority FROM events GROUP BY 1) SELECT * FROM o ORDER BY priority DESC, key LIMIT 40",
