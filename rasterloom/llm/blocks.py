@@ -48,7 +48,7 @@ def blocked(docs: DataFrame, n_bytes: int, text: str = "text", key: str = "doc_i
 
 
 def pack(sorted_values: np.ndarray) -> bytes:
-    """Rising uint64 values as gaps in one, two, four or eight bytes; the top value adds to the next gap."""
+    """Rising uint64 values as gaps of one, two or four bytes, where the top value adds to the next gap, else of as many bytes as the largest has."""
     if not len(sorted_values):
         return b""
     gaps = np.diff(sorted_values, prepend=U(0))
@@ -59,16 +59,22 @@ def pack(sorted_values: np.ndarray) -> bytes:
             out = np.full(len(gaps) + int(over.sum()), top, kind)
             out[np.cumsum(over) + np.arange(len(gaps))] = (gaps % top).astype(kind)
             return bytes([code]) + out.tobytes()
-    return b"\x08" + gaps.tobytes()
+    wide = max(1, -(-int(gaps.max()).bit_length() // 8))
+    return bytes([16 + wide]) + np.ascontiguousarray(gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide]).tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, U)
-    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32, 8: np.uint64}[blob[0]]
+    if blob[0] > 16:
+        wide = blob[0] - 16
+        parts = np.frombuffer(blob, np.uint8, offset=1).reshape(-1, wide)
+        gaps = np.zeros((len(parts), 8), np.uint8)
+        gaps[:, :wide] = parts
+        return np.cumsum(gaps.view("<u8").ravel())
+    kind = {1: np.uint8, 2: np.uint16, 4: np.uint32}[blob[0]]
     gaps = np.frombuffer(blob, kind, offset=1)
-    values = np.cumsum(gaps.astype(U))
-    return values if kind is np.uint64 else values[gaps != np.iinfo(kind).max]
+    return np.cumsum(gaps.astype(U))[gaps != np.iinfo(kind).max]
 
 
 def firsts(*columns: np.ndarray) -> np.ndarray:

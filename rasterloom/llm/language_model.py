@@ -29,14 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from rasterloom.llm import blocks as B
-from rasterloom.llm.common import binary_parts, mix64, size_of, stored, table
+from rasterloom.llm.common import binary_parts, mix64, size_of, table
 from rasterloom.llm.grams import gram_hashes, lower_ascii, runs_of_texts, word_hashes, words
 
 U = np.uint64
-ORDER = 3
-KEY_BITS = 60
+ORDER = 2
+KEY_BITS = 54
 #: Token values beside words, and the keys under which the tokens of training are counted, all and distinct.
 START, END, TOKENS, DISTINCT = (U(x) for x in mix64(np.arange(4, dtype=U), 4242).tolist())
+# n-grams are told apart by KEY_BITS bits: of a thousand million, some thirty pairs share a key.
 #: Most bytes of a block, and tokens of a text that are read in one go.
 BLOCK_BYTES, SEGMENT = 16 << 20, 512
 
@@ -295,7 +296,7 @@ def language_model_scores(docs: DataFrame, held_out: Column, order: int = ORDER,
     rows = rows.withColumn("block", F.pmod(F.xxhash64("rest", "t"), F.lit(blocks)).cast("int"))
     ways, second = B.Ways.of(blocks, KEY_BITS, n_bytes // 3), B.Ways.of(blocks, KEY_BITS, n_bytes // 8)
     by = rows.groupBy("block")
-    said = stored(B.exchanged(by.applyInArrow(lambda t: _count(t, order, ways), B.PIECE_SQL), ways, TOTALS), "counts")
+    said = B.exchanged(by.applyInArrow(lambda t: _count(t, order, ways), B.PIECE_SQL), ways, TOTALS)
     asked = by.cogroup(said.groupBy("block")).applyInArrow(lambda a, b: _types(a, b, order, ways, second), B.PIECE_SQL)
     told = B.exchanged(asked, second, TOTALS).withColumn("n", F.lit(b"types"))
     schema = StructType([rows.schema["rest"]])

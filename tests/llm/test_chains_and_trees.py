@@ -263,7 +263,7 @@ def scores(df, key="doc_id"):
 
 def test_op13(spark):
     docs = duckdb.execute(f"SELECT doc_id, text FROM '{DIR}/documents.parquet'").fetchall()
-    want, p = plain_model([(i, t, zlib.crc32(str(i).encode()) % 7 == 2) for i, t in docs], 3)
+    want, p = plain_model([(i, t, zlib.crc32(str(i).encode()) % 7 == 2) for i, t in docs], L.ORDER)
     got = scores(QUERIES["op13_language_model"](spark, DIR))
     close(got, want)
     held = [g for g in got.values() if g[0]]
@@ -314,3 +314,13 @@ def test_totals_choose_one_that_stands_for_all():
     said = L.TOTALS.spread(L.TOTALS.decide(k, merged), of, own, merged)
     assert (said >> np.uint64(1)).tolist() == [10, 6, 10, 0, 6, 10] and (said & np.uint64(1)).tolist() == [0, 1, 1, 0, 0, 0]
     assert L.TOTALS.unpack(L.TOTALS.pack(own * np.uint64(10**12)), 6).tolist() == (own * np.uint64(10**12)).tolist()
+
+
+@pytest.mark.parametrize("bits", [8, 16, 30, 33, 40, 47, 55, 63, 64])
+def test_packed_values_come_back(bits):
+    from rasterloom.llm.blocks import pack, unpack
+
+    rng = np.random.default_rng(bits)
+    for n in (0, 1, 5, 1000):
+        v = np.sort(rng.integers(0, (1 << bits) - 1, n, dtype=np.uint64))
+        assert (unpack(pack(v)) == v).all()
