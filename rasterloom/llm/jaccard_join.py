@@ -18,7 +18,8 @@ group. Components are taken over verified links alone.
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from collections.abc import Iterator
+from itertools import combinations, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,8 @@ from rasterloom.llm.grams import prefix_hash, shingle_sets, span_hash
 
 U = np.uint64
 N, PERCENT = 4, 85
-#: Subsets of one set that are held at once: sets that need more are never light.
-MOST_SUBSETS = 100_000
+#: Subsets of one set that are held at once.
+SUBSETS_AT_ONCE = 1 << 16
 #: Shingles of a group that is verified at once.
 CHUNK = 1 << 19
 BYTES = 6  # of a shingle's hash in a verified set
@@ -66,22 +67,22 @@ def size_classes(percent: int, most: int) -> list[int]:
     return out
 
 
-def largest_light(percent: int) -> int:
-    s = 1
-    while subset_cost(percent, s + 1, 2 * s + 2) <= MOST_SUBSETS and s < 4096:
-        s += 1
-    return s
-
-
 def light_boundary(sizes: dict[int, tuple[int, int]], percent: int) -> int:
-    """The boundary of least cost, from the number of sets of each size and the sum of the lengths of all lists that they are in."""
-    costs = {}
-    for light in range(1, max([*sizes, 0]) + 2):
-        cost = 0
+    """The boundary of least cost, from the number of sets of each size and the sum of the lengths of all lists that they are in.
+
+    What subsets cost grows with the boundary, so the search ends where they alone cost more than the best so far.
+    """
+    best, least = 1, sum(lists for _, lists in sizes.values())
+    for light in range(2, max([*sizes, 0]) + 2):
+        subsets_ = lists_ = 0
         for s, (n, lists) in sizes.items():
-            cost += (n * subset_cost(percent, s, light) if s < light else 0) + (lists if 100 * s // percent >= light else 0)
-        costs[light] = cost
-    return min(costs, key=lambda x: (costs[x], x))
+            subsets_ += n * subset_cost(percent, s, light) if s < light else 0
+            lists_ += lists if 100 * s // percent >= light else 0
+            if subsets_ > least:
+                return best
+        if subsets_ + lists_ < least:
+            best, least = light, subsets_ + lists_
+    return best
 
 
 def set_keys(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,18 +135,18 @@ FOUND = pa.schema([("k", pa.int64()), ("n", pa.int64()), ("tokens", pa.list_(pa.
 FOUND_SQL = "k long, n long, tokens array<long>, lists long, members binary"
 
 
-def subset_hashes(members: np.ndarray, percent: int, light: int) -> list[int]:
-    """A hash for each subset by which this light set links with one of a light size; the sizes of both are in it."""
-    s, out = len(members), []
+def subset_hashes(members: np.ndarray, percent: int, light: int) -> Iterator[np.ndarray]:
+    """Hashes of the subsets by which this light set links with one of a light size, some at a time; the sizes of both are in them."""
+    s = len(members)
     mixed = mix64(members, 9)
     for t in partners(percent, s):
         c = need(percent, s, t)
         if t >= light or c > min(s, t):
             continue
-        pick = np.array(list(combinations(range(s), c)))
-        h = mix64(mixed[pick].sum(axis=1, dtype=U), 10) ^ mix64(np.array([min(s, t) << 32 | max(s, t)], U), 11)
-        out += h.view(np.int64).tolist()
-    return out
+        subsets_ = combinations(range(s), c)
+        while len(pick := np.array(list(islice(subsets_, SUBSETS_AT_ONCE)), np.int64)):
+            h = mix64(mixed[pick].sum(axis=1, dtype=U), 10) ^ mix64(np.array([min(s, t) << 32 | max(s, t)], U), 11)
+            yield h.view(np.int64)
 
 
 def _listed(docs: pa.Table, more: pa.Table, n: int, percent: int, ways: B.Ways) -> pa.Table:
@@ -182,8 +183,8 @@ def subsets(found: DataFrame, percent: int, light: int) -> DataFrame:
             for i, k in enumerate(batch.column(0).to_pylist()):
                 wide = np.zeros(((at[i + 1] - at[i]) // BYTES, 8), np.uint8)
                 wide[:, :BYTES] = raw[at[i] : at[i + 1]].reshape(-1, BYTES)
-                own = subset_hashes(wide.view(U).ravel(), percent, light)
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int64()), pa.array(own, pa.int64())], names=["k", "token"])
+                for own in subset_hashes(wide.view(U).ravel(), percent, light):
+                    yield pa.RecordBatch.from_arrays([pa.array([k] * len(own), pa.int64()), pa.array(own, pa.int64())], names=["k", "token"])
 
     return found.where(F.col("n") < light).select("k", "members").mapInArrow(run, "k long, token long")
 
@@ -212,7 +213,21 @@ def _verify(t: pa.Table, percent: int) -> pa.Table:
     many = np.diff(np.append(begin, len(si)))
     of = np.empty(len(items), np.int64)
     of[order] = np.cumsum(new) - 1
-    label, links = np.arange(m), np.zeros(m, np.int64)
+    parent, links = list(range(m)), np.zeros(m, np.int64)
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    # Families one after the other: a set is counted against its own family's sets and no others.
+    by = np.argsort(names, kind="stable")
+    place = np.empty(m, np.int64)
+    place[by] = np.arange(m)
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(names[by]) > 0, [True]])) if m else np.zeros(1, np.int64)
+    first = edges[np.searchsorted(edges, place, "right") - 1] if m else place
+    sp = place[so]  # owners as places among the sets in order of family
     for x in range(m):
         lists = of[at[x] : at[x + 1]]
         lists = lists[many[lists] > 1]
@@ -221,18 +236,20 @@ def _verify(t: pa.Table, percent: int) -> pa.Table:
         size = many[lists]
         total = int(size.sum())
         where = np.repeat(begin[lists] - (np.cumsum(size) - size), size) + np.arange(total)
-        overlap = np.bincount(so[where], minlength=m)
-        hit = 100 * overlap >= percent * (n[x] + n - overlap)
-        hit[x] = False
+        lo = first[x]
+        overlap = np.bincount(sp[where] - lo)
+        own = by[lo : lo + len(overlap)]
+        hit = 100 * overlap >= percent * (n[x] + n[own] - overlap)
+        hit[own == x] = False
         if left != right:
-            hit &= side != side[x]
-        y = np.flatnonzero(hit)
+            hit &= side[own] != side[x]
+        y = own[hit]
         if not len(y):
             continue
         links[x] = weight[y].sum()
-        for z in y:
-            if label[z] != label[x]:
-                label[label == label[z]] = label[x]
+        for z in y.tolist():
+            parent[root(z)] = root(x)
+    label = np.array([root(x) for x in range(m)], np.int64)
     some = np.flatnonzero(links)
     least = np.full(m, np.iinfo(np.int64).max)
     np.minimum.at(least, label, keys)
@@ -274,8 +291,8 @@ def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str
     more = said.unionByName(copies, allowMissingColumns=True)
     found = stored(docs_by.cogroup(more.groupBy("block")).applyInArrow(lambda a, b: _listed(a, b, n, percent, ways), FOUND_SQL), "listed")
 
-    few = found.where(F.col("n") <= largest_light(percent)).groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.sum("lists").alias("lists"))
-    light = light_boundary({r["n"]: (r["c"], r["lists"]) for r in few.collect()}, percent)  # a row a small size
+    few = found.groupBy("n").agg(F.count(F.lit(1)).alias("c"), F.sum("lists").alias("lists"))  # a row a set size
+    light = light_boundary({r["n"]: (r["c"], r["lists"]) for r in few.collect()}, percent)
     size_class = sum((F.when(F.col("n") >= s, 1).otherwise(0) for s in starts[1:]), F.lit(0))
     # A set of class c is in the lists of c, for its own class and the one before, and of c + 1, for the next.
     listed = found.where(F.floor(100 * F.col("n") / percent) >= light).select("k", size_class.alias("c"), F.explode("tokens").alias("token"))

@@ -13,6 +13,7 @@ sequence that is not full for each group.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +23,7 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from rasterloom.llm.common import stored, table
 
@@ -31,6 +33,21 @@ GROUP = 8192
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: A run of one kind that is longer than the fast encoder takes well: its pattern backtracks, and its merges grow with the square of a run.
+LONG_RUN = re.compile(r"\s{1000}|\S{1000}")
+
+
+@lru_cache(maxsize=2)
+def whole_bpe(path: str):
+    """The same vocabulary in the tokenizers library, for texts with long runs."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(path)
+    lib.no_truncation()
+    lib.no_padding()
+    return lib
+
+
 @lru_cache(maxsize=2)
 def byte_bpe(path: str, special: tuple[tuple[str, int], ...]) -> tiktoken.Encoding:
     """The byte-level encoder of a file of ranks; strings of special tokens in a text become those tokens."""
@@ -39,6 +56,13 @@ def byte_bpe(path: str, special: tuple[tuple[str, int], ...]) -> tiktoken.Encodi
     return tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=dict(special))
 
 
+def token_ids(text: str, path: str, special: tuple[tuple[str, int], ...]) -> np.ndarray:
+    """The ids of a text, by the file of ranks, or by the library's file (``.json`` beside it) where it has a long run."""
+    if LONG_RUN.search(text):
+        return np.array(whole_bpe(path.removesuffix(".tiktoken") + ".json").encode(text, add_special_tokens=False).ids, "<u4")
+    return byte_bpe(path, special).encode_to_numpy(text, allowed_special="all").astype("<u4")
+
+
 def token_pieces(
     docs: DataFrame, path: str, special: dict[str, int], limit: int = TOKENS, end: int | None = END, text: str = "text", key: str = "doc_id"
 ) -> DataFrame:
@@ -47,16 +71,16 @@ def token_pieces(
     A document's ids are its text's (null: empty) and then ``end``. Up to ``limit`` ids are one
     piece; more are cut from the end into pieces of ``limit``, so the first may be shorter.
     """
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    kind, arrow = docs.schema[key].dataType.simpleString(), to_arrow_type(docs.schema[key].dataType)
     tokens = tuple(special.items())
     tail = b"" if end is None else end.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(path, tokens)
         for batch in batches:
             keys, piece, start, length, crc = [], [], [], [], []
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = memoryview(bpe.encode_to_numpy(t.as_py(), allowed_special="all").astype("<u4").tobytes() + tail)
+                ids = memoryview(token_ids(t.as_py(), path, tokens).tobytes() + tail)
                 n = len(ids) // 4
                 first = n % limit or min(n, limit)
                 edges = [0, *range(first, n + 1, limit)] if n else [0, 0]
@@ -67,11 +91,11 @@ def token_pieces(
                     length.append(b - a)
                     crc.append(zlib.crc32(ids[4 * a : 4 * b]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
+                [pa.array(keys, arrow), pa.array(piece, pa.int32()), *(pa.array(x, pa.int64()) for x in (start, length, crc))],
                 names=["k", "piece", "start", "length", "ids_crc32"],
             )
 
-    return rows.mapInArrow(run, "k long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(run, f"k {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: np.ndarray, tokens: int, pieces: int, cost: float, weights: tuple[float, float, float], rule: str = "norm") -> tuple[np.ndarray, np.ndarray]:
@@ -130,7 +154,7 @@ def best_fit_packing(
     The capacities of a sequence are ``limit`` tokens, ``pieces_limit`` pieces and ``cost_limit``
     attention cost; the last two bind nothing by default (every piece has a token). Offsets run from
     0 without gaps. Null and empty texts are one piece of the end id alone; rows that repeat are
-    packed each for itself; an empty table gives no rows; other columns are ignored.
+    packed each for itself; keys keep their type; an empty table gives no rows; other columns are ignored.
     """
     pieces = stored(token_pieces(docs, path, special, limit, end, text, key), "pieces")
     groups = max(1, round(pieces.count() / group))
@@ -143,7 +167,7 @@ def best_fit_packing(
         return t.drop_columns(["g"]).append_column("sequence_id", pa.array(g << 32 | where)).append_column("offset", pa.array(offset))
 
     dealt = pieces.withColumn("g", F.pmod(F.xxhash64("k", "piece", "ids_crc32"), F.lit(groups)).cast("int"))
-    out = dealt.groupBy("g").applyInArrow(pack, "k long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = dealt.groupBy("g").applyInArrow(pack, pieces.schema.add("sequence_id", "long").add("offset", "long"))
     return out.withColumnRenamed("k", key)
 
 

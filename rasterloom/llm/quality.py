@@ -6,37 +6,40 @@ their neighbours, and of word repeats; gated attention (a tanh branch times a si
 the passages; the weighted sum is the document's representation, which a logistic output scores. Only
 document labels are used to learn all of it, so attention finds by itself which passages decide.
 
-The model is fitted on the driver, on a sample that is bounded in bytes: ``MOST_TRAINED`` labelled
-documents (those with the least hash of their key), of each ``TRAIN_PASSAGES`` passages, of each
-``TRAIN_GRAMS`` trigrams at most, drawn at random. Scoring is a map over whole texts. Neither language,
-source, key nor label is an input of a score.
+The model is fitted on the driver, on every passage of ``MOST_TRAINED`` labelled documents (those with
+the least hash of their key). They are encoded in tasks and kept in the shared folder; each epoch
+streams them in another order, a part of the table at a time, so the driver holds a few parts of them
+and a batch. Scoring is a map over whole texts. Neither language, source, key nor label is an input of
+a score.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from rasterloom.llm.common import binary_parts, table
+from rasterloom.llm.common import binary_parts, stored, table
 from rasterloom.llm.grams import lower_ascii, runs_of_texts, word_hashes, words
 
 PASSAGE = 64
 THRESHOLD = 0.3
 #: Labelled documents that the model is fitted on at most: those with the least hash of their key.
 MOST_TRAINED = 4000
-#: Passages of a document, and trigrams of a passage, that the model is fitted on at most.
-TRAIN_PASSAGES, TRAIN_GRAMS = 8, 128
+#: Parts of the table of encoded documents, and passages whose counts are laid out at once.
+PARTS, DENSE = 16, 512
+#: Bytes of encoded documents that the driver keeps from one epoch to the next; further parts are read again.
+HELD = 256 << 20
 #: Rows of the embedding for words, and as many for trigrams; its width.
 BUCKETS, EMBED = 4096, 16
 #: Trigrams that are looked up at once in scoring.
 AT_ONCE = 1 << 16
-HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 32, 16, 14, 64, 3e-3, 1e-4
+HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 32, 16, 8, 64, 4e-3, 1e-4
 
 #: Kinds of bytes: white space, lower and upper case, digits, each frequent mark, other marks, UTF-8 leads and tails.
 MARKS = b".,!?*#$%&|@_-/:;\"'()"
@@ -137,22 +140,24 @@ def _bags(part: np.ndarray, at: np.ndarray) -> Bags:
     return Bags(x, (h >> np.uint64(52)).astype(np.uint16), w, gram[whole].astype(np.uint16), n_grams, many)
 
 
-def drawn(b: Bags, seed: int) -> Bags:
-    """What the model is fitted on of one text: some of its passages, and of these all words and some trigrams, at random."""
-    rng = np.random.default_rng(seed)
-    at = np.sort(rng.permutation(len(b.x))[:TRAIN_PASSAGES])
-    grams, first = [], np.cumsum(b.n_grams) - b.n_grams
-    for i in at:
-        own = b.grams[first[i] : first[i] + b.n_grams[i]]
-        grams.append(own if len(own) <= TRAIN_GRAMS else own[rng.integers(0, len(own), TRAIN_GRAMS)])
-    words = b.words[ragged((np.cumsum(b.n_words) - b.n_words)[at], b.n_words[at])]
-    return Bags(b.x[at], words, b.n_words[at], np.concatenate(grams), np.array([len(g) for g in grams]), np.array([len(at)]))
-
-
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+def batched(parts: Iterator[tuple[Bags, np.ndarray]]) -> Iterator[tuple[Bags, np.ndarray]]:
+    """The same texts in batches of ``BATCH``, the last one smaller."""
+    rest: tuple[Bags, np.ndarray] | None = None
+    for b, y in parts:
+        if rest is not None:
+            b, y = joined([rest[0], b]), np.concatenate([rest[1], y])
+        whole = len(y) // BATCH * BATCH
+        for at in range(0, whole, BATCH):
+            yield b.taken(np.arange(at, at + BATCH)), y[at : at + BATCH]
+        rest = (b.taken(np.arange(whole, len(y))), y[whole:])
+    if rest is not None and len(rest[1]):
+        yield rest
+
+
 class AttentionMil:
     """The network and its parameters; texts are bags of rows, given by how many rows each has."""
 
@@ -160,16 +165,16 @@ class AttentionMil:
         self.mean, self.scale, self.p = mean, scale, p
 
     @staticmethod
-    def start(x: np.ndarray, seed: int = 7) -> AttentionMil:
+    def start(n: int = 0, total: np.ndarray | float = 0.0, squares: np.ndarray | float = 0.0, seed: int = 7) -> AttentionMil:
+        """A network before learning; features are scaled by the number, sums and squares' sums of the passages to learn from."""
         rng = np.random.default_rng(seed)
         size = lambda a, b: rng.normal(0, 1 / np.sqrt(a), (a, b))
         p = {"w": size(FEATURES, HIDDEN), "wb": np.zeros(HIDDEN), "v": size(HIDDEN, GATE), "vb": np.zeros(GATE), "u": size(HIDDEN, GATE), "ub": np.zeros(GATE)}
         p |= {"a": size(GATE, 1)[:, 0], "c": size(HIDDEN, 1)[:, 0], "b": np.zeros(1)}
         p |= {"e": rng.normal(0, 0.1, (2 * BUCKETS, EMBED)), "lw": size(EMBED, HIDDEN), "lg": size(EMBED, HIDDEN)}
         # Rare features keep a scale, so that one odd byte doesn't swamp a passage.
-        mean = x.mean(axis=0, dtype=np.float64)
-        square = sum((x[i : i + 4096].astype(np.float64) ** 2).sum(axis=0) for i in range(0, len(x), 4096)) / len(x)
-        spread = np.sqrt(np.maximum(square - mean**2, 0))
+        mean = np.zeros(FEATURES) + total / max(n, 1)
+        spread = np.sqrt(np.maximum(np.zeros(FEATURES) + squares / max(n, 1) - mean**2, 0))
         return AttentionMil(mean, 1 / (spread + 0.01), p)
 
     def single(self) -> AttentionMil:
@@ -191,12 +196,28 @@ class AttentionMil:
             i = j
         return out
 
-    def forward(self, b: Bags) -> dict[str, np.ndarray]:
+    def shares(self, b: Bags) -> Iterator[tuple[slice, np.ndarray]]:
+        """For some passages at a time each row of the embedding's share in their means: words', then trigrams'."""
+        for i in range(0, len(b.x), DENSE):
+            own = slice(i, min(i + DENSE, len(b.x)))
+            out = np.zeros((own.stop - i, 2 * BUCKETS), self.p["e"].dtype)
+            for ids, many, base in ((b.words, b.n_words, 0), (b.grams, b.n_grams, BUCKETS)):
+                n = many[own]
+                lo = int(many[:i].sum())
+                at = np.repeat(np.arange(len(n)) * BUCKETS, n) + ids[lo : lo + int(n.sum())]
+                counts = np.bincount(at, minlength=len(n) * BUCKETS).reshape(len(n), BUCKETS)
+                out[:, base : base + BUCKETS] = counts / np.maximum(n, 1)[:, None].astype(out.dtype)
+            yield own, out
+
+    def forward(self, b: Bags, dense: list[tuple[slice, np.ndarray]] | None = None) -> dict[str, np.ndarray]:
         p, sizes = self.p, b.sizes
         first = np.cumsum(sizes) - sizes
         of = np.repeat(np.arange(len(sizes)), sizes)
         x = np.clip((b.x.astype(p["w"].dtype) - self.mean) * self.scale, -8, 8)
-        ew, eg = self.looked_up(b.words, b.n_words, 0), self.looked_up(b.grams, b.n_grams, BUCKETS)
+        if dense is None:
+            ew, eg = self.looked_up(b.words, b.n_words, 0), self.looked_up(b.grams, b.n_grams, BUCKETS)
+        else:
+            ew, eg = (np.concatenate([c[:, k : k + BUCKETS] @ p["e"][k : k + BUCKETS] for _, c in dense]) for k in (0, BUCKETS))
         h = np.tanh(x @ p["w"] + ew @ p["lw"] + eg @ p["lg"] + p["wb"])
         t, g = np.tanh(h @ p["v"] + p["vb"]), sigmoid(h @ p["u"] + p["ub"])
         s = (t * g) @ p["a"]
@@ -206,7 +227,8 @@ class AttentionMil:
         return {"x": x, "ew": ew, "eg": eg, "h": h, "t": t, "g": g, "weight": weight, "z": z, "of": of, "first": first, "score": sigmoid(z @ p["c"] + p["b"])}
 
     def gradient(self, b: Bags, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, f = self.p, self.forward(b)
+        dense = list(self.shares(b))
+        p, f = self.p, self.forward(b, dense)
         out = ((f["score"] - y) / len(y)).astype(p["c"].dtype)
         dz = out[:, None] * p["c"]
         per = dz[f["of"]]
@@ -219,29 +241,23 @@ class AttentionMil:
         d = {"w": f["x"].T @ dh, "wb": dh.sum(0), "v": f["h"].T @ dt, "vb": dt.sum(0), "u": f["h"].T @ dg, "ub": dg.sum(0)}
         d |= {"a": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ out, "b": np.array([out.sum()])}
         d |= {"lw": f["ew"].T @ dh, "lg": f["eg"].T @ dh}
-        ids = np.concatenate([b.words.astype(np.int64), b.grams.astype(np.int64) + BUCKETS])
-        each = [np.repeat((dh @ p[k].T) / np.maximum(n, 1)[:, None].astype(dh.dtype), n, axis=0) for k, n in (("lw", b.n_words), ("lg", b.n_grams))]
-        order = np.argsort(ids, kind="stable")
         d["e"] = np.zeros_like(p["e"])
-        if len(ids):
-            new = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            d["e"][ids[order][new]] = np.add.reduceat(np.concatenate(each)[order], new, axis=0)
+        for own, c in dense:
+            for k, name in ((0, "lw"), (BUCKETS, "lg")):
+                d["e"][k : k + BUCKETS] += c[:, k : k + BUCKETS].T @ (dh[own] @ p[name].T)
         return {k: v + DECAY * p[k] for k, v in d.items()}
 
-    def fit(self, b: Bags, y: np.ndarray, epochs: int = EPOCHS, attention: bool = True) -> None:
-        """Adam over batches of texts. Without attention its weights are held at zero, so that passages are averaged."""
-        rng = np.random.default_rng(11)
+    def fit(self, parts: Callable[[int], Iterator[tuple[Bags, np.ndarray]]], texts: int, epochs: int = EPOCHS, attention: bool = True) -> None:
+        """Adam over batches of texts; ``parts`` gives an epoch's texts and labels, some at a time. Without attention its weights are held at zero, so that passages are averaged."""
         if not attention:
             self.p["a"][:] = 0
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        step, steps = 0, epochs * -(-len(y) // BATCH)
-        for _ in range(epochs):
-            order = rng.permutation(len(y))
-            for at in range(0, len(order), BATCH):
-                own = order[at : at + BATCH]
+        step, steps = 0, epochs * -(-texts // BATCH)
+        for epoch in range(epochs):
+            for b, y in batched(parts(epoch)):
                 step += 1
-                rate = RATE * (1 - 0.9 * step / steps)
-                for k, d in self.gradient(b.taken(own), y[own]).items():
+                rate = RATE * (1 - 0.9 * min(step / steps, 1))
+                for k, d in self.gradient(b, y).items():
                     if k == "a" and not attention:
                         continue
                     m[k] += 0.1 * (d - m[k])
@@ -272,23 +288,41 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 16):
-                part = batch.slice(at, 16)
-                raw, cut = binary_parts(part.column(1))
-                own = [drawn(bags(raw[i:j], np.array([0, j - i])), int(zlib.crc32(raw[i:j]))) for i, j in zip(cut, cut[1:], strict=False)]
-                held = [pa.array([getattr(b, c).astype(t).tobytes() for b in own], pa.binary()) for c, t in zip(columns, kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *held], names=["k", "y", *columns])
-
-    found = rows.select("k", "t", "y").mapInArrow(run, "k string, y int, " + ", ".join(f"{c} binary" for c in columns))
+            for at in range(batch.num_rows):  # a text at a time: its passages may be many
+                part = batch.slice(at, 1)
+                b = bags(*binary_parts(part.column(1)))
+                held = [pa.array([getattr(b, c).astype(t).tobytes()], pa.binary()) for c, t in zip(columns, kinds, strict=True)]
+                wide = b.x.astype(np.float16).astype(np.float64)
+                moments = [pa.array([z.sum(axis=0).tolist()], pa.list_(pa.float64())) for z in (wide, wide * wide)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *held, *moments], names=["k", "y", *columns, "sums", "squares"])
+
+    encoded = rows.mapInArrow(run, "k string, y int, " + ", ".join(f"{c} binary" for c in columns) + ", sums array<double>, squares array<double>")
     # One row for each key, however many the table has, so that the sample keeps its bound.
-    got = found.groupBy("k").agg(F.min(F.struct("y", *columns)).alias("r")).select("k", "r.*").toArrow().sort_by("k")
-    if not len(got):
-        return AttentionMil.start(np.zeros((1, FEATURES), np.float32)).single()
-    parts = {c: binary_parts(got.column(c))[0].view(t) for c, t in zip(columns, kinds, strict=True)}
-    sizes = np.diff(binary_parts(got.column("n_words"))[1]) // 4
-    b = Bags(parts["x"].reshape(-1, FEATURES), parts["words"], parts["n_words"].astype(np.int64), parts["grams"], parts["n_grams"].astype(np.int64), sizes)
-    model = AttentionMil.start(b.x).single()
-    model.fit(b, got.column("y").to_numpy().astype(float), attention=attention)
+    one = encoded.groupBy("k").agg(F.min(F.struct("y", *columns, "sums", "squares")).alias("r")).select("k", "r.*")
+    kept = stored(one.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(PARTS))).repartition(PARTS, "part"), "encoded")
+    # Sums over at most ``most`` rows, in the order of their keys, so that they are the same in every run.
+    sums = kept.select("k", F.octet_length("n_words").alias("n"), "sums", "squares").toArrow().sort_by("k")
+    if not len(sums):
+        return AttentionMil.start().single()
+    each = [np.array(sums.column(c).combine_chunks().flatten()).reshape(-1, FEATURES).sum(axis=0) for c in ("sums", "squares")]
+    model = AttentionMil.start(int(np.sum(sums.column("n").to_numpy()) // 4), *each).single()
+    cut = kept.select("k", "y", *columns, "part")
+
+    def parts(epoch: int) -> Iterator[tuple[Bags, np.ndarray]]:
+        """A part of the documents at a time, parts and documents in an order of this epoch."""
+        rng = np.random.default_rng(100 + epoch)
+        for i in rng.permutation(PARTS).tolist():
+            t = held.get(i) or cut.where(F.col("part") == i).drop("part").toArrow().sort_by("k")
+            if sum(x.nbytes for x in held.values()) + t.nbytes <= HELD:
+                held[i] = t
+            if len(t):
+                b = Bags(*[binary_parts(t.column(c))[0].view(k) for c, k in zip(columns, kinds, strict=True)], np.diff(binary_parts(t.column("n_words"))[1]) // 4)
+                b = Bags(b.x.reshape(-1, FEATURES), b.words, b.n_words.astype(np.int64), b.grams, b.n_grams.astype(np.int64), b.sizes)
+                order = rng.permutation(len(t))
+                yield b.taken(order), t.column("y").to_numpy().astype(float)[order]
+
+    held: dict[int, pa.Table] = {}
+    model.fit(parts, len(sums), attention=attention)
     return model
 
 
@@ -296,10 +330,10 @@ def score(docs: DataFrame, model: AttentionMil, text: str = "text", key: str = "
     """Key and score (0 to 1) of every row of ``docs``, from its whole text alone.
 
     Null and empty texts are one passage of zeros and get a score too. Equal texts have equal
-    scores. An empty table gives no rows; other columns are ignored.
+    scores. Keys keep their type. An empty table gives no rows; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.mean, model.scale, model.p))  # a fixed size
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.encode(F.col(f"`{text}`"), "UTF-8"), F.lit(b"")).alias("t"))
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.encode(F.col(f"`{text}`"), "UTF-8"), F.lit(b"")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = AttentionMil(*shared.value)
@@ -309,7 +343,7 @@ def score(docs: DataFrame, model: AttentionMil, text: str = "text", key: str = "
                 got = own.score(bags(*binary_parts(part.column(1))))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.float64())], names=["k", "score"])
 
-    return rows.mapInArrow(run, "k long, score double").withColumnRenamed("k", key)
+    return rows.mapInArrow(run, StructType([rows.schema["k"]]).add("score", "double")).withColumnRenamed("k", key)
 
 
 def keep_quality(docs: DataFrame, model: AttentionMil, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -446,12 +446,17 @@ def made_bags(texts):
     return bags(np.frombuffer(raw, np.uint8), np.cumsum([0, *[len(t.encode()) for t in texts]]))
 
 
+def started(b):
+    wide = b.x.astype(np.float64)
+    return AttentionMil.start(len(wide), wide.sum(axis=0), (wide * wide).sum(axis=0))
+
+
 def test_quality_gradient():
     """The written-out gradient against finite differences."""
     rng = np.random.default_rng(3)
     b, y = made_bags([words(rng, 150), words(rng, 30) + " !", ""]), np.array([1.0, 0.0, 1.0])
     assert b.sizes.tolist() == [3, 1, 1] and b.n_words.tolist() == [64, 64, 22, 31, 0] and b.n_grams[-1] == 0
-    m = AttentionMil.start(b.x)
+    m = started(b)
     loss = lambda: -np.mean(y * np.log(m.forward(b)["score"]) + (1 - y) * np.log(1 - m.forward(b)["score"])) + sum((a**2).sum() for a in m.p.values()) * 1e-4 / 2
     g = m.gradient(b, y)
     for k in m.p:
@@ -482,8 +487,14 @@ def test_attention_finds_the_passage_that_decides():
     y, right = np.array(y), {}
     for attention in (True, False):
         train_, test_ = made_bags(texts[:360]), made_bags(texts[360:])
-        m = AttentionMil.start(train_.x)
-        m.fit(train_, y[:360], epochs=25, attention=attention)
+        m = started(train_)
+
+        def parts(epoch, b=train_):
+            order = np.random.default_rng(epoch).permutation(360)
+            for some in (order[:100], order[100:101], order[101:]):
+                yield b.taken(some), y[some]
+
+        m.fit(parts, 360, epochs=25, attention=attention)
         right[attention] = float(np.mean((m.score(test_) >= 0.5) == (y[360:] > 0)))
     assert right[True] > 0.8 and right[True] >= right[False]
 
