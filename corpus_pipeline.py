@@ -37,47 +37,60 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Decided for each row by doc_id and text: an id's other texts stay. Rows without an id go if a row
     with one has their text. Of rows that repeat id (or its absence) and text one stays, the least by
-    its other columns.
+    its other columns. All columns are kept, whatever their names.
     """
-    decided = exact_dedup(docs).groupBy(F.col("doc_id").alias("_k"), F.col("text_sha256").alias("_s")).agg(F.first("kept").alias("_kept"), F.count(F.lit(1)).alias("_n"))
-    odd = stored(decided.where("NOT _kept OR _n > 1"), "exact-decided")
-    same = F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_s"))
-    marked = docs.withColumn("_h", text_sha())
-    kept = marked.join(odd, same, "left_anti").select(*docs.columns)
-    twice = odd.where("_kept")
+    k, s, n, kept, h, row = (fresh(c, docs.columns) for c in ("key", "sha", "copies", "stays", "digest", "whole"))
+    decided = exact_dedup(docs).groupBy(F.col("doc_id").alias(k), F.col("text_sha256").alias(s)).agg(F.first("kept").alias(kept), F.count(F.lit(1)).alias(n))
+    odd = stored(decided.where(~F.col(kept) | (F.col(n) > 1)), "exact-decided")
+    same = F.col("doc_id").eqNullSafe(F.col(k)) & (F.col(h) == F.col(s))
+    marked = docs.withColumn(h, text_sha())
+    left = marked.join(odd, same, "left_anti").select(*own_columns(docs))
+    twice = odd.where(F.col(kept))
     if twice.isEmpty():
-        return kept
-    one = marked.join(twice, same, "left_semi").groupBy("doc_id", "_h").agg(F.min(F.struct(*docs.columns)).alias("_r"))
-    return kept.unionByName(one.select("_r.*"))
+        return left
+    one = marked.join(twice, same, "left_semi").groupBy("doc_id", h).agg(F.min(F.struct(*own_columns(docs))).alias(row))
+    return left.unionByName(one.select(f"{row}.*"))
+
+
+def own_columns(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the row with the smallest doc_id.
 
     Decided for each row: where ids are missing or repeat, rows are numbered by id and digest of the
-    text, those without an id last, and the smallest number stays. Rows that repeat id and text are one.
+    text, those without an id last, and the smallest number stays. Rows that repeat id and text are
+    one. All columns are kept, whatever their names.
     """
-    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id IS NULL OR n > 1")
+    none, k, s, n, h, row = (fresh(c, docs.columns) for c in ("none", "key", "sha", "copies", "digest", "row"))
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias(n)).where(F.col("doc_id").isNull() | (F.col(n) > 1))
     if odd.isEmpty():
-        gone = jaccard_join(docs, SHINGLE, PERCENT).where("component_id <> doc_id").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    pairs = docs.select(F.col("doc_id").isNull().alias("_none"), F.col("doc_id").alias("_k"), text_sha().alias("_s")).distinct()
-    row = fresh("row", docs.columns)
-    numbers = numbered(stored(pairs, "near-pairs"), ["_none", "_k", "_s"], row).select(F.col(row).cast("long").alias(row), "_k", "_s")
-    same = F.col("doc_id").eqNullSafe(F.col("_k")) & (F.col("_h") == F.col("_s"))
-    rows = stored(docs.withColumn("_h", text_sha()).join(numbers, same).select(*docs.columns, row), "near-rows")
-    gone = jaccard_join(rows, SHINGLE, PERCENT, key=row).where(F.col("component_id") != F.col(row)).select(row)
-    return rows.join(gone, row, "left_anti").select(*docs.columns)
+        gone = jaccard_join(docs, SHINGLE, PERCENT).where("component_id <> doc_id").select(F.col("doc_id").alias(k))
+        return docs.join(gone, F.col("doc_id") == F.col(k), "left_anti").select(*own_columns(docs))
+    pairs = docs.select(F.col("doc_id").isNull().alias(none), F.col("doc_id").alias(k), text_sha().alias(s)).distinct()
+    numbers = numbered(stored(pairs, "near-pairs"), [none, k, s], row).select(F.col(row).cast("long").alias(row), k, s)
+    same = F.col("doc_id").eqNullSafe(F.col(k)) & (F.col(h) == F.col(s))
+    rows = stored(docs.withColumn(h, text_sha()).join(numbers, same).select(*own_columns(docs), row), "near-rows")
+    gone = jaccard_join(rows, SHINGLE, PERCENT, key=row).where(F.col("component_id") != F.col(row)).select(F.col(row).alias(k))
+    return rows.join(gone, F.col(row) == F.col(k), "left_anti").select(*own_columns(docs))
 
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages that an earlier one has; those of which nothing is left go."""
+    """Documents without the passages that an earlier one has; those of which nothing is left go.
+
+    n_chars, where there is such a column, is that of what is left. All other columns are kept.
+    """
     found = substring_dedup(docs, carry=[c for c in docs.columns if c != "text"])
     changed = F.col("n_removed") > 0
     text = F.col("kept").alias("text")
-    chars = F.when(changed, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("rest.n_chars")).alias("n_chars")
     kept = found.where(~changed | (F.col("kept") != ""))
-    return kept.select(*[text if c == "text" else chars if c == "n_chars" else F.col(f"rest.`{c}`").alias(c) for c in docs.columns])
+
+    def column(c: str) -> Column:
+        own = F.col(f"rest.`{c}`")
+        return F.when(changed, F.length("kept").cast(docs.schema[c].dataType)).otherwise(own).alias(c) if c == "n_chars" else own.alias(c)
+
+    return kept.select(*[text if c == "text" else column(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
