@@ -36,6 +36,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that is not in ``columns`` in any letter case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def in_ranges(df: DataFrame, order: list[str], part: str = "_p") -> DataFrame:
     """``df`` dealt by ranges of the order, with each row's range number.
 

@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from rasterloom.functions.storage import checkpointed
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -72,24 +74,121 @@ def first_columns(m: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return c[np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r] < k].reshape(n, min(k, wide))
 
 
-def top_k_both(images: DataFrame, texts: DataFrame, k: int, block: int = 4096, scale: float = 1.0) -> DataFrame:
-    """The k best texts of every image and the k best images of every text: side, query, found, score, rank.
+#: Pairs of blocks from which on bounds are worth their own jobs, and vectors that blocks are formed around at most.
+PRUNE_FROM, PIVOTS = 256, 256
+
+
+def vector_blocks(rows: DataFrame, block: int) -> DataFrame:
+    """``rows`` (id, vec) with ``b``: blocks of about ``block`` vectors that lie near each other.
 
-    Both sides (id, vec) are dealt into blocks by a hash; each pair of blocks is one task, a matrix
-    product that keeps k of each row and column. So what is shuffled after it is k rows a query and
-    block, never all pairs; the last ranking merges those.
+    At most ``PIVOTS`` vectors, those with the least hash of their id, are the middles; each vector goes
+    to the nearest, and a middle with too many is cut by a hash of the id.
     """
-    def best(a: pa.Table, b: pa.Table) -> pa.Table:
-        x, y = (np.stack(t.column("vec").to_numpy()).astype(np.float64) for t in (a, b))
-        i, j = a.column("id").to_numpy(), b.column("id").to_numpy()
-        s, out = x @ y.T * scale, []
-        for side, m, q, f in (("text", s, i, j), ("image", s.T, j, i)):
+    n = rows.count()
+    held = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, -(-n // block)))).select("vec").toArrow()
+    pivots = np.stack(held.column("vec").to_numpy()).astype(np.float64) if held.num_rows else np.zeros((1, 1))
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = np.stack(batch.column("vec").to_numpy(zero_copy_only=False)).astype(np.float64)
+                at = ((pivots * pivots).sum(axis=1) - 2 * x @ pivots.T).argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "p"])
+
+    placed = checkpointed(rows.mapInArrow(near, StructType(list(rows.schema.fields)).add("p", "long")))
+    parts = placed.groupBy("p").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    return placed.join(F.broadcast(parts), "p").withColumn("b", F.col("p") * (1 << 31) + F.pmod(F.xxhash64("id"), F.col("parts"))).select(*rows.columns, "b")
+
+
+def block_shapes(blocks: DataFrame) -> DataFrame:
+    """Of each block its middle and the greatest distance from it: id (the block's), vec, radius."""
+
+    def shape(t: pa.Table) -> pa.Table:
+        x = np.stack(t.column("vec").to_numpy()).astype(np.float64)
+        c = x.mean(axis=0)
+        return pa.table({"id": t.column("b").slice(0, 1), "vec": pa.array([c.tolist()]), "radius": [float(np.sqrt(((x - c) ** 2).sum(axis=1)).max())]})
+
+    return blocks.groupBy("b").applyInArrow(shape, "id long, vec array<double>, radius double")
+
+
+def pair_bounds(a: DataFrame, b: DataFrame) -> DataFrame:
+    """For each block of one side and of the other the greatest dot product that their vectors can have: bi, bt, bound."""
+
+    def bounds(x: pa.Table, y: pa.Table) -> pa.Table:
+        (i, c, r), (j, d, q) = ((t.column("id").to_numpy(), np.stack(t.column("vec").to_numpy()), t.column("radius").to_numpy()) for t in (x, y))
+        size = lambda v: np.sqrt((v * v).sum(axis=1))
+        top = c @ d.T + r[:, None] * size(d) + size(c)[:, None] * q + r[:, None] * q
+        return pa.table({"bi": np.repeat(i, len(j)), "bt": np.tile(j, len(i)), "bound": (top + 1e-9 * (1 + np.abs(top))).ravel()})
+
+    return block_pairs(a, b, 1024, bounds, "bi long, bt long, bound double")
+
+
+def best_of_pairs(a: DataFrame, b: DataFrame, pairs: DataFrame, k: int, scale: float) -> DataFrame:
+    """The k best of each row and column of these pairs of blocks (bi, bt, for_text, for_image: which sides need it)."""
+    left = a.select(F.struct("id", "vec").alias("a"), F.col("b").alias("bi")).join(pairs, "bi")
+    right = b.select(F.struct("id", "vec").alias("b"), F.col("b").alias("bt")).join(pairs, "bt")
+    unpacked = lambda t, c: t.column(c).combine_chunks().flatten()
+
+    def best(x: pa.Table, y: pa.Table) -> pa.Table:
+        (i, v), (j, w) = unpacked(x, "a"), unpacked(y, "b")
+        need = [x.column(c)[0].as_py() for c in ("for_text", "for_image")]
+        return best_of_both(i.to_numpy(), np.stack(v.to_numpy(zero_copy_only=False)), j.to_numpy(), np.stack(w.to_numpy(zero_copy_only=False)), k, scale, *need)
+
+    return left.groupBy("bi", "bt").cogroup(right.groupBy("bi", "bt")).applyInArrow(best, TOP_SQL)
+
+
+TOP = pa.schema([("side", pa.string()), ("query", pa.int64()), ("found", pa.int64()), ("score", pa.float64())])
+TOP_SQL = "side string, query long, found long, score double"
+
+
+def best_of_both(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, k: int, scale: float, for_text: bool = True, for_image: bool = True) -> pa.Table:
+    s, out = x.astype(np.float64) @ y.astype(np.float64).T * scale, [TOP.empty_table()]
+    for side, m, q, f, need in (("text", s, i, j, for_text), ("image", s.T, j, i, for_image)):
+        if need:
             order = first_columns(m, f, k)
-            out.append(pa.table({"side": [side] * order.size, "query": np.repeat(q, order.shape[1]), "found": f[order].ravel(), "score": np.take_along_axis(m, order, 1).ravel()}))
-        return pa.concat_tables(out)
+            out.append(pa.table({"side": [side] * order.size, "query": np.repeat(q, order.shape[1]), "found": f[order].ravel(), "score": np.take_along_axis(m, order, 1).ravel()}, schema=TOP))
+    return pa.concat_tables(out)
+
 
-    got = block_pairs(images, texts, block, best, "side string, query long, found long, score double")
+def pruned_pairs(a: DataFrame, b: DataFrame, k: int, scale: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The k best as far as each block's likeliest partner tells, the pairs of blocks looked at for that, and those that may still hold better ones."""
+    bounds = checkpointed(pair_bounds(block_shapes(a), block_shapes(b)))
+    likely = lambda own, other: bounds.groupBy(own).agg(F.max_by(other, F.struct("bound", -F.col(other))).alias(other)).select("bi", "bt")
+    first = likely("bi", "bt").unionByName(likely("bt", "bi")).distinct()
+    first = checkpointed(first.withColumns({"for_text": F.lit(True), "for_image": F.lit(True)}))
+    got = checkpointed(best_of_pairs(a, b, first, k, scale))
+    rank = F.row_number().over(Window.partitionBy("side", "query").orderBy(F.desc("score"), "found"))
+    kth = got.withColumn("r", rank).where(F.col("r") == k).select("side", F.col("query").alias("id"), "score")
+
+    def least(side: str, rows: DataFrame, own: str) -> DataFrame:
+        """The least k-th score of a block's queries; none where a query hasn't k yet."""
+        own_kth = rows.select("id", "b").join(kth.where(F.col("side") == side).select("id", "score"), "id", "left")
+        return own_kth.groupBy(F.col("b").alias(own)).agg(F.min(F.coalesce("score", F.lit(float("-inf")))).alias(f"least_{own}"))
+
+    left = bounds.join(first.select("bi", "bt"), ["bi", "bt"], "left_anti").join(least("text", a, "bi"), "bi").join(least("image", b, "bt"), "bt")
+    left = left.select("bi", "bt", (F.col("bound") * scale >= F.col("least_bi")).alias("for_text"), (F.col("bound") * scale >= F.col("least_bt")).alias("for_image"))
+    return got, first, checkpointed(left.where("for_text OR for_image"))
+
+
+def top_k_both(images: DataFrame, texts: DataFrame, k: int, block: int = 4096, scale: float = 1.0) -> DataFrame:
+    """The k best texts of every image and the k best images of every text: side, query, found, score, rank.
+
+    Both sides (id, vec) are dealt into blocks; a pair of blocks is one task, a matrix product that
+    keeps k of each row and column. So what is shuffled after it is k rows a query and block, never all
+    pairs; the last ranking merges those. Of many blocks, which then hold vectors near each other, each
+    is first multiplied with its likeliest partner; after that only pairs whose middles and radii allow
+    a score as great as a query's k-th so far. ``scale`` is positive.
+    """
     rank = F.row_number().over(Window.partitionBy("side", "query").orderBy(F.desc("score"), "found"))
+    images, texts = images.select("id", "vec"), texts.select("id", "vec")
+    if -(-images.count() // block) * -(-texts.count() // block) < PRUNE_FROM:
+        column = lambda t, c: np.stack(t.column(c).to_numpy())
+        best = lambda a, b: best_of_both(a.column("id").to_numpy(), column(a, "vec"), b.column("id").to_numpy(), column(b, "vec"), k, scale)
+        got = block_pairs(images, texts, block, best, TOP_SQL)
+    else:
+        a, b = (checkpointed(vector_blocks(d, block)) for d in (images, texts))
+        first, _, left = pruned_pairs(a, b, k, scale)
+        got = first.unionByName(best_of_pairs(a, b, left, k, scale))
     return got.withColumn("rank", rank).where(F.col("rank") <= k)
 
 

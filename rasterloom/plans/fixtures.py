@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.operators.series import placed
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -114,11 +116,8 @@ def date_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
     e = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("run"), F.col("event_type").alias("metric"), "ts", "event_id", "value")
-    w = Window.partitionBy("run", "metric").orderBy("ts", "event_id")
-    return e.withColumn("step", F.row_number().over(w)).select("run", "metric", "step", "value")
+    return placed(e, ["run", "metric"], ["ts", "event_id"], "at").select("run", "metric", (F.col("at") + 1).cast("int").alias("step"), "value")
 
 
 _SPLIT = "CASE WHEN {0} % 10 < 6 THEN 'train' WHEN {0} % 10 < 8 THEN 'val' ELSE 'test' END"

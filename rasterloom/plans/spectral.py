@@ -207,7 +207,12 @@ ORACLES = {
         f"WITH {CH}, {_ST('sensor,', ['ndvi', 'ndwi'], '1e-12')} SELECT sensor, split, " + ", ".join(f"round(sum(CASE WHEN valid THEN (CAST({b} AS DOUBLE) - (SELECT mean FROM st WHERE st.sensor = ch.sensor AND band = '{b}')) / (SELECT std FROM st WHERE st.sensor = ch.sensor AND band = '{b}') ELSE 0 END), 3) AS {b}" for b in ("ndvi", "ndwi")) + " FROM ch WHERE split <> 'train' GROUP BY 1, 2",
         "obs",
     ),
-    "e17_stats_guard": "SELECT * FROM (VALUES ('red', 'split'), ('ndwi', 'leak'), ('green', 'missing')) t(band, problem)",
+    "e17_stats_guard": fx.sql(
+        f"""WITH {CH}, {_ST('', ['ndvi', 'ndwi', 'red'], '0')}, s AS (SELECT *, CASE WHEN band = 'red' THEN 'val' ELSE 'train' END AS used, band = 'ndwi' AS leaks FROM st)
+        SELECT band, 'split' AS problem FROM s WHERE used <> 'train' UNION ALL SELECT band, 'leak' FROM s WHERE leaks UNION ALL SELECT band, 'not_finite' FROM s WHERE NOT (isfinite(mean) AND isfinite(std)) UNION ALL SELECT band, 'no_spread' FROM s WHERE std <= 0
+        UNION ALL SELECT band, 'missing' FROM (SELECT unnest(['green', 'red', 'ndvi', 'ndwi']) AS band) WHERE band NOT IN (SELECT band FROM st)""",
+        "obs",
+    ),
     "e18_coverage_report": fx.sql(f"WITH f AS (SELECT *, CASE WHEN status IN ('ok', 'ok_partial') THEN valid_fraction END AS f FROM date_records) SELECT split, region_id, status, {_F} FROM f GROUP BY GROUPING SETS ((split, status), (region_id, status), (split), ())", "date_records"),
     "e19_one_per_group": fx.sql("SELECT split, region_id, min_by(key, id) AS key FROM date_records WHERE status IN ('ok', 'ok_partial') GROUP BY 1, 2", "date_records"),
     "e20_paired_change": fx.sql(

@@ -11,16 +11,18 @@ from pyspark.sql import functions as F
 from rasterloom.functions.scalars import sample_key
 from rasterloom.functions.storage import checkpointed
 from rasterloom.operators.captions import not_blank, numbered
+from rasterloom.sources.json_parts import json_elements
 
-CORPUS = "images array<struct<filename:string,imgid:bigint,split:string,sentences:array<struct<raw:string>>>>"
+IMAGE = "struct<filename:string,imgid:bigint,split:string,sentences:array<struct<raw:string>>>"
 #: Which shard serves which split of a caption data set: those that differ from "<name>_<split>" (fixed values).
 SHARD_EXCEPTIONS = {("coco", "val"): "coco_test"}
 WITHOUT_VAL = {"sbu", "vg"}
 
 
 def caption_corpus(spark: SparkSession, path: str, prefix: str, keep_blank: bool = True) -> DataFrame:
-    """Files of ``{"images": [{filename, imgid, split, sentences: [{raw}]}]}``: a row per image with its captions."""
-    d = spark.read.schema(CORPUS).option("multiLine", True).json(path).select(F.inline("images"))
+    """Files of ``{"images": [{filename, imgid, split, sentences: [{raw}]}]}``: a row per image with its captions. A file may have any size."""
+    found, _, _ = json_elements(spark, path, 2)
+    d = found.where("outer = 'images'").select(F.from_json("element", IMAGE).alias("i")).select("i.*")
     caps = F.transform("sentences", lambda s: s["raw"])
     if not keep_blank:
         caps = F.filter(caps, not_blank)
@@ -46,12 +48,25 @@ def listed_with_annotations(files: DataFrame, annotations: DataFrame, name: str
     return files.join(a, "name"), counts
 
 
-def write_image_table(spark: SparkSession, images: str, annotations: DataFrame, out: str) -> None:
-    """Image bytes with captions, one folder a split. A file is named by its own name, or by its folder's where that is ``filename=...``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(images).select("path", "content")
-    folder = F.regexp_extract("path", "/filename=([^/]+)/[^/]+$", 1)
-    b = with_names(files).withColumn("name", F.when(folder != "", folder).otherwise(F.col("name")))
-    b.join(annotations, b.name == annotations.filename).select("content", "captions", "image_id", "split").write.partitionBy("split").mode("overwrite").parquet(out)
+def image_files(spark: SparkSession, path: str) -> DataFrame:
+    """name, content of files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
+    return with_names(files).select("name", "content")
+
+
+def image_archives(spark: SparkSession, path: str) -> DataFrame:
+    """name, content of the files that archives hold: Parquet shards of (name, content), of which a folder may have any number."""
+    return spark.read.schema("name string, content binary").parquet(path)
+
+
+def write_image_archives(files: DataFrame, path: str, shards: int) -> None:
+    """Files (name, content) in ``shards`` archives, dealt by name."""
+    files.select("name", "content").repartition(shards, "name").write.parquet(path)
+
+
+def write_image_table(files: DataFrame, annotations: DataFrame, out: str) -> None:
+    """Bytes of images (name, content) with their captions, one folder a split."""
+    files.join(annotations, files.name == annotations.filename).select("content", "captions", "image_id", "split").write.partitionBy("split").mode("overwrite").parquet(out)
 
 
 def export_captions(corpus: DataFrame, out: str) -> None:
@@ -91,16 +106,12 @@ RECORD = "filename string, source_pair_id string, split string, status string, v
 def manifest(spark: SparkSession, path: str, record: str = RECORD) -> DataFrame:
     """Manifests in any of three layouts: {"samples": [...]}, {"records": [...]} or an object keyed by name.
 
-    Keys are normalised; a missing source_pair_id is the key, a missing split the key's. Repeated keys are an error.
+    A manifest may have any size. Keys are normalised; a missing source_pair_id is the key, a missing split the key's. Repeated keys are an error.
     """
-    text = spark.read.text(path, wholetext=True)
-    one = f"array<struct<{','.join(c.strip().replace(' ', ':', 1) for c in record.split(','))}>>"
-    keyed = f"map<string,{one[6:-1]}>"
-    parsed = text.select(
-        F.coalesce(F.from_json(F.get_json_object("value", "$.samples"), one), F.from_json(F.get_json_object("value", "$.records"), one)).alias("l"), F.from_json("value", keyed).alias("m")
-    )
-    lists = parsed.where("l IS NOT NULL").select(F.inline("l"))
-    maps = parsed.where("l IS NULL").select(F.explode("m").alias("k", "v")).select("k", "v.*")
+    one = f"struct<{','.join(c.strip().replace(' ', ':', 1) for c in record.split(','))}>"
+    found, _, _ = json_elements(spark, path, None)
+    lists = found.where("level = 2 AND outer IN ('samples', 'records')").select(F.from_json("element", one).alias("r")).select("r.*")
+    maps = found.where("level = 1").select(F.explode(F.from_json(F.concat(F.lit("{"), "element", F.lit("}")), f"map<string,{one}>")).alias("k", "v")).select("k", "v.*")
     maps = maps.withColumn("filename", F.coalesce("filename", "k")).drop("k")
     both = lists.unionByName(maps).withColumn("key", sample_key(F.col("filename"), strict=True))
     both = both.withColumn("source_pair_id", F.coalesce("source_pair_id", "key")).withColumn("split", F.coalesce("split", F.split("key", "_")[0]))
@@ -110,8 +121,9 @@ def manifest(spark: SparkSession, path: str, record: str = RECORD) -> DataFrame:
 
 
 def coordinate_table(spark: SparkSession, path: str) -> DataFrame:
-    """Objects of name to [w, n, e, s]: key and box."""
-    m = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,array<double>>")).alias("name", "c"))
+    """Objects of name to [w, n, e, s], of any size: key and box."""
+    found, _, _ = json_elements(spark, path, 1)
+    m = found.select(F.explode(F.from_json(F.concat(F.lit("{"), "element", F.lit("}")), "map<string,array<double>>")).alias("name", "c"))
     return m.select(sample_key(F.col("name")).alias("key"), F.col("c")[0].alias("w"), F.col("c")[3].alias("s"), F.col("c")[2].alias("e"), F.col("c")[1].alias("n"))
 
 
@@ -121,12 +133,15 @@ def missing_and_extra(found: DataFrame, expected: DataFrame, key: str) -> DataFr
 
 
 def geojson_features(spark: SparkSession, path: str) -> DataFrame:
-    """A row per feature of FeatureCollections; geometry stays GeoJSON text. Anything else is an error."""
-    t = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    ok = F.get_json_object("value", "$.type") == "FeatureCollection"
-    t = t.withColumn("value", F.when(ok, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no FeatureCollection: "), "path"))))
-    f = t.select("path", F.posexplode(F.from_json(F.get_json_object("value", "$.features"), "array<string>")).alias("pos", "f"))
-    return f.select("path", "pos", F.from_json(F.get_json_object("f", "$.properties"), "map<string,string>").alias("properties"), F.get_json_object("f", "$.geometry").alias("geometry"))
+    """A row per feature of FeatureCollections of any size, ordered by block and n within a path; geometry stays GeoJSON text. Anything else is an error."""
+    found, members, paths = json_elements(spark, path, 2)
+    kinds = members.select("path", F.from_json(F.concat(F.lit("{"), "member", F.lit("}")), "map<string,string>")["type"].alias("type")).groupBy("path").agg(F.max(F.col("type") == "FeatureCollection").alias("ok"))
+    checked = paths.join(kinds, "path", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+    bad = F.raise_error(F.concat(F.lit("no FeatureCollection: "), "path"))
+    f = found.where("outer = 'features'").join(checked.where("ok").select("path"), "path")
+    out = f.select("path", "block", "n", F.from_json(F.get_json_object("element", "$.properties"), "map<string,string>").alias("properties"), F.get_json_object("element", "$.geometry").alias("geometry"))
+    wrong = checked.where("NOT ok").select(bad.cast("string").alias("path"), *[F.lit(None).cast(x.dataType).alias(x.name) for x in out.schema.fields[1:]])
+    return out.unionByName(wrong)
 
 
 def aligned_triples(a: DataFrame, b: DataFrame, label: DataFrame) -> DataFrame:

@@ -1,13 +1,20 @@
-"""Series as streams: windowed statistics of events, running confusion counts, and the exponential average with a state for each series."""
+"""Series as streams: windowed statistics of events, running confusion counts and the exponential average, each with its state in the state store."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import heapq
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
+
+from rasterloom.operators.evaluation import COUNTS
 
-from rasterloom.operators.evaluation import confusion_counts
-from rasterloom.operators.series import decayed_sum
+#: Keyed state of more than one variable is kept by this provider alone.
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def windowed_statistics(events: DataFrame, at: str = "ts", by: str = "event_type", value: str = "value", window: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -16,39 +23,134 @@ def windowed_statistics(events: DataFrame, at: str = "ts", by: str = "event_type
     return w.agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.max(value).alias("top")).select(F.col("w.start").alias("start"), by, "n", "mean", "top")
 
 
+def written(rows: DataFrame, out: str, every: str | None = None) -> StreamingQuery:
+    """A stream's rows in the table ``out``/rows, each once; takes what there is, then ends, or looks for more ``every`` so long until it is stopped."""
+    trigger = {"availableNow": True} if every is None else {"processingTime": every}
+    return rows.writeStream.format("parquet").outputMode("append").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/checkpoint").trigger(**trigger).start()
+
+
+def with_state(rows: DataFrame, by: list[str], processor: StatefulProcessor, schema: StructType, time_mode: str = "None") -> DataFrame:
+    """``processor`` for each key of a stream, with its state in the state store."""
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    return rows.groupBy(*by).transformWithStateInPandas(processor, schema, "Append", time_mode)
+
+
+class Running(StatefulProcessor):
+    """Sums of counts so far: a row a key and trigger that adds to it, with the number of rows in it."""
+
+    def __init__(self, by: str, counts: list[str]):
+        self.by, self.counts = by, counts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sums = handle.getValueState("sums", ", ".join(f"{c} long" for c in [*self.counts, "trigger"]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        new = [int(x) for x in sum((d[self.counts].sum() for d in rows), pd.Series(0, self.counts))]
+        old = self.sums.get() if self.sums.exists() else (0,) * (len(new) + 1)
+        sums = tuple(int(a) + b for a, b in zip(old, [*new, 1], strict=True))
+        self.sums.update(sums)
+        yield pd.DataFrame([(*key, *sums)], columns=[self.by, *self.counts, "trigger"])
+
+
 def running_counts(px: DataFrame, pred: Column, out: str, truth: str = "truth", by: str = "split") -> StreamingQuery:
-    """Confusion counts of all pixels that have arrived, a row a key, in the table ``out``/counts; takes what there is, then ends.
+    """Confusion counts of all pixels that have arrived, a row a key and trigger, in the table ``out``/rows; takes what there is, then ends.
+
+    A task counts its own pixels before they are dealt by key, so a key's state gets a few rows from
+    each task. The state is four counts a key; ``latest_counts`` reads the last of each.
+    """
+    kind = px.select(by).schema
+    hit = [F.when(c, 1).otherwise(0).alias(n) for n, c in zip(COUNTS, _cases(pred, F.col(truth)), strict=True)]
 
-    The state is four counts a key. A trigger replaces the whole small table, so one that is run again leaves the same.
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.groupby(by, dropna=False, as_index=False)[list(COUNTS)].sum()
+
+    schema = StructType(kind.fields)
+    for c in COUNTS:
+        schema = schema.add(c, "long")
+    few = px.select(by, *hit).mapInPandas(partial, schema)
+    return written(with_state(few, [by], Running(by, list(COUNTS)), StructType(list(schema.fields)).add("trigger", "long")), out)
+
+
+def _cases(pred: Column, truth: Column) -> list[Column]:
+    return [{"tp": pred & truth, "fp": pred & ~truth, "fn": ~pred & truth, "tn": ~pred & ~truth}[c] for c in COUNTS]
+
+
+def latest_counts(spark: SparkSession, out: str, by: str) -> DataFrame:
+    """The counts of ``running_counts`` as they are now; ``by`` is the key's name and type."""
+    rows = spark.read.schema(f"{by}, " + ", ".join(f"{c} long" for c in [*COUNTS, "trigger"])).parquet(f"{out}/rows")
+    last = F.max_by(F.struct(*COUNTS), "trigger").alias("c")
+    return rows.groupBy(by.split(" ")[0]).agg(last).select(by.split(" ")[0], "c.*")
+
+
+class Average(StatefulProcessor):
+    """The exponential average of a series whose steps run from 1; a step that comes early waits for those before it.
+
+    After ``patience`` milliseconds without a missing step a timer lets the average go on from the next
+    step there is. A step that comes when its place has passed is left out.
     """
 
-    def step(batch: DataFrame, i: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/counts")
+    def __init__(self, names: list[str], order: str, value: str, beta: float, patience: int | None):
+        self.names, self.order, self.value, self.beta, self.patience = names, order, value, beta, patience
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.now = handle.getValueState("now", "step long, average double")
+        self.waiting = handle.getListState("waiting", "step long, value double")
+
+    def _advance(self, key: tuple, heap: list, step: int, average: float, skip: bool = False) -> tuple[pd.DataFrame, int, float]:
+        """What follows the last step without a gap (a first gap may be skipped)."""
+        out = []
+        while heap and (heap[0][0] <= step + 1 or skip):
+            at, x = heapq.heappop(heap)
+            if at > step:
+                average = x if step == 0 else self.beta * average + (1 - self.beta) * x
+                step, skip = at, False
+                out.append((*key, step, average))
+        return pd.DataFrame(out, columns=self.names), step, average
 
-    counts = confusion_counts(px, pred, truth, [by])
-    return counts.writeStream.outputMode("complete").foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+    def _leave(self, heap: list, step: int, average: float, timerValues: object) -> None:
+        self.now.update((step, average))
+        if heap:
+            self.waiting.put([(int(a), float(b)) for a, b in heap])
+            if self.patience is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
+        else:
+            self.waiting.clear()
 
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        step, average = self.now.get() if self.now.exists() else (0, 0.0)
+        heap = [(int(a), float(b)) for a, b in self.waiting.get()] if self.waiting.exists() else []
+        heapq.heapify(heap)
+        for batch in rows:
+            for pair in sorted(zip(batch[self.order].tolist(), batch[self.value].tolist(), strict=True)):
+                heapq.heappush(heap, pair)
+            out, step, average = self._advance(key, heap, step, average)
+            if len(out):
+                yield out
+        self._leave(heap, step, average, timerValues)
 
-def streaming_average(rows: DataFrame, by: list[str], order: str, value: str, out: str, beta: float = 0.99) -> StreamingQuery:
-    """The exponential average of each series as its rows arrive, in the table ``out``/rows; takes what there is, then ends.
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        step, average = self.now.get()
+        heap = [(int(a), float(b)) for a, b in self.waiting.get()] if self.waiting.exists() else []
+        heapq.heapify(heap)
+        out, step, average = self._advance(key, heap, step, average, skip=True)
+        if len(out):
+            yield out
+        self._leave(heap, step, average, timerValues)
 
-    ``order`` runs from 1 without gaps, within a trigger's rows and from one trigger to the next. A
-    trigger's averages come from the blocked sums of the batch form, so no task has a whole series,
-    and what the series had before decays with the steps since. The state, a row a series with its
-    last step and average, is a table for each trigger beside the checkpoint, so that a trigger that
-    is run again reads what it read before.
+
+def running_average(rows: DataFrame, by: list[str], order: str, value: str, beta: float = 0.99, patience: int | None = None) -> DataFrame:
+    """The exponential average of each series of a stream as its rows arrive, in any order: by, order, average.
+
+    ``order`` runs from 1 without gaps. The state of a series is its last step and average, and the
+    rows that came before their turn.
     """
+    few = rows.select(*by, F.col(order).cast("long").alias(order), F.col(value).cast("double").alias(value))
+    schema = StructType(few.select(*by, order).schema.fields).add("average", "double")
+    return with_state(few, by, Average([*by, order, "average"], order, value, beta, patience), schema, "None" if patience is None else "ProcessingTime")
+
 
-    def step(batch: DataFrame, i: int) -> None:
-        spark = batch.sparkSession
-        empty = batch.limit(0).select(*by, F.lit(0).cast("long").alias("_last"), F.lit(0.0).alias("_a"))
-        known = spark.read.schema(empty.schema).parquet(f"{out}/state/{i - 1}") if i else empty
-        d = batch.join(known, by, "left").withColumn("_o", F.col(order) - F.coalesce("_last", F.lit(0)))
-        d = d.withColumn("_x", F.when(F.col(order) == 1, F.col(value)).otherwise((1 - beta) * F.col(value)))
-        average = F.col("_sum") + F.pow(F.lit(beta), F.col("_o")) * F.coalesce("_a", F.lit(0.0))
-        found = decayed_sum(d, by, "_o", "_x", beta, "_sum").select(*by, order, average.alias("average"))
-        found.write.mode("overwrite").parquet(f"{out}/rows/trigger={i}")
-        now = spark.read.schema(found.schema).parquet(f"{out}/rows/trigger={i}").groupBy(*by).agg(F.max(order).alias("_last"), F.max_by("average", order).alias("_a"))
-        known.join(now, by, "left_anti").unionByName(now).write.mode("overwrite").parquet(f"{out}/state/{i}")
-
-    return rows.writeStream.foreachBatch(step).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()
+def streaming_average(rows: DataFrame, by: list[str], order: str, value: str, out: str, beta: float = 0.99, patience: int | None = None) -> StreamingQuery:
+    """``running_average`` in the table ``out``/rows; takes what there is, then ends. With ``patience`` it goes on, as timers need later triggers, until it is stopped."""
+    return written(running_average(rows, by, order, value, beta, patience), out, None if patience is None else "1 second")

@@ -138,3 +138,35 @@ def test_cosines_by_batches(spark):
     assert rt.cosine_pairs(qs, ms.limit(0), 5).count() == 0
     with pytest.raises(ValueError):
         rt.cosine_pairs(qs, ms, 4)
+
+
+def exact_top(i, x, j, y, k):
+    s = x @ y.T
+    out = {}
+    for side, m, q, f in (("text", s, i, j), ("image", s.T, j, i)):
+        for r, row in zip(q, m, strict=True):
+            order = sorted(range(len(f)), key=lambda c: (-row[c], f[c]))[:k]
+            out[side, r] = [int(f[c]) for c in order]
+    return out
+
+
+@pytest.mark.parametrize("spread", [0.05, 0.4, 3.0])
+def test_top_k_skips_pairs_of_blocks(spark, monkeypatch, spread):
+    """Exact on clusters and on vectors without any; near clusters most pairs are never multiplied."""
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(30, 8)) * 3
+    x = middles[rng.integers(0, 30, 600)] + rng.normal(size=(600, 8)) * spread
+    y = middles[rng.integers(0, 30, 640)] + rng.normal(size=(640, 8)) * spread
+    y[5] = y[6]
+    make = lambda v, at: spark.createDataFrame([(2 * n + at, [float(c) for c in r]) for n, r in enumerate(v)], "id long, vec array<double>")
+    a, b = make(x, 0), make(y, 1)
+    monkeypatch.setattr(rt, "PRUNE_FROM", 1)
+    got = defaultdict(list)
+    for r in sorted(rt.top_k_both(a, b, 5, 20).collect(), key=lambda r: r["rank"]):
+        got[r.side, r["query"]].append(r.found)
+    assert got == exact_top(np.arange(600) * 2, x, np.arange(640) * 2 + 1, y, 5)
+    if spread < 0.1:
+        p, q = (ins.checkpointed(rt.vector_blocks(d, 20)) for d in (a, b))
+        _, first, left = rt.pruned_pairs(p, q, 5, 1.0)
+        all_ = p.select("b").distinct().count() * q.select("b").distinct().count()
+        assert first.count() + left.count() < 0.5 * all_
