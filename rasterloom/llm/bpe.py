@@ -19,6 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rasterloom.llm.common import table
 
@@ -240,7 +241,6 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-ENCODED = "k long, ids binary, decoded string"
 
 
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", decode: bool = True) -> DataFrame:
@@ -248,9 +248,9 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
 
     ``path`` is the tokenizer file, there on every node. Null and empty texts give no ids. Strings of
     special tokens in a text become those tokens. An empty table gives no rows; other columns are
-    ignored; rows that repeat are encoded each for itself.
+    ignored; rows that repeat are encoded each for itself. Keys keep their type.
     """
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
@@ -261,7 +261,7 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_i
                 back = [bpe.decode(x).decode("utf-8", "replace") for x in ids] if decode else [None] * len(ids)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.string())], names=["k", "ids", "decoded"])
 
-    return rows.mapInArrow(run, ENCODED).withColumnRenamed("k", key)
+    return rows.mapInArrow(run, StructType([rows.schema["k"]]).add("ids", "binary").add("decoded", "string")).withColumnRenamed("k", key)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,8 +68,8 @@ def chat_examples(chats: DataFrame, conv: str = "conv_id", turn: str = "turn", r
     """One row per example: conv, example (from 0), text, loss_start, loss_end, last.
 
     Turns are in the order of ``turn``; ties are ordered by role and text, nulls first, and repeated
-    rows are turns of their own. Null roles and texts are empty. Rows without a conversation id are
-    one conversation. An empty table gives no rows; other columns are ignored.
+    rows are turns of their own. Null roles and texts are empty. Ids are integers; rows without one
+    are one conversation. An empty table gives no rows; other columns are ignored.
     """
     col = lambda c: F.col(f"`{c}`")
     one = F.struct(col(turn).alias("turn"), col(role).alias("role"), col(text).alias("text"))

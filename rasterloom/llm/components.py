@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rasterloom.functions.storage import dropped
 from rasterloom.llm.common import join_hot, stored
 
 
@@ -20,7 +21,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     both = stored(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
     first = both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("label"), F.count(F.lit(1)).alias("degree"))
-    labels = stored(first, "labels")
+    labels = held = stored(first, "labels")
     while True:
         of = labels.select(F.col("node").alias("v"), "label", "degree")
         near = join_hot(both, of, ["v"], "degree", "u").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
@@ -30,6 +31,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         new = join_hot(met, up, ["label"], "many", "node").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label"), "degree")
         new = stored(new, "labels")
         still = new.where("old <> label").isEmpty()
-        labels = new.select("node", "label", "degree")
+        dropped(met, held)
+        labels, held = new.select("node", "label", "degree"), new
         if still:
+            dropped(both)
             return labels.select("node", F.col("label").alias("component"))

@@ -271,7 +271,7 @@ def jaccard_join(docs: DataFrame, n: int = N, percent: int = PERCENT, text: str
     all of them as one; null and empty texts have none and link with nothing. Sets link when
     100 * intersection >= percent * union. component_id is the least key reachable by links, itself
     included; n_links counts the other documents it links with, equal sets included. Rows with a null
-    key have n_shingles only. Rows that repeat a key are one document. An empty table gives no rows;
+    key have n_shingles only; keys are integers. Rows that repeat a key are one document. An empty table gives no rows;
     other columns are ignored.
     """
     _, n_bytes = size_of(docs, text)

@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rasterloom.llm.common import table
 
@@ -159,10 +160,10 @@ def read_samples(data: bytes) -> tuple[bytes, str]:
 def ogg_column(docs: DataFrame, text: str = "text", key: str = "doc_id", frame: int = FRAME) -> DataFrame:
     """One row per row of ``docs``: key, n_bytes, media (the text's UTF-8 bytes, padded to whole frames, as Ogg).
 
-    Null counts as empty; an empty text is one frame of padding. Equal texts give equal media. An
-    empty table gives no rows; other columns are ignored.
+    Null counts as empty; an empty text is one frame of padding. Equal texts give equal media. Keys keep
+    their type. An empty table gives no rows; other columns are ignored.
     """
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("k"), F.coalesce(F.encode(F.col(f"`{text}`"), "UTF-8"), F.lit(b"")).alias("t"))
+    rows = docs.select(F.col(f"`{key}`").alias("k"), F.coalesce(F.encode(F.col(f"`{text}`"), "UTF-8"), F.lit(b"")).alias("t"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,10 +173,7 @@ def ogg_column(docs: DataFrame, text: str = "text", key: str = "doc_id", frame:
                 media = [write_ogg(t.ljust(max(1, -(-len(t) // frame)) * frame, bytes([PAD])), frame) for t in texts]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["k", "n_bytes", "media"])
 
-    return rows.mapInArrow(run, "k long, n_bytes long, media binary").withColumnRenamed("k", key)
-
-
-READ = "payload binary, feature string, error string"
+    return rows.mapInArrow(run, StructType([rows.schema["k"]]).add("n_bytes", "long").add("media", "binary")).withColumnRenamed("k", key)
 
 
 def read_media(df: DataFrame, media: str = "media", key: str = "doc_id") -> DataFrame:
@@ -197,7 +195,8 @@ def read_media(df: DataFrame, media: str = "media", key: str = "doc_id") -> Data
                 yield pa.RecordBatch.from_arrays([*part.columns, *got], names=["k", "n_bytes", "media", "payload", "feature", "error"])
 
     rows = df.select(F.col(f"`{key}`").alias("k"), "n_bytes", F.col(f"`{media}`").alias("media"))
-    return rows.mapInArrow(run, "k long, n_bytes long, media binary, " + READ).withColumnRenamed("k", key)
+    schema = StructType(list(rows.schema.fields)).add("payload", "binary").add("feature", "string").add("error", "string")
+    return rows.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def op10_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

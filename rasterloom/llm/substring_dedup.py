@@ -171,7 +171,7 @@ def substring_dedup(docs: DataFrame, n: int = WINDOW, text: str = "text", key: s
 
     A word goes if a window of ``n`` words of its document covers it whose words also stand, in the
     same order, in a document with a smaller key. Windows are judged on the input. Null and empty
-    texts, and texts of fewer than ``n`` words, lose nothing. A document with a null key is not
+    texts, and texts of fewer than ``n`` words, lose nothing. Keys are integers. A document with a null key is not
     smaller than any; it loses what stands in documents with keys. Rows with one key do not make
     each other lose anything. An empty table gives no rows; other columns are ignored.
 

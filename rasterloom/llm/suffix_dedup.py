@@ -328,7 +328,7 @@ def _remove(docs: pa.Table, said: pa.Table, ways: B.Ways, to: B.Ways) -> pa.Tabl
 def suffix_dedup(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: key, n_bytes, n_removed, n_spans, kept (the bytes that stay, as binary).
 
-    A byte goes if a string of 100 bytes covers it, within its document, that also starts earlier: in
+    Keys are integers. A byte goes if a string of 100 bytes covers it, within its document, that also starts earlier: in
     a document with a smaller key, or further left in the same one. Strings are judged on the input
     and may overlap; they never cross documents. kept may end inside a character, so it is binary.
     Null and empty texts, and texts under 100 bytes, lose nothing. Documents without a key come after

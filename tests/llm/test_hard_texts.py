@@ -10,8 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.llm import jaccard_join as jj
+from rasterloom.llm.bpe import bpe_encode
 from rasterloom.llm.grams import gram_hashes, word_hashes
 from rasterloom.llm.jaccard_join import jaccard_join
+from rasterloom.llm.media import ogg_column, read_media
 from rasterloom.llm.packing import best_fit_packing, token_ids
 from rasterloom.llm.substring_dedup import substring_dedup
 from rasterloom.llm.suffix_dedup import suffix_dedup
@@ -155,4 +157,7 @@ def test_keys_of_text(spark):
     d = spark.createDataFrame(rows, "doc_id string, text string")
     m = train(d, spark.createDataFrame([("k1", 1), ("k2", 0)], "doc_id string, quality int"))
     assert {r.doc_id for r in score(d, m).collect()} == {k for k, _ in rows}
+    encoded = bpe_encode(d, public_tokenizers.path("word_bpe_49k.json"))
+    assert {r.doc_id: r.decoded for r in encoded.collect()}["k1"].startswith("some") and encoded.where("doc_id IS NULL").count() == 1
+    assert {r.doc_id: r.error for r in read_media(ogg_column(d)).collect()} == {k: None for k, _ in rows}
     assert zlib.crc32(b"") == 0 and d.where(F.col("doc_id").isNull()).count() == 1
