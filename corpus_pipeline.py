@@ -11,6 +11,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rasterloom.functions.storage import dropped
 from rasterloom.llm.common import fresh, stored, table
 from rasterloom.llm.exact_dedup import exact_dedup
 from rasterloom.llm.jaccard_join import jaccard_join
@@ -105,7 +106,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        kept = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            dropped(before)
+        docs = before = kept
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -36,6 +36,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of tables that ``checkpointed`` wrote, once nothing will read them again."""
+    for df in tables:
+        spark = df.sparkSession
+        at = shared_folder(spark).split(":", 1)[-1].rstrip("/") + "/"
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if at.lstrip("/") in folder + "/":  # the shared folder's own, never a caller's
+                path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """A column name that is not in ``columns`` in any letter case."""
     taken = {c.lower() for c in columns}

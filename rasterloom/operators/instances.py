@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterloom.functions.storage import checkpointed
+from rasterloom.functions.storage import checkpointed, dropped
 
 
 def label_components(mask: DataFrame, scene: str = "scene_id") -> DataFrame:
@@ -25,20 +25,22 @@ def label_components(mask: DataFrame, scene: str = "scene_id") -> DataFrame:
     below = runs.select(scene, (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("run").alias("other"))
     near = runs.join(below, [scene, "y"]).where("b0 <= x1 + 1 AND b1 >= x0 - 1").select(scene, "run", "other")
     edges = checkpointed(near.unionByName(near.select(scene, F.col("other").alias("run"), F.col("run").alias("other"))))
-    labels = runs.select(scene, "run", F.col("run").alias("root"))
+    labels, held = runs.select(scene, "run", F.col("run").alias("root")), None
     while True:
         seen = edges.join(labels.select(scene, F.col("run").alias("other"), "root"), [scene, "other"]).groupBy(scene, "run").agg(F.min("root").alias("_m"))
         met = labels.join(seen, [scene, "run"], "left").select(scene, F.col("root").alias("_old"), F.least("root", F.coalesce("_m", "root")).alias("_m"))
         hooks = met.groupBy(scene, "_old").agg(F.min("_m").alias("_h"))  # where each tree goes: the least tree beside it
-        hooks = checkpointed(hooks)
+        first = hooks = checkpointed(hooks)
         for _ in range(3):  # a chain of trees that hook onto each other shortens by eight
             jump = hooks.select(scene, F.col("_old").alias("_h"), F.col("_h").alias("_j"))
             hooks = hooks.join(jump, [scene, "_h"]).select(scene, "_old", F.col("_j").alias("_h"))
         hooks = hooks.select(scene, F.col("_old").alias("root"), F.col("_h").alias("_j"))
         new = checkpointed(labels.join(hooks, [scene, "root"]).select(scene, "run", F.col("root").alias("_old"), F.col("_j").alias("root")))
-        labels = new.drop("_old")
+        dropped(first, *([held] if held is not None else []))
+        labels, held = new.drop("_old"), new
         if new.where("root <> _old").isEmpty():
             break
+    dropped(edges)
     rank = F.dense_rank().over(Window.partitionBy(scene).orderBy("root"))
     named = runs.join(labels, [scene, "run"]).withColumn("label", rank)
     return named.select(scene, "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
@@ -87,7 +89,9 @@ def separated_peaks(peaks: DataFrame, d: int, scene: str = "scene_id") -> DataFr
         met = better.join(state.where("stays IS NULL").select(scene, "label", "y", "x"), [scene, "label", "y", "x"]).join(of, [scene, "label", "o_y", "o_x"])
         told = met.groupBy(scene, "label", "y", "x").agg(F.coalesce(F.max("_o"), F.lit(False)).alias("_any"), F.count_if(F.col("_o").isNull()).alias("_left"))
         new = F.when(F.col("_any"), False).when(F.col("_left") == 0, True)
-        state = checkpointed(state.join(told, [scene, "label", "y", "x"], "left").select(scene, "label", "score", "y", "x", F.coalesce("stays", new).alias("stays")))
+        before, state = state, checkpointed(state.join(told, [scene, "label", "y", "x"], "left").select(scene, "label", "score", "y", "x", F.coalesce("stays", new).alias("stays")))
+        dropped(before)
+    dropped(p, better)
     return state.where("stays").drop("stays")
 
 
