@@ -6,16 +6,16 @@ their neighbours, and of word repeats; gated attention (a tanh branch times a si
 the passages; the weighted sum is the document's representation, which a logistic output scores. Only
 document labels are used to learn all of it, so attention finds by itself which passages decide.
 
-The model is fitted on the driver, on every passage of ``MOST_TRAINED`` labelled documents (those with
-the least hash of their key). They are encoded in tasks and kept in the shared folder; each epoch
-streams them in another order, a part of the table at a time, so the driver holds a few parts of them
-and a batch. Scoring is a map over whole texts. Neither language, source, key nor label is an input of
+The model is fitted in one task, on every passage of ``MOST_TRAINED`` labelled documents (those with
+the least hash of their key). Their texts come to it as a stream sorted by epoch and a hash, once to
+scale the features and once an epoch; it holds a batch of them and the parameters, and gives back
+these alone. Scoring is a map over whole texts. Neither language, source, key nor label is an input of
 a score.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,22 +24,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from rasterloom.llm.common import binary_parts, stored, table
+from rasterloom.llm.common import binary_parts, table
 from rasterloom.llm.grams import lower_ascii, runs_of_texts, word_hashes, words
 
 PASSAGE = 64
 THRESHOLD = 0.3
 #: Labelled documents that the model is fitted on at most: those with the least hash of their key.
 MOST_TRAINED = 4000
-#: Parts of the table of encoded documents, and passages whose counts are laid out at once.
-PARTS, DENSE = 16, 512
-#: Bytes of encoded documents that the driver keeps from one epoch to the next; further parts are read again.
-HELD = 256 << 20
+#: Passages whose counts are laid out at once, and up to which a batch's layouts are kept for the way back.
+DENSE, KEPT = 64, 2048
 #: Rows of the embedding for words, and as many for trigrams; its width.
 BUCKETS, EMBED = 4096, 16
 #: Trigrams that are looked up at once in scoring.
 AT_ONCE = 1 << 16
-HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 32, 16, 8, 64, 4e-3, 1e-4
+HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 32, 16, 6, 64, 4e-3, 1e-4
 
 #: Kinds of bytes: white space, lower and upper case, digits, each frequent mark, other marks, UTF-8 leads and tails.
 MARKS = b".,!?*#$%&|@_-/:;\"'()"
@@ -144,20 +142,6 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def batched(parts: Iterator[tuple[Bags, np.ndarray]]) -> Iterator[tuple[Bags, np.ndarray]]:
-    """The same texts in batches of ``BATCH``, the last one smaller."""
-    rest: tuple[Bags, np.ndarray] | None = None
-    for b, y in parts:
-        if rest is not None:
-            b, y = joined([rest[0], b]), np.concatenate([rest[1], y])
-        whole = len(y) // BATCH * BATCH
-        for at in range(0, whole, BATCH):
-            yield b.taken(np.arange(at, at + BATCH)), y[at : at + BATCH]
-        rest = (b.taken(np.arange(whole, len(y))), y[whole:])
-    if rest is not None and len(rest[1]):
-        yield rest
-
-
 class AttentionMil:
     """The network and its parameters; texts are bags of rows, given by how many rows each has."""
 
@@ -206,10 +190,10 @@ class AttentionMil:
                 lo = int(many[:i].sum())
                 at = np.repeat(np.arange(len(n)) * BUCKETS, n) + ids[lo : lo + int(n.sum())]
                 counts = np.bincount(at, minlength=len(n) * BUCKETS).reshape(len(n), BUCKETS)
-                out[:, base : base + BUCKETS] = counts / np.maximum(n, 1)[:, None].astype(out.dtype)
+                np.multiply(counts, 1 / np.maximum(n, 1)[:, None], out=out[:, base : base + BUCKETS], casting="unsafe")
             yield own, out
 
-    def forward(self, b: Bags, dense: list[tuple[slice, np.ndarray]] | None = None) -> dict[str, np.ndarray]:
+    def forward(self, b: Bags, dense: Iterable[tuple[slice, np.ndarray]] | None = None) -> dict[str, np.ndarray]:
         p, sizes = self.p, b.sizes
         first = np.cumsum(sizes) - sizes
         of = np.repeat(np.arange(len(sizes)), sizes)
@@ -217,7 +201,9 @@ class AttentionMil:
         if dense is None:
             ew, eg = self.looked_up(b.words, b.n_words, 0), self.looked_up(b.grams, b.n_grams, BUCKETS)
         else:
-            ew, eg = (np.concatenate([c[:, k : k + BUCKETS] @ p["e"][k : k + BUCKETS] for _, c in dense]) for k in (0, BUCKETS))
+            ew, eg = (np.zeros((len(b.x), EMBED), p["e"].dtype) for _ in range(2))
+            for own, c in dense:
+                ew[own], eg[own] = c[:, :BUCKETS] @ p["e"][:BUCKETS], c[:, BUCKETS:] @ p["e"][BUCKETS:]
         h = np.tanh(x @ p["w"] + ew @ p["lw"] + eg @ p["lg"] + p["wb"])
         t, g = np.tanh(h @ p["v"] + p["vb"]), sigmoid(h @ p["u"] + p["ub"])
         s = (t * g) @ p["a"]
@@ -227,8 +213,8 @@ class AttentionMil:
         return {"x": x, "ew": ew, "eg": eg, "h": h, "t": t, "g": g, "weight": weight, "z": z, "of": of, "first": first, "score": sigmoid(z @ p["c"] + p["b"])}
 
     def gradient(self, b: Bags, y: np.ndarray) -> dict[str, np.ndarray]:
-        dense = list(self.shares(b))
-        p, f = self.p, self.forward(b, dense)
+        held = list(self.shares(b)) if len(b.x) <= KEPT else None  # of a larger batch they are laid out twice
+        p, f = self.p, self.forward(b, held or self.shares(b))
         out = ((f["score"] - y) / len(y)).astype(p["c"].dtype)
         dz = out[:, None] * p["c"]
         per = dz[f["of"]]
@@ -242,27 +228,24 @@ class AttentionMil:
         d |= {"a": (f["t"] * f["g"]).T @ ds, "c": f["z"].T @ out, "b": np.array([out.sum()])}
         d |= {"lw": f["ew"].T @ dh, "lg": f["eg"].T @ dh}
         d["e"] = np.zeros_like(p["e"])
-        for own, c in dense:
+        for own, c in held or self.shares(b):
             for k, name in ((0, "lw"), (BUCKETS, "lg")):
                 d["e"][k : k + BUCKETS] += c[:, k : k + BUCKETS].T @ (dh[own] @ p[name].T)
         return {k: v + DECAY * p[k] for k, v in d.items()}
 
-    def fit(self, parts: Callable[[int], Iterator[tuple[Bags, np.ndarray]]], texts: int, epochs: int = EPOCHS, attention: bool = True) -> None:
-        """Adam over batches of texts; ``parts`` gives an epoch's texts and labels, some at a time. Without attention its weights are held at zero, so that passages are averaged."""
+    def fit(self, batches: Iterator[tuple[Bags, np.ndarray]], steps: int, attention: bool = True) -> None:
+        """Adam, a step for each batch of texts and labels, of which there are about ``steps``. Without attention its weights are held at zero, so that passages are averaged."""
         if not attention:
             self.p["a"][:] = 0
         m, v = ({k: np.zeros_like(a) for k, a in self.p.items()} for _ in range(2))
-        step, steps = 0, epochs * -(-texts // BATCH)
-        for epoch in range(epochs):
-            for b, y in batched(parts(epoch)):
-                step += 1
-                rate = RATE * (1 - 0.9 * min(step / steps, 1))
-                for k, d in self.gradient(b, y).items():
-                    if k == "a" and not attention:
-                        continue
-                    m[k] += 0.1 * (d - m[k])
-                    v[k] += 0.001 * (d * d - v[k])
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
+        for step, (b, y) in enumerate(batches, 1):
+            rate = RATE * (1 - 0.9 * min(step / max(steps, 1), 1))
+            for k, d in self.gradient(b, y).items():
+                if k == "a" and not attention:
+                    continue
+                m[k] += 0.1 * (d - m[k])
+                v[k] += 0.001 * (d * d - v[k])
+                self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
 
     def score(self, b: Bags) -> np.ndarray:
         return self.forward(b)["score"].astype(np.float64) if len(b.sizes) else np.zeros(0)
@@ -272,58 +255,56 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.crc32(F.encode(F.col(f"`{key}`").cast("string"), "UTF-8")) % 5 == 0
 
 
+def fitted(batches: Iterator[pa.RecordBatch], attention: bool) -> Iterator[pa.RecordBatch]:
+    """The parameters learnt from a stream of (epoch, texts, y, t): epoch -1 scales the features, the others are learnt from in turn."""
+    n, total, squares, texts = 0, np.zeros(FEATURES), np.zeros(FEATURES), 0
+    rows = (batch.slice(at, BATCH) for batch in batches for at in range(0, batch.num_rows, BATCH))
+    model = None
+
+    def learnt() -> Iterator[tuple[Bags, np.ndarray]]:
+        nonlocal n, total, squares, texts, model
+        for part in rows:
+            epoch, y = part.column("epoch").to_numpy(), part.column("y").to_numpy().astype(float)
+            b = bags(*binary_parts(part.column("t")))
+            first = np.flatnonzero(epoch < 0)
+            if len(first):
+                x = b.taken(first).x.astype(np.float64)
+                n, total, squares, texts = n + len(x), total + x.sum(axis=0), squares + (x * x).sum(axis=0), texts + len(first)
+            if len(first) < len(y):
+                if model is None:
+                    model = AttentionMil.start(n, total, squares).single()
+                    yield None
+                yield b.taken(np.flatnonzero(epoch >= 0)), y[epoch >= 0]
+
+    stream = learnt()
+    if next(stream, True) is None:
+        model.fit(stream, EPOCHS * -(-texts // BATCH), attention)
+        held = [model.mean, model.scale, *model.p.values()]
+        yield pa.RecordBatch.from_pylist([{"name": name, "value": v.astype("<f4").tobytes(), "shape": list(v.shape)} for name, v in zip(("mean", "scale", *model.p), held, strict=True)], schema=PARAMETERS)
+
+
+PARAMETERS = pa.schema([("name", pa.string()), ("value", pa.binary()), ("shape", pa.list_(pa.int32()))])
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", label: str = "quality", most: int = MOST_TRAINED, attention: bool = True) -> AttentionMil:
     """A model fitted on at most ``most`` labelled documents that aren't held out. Without any, it scores all alike.
 
-    A key that several rows have counts once, with the text that is least by its features. Without
+    A key that several rows have counts once, with the text that is least by its bytes. Without
     ``attention`` passages are averaged, for comparison.
     """
     known = labels.select(F.col(f"`{key}`").cast("string").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)").where(~held_out("k"))
     known = known.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(most)
     body = F.coalesce(F.encode(F.col(f"`{text}`"), "UTF-8"), F.lit(b"")).alias("t")
     rows = docs.select(F.col(f"`{key}`").cast("string").alias("k"), body).join(F.broadcast(known), "k")  # ``most`` rows at most
-
-    columns = ("x", "words", "n_words", "grams", "n_grams")
-    kinds = (np.float16, np.uint16, np.int32, np.uint16, np.int32)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(batch.num_rows):  # a text at a time: its passages may be many
-                part = batch.slice(at, 1)
-                b = bags(*binary_parts(part.column(1)))
-                held = [pa.array([getattr(b, c).astype(t).tobytes()], pa.binary()) for c, t in zip(columns, kinds, strict=True)]
-                wide = b.x.astype(np.float16).astype(np.float64)
-                moments = [pa.array([z.sum(axis=0).tolist()], pa.list_(pa.float64())) for z in (wide, wide * wide)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *held, *moments], names=["k", "y", *columns, "sums", "squares"])
-
-    encoded = rows.mapInArrow(run, "k string, y int, " + ", ".join(f"{c} binary" for c in columns) + ", sums array<double>, squares array<double>")
     # One row for each key, however many the table has, so that the sample keeps its bound.
-    one = encoded.groupBy("k").agg(F.min(F.struct("y", *columns, "sums", "squares")).alias("r")).select("k", "r.*")
-    kept = stored(one.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(PARTS))).repartition(PARTS, "part"), "encoded")
-    # Sums over at most ``most`` rows, in the order of their keys, so that they are the same in every run.
-    sums = kept.select("k", F.octet_length("n_words").alias("n"), "sums", "squares").toArrow().sort_by("k")
-    if not len(sums):
+    one = rows.groupBy("k").agg(F.min(F.struct("y", "t")).alias("r")).select("k", "r.*")
+    epochs = one.select("k", "y", "t", F.explode(F.sequence(F.lit(-1), F.lit(EPOCHS - 1))).alias("epoch"))
+    stream = epochs.repartition(1).sortWithinPartitions("epoch", F.xxhash64("k", "epoch"), "k").select("epoch", "y", "t")
+    got = stream.mapInArrow(lambda b: fitted(b, attention), "name string, value binary, shape array<int>").toArrow().to_pylist()
+    if not got:
         return AttentionMil.start().single()
-    each = [np.array(sums.column(c).combine_chunks().flatten()).reshape(-1, FEATURES).sum(axis=0) for c in ("sums", "squares")]
-    model = AttentionMil.start(int(np.sum(sums.column("n").to_numpy()) // 4), *each).single()
-    cut = kept.select("k", "y", *columns, "part")
-
-    def parts(epoch: int) -> Iterator[tuple[Bags, np.ndarray]]:
-        """A part of the documents at a time, parts and documents in an order of this epoch."""
-        rng = np.random.default_rng(100 + epoch)
-        for i in rng.permutation(PARTS).tolist():
-            t = held.get(i) or cut.where(F.col("part") == i).drop("part").toArrow().sort_by("k")
-            if sum(x.nbytes for x in held.values()) + t.nbytes <= HELD:
-                held[i] = t
-            if len(t):
-                b = Bags(*[binary_parts(t.column(c))[0].view(k) for c, k in zip(columns, kinds, strict=True)], np.diff(binary_parts(t.column("n_words"))[1]) // 4)
-                b = Bags(b.x.reshape(-1, FEATURES), b.words, b.n_words.astype(np.int64), b.grams, b.n_grams.astype(np.int64), b.sizes)
-                order = rng.permutation(len(t))
-                yield b.taken(order), t.column("y").to_numpy().astype(float)[order]
-
-    held: dict[int, pa.Table] = {}
-    model.fit(parts, len(sums), attention=attention)
-    return model
+    p = {r["name"]: np.frombuffer(r["value"], "<f4").reshape(r["shape"]).copy() for r in got}
+    return AttentionMil(p.pop("mean"), p.pop("scale"), p)
 
 
 def score(docs: DataFrame, model: AttentionMil, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -489,12 +489,13 @@ def test_attention_finds_the_passage_that_decides():
         train_, test_ = made_bags(texts[:360]), made_bags(texts[360:])
         m = started(train_)
 
-        def parts(epoch, b=train_):
-            order = np.random.default_rng(epoch).permutation(360)
-            for some in (order[:100], order[100:101], order[101:]):
-                yield b.taken(some), y[some]
+        def batches(b=train_):
+            for epoch in range(25):
+                order = np.random.default_rng(epoch).permutation(360)
+                for at in range(0, 360, 64):
+                    yield b.taken(order[at : at + 64]), y[order[at : at + 64]]
 
-        m.fit(parts, 360, epochs=25, attention=attention)
+        m.fit(batches(), 150, attention=attention)
         right[attention] = float(np.mean((m.score(test_) >= 0.5) == (y[360:] > 0)))
     assert right[True] > 0.8 and right[True] >= right[False]
 
