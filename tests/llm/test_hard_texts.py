@@ -26,7 +26,7 @@ def mirrored(n):
     return "".join("ab"[x] for x in w), "".join("ba"[x] for x in w)
 
 
-@pytest.mark.parametrize("n", [32, 512, 1024, 4096])
+@pytest.mark.parametrize("n", [32, 1024])
 def test_mirrored_words_are_different(spark, n):
     a, b = mirrored(n)
     rows = [(1, " ".join([*(f"w{i}" for i in range(12)), a])), (2, " ".join([*(f"w{i}" for i in range(12)), b]))]
