@@ -52,7 +52,7 @@ def greedy(peaks, d):
     return {(*k, y, x) for k, v in kept.items() for y, x in v}
 
 
-@pytest.mark.parametrize("d", [1, 3, 8])
+@pytest.mark.parametrize("d", [1, 6])
 def test_separated_peaks_are_the_greedy_ones(spark, d):
     rng = np.random.default_rng(d)
     peaks = {(s, int(rng.integers(1, 3)), int(y), int(x)): float(np.round(rng.random(), 1)) for s in range(2) for y, x in rng.integers(-20, 40, (150, 2))}
@@ -150,7 +150,7 @@ def exact_top(i, x, j, y, k):
     return out
 
 
-@pytest.mark.parametrize("spread", [0.05, 0.4, 3.0])
+@pytest.mark.parametrize("spread", [0.05, 1.0])
 def test_top_k_skips_pairs_of_blocks(spark, monkeypatch, spread):
     """Exact on clusters and on vectors without any; near clusters most pairs are never multiplied."""
     rng = np.random.default_rng(3)

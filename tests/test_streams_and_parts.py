@@ -57,7 +57,7 @@ def told(df):
     return out
 
 
-@pytest.mark.parametrize("indent", [None, 2])
+@pytest.mark.parametrize("indent", [2])
 def test_elements_of_hard_documents(spark, tmp_path, small_ranges, indent):
     rng = random.Random(5)
     docs = {f"list{i}": [hard_value(rng) for _ in range(150)] for i in range(2)} | {f"map{i}": {f"k{j}{hard_value_name(rng)}": hard_value(rng) for j in range(150)} for i in range(2)}
