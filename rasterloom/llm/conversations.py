@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rasterloom.llm.common import fresh, table
+from rasterloom.llm.common import fresh, sql_crc32, table
 
 SPACE = " \t\n\x0b\x0c\r"
 #: Costs of edits, and what a truncated turn costs that isn't deleted.
@@ -264,3 +264,43 @@ def damaged(chats: DataFrame) -> DataFrame:
 
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")), there=F.col("there"))
+
+
+def _op11_sql() -> str:
+    """From each conversation's end on, for each of the four states the least (cost, edits) and what they leave, as whole strings."""
+    name = lambda c: f"coalesce(CAST({c} AS VARCHAR), ' ')"
+    one = lambda cost, edits, left: f"{{'c': {cost}, 'a': {edits}, 'r': {left}}}"
+    more = "CASE WHEN fault = 3 THEN 3 ELSE 0 END"
+    rows, turns = [], []
+    for q in range(4):
+        stays = lambda to, price, edit, role: one(f"v[{to + 1}].c + {price} + {more}", f"'{edit}' || v[{to + 1}].a", f"list_prepend({role} || ':' || text, v[{to + 1}].r)")
+        options = [one(f"v[{q + 1}].c + {DELETE}", f"'D' || v[{q + 1}].a", f"v[{q + 1}].r")]
+        options += [f"CASE WHEN fault IN (0, 3) AND initial = '{i}' THEN {stays(to[q], 0, 'K', 'role')} END" for i, to in KEEP.items() if to[q] is not None]
+        options.append(f"CASE WHEN fault IN (0, 3) THEN {stays(STEP[q], REROLE, 'R', chr(39) + ROLE[q] + chr(39))} END")
+        rows.append(f"list_sort([{', '.join(options)}], 'ASC', 'NULLS LAST')[1]")
+        chain, state, roles = [f"w[{q + 1}]"], q, []
+        for n in (1, 2, 3):
+            roles.append(f"'{ROLE[state]}:'")
+            state = STEP[state]
+            chain.append(one(f"w[{state + 1}].c + {n * INSERT}", f"'{'I' * n}' || w[{state + 1}].a", f"list_concat([{', '.join(roles)}], w[{state + 1}].r)"))
+        turns.append(f"list_sort([{', '.join(chain)}])[1]")
+    end = [one(0, "''", "CAST([] AS VARCHAR[])"), one(6, "'II'", "['user:', 'assistant:']"), one(3, "'I'", "['assistant:']"), one(0, "''", "CAST([] AS VARCHAR[])")]
+    space = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    return f"""
+WITH RECURSIVE d AS (SELECT conv_id, turn, {name('role')} AS role, {name('text')} AS text, {sql_crc32(f"({name('conv_id')} || ':' || {name('turn')})")} % 20 AS how FROM conversations),
+g AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy FROM d, (SELECT unnest([0, 1]) AS copy) WHERE how <> 0 AND (copy = 0 OR how = 3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, rtrim(text, {space}) AS ink FROM g),
+f AS (SELECT conv_id, i, turn, role, text, left(role, 1) AS initial, CASE WHEN ink = '' THEN 1 WHEN seen > 1 THEN 2 WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM o),
+l AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS last FROM f),
+n AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+ count(*) FILTER (last IS NOT NULL AND last || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM l GROUP BY conv_id),
+dp AS (SELECT conv_id, n + 1 AS i, [{', '.join(end)}] AS v FROM n
+ UNION ALL SELECT conv_id, i, [{', '.join(turns)}] FROM (SELECT dp.conv_id, f.i, [{', '.join(rows)}] AS w FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i - 1)),
+all_ AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT all_.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(v[1].c, 0) AS BIGINT) AS cost, coalesce(v[1].a, '') AS audit,
+ sha256(coalesce(array_to_string(v[1].r, chr(10)), '')) AS repaired_sha256
+FROM all_ LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM all_.conv_id LEFT JOIN dp ON dp.conv_id IS NOT DISTINCT FROM all_.conv_id AND dp.i = 1
+"""
+
+
+OP11_SQL = _op11_sql()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rasterloom.llm.bpe import op1_bpe
 from rasterloom.llm.chat import OP7_SQL, op7_chat_format
-from rasterloom.llm.conversations import op11_conversation_repair
+from rasterloom.llm.conversations import OP11_SQL, op11_conversation_repair
 from rasterloom.llm.exact_dedup import OP6_SQL, op6_exact_dedup
 from rasterloom.llm.jaccard_join import OP3_SQL, op3_jaccard_join
 from rasterloom.llm.language_model import op13_language_model
@@ -31,4 +31,4 @@ QUERIES = {
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_language_model": op13_language_model,
 }
-ORACLES = {"op3_jaccard_join": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op12_merkle_manifest": OP12_SQL}
+ORACLES = {"op3_jaccard_join": OP3_SQL, "op6_exact_dedup": OP6_SQL, "op7_chat_format": OP7_SQL, "op8_suffix_dedup": OP8_SQL, "op9_substring_dedup": OP9_SQL, "op11_conversation_repair": OP11_SQL, "op12_merkle_manifest": OP12_SQL}

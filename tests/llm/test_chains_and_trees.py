@@ -324,3 +324,16 @@ def test_packed_values_come_back(bits):
     for n in (0, 1, 5, 1000):
         v = np.sort(rng.integers(0, (1 << bits) - 1, n, dtype=np.uint64))
         assert (unpack(pack(v)) == v).all()
+
+
+def test_sql_of_the_repair_on_odd_rows():
+    """Nulls in every column, ties, repeated rows, other roles: the SQL against the plain version."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    texts, roles = ["Yes.", "No", "  ", "", "What?\n ", "Ünder!", None], ["user", "assistant", "system", "tool", "", None]
+    rows = [(None if conv == 7 else conv, None if rng.random() < 0.1 else int(rng.integers(-2, 9)), roles[rng.integers(0, 6)], texts[rng.integers(0, 7)]) for conv in range(120) for _ in range(rng.integers(1, 9))]
+    c = duckdb.connect()
+    c.register("conversations", pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string())])}))
+    got = {r[0]: r[1:] for r in c.execute(C.OP11_SQL).fetchall()}
+    assert got == {conv: plain_repair([]) for conv, *_ in rows} | plain_report(damage(rows))
