@@ -289,7 +289,8 @@ def _op11_sql() -> str:
     return f"""
 WITH RECURSIVE d AS (SELECT conv_id, turn, {name('role')} AS role, {name('text')} AS text, {sql_crc32(f"({name('conv_id')} || ':' || {name('turn')})")} % 20 AS how FROM conversations),
 g AS (SELECT conv_id, turn, CASE WHEN how = 4 THEN 'user' ELSE role END AS role, CASE how WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, copy FROM d, (SELECT unnest([0, 1]) AS copy) WHERE how <> 0 AND (copy = 0 OR how = 3)),
-o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen, rtrim(text, {space}) AS ink FROM g),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen, rtrim(text, {space}) AS ink FROM g),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), seen) AS i FROM s),
 f AS (SELECT conv_id, i, turn, role, text, left(role, 1) AS initial, CASE WHEN ink = '' THEN 1 WHEN seen > 1 THEN 2 WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM o),
 l AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) AS last FROM f),
 n AS (SELECT conv_id, max(i) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
