@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -28,6 +29,15 @@ def l2_normalised(v: Column) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm))
 
 
+#: Cells a side of a grid over all pairs, and the vectors a cell has a side from which on there are more.
+GRID, CELL_ROWS = 8, 65_536
+
+
+def cells_of(n: int, block: int = 1) -> int:
+    """Cells for a side of n rows: at most ``GRID`` with at least ``block`` rows, more where a cell would have over ``CELL_ROWS`` rows."""
+    return max(1, min(GRID, -(-n // block)), -(-n // CELL_ROWS))
+
+
 def block_pairs(images: DataFrame, texts: DataFrame, block: int, pairs: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """``pairs`` of every block of one side with every block of the other; both (with id) are dealt by a hash into blocks of about ``block`` rows.
 
@@ -74,19 +84,29 @@ def first_columns(m: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return c[np.arange(len(r)) - np.searchsorted(r, np.arange(n))[r] < k].reshape(n, min(k, wide))
 
 
-#: Pairs of blocks from which on bounds are worth their own jobs, and vectors that blocks are formed around at most.
-PRUNE_FROM, PIVOTS = 256, 256
+#: Pairs of blocks from which on bounds are worth their own jobs, vectors that blocks are formed around at most, and of how many those are chosen.
+PRUNE_FROM, PIVOTS, CHOSEN_FROM = 256, 256, 4096
+
+
+def far_apart(v: np.ndarray, n: int) -> np.ndarray:
+    """n of these vectors: the first, then ever the one farthest from those taken. Equal ones are taken once."""
+    taken, gap = [0], ((v - v[0]) ** 2).sum(axis=1)
+    while len(taken) < min(n, len(v)) and gap.max() > 0:
+        taken.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((v - v[taken[-1]]) ** 2).sum(axis=1))
+    return v[taken]
 
 
 def vector_blocks(rows: DataFrame, block: int) -> DataFrame:
     """``rows`` (id, vec) with ``b``: blocks of about ``block`` vectors that lie near each other.
 
-    At most ``PIVOTS`` vectors, those with the least hash of their id, are the middles; each vector goes
-    to the nearest, and a middle with too many is cut by a hash of the id.
+    At most ``PIVOTS`` vectors are the middles, far apart from each other among the ``CHOSEN_FROM`` with
+    the least hash of their id; each vector goes to the nearest, and a middle with too many is cut by a
+    hash of the id.
     """
     n = rows.count()
-    held = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, min(PIVOTS, -(-n // block)))).select("vec").toArrow()
-    pivots = np.stack(held.column("vec").to_numpy()).astype(np.float64) if held.num_rows else np.zeros((1, 1))
+    held = rows.orderBy(F.xxhash64("id"), "id").limit(CHOSEN_FROM).select("vec").toArrow()
+    pivots = far_apart(np.stack(held.column("vec").to_numpy()).astype(np.float64), max(1, min(PIVOTS, -(-n // block)))) if held.num_rows else np.zeros((1, 1))
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -123,18 +143,66 @@ def pair_bounds(a: DataFrame, b: DataFrame) -> DataFrame:
     return block_pairs(a, b, 1024, bounds, "bi long, bt long, bound double")
 
 
+def better_kept(score: np.ndarray, found: np.ndarray, at: slice, m: np.ndarray, ids: np.ndarray) -> None:
+    """Merges the scores ``m`` of rows ``at`` with columns ``ids`` into each row's best so far (score, then least id), kept in order in ``score`` and ``found``."""
+    k = score.shape[1]
+    reach = m >= score[at, -1:]
+    if not reach.any():
+        return
+    r, c = np.nonzero(reach)
+    u = np.flatnonzero(reach.any(axis=1))
+    rows = np.concatenate([np.repeat(u, k), r])
+    s, f = np.concatenate([score[at][u].ravel(), m[r, c]]), np.concatenate([found[at][u].ravel(), ids[c]])
+    order = np.lexsort((f, -s, rows))
+    rows = rows[order]
+    order = order[np.arange(len(rows)) - np.searchsorted(rows, u)[np.searchsorted(u, rows)] < k]
+    score[at.start + u], found[at.start + u] = s[order].reshape(-1, k), f[order].reshape(-1, k)
+
+
 def best_of_pairs(a: DataFrame, b: DataFrame, pairs: DataFrame, k: int, scale: float) -> DataFrame:
-    """The k best of each row and column of these pairs of blocks (bi, bt, for_text, for_image: which sides need it)."""
-    left = a.select(F.struct("id", "vec").alias("a"), F.col("b").alias("bi")).join(pairs, "bi")
-    right = b.select(F.struct("id", "vec").alias("b"), F.col("b").alias("bt")).join(pairs, "bt")
-    unpacked = lambda t, c: t.column(c).combine_chunks().flatten()
+    """The k best of each row and column of these pairs of blocks (bi, bt, for_text, for_image: which sides need it).
 
-    def best(x: pa.Table, y: pa.Table) -> pa.Table:
-        (i, v), (j, w) = unpacked(x, "a"), unpacked(y, "b")
-        need = [x.column(c)[0].as_py() for c in ("for_text", "for_image")]
-        return best_of_both(i.to_numpy(), np.stack(v.to_numpy(zero_copy_only=False)), j.to_numpy(), np.stack(w.to_numpy(zero_copy_only=False)), k, scale, *need)
+    Blocks are dealt into the cells of a coarse grid, and a cell's pairs are multiplied one after the
+    other: a vector travels once for each cell on the other side, not for each block, and what leaves
+    a cell is k rows a query.
+    """
+    n_a, n_b = (cells_of(d.count()) for d in (a, b))
+    cell = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = lambda t, c: F.lit(None).cast(t).alias(c)
+    flat = [none("long", "other"), none("boolean", "for_text"), none("boolean", "for_image")]
+    left = a.select(cell("b", n_a).alias("ca"), every(n_b).alias("cb"), F.lit(0).alias("kind"), "b", "id", "vec", *flat)
+    right = b.select(every(n_a).alias("ca"), cell("b", n_b).alias("cb"), F.lit(1).alias("kind"), "b", "id", "vec", *flat)
+    met = pairs.select(cell("bi", n_a).alias("ca"), cell("bt", n_b).alias("cb"), F.lit(2).alias("kind"), F.col("bi").alias("b"), none("long", "id"), none("array<double>", "vec"), F.col("bt").alias("other"), "for_text", "for_image")
+
+    def side(t: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, dict[int, slice]]:
+        own = t.filter(pc.equal(t.column("kind"), kind)).select(["b", "id", "vec"])
+        own = own.take(pc.sort_indices(own, [("b", "ascending"), ("id", "ascending")]))
+        at, first = np.unique(own.column("b").to_numpy(), return_index=True)
+        ends = [*first[1:].tolist(), len(own)]
+        vec = np.stack(own.column("vec").to_numpy()).astype(np.float64) if len(own) else np.zeros((0, 1))
+        return own.column("id").to_numpy(), vec, {x: slice(p, q) for x, p, q in zip(at.tolist(), first.tolist(), ends, strict=True)}
+
+    def best(t: pa.Table) -> pa.Table:
+        todo = t.filter(pc.equal(t.column("kind"), 2)).select(["b", "other", "for_text", "for_image"]).sort_by([("b", "ascending"), ("other", "ascending")])
+        if not len(todo):
+            return TOP.empty_table()
+        (i, x, rows), (j, y, columns) = side(t, 0), side(t, 1)
+        tops = [(np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)) for q in (i, j)]
+        for p, q, for_text, for_image in zip(*(c.to_pylist() for c in todo.columns), strict=True):
+            p, q = rows[p], columns[q]
+            s = x[p] @ y[q].T * scale
+            if for_text:
+                better_kept(*tops[0], p, s, j[q])
+            if for_image:
+                better_kept(*tops[1], q, s.T, i[p])
+        out = []
+        for name, q, (score, found) in zip(("text", "image"), (i, j), tops, strict=True):
+            n, c = np.nonzero(score > -np.inf)
+            out.append(pa.table({"side": [name] * len(n), "query": q[n], "found": found[n, c], "score": score[n, c]}, schema=TOP))
+        return pa.concat_tables(out)
 
-    return left.groupBy("bi", "bt").cogroup(right.groupBy("bi", "bt")).applyInArrow(best, TOP_SQL)
+    return left.unionByName(right).unionByName(met).groupBy("ca", "cb").applyInArrow(best, TOP_SQL)
 
 
 TOP = pa.schema([("side", pa.string()), ("query", pa.int64()), ("found", pa.int64()), ("score", pa.float64())])
