@@ -38,12 +38,14 @@ def cells_of(n: int, block: int = 1) -> int:
     return max(1, min(GRID, -(-n // block)), -(-n // CELL_ROWS))
 
 
-def block_pairs(images: DataFrame, texts: DataFrame, block: int, pairs: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+def block_pairs(images: DataFrame, texts: DataFrame, block: int, pairs: Callable[[pa.Table, pa.Table], pa.Table], schema: str, cells: bool = False) -> DataFrame:
     """``pairs`` of every block of one side with every block of the other; both (with id) are dealt by a hash into blocks of about ``block`` rows.
 
+    With ``cells`` the blocks are the cells of a coarse grid, and ``pairs`` takes them in parts: a row
+    then travels as often as the other side has cells, which does not grow with the table.
     Rows travel as structures, so that sides of one origin have no column in common.
     """
-    n_i, n_t = (max(1, -(-d.count() // block)) for d in (images, texts))
+    n_i, n_t = (cells_of(n, block) if cells else max(1, -(-n // block)) for n in (d.count() for d in (images, texts)))
 
     def spread(d: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
         rows = d.select(F.struct(*d.columns).alias(f"row_{own}"), F.pmod(F.xxhash64("id"), F.lit(n_own)).cast("int").alias(own))
@@ -319,9 +321,9 @@ def pair_uniform(query: np.ndarray, found: np.ndarray) -> np.ndarray:
         for w in words(query):
             lane = _mixed(lane ^ w[:, None])
         for w in words(found):
-            lane = _mixed(lane ^ w[None, :])
+            lane = _mixed(lane ^ (w[:1] if (w == w[:1]).all() else w)[None, :])  # most ids share their upper word
         lanes.append(_mixed(lane + np.uint32(first)))
-    high, low = (x.astype(np.uint64) for x in lanes)
+    high, low = (np.broadcast_to(x, (len(query), len(found))).astype(np.uint64) for x in lanes)
     return ((high << np.uint64(21) | low >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
@@ -332,25 +334,34 @@ def negative_draws(images: DataFrame, texts: DataFrame, block: int = 4096) -> Da
     """For every image and every text one hard negative, from softmax(score) over the other side's rows of another group, and one typical one, from softmax(-score).
 
     Drawn by the Gumbel maximum: the greatest of score - ln(-ln u), with u a uniform of the pair. Both
-    sides (id, vec, group) are dealt into blocks; each pair of blocks gives the greatest of each row
-    and column, so what is shuffled is a row a query and block. A query without negatives has no row.
+    sides (id, vec, group) are dealt into the cells of a coarse grid; each pair of cells is drawn from
+    in squares of ``block`` rows and columns and gives the greatest of each row and column, so what is
+    shuffled is a row a query and cell. A query without negatives has no row.
     """
     def draw(a: pa.Table, b: pa.Table) -> pa.Table:
         x, y = (np.stack(t.column("vec").to_numpy()).astype(np.float64) for t in (a, b))
         i, j = a.column("id").to_numpy(), b.column("id").to_numpy()
-        other = a.column("group").to_numpy()[:, None] != b.column("group").to_numpy()
-        s, out = x @ y.T, []
-        for side, m, ok, q, f in (("text", s, other, i, j), ("image", s.T, other.T, j, i)):
-            noise = -np.log(-np.log(pair_uniform(q, f)))
-            for hard, z in ((True, m + noise), (False, noise - m)):
-                z = np.where(ok, z, -np.inf)
-                at = z.argmax(axis=1)
-                top = z[np.arange(len(q)), at]
-                own = np.isfinite(top)
-                out.append(pa.table({"side": [side] * int(own.sum()), "query": q[own], "hard": pa.array([hard] * int(own.sum()), pa.bool_()), "found": f[at[own]], "z": top[own]}).cast(DRAWN))
+        g, h = a.column("group").to_numpy(), b.column("group").to_numpy()
+        tops = {(side, hard): (np.full(n, -np.inf), np.zeros(n, np.int64)) for side, n in (("text", len(i)), ("image", len(j))) for hard in (True, False)}
+        for p in (slice(n, n + block) for n in range(0, len(i), block)):
+            for q in (slice(n, n + block) for n in range(0, len(j), block)):
+                other, s = g[p][:, None] != h[q], x[p] @ y[q].T
+                for side, m, ok, own, one, f in (("text", s, other, p, i[p], j[q]), ("image", s.T, other.T, q, j[q], i[p])):
+                    noise = -np.log(-np.log(pair_uniform(one, f)))
+                    for hard, z in ((True, m + noise), (False, noise - m)):
+                        z = np.where(ok, z, -np.inf)
+                        at = z.argmax(axis=1)
+                        most = z[np.arange(len(one)), at]
+                        top, found = (v[own] for v in tops[side, hard])
+                        more = most > top
+                        top[more], found[more] = most[more], f[at[more]]
+        out = []
+        for (side, hard), (top, found) in tops.items():
+            own = np.isfinite(top)
+            out.append(pa.table({"side": [side] * int(own.sum()), "query": (i if side == "text" else j)[own], "hard": pa.array([hard] * int(own.sum()), pa.bool_()), "found": found[own], "z": top[own]}).cast(DRAWN))
         return pa.concat_tables(out)
 
-    got = block_pairs(images, texts, block, draw, "side string, query long, hard boolean, found long, z double")
+    got = block_pairs(images, texts, block, draw, "side string, query long, hard boolean, found long, z double", cells=True)
     best = lambda hard: F.max_by(F.when(F.col("hard") == hard, F.col("found")), F.when(F.col("hard") == hard, F.col("z")))
     return got.groupBy("side", "query").agg(best(True).alias("negative"), best(False).alias("typical"))
 

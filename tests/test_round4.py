@@ -36,3 +36,37 @@ def test_top_k_of_sides_from_one_table(spark, monkeypatch, rows):
         for q, row in enumerate(m):
             assert got[side, 2 * q + own] == [2 * f + other for f in sorted(range(150), key=lambda f: (-row[f], f))[:3]]
     assert len(got) == 300
+
+
+def test_draws_do_not_depend_on_the_grid(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(90, 4)), rng.normal(size=(70, 4))
+    a, b = vectors_of(spark, x, 0, True), vectors_of(spark, y, 1, True)
+    seen = []
+    pairs = rt.block_pairs
+
+    def counted(*args, **named):
+        seen.append(named.get("cells"))
+        return pairs(*args, **named)
+
+    monkeypatch.setattr(rt, "block_pairs", counted)
+    i, j = np.arange(90) * 2, np.arange(70) * 2 + 1
+    ok = (np.arange(90) % 7)[:, None] != np.arange(70) % 7
+    want = {}
+    for side, m, q, f, may in (("text", x @ y.T, i, j, ok), ("image", (x @ y.T).T, j, i, ok.T)):
+        noise = -np.log(-np.log(rt.pair_uniform(q, f)))
+        hard, easy = (np.where(may, z, -np.inf).argmax(axis=1) for z in (m + noise, noise - m))
+        want |= {(side, int(q[n])): (int(f[hard[n]]), int(f[easy[n]])) for n in range(len(q))}
+    for grid, most in ((8, 1 << 20), (2, 1 << 20), (1, 20)):
+        monkeypatch.setattr(rt, "GRID", grid)
+        monkeypatch.setattr(rt, "CELL_ROWS", most)
+        assert {(r.side, r["query"]): (r.negative, r.typical) for r in rt.negative_draws(a, b, 16).collect()} == want
+    assert seen == [True] * 3
+
+
+def test_pair_numbers_with_wide_ids():
+    """The same number whether or not the ids beside it share their upper word."""
+    q, f = np.array([3, -1, 1 << 40]), np.array([5, 6, 1 << 33, -9])
+    u = rt.pair_uniform(q, f)
+    assert all(rt.pair_uniform(q, f[n : n + 1])[:, 0].tolist() == u[:, n].tolist() for n in range(4))
+    assert rt.pair_uniform(q, f[:0]).shape == (3, 0)
