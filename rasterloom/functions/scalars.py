@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -125,3 +127,8 @@ def image_number(name: Column) -> Column:
 def binarise(mask: Column, smoothing: float = 0.0) -> Column:
     g = (mask > 127).cast("double")
     return g * F.lit(1.0 - smoothing) + F.lit(0.5 * smoothing)
+
+
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it; a column that an expression names twice is computed twice."""
+    return F.element_at(F.transform(F.array(value), f), 1)

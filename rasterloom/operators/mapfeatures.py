@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rasterloom.functions.scalars import once
+
 #: Property names that are bookkeeping, not tags (fixed values).
 BOOKKEEPING = ["metadata", "type", "geometry", "id", "osmId"]
 #: Tag values that make water, vegetation and land use (fixed values).
@@ -37,24 +39,32 @@ def coordinate_pairs(geometry: Column) -> Column:
     return F.transform(parts, lambda p: F.struct(p[0].cast("double").alias("x"), p[1].cast("double").alias("y")))
 
 
-def geometry_bbox(geometry: Column) -> Column:
-    """(w, s, e, n) over all coordinates, null where there are none."""
-    p = coordinate_pairs(geometry)
+def _box(p: Column) -> Column:
+    """(w, s, e, n) over coordinate pairs."""
     x, y = F.transform(p, lambda a: a["x"]), F.transform(p, lambda a: a["y"])
     return F.when(F.size(p) > 0, F.struct(F.array_min(x).alias("w"), F.array_min(y).alias("s"), F.array_max(x).alias("e"), F.array_max(y).alias("n")))
 
 
+def geometry_bbox(geometry: Column) -> Column:
+    """(w, s, e, n) over all coordinates, null where there are none."""
+    return once(coordinate_pairs(geometry), _box)
+
+
 def is_box_polygon(geometry: Column, tolerance: float = 1e-12) -> Column:
-    """Whether a GeoJSON text is a polygon of one closed ring whose points all lie on its box, with all four corners."""
-    p, b = coordinate_pairs(geometry), geometry_bbox(geometry)
+    """Whether a GeoJSON text is a polygon of one closed ring whose points all lie on its box, with all four corners. Coordinates and box are read once."""
     near = lambda v, a, c: (F.abs(v - a) <= tolerance) | (F.abs(v - c) <= tolerance)
-    corner = lambda x, y: F.exists(p, lambda q: (q["x"] == x) & (q["y"] == y))
+
+    def on_box(p: Column, b: Column) -> Column:
+        corner = lambda x, y: F.exists(p, lambda q: (q["x"] == x) & (q["y"] == y))
+        closed = (F.element_at(p, 1)["x"] == F.element_at(p, -1)["x"]) & (F.element_at(p, 1)["y"] == F.element_at(p, -1)["y"])
+        on_edges = F.forall(p, lambda q: near(q["x"], b["w"], b["e"]) & near(q["y"], b["s"], b["n"]))
+        corners = corner(b["w"], b["s"]) & corner(b["w"], b["n"]) & corner(b["e"], b["s"]) & corner(b["e"], b["n"])
+        return F.when(F.size(p) >= 4, closed & on_edges & corners)
+
     rings = F.size(F.split(F.regexp_replace(geometry, r"\s", ""), r"\],\[\[")) == 1
-    closed = (F.element_at(p, 1)["x"] == F.element_at(p, -1)["x"]) & (F.element_at(p, 1)["y"] == F.element_at(p, -1)["y"])
-    on_edges = F.forall(p, lambda q: near(q["x"], b["w"], b["e"]) & near(q["y"], b["s"], b["n"]))
-    corners = corner(b["w"], b["s"]) & corner(b["w"], b["n"]) & corner(b["e"], b["s"]) & corner(b["e"], b["n"])
     polygon = F.get_json_object(geometry, "$.type") == "Polygon"
-    return F.coalesce(F.when(polygon & rings & (F.size(p) >= 4), closed & on_edges & corners).otherwise(F.lit(False)), F.lit(False))
+    ring = once(coordinate_pairs(geometry), lambda p: once(_box(p), lambda b: on_box(p, b)))
+    return F.coalesce(F.when(polygon & rings, ring), F.lit(False))
 
 
 def boxes_meet(a: dict[str, Column], b: dict[str, Column]) -> Column:

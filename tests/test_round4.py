@@ -4,7 +4,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from rasterloom.operators import mapfeatures as mf
 from rasterloom.operators import retrieval as rt
 
 
@@ -70,3 +72,18 @@ def test_pair_numbers_with_wide_ids():
     u = rt.pair_uniform(q, f)
     assert all(rt.pair_uniform(q, f[n : n + 1])[:, 0].tolist() == u[:, n].tolist() for n in range(4))
     assert rt.pair_uniform(q, f[:0]).shape == (3, 0)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_box_is_read_once(spark):
+    square = '{"type":"Polygon","coordinates":[[[0,0],[2,0],[2,1],[0,1],[0,0]]]}'
+    texts = [square, square.replace("[2,1]", "[2,0.5]"), square.replace("[0,0]]]", "[0,1]]]"), square.replace("Polygon", "LineString"), square.replace("]]]", "]],[[0,0],[2,0],[2,1],[0,0]]]"), '{"type":"Polygon","coordinates":[]}', None, "no"]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "id int, g string").select("id", mf.is_box_polygon(F.col("g")).alias("ok"))
+    assert [r.ok for r in df.orderBy("id").collect()] == [True] + [False] * 7
+    assert plan_of(df).count("regexp_extract_all") == 1
+    box = spark.createDataFrame([(square,), (None,), ("{}",)], "g string").select(mf.geometry_bbox(F.col("g")).alias("b"))
+    assert [tuple(r.b) if r.b else None for r in box.collect()] == [(0.0, 0.0, 2.0, 1.0), None, None]
+    assert plan_of(box).count("regexp_extract_all") == 1
