@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -142,12 +145,26 @@ KEYWORDS = {
 }
 
 
-def keyword_vector(text: Column, counts: dict[str, Column]) -> list[Column]:
-    """The same 16 numbers from a text and, where there are any, counts: a kind is present if a word of it is in the text or it is counted."""
-    low = F.lower(F.coalesce(text, F.lit("")))
+def keyword_array(text: Column, counts: dict[str, Column]) -> Column:
+    """The same 16 numbers, as an array, from a text and, where there are any, counts: a kind is present if a word of it is in the text or it is counted.
+
+    The text is put in lower case once and searched once for each kind, with plain comparisons, as the words are fixed.
+    """
     c = {n: F.greatest(F.coalesce(counts[n].cast("double"), F.lit(0.0)), F.lit(0.0)) if n in counts else F.lit(0.0) for n in LABELS}
-    here = {n: (low.rlike("|".join(KEYWORDS[n])) | (c[n] > 0)).cast("double") for n in LABELS}
-    return [*here.values(), *feature_blends(here, c)]
+    said = lambda low, n: functools.reduce(operator.or_, (F.contains(low, F.lit(w)) for w in KEYWORDS[n]))
+    found = once(F.lower(F.coalesce(text, F.lit(""))), lambda low: F.array(*[(said(low, n) | (c[n] > 0)).cast("double") for n in LABELS]))
+
+    def vector(v: Column) -> Column:
+        here = {n: v[i] for i, n in enumerate(LABELS)}
+        return F.array(*here.values(), *feature_blends(here, c))
+
+    return once(found, vector)
+
+
+def keyword_vector(text: Column, counts: dict[str, Column]) -> list[Column]:
+    """``keyword_array`` as 16 columns."""
+    v = keyword_array(text, counts)
+    return [v[i] for i in range(len(LABELS) + 7)]
 
 
 def summary_sentence(c: dict[str, Column]) -> Column:

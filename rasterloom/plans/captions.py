@@ -219,7 +219,7 @@ def c13(spark, d):
 def c14(spark, d):
     docs = fx.table(spark, d, "documents")
     counts = {"building": F.when(F.col("doc_id") % 2 == 0, F.col("n_chars") % 150), "road": F.when(F.col("doc_id") % 3 == 0, F.col("n_chars") % 7), "water": F.when(F.col("doc_id") % 5 == 0, F.col("doc_id") % 40), "vegetation": F.col("doc_id") % 4 - 1}
-    v = docs.select("doc_id", F.posexplode(F.array(*mf.keyword_vector(F.col("text"), counts))).alias("slot", "value"))
+    v = docs.select("doc_id", F.posexplode(mf.keyword_array(F.col("text"), counts)).alias("slot", "value"))
     return v.select("doc_id", "slot", F.round("value", 6).alias("value"))
 
 

@@ -87,3 +87,15 @@ def test_a_box_is_read_once(spark):
     box = spark.createDataFrame([(square,), (None,), ("{}",)], "g string").select(mf.geometry_bbox(F.col("g")).alias("b"))
     assert [tuple(r.b) if r.b else None for r in box.collect()] == [(0.0, 0.0, 2.0, 1.0), None, None]
     assert plan_of(box).count("regexp_extract_all") == 1
+
+
+def test_a_text_is_searched_once_a_kind(spark):
+    texts = ["A PARK by the Railway", "built up", "", None, "a rail, parking; Water"]
+    df = spark.createDataFrame([(n, t, n) for n, t in enumerate(texts)], "id int, t string, c int")
+    counts = {"road": F.col("c"), "water": -F.col("c")}
+    got = df.select("id", mf.keyword_array(F.col("t"), counts).alias("v"), F.array(*mf.keyword_vector(F.col("t"), counts)).alias("w"))
+    assert plan_of(df.select(mf.keyword_array(F.col("t"), counts).alias("v"))).count("lower(") == 1
+    for r in got.collect():
+        low = (texts[r.id] or "").lower()
+        want = [float(any(w in low for w in mf.KEYWORDS[n]) or n == "road" and r.id > 0) for n in mf.LABELS]
+        assert r.v[: len(want)] == want and r.v == r.w and len(r.v) == 16
