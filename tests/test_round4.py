@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterloom.operators import instances as ins
 from rasterloom.operators import mapfeatures as mf
 from rasterloom.operators import retrieval as rt
 
@@ -99,3 +100,22 @@ def test_a_text_is_searched_once_a_kind(spark):
         low = (texts[r.id] or "").lower()
         want = [float(any(w in low for w in mf.KEYWORDS[n]) or n == "road" and r.id > 0) for n in mf.LABELS]
         assert r.v[: len(want)] == want and r.v == r.w and len(r.v) == 16
+
+
+def test_instances_send_no_joins_to_the_driver(spark, monkeypatch):
+    """Tables of any size are joined by shuffle: small ones were broadcast in every round."""
+    plans = []
+    write = ins.checkpointed
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(ins, "checkpointed", noted)
+    rows = [(s, y, x, (y * 7 + x * 3 + s) % 10 / 10) for s in range(2) for y in range(12) for x in range(12) if (x * y + s) % 5 or y == 6]
+    px = write(spark.createDataFrame(rows, "scene_id int, y int, x int, v double"))
+    px = write(ins.label_components(px).join(px, ["scene_id", "y", "x"]))
+    peaks = ins.with_fallback(ins.separated_peaks(ins.peak_candidates(px, "v", 0.2, 2), 3), px, "v")
+    ends = [ins.decode_instances(px, peaks, F.lit(0.5), F.lit(0.5), 12, 12), ins.nearest_markers(px.select("scene_id", "label", "y", "x"), px.where("x % 3 = 0").withColumn("marker", F.col("y") * 12 + F.col("x")), 2)]
+    plans += [df._jdf.queryExecution().sparkPlan().toString() for df in ends]
+    assert len(plans) > 10 and sum("Join" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
