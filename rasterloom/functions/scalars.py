@@ -21,9 +21,9 @@ def sample_key(value: Column, extension: bool = False, strict: bool = False) ->
     name = F.trim(F.element_at(F.split(F.regexp_replace(value, r"\\", "/"), "/"), -1))
     tile = r"(?i)(?:_y\d+_x\d+|_r\d+_c\d+)$"
     stem = F.regexp_replace(F.regexp_replace(name, tile, ""), r"(?<=.)\.[^.]+$", "")
-    found = F.regexp_extract(stem, r"(?i)^(train|val|test)_(\d+)$", 2)
-    split = F.lower(F.regexp_extract(stem, r"(?i)^(train|val|test)_(\d+)$", 1))
-    key = F.when(found != "", F.concat(split, F.lit("_"), found.cast("bigint").cast("string"), F.lit(".png" if extension else "")))
+    part = lambda v, n: F.regexp_extract(v, r"(?i)^(train|val|test)_(\d+)$", n)
+    made = lambda v, n: F.when(n != "", F.concat(F.lower(part(v, 1)), F.lit("_"), n.cast("bigint").cast("string"), F.lit(".png" if extension else "")))
+    key = once(stem, lambda v: once(part(v, 2), lambda n: made(v, n)))
     return F.coalesce(key, F.raise_error(F.concat(F.lit("not a sample key: "), value))) if strict else key
 
 

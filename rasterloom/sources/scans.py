@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rasterloom.functions.scalars import sample_key
 from rasterloom.functions.storage import checkpointed
@@ -115,9 +116,9 @@ def manifest(spark: SparkSession, path: str, record: str = RECORD) -> DataFrame:
     maps = maps.withColumn("filename", F.coalesce("filename", "k")).drop("k")
     both = lists.unionByName(maps).withColumn("key", sample_key(F.col("filename"), strict=True))
     both = both.withColumn("source_pair_id", F.coalesce("source_pair_id", "key")).withColumn("split", F.coalesce("split", F.split("key", "_")[0]))
-    twice = both.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("key").alias("_k"))
-    checked = both.join(twice, both.key == twice._k, "left")
-    return checked.withColumn("key", F.when(F.col("_k").isNull(), F.col("key")).otherwise(F.raise_error(F.concat(F.lit("repeated key "), "key")))).drop("_k")
+    n = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    checked = both.withColumn("_n", n)
+    return checked.withColumn("key", F.when(F.col("_n") == 1, F.col("key")).otherwise(F.raise_error(F.concat(F.lit("repeated key "), "key")))).drop("_n")
 
 
 def coordinate_table(spark: SparkSession, path: str) -> DataFrame:

@@ -6,9 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from rasterloom.functions.scalars import sample_key
 from rasterloom.operators import instances as ins
 from rasterloom.operators import mapfeatures as mf
 from rasterloom.operators import retrieval as rt
+from rasterloom.sources import scans
 
 
 def vectors_of(spark, v, at, group=None):
@@ -119,3 +121,21 @@ def test_instances_send_no_joins_to_the_driver(spark, monkeypatch):
     ends = [ins.decode_instances(px, peaks, F.lit(0.5), F.lit(0.5), 12, 12), ins.nearest_markers(px.select("scene_id", "label", "y", "x"), px.where("x % 3 = 0").withColumn("marker", F.col("y") * 12 + F.col("x")), 2)]
     plans += [df._jdf.queryExecution().sparkPlan().toString() for df in ends]
     assert len(plans) > 10 and sum("Join" in p for p in plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_a_sample_key_is_cut_once(spark):
+    names = ["Train_0012.png", r"a\b\VAL_7_y0_x256", "test_3_r1_c2", "train_.png", "x", "", None]
+    df = spark.createDataFrame([(n, t) for n, t in enumerate(names)], "id int, t string").select("id", sample_key(F.col("t"), True).alias("k"))
+    assert plan_of(df).count("trim(") == 1
+    assert [r.k for r in df.orderBy("id").collect()] == ["train_12.png", "val_7.png", "test_3.png", None, None, None, None]
+
+
+def test_a_manifest_is_read_once_for_repeats(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"samples": [{"filename": "train_1.png", "status": "ok"}, {"filename": "val_02.png", "split": "test"}]}')
+    (tmp_path / "b.json").write_text('{"train_3": {"status": "ok", "valid_fraction": 0.5}}')
+    df = scans.manifest(spark, str(tmp_path))
+    assert plan_of(df).count("from_json(") == 2  # one a layout
+    assert sorted((r.key, r.source_pair_id, r.split, r.status, r.valid_fraction) for r in df.collect()) == [("train_1", "train_1", "train", "ok", None), ("train_3", "train_3", "train", "ok", 0.5), ("val_2", "val_2", "test", None, None)]
+    (tmp_path / "c.json").write_text('{"Train_0003.png": {"status": "ok"}}')
+    with pytest.raises(Exception, match="repeated key train_3"):
+        scans.manifest(spark, str(tmp_path)).collect()
