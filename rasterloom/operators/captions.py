@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from pyspark.sql.window import Window
 
 from rasterloom.functions.storage import before, in_ranges
@@ -110,30 +113,49 @@ def first_entry(patches: DataFrame, entries: DataFrame, candidates: list[Column]
     return patches.join(found, key, "left")
 
 
+#: Words whose ids a task keeps at most.
+KEPT_WORDS = 500_000
+
+
+def word_ids(vocabulary: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Batches with ``_w``, lists of words, as lists of their ids: 103 plus the word's 8-byte BLAKE2b digest modulo the rest of the vocabulary."""
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+
+        def one(w: str) -> int:
+            if w not in known:
+                if len(known) >= KEPT_WORDS:
+                    known.clear()
+                known[w] = FIRST_WORD + int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") % (vocabulary - FIRST_WORD)
+            return known[w]
+
+        for batch in batches:
+            at = batch.schema.get_field_index("_w")
+            words = batch.column(at)
+            flat = words.flatten().dictionary_encode()
+            ids = pa.array([one(w) for w in flat.dictionary.to_pylist()], pa.int32()).take(flat.indices)
+            ends = pc.cumulative_sum(pc.list_value_length(words).cast(pa.int32()))
+            lists = pa.ListArray.from_arrays(pa.concat_arrays([pa.array([0], pa.int32()), ends]), ids)
+            yield pa.RecordBatch.from_arrays([lists if n == at else c for n, c in enumerate(batch.columns)], names=batch.schema.names)
+
+    return mapped
+
+
 def token_rows(df: DataFrame, key: str | list[str], text: str, length: int, vocabulary: int = 30522) -> DataFrame:
     """(key, pos, token) of each text: CLS, hashed words, SEP if it fits, PAD up to the length, with the attention mask.
 
     Words are runs of ASCII letters, digits and _; of the rest, all but letters, numbers and white space are words of their own.
 
-    A word's id is 103 plus its 8-byte BLAKE2b digest modulo the rest of the vocabulary. Each distinct
-    word is hashed once, in Arrow batches, and joined back.
+    A word's id is that of ``word_ids``: an Arrow batch hashes each distinct word once, and no word is
+    shuffled. A text is read once.
     """
     key = [key] if isinstance(key, str) else key
     words = df.select(*key, F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(rf"([A-Za-z0-9_]+|[^\p{{L}}\p{{N}}_{SPACE}])"), 1).alias("_w"))
     cut = words.select(*key, F.slice("_w", 1, max(0, length - 2)).alias("_w"))
-
-    @F.pandas_udf("int")
-    def hashed(w: pd.Series) -> pd.Series:
-        one = lambda s: FIRST_WORD + int.from_bytes(hashlib.blake2b(s.encode(), digest_size=8).digest(), "big") % (vocabulary - FIRST_WORD)
-        return w.map(one)
-
-    long = cut.select(*key, F.posexplode("_w").alias("_p", "word"))
-    ids = long.select("word").distinct().withColumn("token", hashed("word"))
-    real = long.join(ids, "word").select(*key, (F.col("_p") + 1).alias("pos"), "token")
-    n = F.size("_w")
-    frame = cut.select(*key, n.alias("_n"), F.explode(F.sequence(F.lit(0), F.lit(length - 1))).alias("pos")).where("pos = 0 OR pos > _n")
-    rest = frame.select(*key, "pos", F.when(F.col("pos") == 0, CLS).when((F.col("pos") == F.col("_n") + 1), SEP).otherwise(PAD).alias("token"))
-    return real.unionByName(rest).withColumn("attention", (F.col("token") != PAD).cast("int"))
+    ids = cut.mapInArrow(word_ids(vocabulary), StructType([*cut.schema.fields[:-1], StructField("_w", ArrayType(IntegerType()))]))
+    real = F.concat(F.array(F.lit(CLS)), "_w", F.array(F.lit(SEP)), F.array_repeat(F.lit(PAD), length))
+    return ids.select(*key, F.posexplode(F.slice(real, 1, length)).alias("pos", "token")).withColumn("attention", (F.col("token") != PAD).cast("int"))
 
 
 def masked_tokens(tokens: DataFrame, key: str, u: Column, kind: Column, draw: Column, probability: Column | float, vocabulary: int = 30522) -> DataFrame:

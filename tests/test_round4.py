@@ -1,5 +1,6 @@
 """Steps whose shuffles, driver traffic or time grew faster than their input: same results, and how often rows travel."""
 
+import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -7,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rasterloom.functions.scalars import sample_key
+from rasterloom.operators import captions as cp
 from rasterloom.operators import instances as ins
 from rasterloom.operators import mapfeatures as mf
 from rasterloom.operators import retrieval as rt
@@ -139,3 +141,17 @@ def test_a_manifest_is_read_once_for_repeats(spark, tmp_path):
     (tmp_path / "c.json").write_text('{"Train_0003.png": {"status": "ok"}}')
     with pytest.raises(Exception, match="repeated key train_3"):
         scans.manifest(spark, str(tmp_path)).collect()
+
+
+def test_words_are_hashed_without_a_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(cp, "KEPT_WORDS", 2)
+    df = spark.createDataFrame([(1, "a b a C!"), (2, ""), (3, None), (4, "a " * 30)], "id long, t string")
+    got = cp.token_rows(df, "id", "t", 6)
+    assert plan_of(got).count("regexp_extract_all") == 1 and "Join" not in plan_of(got)
+    rows = defaultdict(list)
+    for r in got.orderBy("id", "pos").collect():
+        assert r.pos == len(rows[r.id]) and r.attention == int(r.token != 0)
+        rows[r.id].append(r.token)
+    one = lambda w: 103 + int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") % (30522 - 103)
+    assert rows == {1: [101, one("a"), one("b"), one("a"), one("c"), 102], 2: [101, 102, 0, 0, 0, 0], 3: [101, 102, 0, 0, 0, 0], 4: [101, *[one("a")] * 4, 102]}
+    assert [r.token for r in cp.token_rows(df.where("id = 1"), "id", "t", 1).collect()] == [101]
