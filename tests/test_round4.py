@@ -12,6 +12,7 @@ from rasterloom.operators import captions as cp
 from rasterloom.operators import instances as ins
 from rasterloom.operators import mapfeatures as mf
 from rasterloom.operators import retrieval as rt
+from rasterloom.plans.retrieval import grouped
 from rasterloom.sources import scans
 
 
@@ -155,3 +156,8 @@ def test_words_are_hashed_without_a_shuffle(spark, monkeypatch):
     one = lambda w: 103 + int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") % (30522 - 103)
     assert rows == {1: [101, one("a"), one("b"), one("a"), one("c"), 102], 2: [101, 102, 0, 0, 0, 0], 3: [101, 102, 0, 0, 0, 0], 4: [101, *[one("a")] * 4, 102]}
     assert [r.token for r in cp.token_rows(df.where("id = 1"), "id", "t", 1).collect()] == [101]
+
+
+def test_relevance_is_asked_of_what_was_found(spark):
+    found = spark.createDataFrame([("text", 0, 1, 1), ("text", 0, 3, 2), ("text", 2, 83, 1), ("image", 81, 0, 1)], "side string, query long, found long, rank int")
+    assert {tuple(r) for r in grouped(found).collect()} == {("text", 0, 1), ("text", 2, 83), ("image", 81, 0)}
