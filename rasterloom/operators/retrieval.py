@@ -145,16 +145,45 @@ def pair_bounds(a: DataFrame, b: DataFrame) -> DataFrame:
     return block_pairs(a, b, 1024, bounds, "bi long, bt long, bound double")
 
 
-def better_kept(score: np.ndarray, found: np.ndarray, at: slice, m: np.ndarray, ids: np.ndarray) -> None:
-    """Merges the scores ``m`` of rows ``at`` with columns ``ids`` into each row's best so far (score, then least id), kept in order in ``score`` and ``found``."""
+def summed(x: np.ndarray, y: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Dot products of rows r of x with rows c of y, summed from the first value to the last.
+
+    A matrix product sums in an order that depends on where a row stands, so that copies of a vector
+    differ in their last bits and no longer tie.
+    """
+    parts = (slice(n, n + 16_384) for n in range(0, len(r), 16_384))
+    return np.concatenate([np.zeros(0), *(np.add.accumulate(x[r[p]] * y[c[p]], axis=1)[:, -1] for p in parts)])
+
+
+def slack(x: np.ndarray, y: np.ndarray, scale: float) -> np.ndarray:
+    """For each row of x how far a matrix product with rows of y may be from ``summed``, at most."""
+    size = lambda v: np.sqrt((v * v).sum(axis=1))
+    return (x.shape[1] + 2) * 2.0**-51 * scale * size(x) * size(y).max(initial=0.0)
+
+
+def may_be_first(m: np.ndarray, off: np.ndarray, k: int, least: np.ndarray | float = -np.inf) -> np.ndarray:
+    """Which scores, each off by ``off`` of its row at most, may be among the k greatest of their row and reach ``least``."""
+    reach = m >= least - off[:, None]
+    many = np.flatnonzero(reach.sum(axis=1) > k)
+    if len(many):
+        at = m.shape[1] - k
+        reach[many] &= m[many] >= np.partition(m[many], at, axis=1)[:, at : at + 1] - 2 * off[many, None]
+    return reach
+
+
+def better_kept(score: np.ndarray, found: np.ndarray, at: slice, m: np.ndarray, ids: np.ndarray, off: np.ndarray, exact: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> None:
+    """Merges the scores of rows ``at`` with columns ``ids`` into each row's best so far (score, then least id), kept in order in ``score`` and ``found``.
+
+    ``m`` has the scores but for ``off``; ``exact`` gives those of rows and columns that may be kept.
+    """
     k = score.shape[1]
-    reach = m >= score[at, -1:]
+    reach = may_be_first(m, off, k, score[at, -1:])
     if not reach.any():
         return
     r, c = np.nonzero(reach)
     u = np.flatnonzero(reach.any(axis=1))
     rows = np.concatenate([np.repeat(u, k), r])
-    s, f = np.concatenate([score[at][u].ravel(), m[r, c]]), np.concatenate([found[at][u].ravel(), ids[c]])
+    s, f = np.concatenate([score[at][u].ravel(), exact(r, c)]), np.concatenate([found[at][u].ravel(), ids[c]])
     order = np.lexsort((f, -s, rows))
     rows = rows[order]
     order = order[np.arange(len(rows)) - np.searchsorted(rows, u)[np.searchsorted(u, rows)] < k]
@@ -191,13 +220,15 @@ def best_of_pairs(a: DataFrame, b: DataFrame, pairs: DataFrame, k: int, scale: f
             return TOP.empty_table()
         (i, x, rows), (j, y, columns) = side(t, 0), side(t, 1)
         tops = [(np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)) for q in (i, j)]
+        off_i, off_j = slack(x, y, scale), slack(y, x, scale)
         for p, q, for_text, for_image in zip(*(c.to_pylist() for c in todo.columns), strict=True):
             p, q = rows[p], columns[q]
-            s = x[p] @ y[q].T * scale
+            own, other = x[p], y[q]
+            s = own @ other.T * scale
             if for_text:
-                better_kept(*tops[0], p, s, j[q])
+                better_kept(*tops[0], p, s, j[q], off_i[p], lambda r, c: summed(own, other, r, c) * scale)  # noqa: B023
             if for_image:
-                better_kept(*tops[1], q, s.T, i[p])
+                better_kept(*tops[1], q, s.T, i[p], off_j[q], lambda r, c: summed(other, own, r, c) * scale)  # noqa: B023
         out = []
         for name, q, (score, found) in zip(("text", "image"), (i, j), tops, strict=True):
             n, c = np.nonzero(score > -np.inf)
@@ -212,9 +243,13 @@ TOP_SQL = "side string, query long, found long, score double"
 
 
 def best_of_both(i: np.ndarray, x: np.ndarray, j: np.ndarray, y: np.ndarray, k: int, scale: float, for_text: bool = True, for_image: bool = True) -> pa.Table:
-    s, out = x.astype(np.float64) @ y.astype(np.float64).T * scale, [TOP.empty_table()]
-    for side, m, q, f, need in (("text", s, i, j, for_text), ("image", s.T, j, i, for_image)):
+    x, y = x.astype(np.float64), y.astype(np.float64)
+    s, out = x @ y.T * scale, [TOP.empty_table()]
+    for side, m, v, w, q, f, need in (("text", s, x, y, i, j, for_text), ("image", s.T, y, x, j, i, for_image)):
         if need:
+            r, c = np.nonzero(may_be_first(m, slack(v, w, scale), k))
+            m = np.full(m.shape, -np.inf)
+            m[r, c] = summed(v, w, r, c) * scale
             order = first_columns(m, f, k)
             out.append(pa.table({"side": [side] * order.size, "query": np.repeat(q, order.shape[1]), "found": f[order].ravel(), "score": np.take_along_axis(m, order, 1).ravel()}, schema=TOP))
     return pa.concat_tables(out)
@@ -240,6 +275,22 @@ def pruned_pairs(a: DataFrame, b: DataFrame, k: int, scale: float) -> tuple[Data
     return got, first, checkpointed(left.where("for_text OR for_image"))
 
 
+#: How a vector ranks among what is found: one with a NaN before all others, one that is null after them.
+NAN, PLAIN, NONE = 0, 1, 2
+
+
+def unscored(queries: DataFrame, rows: DataFrame, side: str, k: int) -> DataFrame:
+    """What may be among the k best of a query without a product of two plain vectors: side, query, found, score.
+
+    Both have id and kind. A score with a null vector is null, any other with a NaN vector NaN. Ties
+    go by id, so the k least ids of each kind are enough, and only they are broadcast.
+    """
+    of = lambda kind: rows.where(F.col("kind") == kind).orderBy("id").limit(k).select(F.col("id").alias("found"), F.col("kind").alias("other"))
+    pairs = queries.select(F.col("id").alias("query"), "kind").crossJoin(F.broadcast(of(NAN).unionByName(of(PLAIN)).unionByName(of(NONE))))
+    score = F.when((F.col("kind") != NONE) & (F.col("other") != NONE), F.lit(float("nan")))
+    return pairs.where((F.col("kind") != PLAIN) | (F.col("other") != PLAIN)).select(F.lit(side).alias("side"), "query", "found", score.alias("score"))
+
+
 def top_k_both(images: DataFrame, texts: DataFrame, k: int, block: int = 4096, scale: float = 1.0) -> DataFrame:
     """The k best texts of every image and the k best images of every text: side, query, found, score, rank.
 
@@ -248,10 +299,16 @@ def top_k_both(images: DataFrame, texts: DataFrame, k: int, block: int = 4096, s
     pairs; the last ranking merges those. Of many blocks, which then hold vectors near each other, each
     is first multiplied with its likeliest partner; after that only pairs whose middles and radii allow
     a score as great as a query's k-th so far. ``scale`` is positive.
+
+    Scores of copies are equal, so they tie and go by id. A null vector's score is null and ranks
+    last, one with a NaN has NaN and ranks first, as in SQL.
     """
     rank = F.row_number().over(Window.partitionBy("side", "query").orderBy(F.desc("score"), "found"))
-    images, texts = images.select("id", "vec"), texts.select("id", "vec")
-    if -(-images.count() // block) * -(-texts.count() // block) < PRUNE_FROM:
+    kind = F.when(F.col("vec").isNull(), NONE).when(F.exists("vec", F.isnan), NAN).otherwise(PLAIN)
+    both = [checkpointed(d.select("id", "vec", kind.alias("kind"))) for d in (images, texts)]
+    images, texts = (d.where(F.col("kind") == PLAIN).select("id", "vec") for d in both)
+    n, m = (d.count() for d in (images, texts))
+    if -(-n // block) * -(-m // block) < PRUNE_FROM:
         column = lambda t, c: np.stack(t.column(c).to_numpy())
         best = lambda a, b: best_of_both(a.column("id").to_numpy(), column(a, "vec"), b.column("id").to_numpy(), column(b, "vec"), k, scale)
         got = block_pairs(images, texts, block, best, TOP_SQL)
@@ -259,6 +316,8 @@ def top_k_both(images: DataFrame, texts: DataFrame, k: int, block: int = 4096, s
         a, b = (checkpointed(vector_blocks(d, block)) for d in (images, texts))
         first, _, left = pruned_pairs(a, b, k, scale)
         got = first.unionByName(best_of_pairs(a, b, left, k, scale))
+    if n + m < sum(d.count() for d in both):
+        got = got.unionByName(unscored(*both, "text", k)).unionByName(unscored(*both[::-1], "image", k))
     return got.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
@@ -278,7 +337,9 @@ def mean_recall(recalls: DataFrame, ks: list[int]) -> DataFrame:
 
 def rerank(top: DataFrame, second: DataFrame) -> DataFrame:
     """The candidates with their second score in place of the first, ranked anew; what is not a candidate counts -100 and needs no row."""
-    j = top.select("side", "query", "found").join(second, ["query", "found"], "left").withColumn("score", F.coalesce("score", F.lit(-100.0)))
+    scored = second.withColumn("_there", F.lit(True))
+    j = top.select("side", "query", "found").join(scored, ["query", "found"], "left")
+    j = j.withColumn("score", F.when(F.col("_there"), F.col("score")).otherwise(-100.0)).drop("_there")
     rank = F.row_number().over(Window.partitionBy("side", "query").orderBy(F.desc("score"), "found"))
     return j.withColumn("rank", rank)
 

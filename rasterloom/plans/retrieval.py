@@ -25,7 +25,9 @@ def j1(spark, d):
 
 
 def sides(spark, d):
-    v = vectors(spark, d)
+    """Images and texts. A vector without length is all NaN, as its SQL divides by zero; a null one stays null."""
+    nan = F.when(F.col("raw").isNotNull(), F.transform("raw", lambda x: F.lit(float("nan"))))
+    v = vectors(spark, d).withColumn("vec", F.coalesce("vec", nan))
     return v.where("id % 2 = 0").select("id", "vec"), v.where("id % 2 = 1").select("id", "vec")
 
 
