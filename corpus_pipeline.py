@@ -80,11 +80,13 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that an earlier one has; those of which nothing is left go.
 
-    n_chars, where there is such a column, is that of what is left. All other columns are kept.
+    n_chars, where there is such a column, is that of what is left. All other columns are kept, and a
+    text that is null stays null.
     """
-    found = substring_dedup(docs, carry=[c for c in docs.columns if c != "text"])
+    none = fresh("none", docs.columns)
+    found = substring_dedup(docs.withColumn(none, F.col("text").isNull()), carry=[*[c for c in docs.columns if c != "text"], none])
     changed = F.col("n_removed") > 0
-    text = F.col("kept").alias("text")
+    text = F.when(~F.col(f"rest.{none}"), F.col("kept")).alias("text")
     kept = found.where(~changed | (F.col("kept") != ""))
 
     def column(c: str) -> Column:
